@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +15,24 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session; they may run where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lexigrove_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="lexigrove-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    sc._lexigrove_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
