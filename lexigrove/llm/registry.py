@@ -5,10 +5,11 @@ from __future__ import annotations
 from .op4_toxicity import op4_crf
 from .op5_mixing import ORACLE as MIX_SQL
 from .op5_mixing import op5_poisson
+from .op6_minhash import op6_multi_index
 from .op7_pieces import op7_merge_rounds
 from .op8_secrets import op8_ownership
 from .op9_pii import op9_disclosure
 from .op10_sharding import op10_hash_tree
 
-QUERIES = {f.__name__: f for f in (op4_crf, op5_poisson, op7_merge_rounds, op8_ownership, op9_disclosure, op10_hash_tree)}
+QUERIES = {f.__name__: f for f in (op4_crf, op5_poisson, op6_multi_index, op7_merge_rounds, op8_ownership, op9_disclosure, op10_hash_tree)}
 ORACLE_SQL = {"op5_poisson": MIX_SQL}
