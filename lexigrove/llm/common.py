@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -63,6 +64,12 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of finished steps go: Spark drops them once the driver has collected the plans that made them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions that the session is set to use."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op2_suffix import op2_longest_previous
 from .op4_toxicity import op4_crf
 from .op5_mixing import ORACLE as MIX_SQL
 from .op5_mixing import op5_poisson
@@ -11,5 +12,5 @@ from .op8_secrets import op8_ownership
 from .op9_pii import op9_disclosure
 from .op10_sharding import op10_hash_tree
 
-QUERIES = {f.__name__: f for f in (op4_crf, op5_poisson, op6_multi_index, op7_merge_rounds, op8_ownership, op9_disclosure, op10_hash_tree)}
+QUERIES = {f.__name__: f for f in (op2_longest_previous, op4_crf, op5_poisson, op6_multi_index, op7_merge_rounds, op8_ownership, op9_disclosure, op10_hash_tree)}
 ORACLE_SQL = {"op5_poisson": MIX_SQL}
