@@ -83,10 +83,10 @@ def blocks(df: DataFrame, key: list[str], id_col: str, block: int) -> DataFrame:
     copied into the n block pairs that its block is part of, and so no task
     gets more than two blocks of any group at once. ``own`` is the row's block.
     """
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    large = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
     dealt = (
-        df.join(sizes, key)
-        .withColumn("_b", F.ceil(F.col("_n") / F.lit(block)).cast("int"))
+        df.join(large, key, "left")
+        .withColumn("_b", F.coalesce(F.ceil(F.col("_n") / F.lit(block)), F.lit(1)).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.col("_b")).cast("int"))
     )
     return (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .op1_pivots import op1_pivot_permutation
 from .op2_suffix import op2_longest_previous
+from .op3_anisotropic import op3_score_aware
 from .op4_toxicity import op4_crf
 from .op5_mixing import ORACLE as MIX_SQL
 from .op5_mixing import op5_poisson
@@ -12,5 +14,6 @@ from .op8_secrets import op8_ownership
 from .op9_pii import op9_disclosure
 from .op10_sharding import op10_hash_tree
 
-QUERIES = {f.__name__: f for f in (op2_longest_previous, op4_crf, op5_poisson, op6_multi_index, op7_merge_rounds, op8_ownership, op9_disclosure, op10_hash_tree)}
+QUERIES = {f.__name__: f for f in (
+    op1_pivot_permutation, op2_longest_previous, op3_score_aware, op4_crf, op5_poisson, op6_multi_index, op7_merge_rounds, op8_ownership, op9_disclosure, op10_hash_tree)}
 ORACLE_SQL = {"op5_poisson": MIX_SQL}
