@@ -83,20 +83,25 @@ def disclosing(docs: DataFrame, near: DataFrame, text_col: str = "text") -> Data
     ``near``: (_row, entity, term) of the corpus. Document frequencies of the
     candidate terms are taken over all texts.
     """
-    total = docs.count()
+    n = F.lit(float(max(docs.count(), 1)))
+    own = F.log(n / F.col("n_entity"))
+
+    def share(n_term: Column) -> Column:
+        return F.log(n * F.col("n_both") / (F.col("n_entity") * n_term)) / own
+
     near = near.select("_row", "entity", "term").distinct()
-    both = cut(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT))
+    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT)
     of_entity = near.select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # a term is in no fewer documents than it is near an entity in: pairs that fall short with that number can't reach the threshold
+    at_least = near.select("_row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    both = cut(both.join(of_entity, "entity").join(at_least, "term").where((own > 0) & (share(F.col("n_near")) >= DISCLOSURE)))
     terms = cut(both.select("term").distinct())
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
     df = words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = F.lit(float(max(total, 1)))
-    pmi, own = F.log(n * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both"))), F.log(n / F.col("n_entity"))
-    return (
-        both.join(of_entity, "entity").join(df, "term").where(own > 0).select("entity", "term", (pmi / own).alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
-    )
+    disclosure = share(F.greatest("n_term", "n_near"))
+    return both.join(df, "term").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
