@@ -46,9 +46,15 @@ def line_scan(lines: DataFrame, patterns: list[str], cap: int = S.MATCH_LIMIT) -
     return hits.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= cap).select("path", "line_number", F.col("line").alias("snippet"))
 
 
-def two_pass(lines: DataFrame, query: Query) -> DataFrame:
-    """Phrase matches and token matches, each with its own cap, distinct."""
-    return line_scan(lines, [query.phrase]).unionByName(line_scan(lines, query.patterns)).distinct()
+def two_pass(lines: DataFrame, query: Query, cap: int = S.MATCH_LIMIT) -> DataFrame:
+    """Phrase matches and token matches, each with its own cap, as one scan and one shuffle."""
+    line = F.lower(F.col("line"))
+    phrase, token = line.contains(query.phrase), reduce(or_, [line.contains(p) for p in query.patterns], F.lit(False))
+    hits = lines.where(phrase | token).withColumns({"phrase": phrase.cast("int"), "token": token.cast("int")})
+    so_far = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = hits.withColumns({"n_phrase": F.sum("phrase").over(so_far), "n_token": F.sum("token").over(so_far)})
+    kept = ((F.col("phrase") == 1) & (F.col("n_phrase") <= cap)) | ((F.col("token") == 1) & (F.col("n_token") <= cap))
+    return counted.where(kept).select("path", "line_number", F.col("line").alias("snippet"))
 
 
 def coverage(matches: DataFrame) -> DataFrame:

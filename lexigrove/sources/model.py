@@ -101,13 +101,16 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(task_id, item_id, path, doc_id, shared, weight): files that share long terms with a task, and the sum of their rarity."""
+    """(task_id, item_id, path, doc_id, shared, weight): files that share long terms with a task, and the sum of their rarity.
+
+    Lists, labels and metrics are all derived from it, so it is kept; Spark takes an equal plan from the cache.
+    """
     long = lambda c: F.array_distinct(F.filter(lexical_terms(c), lambda t: F.octet_length(t) >= 8))
     docs = files(spark, sf_dir).select("path", "doc_id", F.explode(long(F.col("text"))).alias("term"))
     wanted = tasks(spark, sf_dir).select("task_id", "item_id", F.explode(long(F.col("query"))).alias("term"))
     hits = docs.join(wanted, "term")
     df = docs.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return hits.join(df, "term").groupBy("task_id", "item_id", "path", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum(F.lit(1.0) / F.col("df")), 6).alias("weight"))
+    return hits.join(df, "term").groupBy("task_id", "item_id", "path", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum(F.lit(1.0) / F.col("df")), 6).alias("weight")).persist()
 
 
 def ranked(spark: SparkSession, sf_dir: str, depth: int = 10) -> DataFrame:
