@@ -67,21 +67,30 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, default: float, epo
     return counts.join(F.broadcast(sums)).select("_source", "n", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") * F.lit(float(epochs)) / F.col("n")).otherwise(F.lit(0.0)).alias("rate"))
 
 
+def _mixed(docs: DataFrame, weights: dict[str, float] | None, default: float, epochs: float, seed: str, id_col: str, source_col: str) -> DataFrame:
+    """(doc, copy_no, shuffle_key) in the global order; the row is one struct, so that no name of its columns can clash."""
+    by_source = rates(docs, weights, default, epochs, source_col)
+    few, top = by_source.agg(F.count(F.lit(1)), F.max("rate")).first()
+    by_source = F.broadcast(by_source) if few <= BROADCAST_SOURCES else by_source
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"))
+    drawn = rows.join(by_source.select("_source", "rate"), "_source").withColumn("_copies", poisson(uniform(seed, F.col("_id")), F.col("rate"), most(top or 0.0)))
+    copies = drawn.where("_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("_id"), F.col("copy_no").cast("string")).cast("binary")))
+    return keyed.select("doc", "copy_no", "shuffle_key").orderBy("shuffle_key")
+
+
 def mix(
-    docs: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, epochs: float = EPOCHS, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source"
+    docs: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, epochs: float = EPOCHS, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", marks: bool = True
 ) -> DataFrame:
     """``docs`` replicated to the target weights in one global random order.
 
-    ``weights``: source -> share of the output, scaled to sum to 1.
+    ``weights``: source -> share of the output, scaled to sum to 1. ``marks``:
+    add ``copy_no`` and ``shuffle_key``, in place of columns of these names.
     """
-    by_source = rates(docs, weights, default, epochs, source_col)
-    few, top = by_source.agg(F.count(F.lit(1)), F.max("rate")).first()
-    by_source = F.broadcast(by_source) if few <= BROADCAST_SOURCES else by_source
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    drawn = docs.withColumn("_source", source).join(by_source.select("_source", "rate"), "_source").withColumn("_copies", poisson(uniform(seed, F.col(id_col)), F.col("rate"), most(top or 0.0)))
-    copies = drawn.where("_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col(id_col).cast("string"), F.col("copy_no").cast("string")).cast("binary")))
-    return keyed.drop("_source", "rate", "_copies").orderBy("shuffle_key")
+    out = _mixed(docs, weights, default, epochs, seed, id_col, source_col)
+    if not marks:
+        return out.select("doc.*")
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in ("copy_no", "shuffle_key")], "copy_no", "shuffle_key")
 
 
 def op5_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,8 +146,11 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = sanitise(docs.select(id_col, text_col), id_col, text_col).where("size(all_spans) > 0").select("_row", "all_spans").dropDuplicates(["_row"])
-    joined = docs.withColumn("_row", row_key(id_col, text)).join(spans, "_row", "left")
-    return joined.withColumn(text_col, F.when(F.col("all_spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("all_spans")))).select(*docs.columns)
+    # the row is carried as one struct, so that no name of its columns can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_col, text).alias("_row"))
+    own = F.col("doc")[text_col]
+    fresh = F.when(F.col("all_spans").isNull(), own).otherwise(redact(own, F.col("all_spans")))
+    return rows.join(spans, "_row", "left").select(F.col("doc").withField(f"`{text_col}`", fresh).alias("doc")).select("doc.*")
 
 
 def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
