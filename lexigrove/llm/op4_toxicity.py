@@ -31,13 +31,14 @@ from .common import cut, forget, table
 
 #: The fit reads about so many labelled rows, picked by a hash of the id, at every size of input.
 SAMPLE_ROWS = 12_000
-#: Sequences of the sample with more tokens are left out of the fit (never of the scoring).
-FIT_TOKENS = 2_000
+#: Of the sample, about so many sequences of each label fit the field, those with more tokens left out (never of the
+#: scoring): they are all that the driver holds. The calibration uses the whole sample.
+FIT_ROWS, FIT_TOKENS = 1_500, 1_000
 #: Words that can have a weight, and what makes one a toxic tag: documents, rate ratio, z-score.
 VOCABULARY, LEAST_DOCS, RATIO, Z = 4_000, 5, 8.0, 5.0
 STEPS, RATE, DECAY = 150, 0.25, 0.02
 #: Tokens that are tagged together; bounds the memory of a task.
-SLICE_TOKENS = 1_500_000
+SLICE_TOKENS = 500_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -171,6 +172,17 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], ["word", "toxic", "clean"])
 
 
+def _tagged_slices(model: Field, texts: list[str | None]) -> Iterator[tuple[int, int, list[str], np.ndarray, list[np.ndarray]]]:
+    """Slices of texts with their signals and token marginals."""
+    a, size, seqs = 0, 0, []
+    for i, t in enumerate(texts):
+        seqs.append(model.ids(t))
+        size += len(seqs[-1])
+        if size >= SLICE_TOKENS or i == len(texts) - 1:
+            yield (a, i + 1, [x or "" for x in texts[a : i + 1]], *model.signals(seqs))
+            a, size, seqs = i + 1, 0, []
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """The field fitted on about SAMPLE_ROWS of the labelled rows that are not held out."""
     model = Field()
@@ -216,13 +228,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             short = [len(s) <= FIT_TOKENS for s in seqs]
             yield pa.RecordBatch.from_arrays([pa.array([s.astype("<i4").tobytes() for s, k in zip(seqs, short) if k], pa.binary()), batch.column(1).filter(pa.array(short))], ["seq", "label"])
 
-    fit = sample.mapInArrow(sequences, "seq binary, label int").toPandas()
+    draw = F.pmod(F.xxhash64("text", F.lit("sequence")), F.lit(1_000_000))
+    share = F.when(F.col("_label") == 1, F.lit(int(1_000_000 * min(1.0, FIT_ROWS / n1)))).otherwise(F.lit(int(1_000_000 * min(1.0, FIT_ROWS / n0))))
+    fit = sample.where(draw < share).mapInArrow(sequences, "seq binary, label int").toPandas()
     fit = fit.sort_values(["seq", "label"]).reset_index(drop=True)  # the order of rows would change the last digits
     seqs = [np.frombuffer(bytes(x), "<i4") for x in fit["seq"]]
-    labels_ = fit["label"].to_numpy()
     model.trans = np.array([[0.0, -3.0], [0.0, -1.0]])
-    model.fit(seqs, [tag[s] & bool(k) for s, k in zip(seqs, labels_)])
-    model.calibrate(model.signals(seqs)[0], labels_.astype(float))
+    model.fit(seqs, [tag[s] & bool(k) for s, k in zip(seqs, fit["label"])])
+
+    def signals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, _, found, _ in _tagged_slices(model, batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 1]), pa.array(found[:, 2]), batch.column(1).slice(a, b - a)], ["top", "sum", "label"])
+
+    seen = sample.mapInArrow(signals, "top double, sum double, label int").toPandas().sort_values(["label", "top", "sum"])
+    model.calibrate(np.column_stack((np.ones(len(seen)), seen["top"], seen["sum"])), seen["label"].to_numpy(float))
     forget(sample)
     return model
 
@@ -247,16 +267,9 @@ def tagged(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            a, size, seqs = 0, 0, []
-            for i, t in enumerate(texts):
-                seqs.append(model.ids(t))
-                size += len(seqs[-1])
-                if size >= SLICE_TOKENS or i == len(texts) - 1:
-                    signals, marginals = model.signals(seqs)
-                    found = [spans(x, p) for x, p in zip(texts[a : i + 1], marginals)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(seqs)), pa.array(model.score(signals)), pa.array(found, kind)], ["doc_id", "score", "spans"])
-                    a, size, seqs = i + 1, 0, []
+            for a, b, texts, signals, marginals in _tagged_slices(model, batch.column(1).to_pylist()):
+                found = [spans(x, p) for x, p in zip(texts, marginals)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(signals)), pa.array(found, kind)], ["doc_id", "score", "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
 
@@ -272,13 +285,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts))
-        a, size, seqs = 0, 0, []
-        for i, t in enumerate(texts):
-            seqs.append(model.ids(t))
-            size += len(seqs[-1])
-            if size >= SLICE_TOKENS or i == len(texts) - 1:
-                out[a : i + 1] = model.score(model.signals(seqs)[0])
-                a, size, seqs = i + 1, 0, []
+        for a, b, _, signals, _ in _tagged_slices(model, [t if isinstance(t, str) else None for t in texts]):
+            out[a:b] = model.score(signals)
         return pd.Series(out)
 
     return docs.where(score(F.col("text")) < 0.5)
