@@ -34,8 +34,8 @@ SAMPLE_ROWS = 12_000
 #: Of the sample, about so many sequences of each label fit the field, those with more tokens left out (never of the
 #: scoring): they are all that the driver holds. The calibration uses the whole sample.
 FIT_ROWS, FIT_TOKENS = 1_500, 1_000
-#: Words that can have a weight, and what makes one a toxic tag: documents, rate ratio, z-score.
-VOCABULARY, LEAST_DOCS, RATIO, Z = 4_000, 5, 8.0, 5.0
+#: Words that can have a weight, and what makes one a toxic tag: toxic documents and their share, rate ratio, z-score.
+VOCABULARY, LEAST_DOCS, LEAST_SHARE, RATIO, Z = 4_000, 5, 0.01, 8.0, 5.0
 STEPS, RATE, DECAY = 150, 0.25, 0.02
 #: Tokens that are tagged together; bounds the memory of a task.
 SLICE_TOKENS = 500_000
@@ -209,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate1, rate0, all_ = F.col("toxic") / n1, (F.col("clean") + 0.5) / (n0 + 1), (F.col("toxic") + F.col("clean")) / F.lit(float(n1 + n0))
     z = (rate1 - rate0) / F.sqrt(F.greatest(all_ * (1 - all_), F.lit(1e-9)) * F.lit(1 / n1 + 1 / n0))
     top = (
-        counts.where((F.col("toxic") >= LEAST_DOCS) & (rate1 > rate0))
+        counts.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * n1)) & (rate1 > rate0))
         .select("word", z.alias("z"), (rate1 / rate0).alias("ratio"))
         .where("z > 1")
         .orderBy(F.desc("z"), "word")
