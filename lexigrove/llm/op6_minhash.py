@@ -7,10 +7,11 @@ with each choice of ERRORS places left open, so every pair under that distance
 shares a key. Candidates are confirmed on the full shingle sets.
 
 Groups are not expanded into pairs. Equal shingle sets are one class. A bucket's
-members are first compared with its smallest member; what the confirmed links
-join is one component. Only buckets that still hold several components are
-searched pair by pair, in blocks, by the distance of the signatures, for pairs
-between components.
+members are first compared with its smallest member, its hub; what the
+confirmed links join is one component. Only hubs whose members are still in
+several components are searched pair by pair, in blocks, for pairs between
+components, by the distance of the signatures and then by sketches that hold
+the whole set of most documents; no more than the few likely pairs leave a block.
 
 Null and empty texts: an empty set, linked with nothing. Null ids: kept, linked
 with nothing, no component. Repeated rows are documents with equal sets. Other
@@ -34,8 +35,11 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 CHUNKS, CHUNK, ERRORS, BITS = 8, 5, 1, 16
 #: Pairs whose signatures differ in more places are not confirmed (at 0.75: fewer than 3 in 10,000).
 FARTHEST = 20
-#: Members of a bucket that are compared at once.
+#: Members of a hub that are compared at once.
 BLOCK = 512
+#: A sketch is the SKETCH smallest 32-bit shingle hashes: the whole set up to that size. A pair is confirmed on full sets
+#: unless its sketches put it this far below the threshold: EDGE, and SIGMAS standard deviations if a sketch is cut.
+SKETCH, EDGE, SIGMAS = 512, 0.01, 4.5
 #: Bytes of text that are hashed together.
 SLICE_BYTES = 4_000_000
 SEED = 20
@@ -231,19 +235,50 @@ def near_pairs(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def sketched(texts: DataFrame) -> DataFrame:
+    """(id, sketch) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, raw, ends in texts_of(batch.column(1)):
+                h, counts = shingle_sets(raw, ends)
+                low = (_mix(h + np.uint64(77)) >> np.uint64(32)).astype("<u4")
+                out = [np.sort(x)[:SKETCH].tobytes() for x in np.split(low, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], ["id", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, sketch binary")
+
+
+def likely(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sketches may reach the threshold with ``x``."""
+    top = np.iinfo(np.uint32).max
+    limit = x[-1] if len(x) == SKETCH else top
+    limits = np.minimum([y[-1] if len(y) == SKETCH else top for y in others], limit)
+    sizes = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    begin = np.cumsum(sizes) - sizes
+    seen = flat <= np.repeat(limits, sizes)
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    both = np.add.reduceat((x[at] == flat) & seen, begin, dtype=np.int64)
+    every = np.add.reduceat(seen, begin, dtype=np.int64) + np.searchsorted(x, limits, side="right") - both
+    at_least = NUMERATOR / DENOMINATOR
+    margin = EDGE + np.where(limits < top, SIGMAS * np.sqrt(at_least * (1 - at_least) / np.maximum(every, 1)), 0.0)
+    return both >= (at_least - margin) * every
+
+
 def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose signatures are near.
+    """Likely pairs (a, b) of different components under one hub.
 
-    ``members``: (key, id, component, sig) of the buckets that hold several
-    components. Blocks of a bucket meet pair by pair; only near pairs come out.
+    ``members``: (hub, id, component, sig, sketch) of the hubs that hold several
+    components. Blocks of a hub meet pair by pair.
     """
 
     def run(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, bi, bj = (part.column(c).to_numpy() for c in ("key", "bi", "bj"))
+        key, bi, bj = (part.column(c).to_numpy() for c in ("hub", "bi", "bj"))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
         ids, comp, own = (part.column(c).to_numpy() for c in ("id", "component", "own"))
-        sig = _sig_array(part.column("sig"))
+        sig, sketches = _sig_array(part.column("sig")), [np.frombuffer(x, "<u4") for x in part.column("sketch").to_pylist()]
         edges = np.append(np.flatnonzero(new), len(key))
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if e - s < 2:
@@ -252,19 +287,19 @@ def across(members: DataFrame) -> DataFrame:
             right = left if bi[s] == bj[s] else s + np.flatnonzero(own[s:e] == bj[s])
             out_a, out_b = [], []
             for x in left.tolist():
-                near = (sig[right] != sig[x]).sum(1) <= FARTHEST
-                near &= comp[right] != comp[x]
+                near = (comp[right] != comp[x]) & ((sig[right] != sig[x]).sum(1) <= FARTHEST)
                 if bi[s] == bj[s]:
                     near &= ids[right] > ids[x]
-                y = ids[right[near]]
+                y = right[near]
                 if len(y):
+                    y = ids[y[likely(sketches[x], [sketches[i] for i in y.tolist()])]]
                     out_a.append(np.minimum(y, ids[x]))
                     out_b.append(np.maximum(y, ids[x]))
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    dealt = blocks(members, ["key"], "id", BLOCK).select("key", "bi", "bj", "own", "id", "component", "sig")
-    return by_group(dealt, ["key", "bi", "bj"], run, "a long, b long").distinct()
+    dealt = blocks(members, ["hub"], "id", BLOCK).select("hub", "bi", "bj", "own", "id", "component", "sig", "sketch")
+    return by_group(dealt, ["hub", "bi", "bj"], run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,10 +322,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(confirmed(near_pairs(pairs, sigs), texts))
     comp = cut(components(links))
 
-    # buckets with more than one component
-    placed = shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(mixed, "key", "left_semi").join(sigs, "id")
+    # hubs whose members are in more than one component
+    placed = shared.select("hub", "id").distinct().join(comp, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
+    rest = cut(placed.join(mixed, "hub", "left_semi"))
+    sketches = sketched(texts.join(rest.select("id").distinct(), "id", "left_semi"))
+    rest = rest.join(sigs.join(sketches, "id"), "id")
     more = across(rest).join(pairs, ["a", "b"], "left_anti")
     found = cut(confirmed(more, texts))
     if found.limit(1).count():
