@@ -7,6 +7,7 @@ import re
 from .. import schema as S
 from ..functions.globs import to_regex
 from ..functions.text import LOWER, UPPER
+from ..operators.extract import IMPORTS, PATTERNS
 from ..operators.scan import Query
 from ..sources import model as M
 from .queries import EXCLUDE, FOCUS, IMPORT_REACH, INCLUDE, PHRASE, SYMBOL, WORDS
@@ -327,6 +328,34 @@ BODIES = {
 }
 
 
+_family = "CASE WHEN suffix(path, '.rs') THEN 'rust' WHEN suffix(path, '.py') THEN 'python' WHEN suffix(path, '.go') THEN 'go' WHEN suffix(path, '.ts') THEN 'script' END"
+_name = "replace(p_name, ' ', '_') || '_' || (p_partkey % 50)"
+
+
+def _code_line() -> str:
+    out = ""
+    for i, (_, shapes) in enumerate(M.CODE):
+        for j, shape in enumerate(shapes):
+            before, after = shape.format(n="\0").split("\0")
+            out += f" WHEN p_partkey % 4 = {i} AND p_size % 6 = {j} THEN {text(before)} || {_name} || {text(after)}"
+    return f"CASE{out} ELSE '' END"
+
+
+PARTS["x_code"] = f"SELECT 'src/' || replace(p_brand, '#', '') || {array([e for e, _ in M.CODE])}[CAST(p_partkey % 4 AS INT) + 1] AS path, p_partkey::INT AS line_number, {_code_line()} AS line FROM part"
+PARTS["x_extracted"] = f"""SELECT path, line_number, f, line, CASE {' '.join(f"WHEN f = {text(g)} AND regexp_matches(line, {text(p)}) THEN regexp_extract(line, {text(p)}, 1)" for g, p, _ in PATTERNS)} END AS name,
+    CASE {' '.join(f"WHEN f = {text(g)} AND regexp_matches(line, {text(p)}) THEN {text(k)}" for g, p, k in PATTERNS)} END AS kind FROM (SELECT *, {_family} AS f FROM x_code)"""
+BODIES |= {
+    "extract_symbols": f"""SELECT path, line_number, name, kind, CASE WHEN CASE f WHEN 'rust' THEN prefix(line, 'pub ') OR prefix(line, 'pub(') WHEN 'python' THEN NOT prefix(name, '_') WHEN 'script' THEN prefix(line, 'export ') AND NOT prefix(name, '_') ELSE true END THEN 'public' ELSE 'private' END AS visibility,
+        {shorten('line', S.SIGNATURE_WIDTH)} AS signature FROM x_extracted WHERE kind IS NOT NULL""",
+    "extract_imports": f"""SELECT path, line_number, module, CASE WHEN regexp_matches(line, '^(?:pub )?use ') AND NOT prefix(module, 'crate') THEN 'inferred' ELSE 'extracted' END AS confidence FROM (SELECT *, CASE {' '.join(f"WHEN f = {text(g)} AND regexp_matches(line, {text(p)}) THEN regexp_extract(line, {text(p)}, 1)" for g, p in IMPORTS)} END AS module
+        FROM (SELECT *, {_family} AS f FROM x_code)) WHERE module IS NOT NULL""",
+    "identifier_refs": """WITH d AS (SELECT path, line_number, name FROM x_extracted WHERE kind IS NOT NULL), k AS (SELECT name, min(path) AS target FROM d GROUP BY name HAVING count(*) = 1),
+        u AS (SELECT path, line_number, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS name FROM x_code) SELECT path, name, target, count(*) AS n FROM u JOIN k USING (name) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.path = u.path AND d.line_number = u.line_number) GROUP BY ALL""",
+    "semantic_wins": "SELECT c.task_id, c.task_type, c.miss AND NOT o.miss AS win, c.hit1 = 1 AND o.hit1 <> 1 AS regression FROM x_scored c JOIN x_scored o ON c.task_id = o.task_id AND c.mode = 'C' AND o.mode = 'B' WHERE (c.miss AND NOT o.miss) OR (c.hit1 = 1 AND o.hit1 <> 1)",
+    "task_counts": "SELECT repo_id, count(*) AS n FROM x_tasks GROUP BY 1",
+}
+
+
 def whole(body: str) -> str:
     """The query with the parts that it needs before it."""
     need: list[str] = []

@@ -12,6 +12,7 @@ from ..functions import globs, roles
 from ..functions import text as T
 from ..operators import edges as E
 from ..operators import evaluate as V
+from ..operators import extract as N
 from ..operators import graph as G
 from ..operators import lexical as L
 from ..operators import rank as R
@@ -340,3 +341,34 @@ def eval_validate(spark, d):
         F.when(F.col("doc_id") % 11 == 0, "/abs").when(F.col("doc_id") % 13 != 0, "src/a.rs").alias("path"), F.when(F.col("toxic") == 1, "bad").otherwise("primary").alias("label"),
     )
     return V.violations(tasks, labels)
+
+
+@query
+def extract_symbols(spark, d):
+    return N.symbols(M.code_lines(spark, d))
+
+
+@query
+def extract_imports(spark, d):
+    return N.imports(M.code_lines(spark, d))
+
+
+@query
+def identifier_refs(spark, d):
+    code = M.code_lines(spark, d)
+    return N.identifier_refs(code, N.symbols(code))
+
+
+@query
+def semantic_wins(spark, d):
+    """Tasks that one mode misses and another finds, and hit-at-one losses."""
+    s = _scored(spark, d)
+    c = s.where("mode = 'C'").select("task_id", "task_type", F.col("miss").alias("c_miss"), F.col("hit1").alias("c_hit1"))
+    o = s.where("mode = 'B'").select("task_id", F.col("miss").alias("o_miss"), F.col("hit1").alias("o_hit1"))
+    both = c.join(o, "task_id")
+    return both.select("task_id", "task_type", (F.col("c_miss") & ~F.col("o_miss")).alias("win"), ((F.col("c_hit1") == 1) & (F.col("o_hit1") != 1)).alias("regression")).where("win or regression")
+
+
+@query
+def task_counts(spark, d):
+    return M.tasks(spark, d).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))

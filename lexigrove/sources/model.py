@@ -144,3 +144,26 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.join(events, "event_id", "left").select(
         "task_id", "repo_id", "task_type", "query", F.col("m.mode").alias("mode"), F.floor(F.col("value") * 100).cast("long").alias("latency_ms"), F.coalesce(F.col("event_type") != "error", F.lit(False)).alias("json_parse_ok")
     )
+
+
+#: Lines of source code, by language, that parts are written as; {n} is the part's name and key.
+CODE = [
+    (".rs", ["pub fn {n}() {{", "struct {n} {{", "pub enum {n} {{", "    fn {n}() {{}}", "use crate::{n};", "impl Display for {n} {{"]),
+    (".py", ["class {n}:", "async def {n}():", "def _{n}():", "    def {n}(self):", "from pkg.{n} import x", "import {n}"]),
+    (".ts", ["export function {n}() {{", "class {n} {{", "export const {n} = (a) => a", "const {n} = 1", "import x from './{n}'", "require('./{n}')"]),
+    (".go", ["func (r *T) {n}() {{", "type {n} struct {{", "type {n} interface {{", "type {n} int", "var {n} = 1", 'import "pkg/{n}"']),
+]
+
+
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line_number, line): parts as lines of source code, a file for each brand and language."""
+    name = F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"), (F.col("p_partkey") % 50).cast("string"))
+    line, end = F.lit(""), F.lit("")
+    for i, (ending, shapes) in enumerate(CODE):
+        for j, shape in enumerate(shapes):
+            before, after = shape.format(n="\0").split("\0")
+            mine = (F.col("p_partkey") % 4 == i) & (F.col("p_size") % 6 == j)
+            line = F.when(mine, F.concat(F.lit(before), name, F.lit(after))).otherwise(line)
+        end = F.when(F.col("p_partkey") % 4 == i, F.lit(ending)).otherwise(end)
+    path = F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", ""), end)
+    return read(spark, sf_dir, "part").select(path.alias("path"), F.col("p_partkey").cast("int").alias("line_number"), line.alias("line"))
