@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .op1_pivots import op1_pivot_permutation
 from .op2_suffix import op2_longest_previous
 from .op3_anisotropic import op3_score_aware
@@ -16,4 +17,4 @@ from .op10_sharding import op10_hash_tree
 
 QUERIES = {f.__name__: f for f in (
     op1_pivot_permutation, op2_longest_previous, op3_score_aware, op4_crf, op5_poisson, op6_multi_index, op7_merge_rounds, op8_ownership, op9_disclosure, op10_hash_tree)}
-ORACLE_SQL = {"op5_poisson": MIX_SQL}
+ORACLE_SQL = {"op1_pivot_permutation": oracles.VECTORS, "op5_poisson": MIX_SQL, "op6_multi_index": oracles.DOCUMENTS, "op8_ownership": oracles.SECRETS}
