@@ -269,3 +269,17 @@ def test_held_out_rows(spark):
 
     got = spark.range(50).select(F.col("id").alias("doc_id"), op4_toxicity.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_calibration_rises_with_the_signals():
+    rng = np.random.default_rng(9)
+    for n, share in ((12_000, 0.1), (300, 0.5), (12_000, 0.001)):
+        y = (rng.random(n) < share).astype(float)
+        noise = rng.random(n) < 0.03
+        top = np.where((y == 1) ^ noise, 8.0, -8.0 + rng.random(n) * 3)
+        model = op4_toxicity.Field()
+        signals = np.column_stack((np.ones(n), top, np.where(top > 0, np.log1p(1 + rng.integers(0, 8, n)), 0.0)))
+        model.calibrate(signals, y)
+        assert (model.scale[1:] >= 0).all() and model.scale[1:].any()
+        score = model.score(signals)
+        assert score[top > 0].mean() > score[top < 0].mean() and abs(score.mean() - y.mean()) < 0.02
