@@ -13,8 +13,6 @@ Null texts pass through. Empty table: no rows. All columns of the input stay;
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +20,6 @@ from .common import table
 
 #: Rates up to this many sources are sent to all tasks; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
-#: The inversion stops at a count that a Poisson of the rate exceeds with a probability below 1e-12.
-TAIL = 1e-12
 #: Production parameter: the total stays as it is, and every source gets an equal part of it.
 EPOCHS = 1.0
 
@@ -34,46 +30,62 @@ def uniform(seed: str, *cols: Column) -> Column:
     return (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def most(rate: float) -> int:
-    """A count that is exceeded with a probability below TAIL."""
-    k, p, total = 0, math.exp(-rate), math.exp(-rate)
-    while 1 - total > TAIL and k < 10_000:
-        k += 1
-        p *= rate / k
-        total += p
-    return k
+def _outermost(rate: Column) -> tuple[Column, Column]:
+    """Counts that a Poisson of the rate falls below or exceeds with a probability below 1e-15 (Chernoff bound)."""
+    reach = F.lit(9.0) * F.sqrt(rate) + F.lit(20.0)
+    return F.greatest(F.floor(rate - reach), F.lit(0)).cast("int"), F.ceil(rate + reach).cast("int")
+
+
+def law(rate: Column) -> Column:
+    """(low, p, high): the outermost counts of a Poisson, and the probability of the lowest.
+
+    Up to a rate of about 118 the lowest is 0. From there on exp(-rate) nears the
+    smallest double, so terms are taken relative to the mode's and scaled to sum to 1.
+    """
+    low, high = _outermost(rate)
+    mode = F.floor(rate).cast("int")
+    # of the mode's term, the lowest one's share
+    share = F.aggregate(F.when(mode > low, F.sequence(low + 1, mode)).otherwise(F.array().cast("array<int>")), F.lit(1.0), lambda acc, i: acc * i / rate)
+    start = F.struct(share.alias("p"), share.alias("total"))
+
+    def step(acc: Column, i: Column) -> Column:
+        p = acc["p"] * rate / i
+        return F.struct(p.alias("p"), (acc["total"] + p).alias("total"))
+
+    total = F.aggregate(F.sequence(low + 1, high), start, step, lambda acc: acc["total"])
+    return F.struct(low.alias("low"), F.when(low > 0, share / total).otherwise(F.exp(-rate)).alias("p"), high.alias("high"))
 
 
-def poisson(u: Column, rate: Column, steps: int) -> Column:
-    """The least k with P(X <= k) >= u. The unit is added up term by term."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("total"), F.lit(0).alias("k"))
+def poisson(u: Column, rate: Column, law: Column) -> Column:
+    """The least k with P(X <= k) >= u. The unit is added up term by term, over as many terms as the rate needs."""
+    start = F.struct(law["p"].alias("p"), law["p"].alias("total"), law["low"].alias("k"))
 
     def step(acc: Column, i: Column) -> Column:
         p = acc["p"] * rate / i
         more = u > acc["total"]
         return F.struct(F.when(more, p).otherwise(acc["p"]).alias("p"), F.when(more, acc["total"] + p).otherwise(acc["total"]).alias("total"), F.when(more, i).otherwise(acc["k"]).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), start, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(law["low"] + 1, law["high"]), start, step, lambda acc: acc["k"])
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, default: float, epochs: float, source_col: str) -> DataFrame:
-    """(source, n, rate) of every source; the counts are over all documents."""
+    """(source, n, rate, law) of every source; the counts are over all documents."""
     counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source")).agg(F.count(F.lit(1)).alias("n"))
     weight = F.lit(float(default))
     for name, w in (weights or {}).items():
         weight = F.when(F.col("_source") == name, F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("w", weight)
     sums = counts.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    return counts.join(F.broadcast(sums)).select("_source", "n", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") * F.lit(float(epochs)) / F.col("n")).otherwise(F.lit(0.0)).alias("rate"))
+    out = counts.join(F.broadcast(sums)).select("_source", "n", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") * F.lit(float(epochs)) / F.col("n")).otherwise(F.lit(0.0)).alias("rate"))
+    return out.withColumn("law", law(F.col("rate")))
 
 
 def _mixed(docs: DataFrame, weights: dict[str, float] | None, default: float, epochs: float, seed: str, id_col: str, source_col: str) -> DataFrame:
     """(doc, copy_no, shuffle_key) in the global order; the row is one struct, so that no name of its columns can clash."""
     by_source = rates(docs, weights, default, epochs, source_col)
-    few, top = by_source.agg(F.count(F.lit(1)), F.max("rate")).first()
-    by_source = F.broadcast(by_source) if few <= BROADCAST_SOURCES else by_source
+    by_source = F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"))
-    drawn = rows.join(by_source.select("_source", "rate"), "_source").withColumn("_copies", poisson(uniform(seed, F.col("_id")), F.col("rate"), most(top or 0.0)))
+    drawn = rows.join(by_source.select("_source", "rate", "law"), "_source").withColumn("_copies", poisson(uniform(seed, F.col("_id")), F.col("rate"), F.col("law")))
     copies = drawn.where("_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("_id"), F.col("copy_no").cast("string")).cast("binary")))
     return keyed.select("doc", "copy_no", "shuffle_key").orderBy("shuffle_key")

@@ -130,3 +130,25 @@ def test_poisson_matches_inversion(spark):
     assert seen == want
     assert [r.shuffle_key for r in got] == sorted(r.shuffle_key for r in got)
     assert op5_mixing.mix(df, marks=False).columns == df.columns
+
+
+def test_large_rates_follow_the_poisson_law(spark):
+    import math
+
+    def quantile(u, lam):
+        total, k = 0.0, -1
+        while total < u:
+            k += 1
+            total += math.exp(k * math.log(lam) - lam - math.lgamma(k + 1))
+        return k
+
+    def u(i):
+        return (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    rates = [0.0, 0.3, 1.0, 30.0, 117.0, 119.0, 300.0, 745.0, 1000.0, 20000.0, 200000.0]
+    df = spark.createDataFrame([(i, r) for r in rates for i in range(12)], "doc_id long, rate double").withColumn("law", op5_mixing.law(F.col("rate")))
+    got = df.select("doc_id", "rate", op5_mixing.poisson(op5_mixing.uniform("mix", F.col("doc_id").cast("string")), F.col("rate"), F.col("law")).alias("k")).collect()
+    assert all(r.k == (quantile(u(r.doc_id), r.rate) if r.rate else 0) for r in got), [(r.rate, r.k) for r in got]
+    # a source of one row among many
+    rare = spark.range(40001).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") == 7, "rare").otherwise("big").alias("source"))
+    assert op5_mixing.mix(rare).where("doc_id = 7").count() == quantile(u(7), 40001 / 2)
