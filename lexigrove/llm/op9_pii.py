@@ -2,10 +2,11 @@
 
 Base detectors find emails, addresses, card and phone numbers. Each found value
 is a protected entity. Over the whole corpus, the pointwise mutual information
-of an entity and a term near it, as a share of the entity's own information, is
-the term's disclosure: 1 means that the term occurs only with the entity. Terms
-at or over the threshold with enough documents behind them are generalised
-together with the base spans (``term`` spans).
+of an entity and a term of the same text, as a share of the entity's own
+information, is the term's disclosure: 1 means that the term occurs only with
+the entity. Terms at or over the threshold with enough documents behind them are
+generalised wherever they stand, also in texts without the entity, together with
+the base spans (``term`` spans). A term is a whole word of 4 to 40 letters.
 
 Null or empty texts: no spans. Repeated rows count once for each (id, text).
 An entity in every document carries no information and discloses nothing. Empty
@@ -29,8 +30,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
 OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,40}(?![\p{L}\p{N}@_%+-])"
-#: Characters of context on either side of an entity, documents that a pair needs, and the share of the entity's information.
-CONTEXT, SUPPORT, DISCLOSURE = 48, 3, 0.9
+BEFORE, AFTER = TERM.split(r"\p{L}{4,40}")
+#: Documents that a pair needs, and the share of the entity's information.
+SUPPORT, DISCLOSURE = 3, 0.9
 #: Candidate terms up to this many are sent to all tasks; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -54,74 +56,84 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(S.tagged(x, KINDS[i], i) for i, x in enumerate((email, ip, card, phone)))))
 
 
-def _near(text: Column, s: Column, e: Column) -> Column:
-    """Terms around a span as (start, end, lower-cased term), whole ones only.
+def _words(text: Column) -> Column:
+    """The distinct terms of a text as they are written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
-    One more character is read on either side and a term that touches it is
-    left out, so a word that the window cuts is not taken for another.
-    """
-    left = F.greatest(s - CONTEXT, F.lit(0))
 
-    def whole(base: Column, part: Column) -> Column:
-        lower, size = F.lower(part), F.length(part)
-        kept = F.filter(
-            F.when(F.length(lower) == size, S.find(lower, TERM)).otherwise(S.none()),
-            lambda x: ((x["s"] > 0) | (base == 0)) & ((x["e"] < size) | (size < CONTEXT)),
-        )
-        return F.transform(kept, lambda x: F.struct((x["s"] + base).cast("int").alias("s"), (x["e"] + base).cast("int").alias("e"), x["m"].alias("m")))
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with sorted spans overwritten by digits, so that no term lies in one or touches it."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    return F.concat(whole(left, F.substring(text, left + 1, s - left)), whole(e, F.substring(text, e + 1, F.lit(CONTEXT))))
+    def step(acc: Column, x: Column) -> Column:
+        e = F.greatest(acc["at"], x["e"])
+        s = F.greatest(acc["at"], x["s"])
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s - acc["at"]), F.repeat(F.lit("0"), e - s)).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def row_key(id_col: str, text: Column) -> Column:
     return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), text).cast("binary"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame, text_col: str = "text") -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the pairs at or over the threshold.
 
-    ``near``: (_row, entity, term) of the corpus. Document frequencies of the
-    candidate terms are taken over all texts.
+    ``found``: (_row, entities, terms) of the texts with entities. Document
+    frequencies of the candidate terms are taken over all texts.
     """
     n = F.lit(float(max(docs.count(), 1)))
     own = F.log(n / F.col("n_entity"))
 
-    def share(n_term: Column) -> Column:
-        return F.log(n * F.col("n_both") / (F.col("n_entity") * n_term)) / own
-
-    near = near.select("_row", "entity", "term").distinct()
-    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    of_entity = near.select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # a term is in no fewer documents than it is near an entity in: pairs that fall short with that number can't reach the threshold
-    at_least = near.select("_row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    both = cut(both.join(of_entity, "entity").join(at_least, "term").where((own > 0) & (share(F.col("n_near")) >= DISCLOSURE)))
-    terms = cut(both.select("term").distinct())
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
+    def share(n_both: Column, n_term: Column) -> Column:
+        return F.log(n * n_both / (F.col("n_entity") * n_term)) / own
+
+    entities = found.select("_row", F.explode("entities").alias("entity"))
+    terms = found.select("_row", F.explode("terms").alias("term"))
+    # a pair is in no more documents than either of its sides
+    of_entity = _few(cut(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where((F.col("n_entity") >= SUPPORT) & (own > 0))))
+    # a term is in no fewer documents than it is beside an entity in: pairs that fall short with that number can't reach the threshold
+    at_least = _few(cut(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).where(F.col("n_near") >= SUPPORT)))
+    pairs = entities.join(of_entity, "entity").join(terms.join(at_least, "term"), "_row").where(share(F.least("n_entity", "n_near"), F.col("n_near")) >= DISCLOSURE)
+    both = pairs.groupBy("entity", "term", "n_entity", "n_near").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    both = cut(both.where(share(F.col("n_both"), F.col("n_near")) >= DISCLOSURE))
+    terms = _few(cut(both.select("term").distinct()))
+    words = docs.select(F.explode(F.array_distinct(F.transform(_words(F.col(text_col)), F.lower))).alias("term"))
     df = words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    disclosure = share(F.greatest("n_term", "n_near"))
+    disclosure = share(F.col("n_both"), F.greatest("n_term", "n_near"))
     return both.join(df, "term").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
+def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(_row, _more): every place of ``terms`` in the (_row, _text) that have some, as tagged spans."""
+    words = texts.select("_row", F.explode(_words(F.col("_text"))).alias("word"))
+    hits = cut(words.join(_few(terms), F.lower("word") == F.col("term")).groupBy("_row").agg(F.collect_set("word").alias("words")))
+    # words are letters only, so they stand in a pattern as they are
+    pattern = F.concat(F.lit(BEFORE + "(?:"), F.array_join("words", "|"), F.lit(")" + AFTER))
+    places = S.tagged(S.find(F.col("_text"), pattern, F.lit(True)), "term", KINDS.index("term"))
+    # always by shuffle, so that disk grows with the input and not by a change of plan
+    return texts.join(hits.hint("shuffle_hash"), "_row").select("_row", places.alias("_more")).dropDuplicates(["_row"])
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_row, id, base, all_spans) of every row: base spans, and disclosing terms beside them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(row_key(id_col, text).alias("_row"), text.alias("_text"))
     found = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text).alias("_row"), base_spans(text).alias("base"), text.alias("_text"))
-    found = cut(
-        found.withColumn("near", F.transform("base", lambda b: F.struct(F.sha2(F.concat(b["kind"], F.lit(":"), b["m"]), 256).alias("entity"), _near(F.col("_text"), b["s"], b["e"]).alias("terms")))).drop("_text")
-    )
-    near = found.select("_row", "base", F.explode("near").alias("x")).select("_row", "base", "x.entity", F.explode("x.terms").alias("t"))
-    near = near.where(~F.exists("base", lambda b: (F.col("t.s") < b["e"]) & (b["s"] < F.col("t.e")))).select("_row", "entity", F.col("t.m").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
-    flagged = cut(disclosing(docs, near, text_col))
-    spans = (
-        near.join(flagged, ["entity", "term"])
-        .select("_row", F.struct("s", F.lit(KINDS.index("term")).alias("k"), F.lit("term").alias("kind"), "e", F.col("term").alias("m")).alias("x"))
-        .groupBy("_row")
-        .agg(F.collect_set("x").alias("_more"))
-    )
+    beside = F.when(F.size("base") > 0, F.array_distinct(F.transform(_words(_masked(F.col("_text"), F.col("base"))), F.lower)))
+    found = cut(found.withColumn("terms", beside).drop("_text"))
+    entities = F.array_distinct(F.transform("base", lambda b: F.sha2(F.concat(b["kind"], F.lit(":"), b["m"]), 256)))
+    private = cut(found.where("size(base) > 0").select("_row", entities.alias("entities"), "terms").dropDuplicates(["_row"]))
+    flagged = cut(disclosing(docs, private, text_col).select("term").distinct())
+    spans = occurrences(texts, flagged)
     empty = F.filter("base", lambda x: F.lit(False))
-    return found.join(spans, "_row", "left").select("_row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("_more", empty))).alias("all_spans"))
+    apart = F.filter("_more", lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
+    return found.join(spans, "_row", "left").select("_row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce(apart, empty))).alias("all_spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -152,3 +152,11 @@ def test_large_rates_follow_the_poisson_law(spark):
     # a source of one row among many
     rare = spark.range(40001).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") == 7, "rare").otherwise("big").alias("source"))
     assert op5_mixing.mix(rare).where("doc_id = 7").count() == quantile(u(7), 40001 / 2)
+
+
+def test_disclosing_terms_stand_anywhere(spark):
+    far = " and so on" * 20
+    texts = [f"mail bob@mail.com{far} {i} signed Wilhelmina, and WILHELMINA" for i in range(60)] + ["ask Wilhelmina about it"] + [f"other text {i} and so on, mail" for i in range(1000)]
+    got = {r.doc_id: r.text for r in op9_pii.redacted(docs(spark, texts)).where("doc_id is not null").collect()}
+    assert got[3] == f"mail [EMAIL]{far} 3 [TERM] [TERM], and [TERM]"
+    assert got[60] == "ask [TERM] about it" and got[61] == texts[61]
