@@ -1,4 +1,4 @@
-"""Removal of repeated passages with longest-previous-factor arrays.
+"""Removal of repeated passages by suffix order, in place of longest-previous-factor arrays.
 
 A byte goes if some LENGTH-byte string over it also starts earlier: in a
 document with a smaller id, or earlier in the same one. Suffixes are compared
@@ -11,9 +11,9 @@ most 2 * LENGTH - GRAM bytes, and a document is some 35 bytes a segment.
    so only the first of each goes on (before the shuffle and after it), the
    others are removed. Segments whose anchor nothing else has are done.
 2. Of anchors with several different segments, the bytes are fetched once. Per
-   block of anchors the suffixes at the starts are put in order, and the
-   longest previous factor of each, found from the previous and next smaller
-   positions in that order, says whether the string was there before.
+   block of anchors the suffixes at the starts are put in order of their first
+   LENGTH bytes, and a start whose run of equal prefixes has an earlier place
+   was there before. Longer factors decide nothing, so none are computed.
    Groups with more than GROUP segments are dealt into blocks and the firsts of
    the blocks are compared by hash.
 3. Removed ranges are united per document and cut from its bytes.
