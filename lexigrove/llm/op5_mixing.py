@@ -24,10 +24,15 @@ BROADCAST_SOURCES = 100_000
 EPOCHS = 1.0
 
 
-def uniform(seed: str, *cols: Column) -> Column:
-    """A double in (0, 1) from 52 bits of an MD5 over (seed, cols), which any engine can repeat."""
-    hashed = F.md5(F.concat_ws(":", F.lit(seed), *[c.cast("string") for c in cols]).cast("binary"))
-    return (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+def hashed(seed: str | Column, *cols: Column) -> Column:
+    """52 bits of an MD5 over (seed, cols) as a long, which any engine can repeat."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed) if isinstance(seed, str) else seed, *[c.cast("string") for c in cols]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+
+
+def uniform(seed: str | Column, *cols: Column) -> Column:
+    """A double in (0, 1) from such a hash."""
+    return (hashed(seed, *cols).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def _outermost(rate: Column) -> tuple[Column, Column]:

@@ -1,15 +1,19 @@
 """Secret scan with corpus-wide ownership frequency, in built-in functions only.
 
-Base detectors find assignments, access keys and long hex strings. Every found
-value is hashed and counted over the corpus by distinct repositories and
-owners: a value that many owners share is a copied example, one that a single
-owner holds looks live. Values learnt from assignments and access keys are then
-looked for wherever they stand alone, and those bare uses are added as ``reuse``
-spans, with no assignment needed beside them.
-
-Null or empty texts: no spans. Null owner or repository: counted as one unnamed
-owner. Repeated rows count once for each distinct repository and owner. Empty
-table: no rows. Other columns of the input are not looked at.
+Base detectors find assignments, access keys and long hex strings. The values
+of assignments and access keys are learnt, and every run of the value alphabet
+that equals one is a use of it, with no assignment needed beside it. All uses
+are counted over the corpus by distinct repositories and distinct owners: a
+value that many of either hold is a widely copied example (or an ordinary
+word), one that few hold looks live. Bare uses of live values are added as
+``reuse`` spans.
+
+Null or empty texts: no spans, one row. Null ids: a repository of their own,
+each row keeping its own spans. Null owner or repository: counted as one unnamed
+owner. Repeated rows count once for each distinct repository and owner and get
+a row each. Ties: spans at one start are in the order of KINDS. Very long texts
+are scanned whole; positions are folded in blocks. Empty table: no rows. Other
+columns of the input are not looked at, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,18 +29,21 @@ ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20
 #: A maximal run shorter than asked fails from each of its starts, so the length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: What a bare use of a learnt value can look like: a whole run of the value alphabet with a digit in it.
-RUN = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])[A-Za-z0-9+/_.=-]{16,}+"
+#: What a bare use can look like: a whole run of the value alphabet; a full stop or hyphen at its end belongs to the sentence.
+LEAST = 8
+RUN = rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}"
+TAIL = r"[.-]+$"
+BEFORE, AFTER = r"(?<![A-Za-z0-9+/_.=-])(?:", r")(?=[.-]*(?![A-Za-z0-9+/_.=-]))"
 KINDS = ("assign", "access", "hex", "reuse")
-#: A value held by so many owners is a copied example.
-EXAMPLE_OWNERS = 3
+#: A value held by so many owners, or in so many repositories, is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 20
 #: Learnt values up to this many are sent to all tasks; more are joined by a shuffle.
 BROADCAST_VALUES = 100_000
 
 
 def value_of(kind: Column, match: Column) -> Column:
     """The credential inside a match."""
-    return F.when(kind == "assign", F.regexp_replace(match, ASSIGN_VALUE, "")).otherwise(match)
+    return F.regexp_replace(F.when(kind == "assign", F.regexp_replace(match, ASSIGN_VALUE, "")).otherwise(match), TAIL, "")
 
 
 def base_spans(text: Column) -> Column:
@@ -47,35 +54,27 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(S.tagged(x, KINDS[i], i) for i, x in enumerate((assign, access, long_hex)))))
 
 
-def _key(value: Column) -> Column:
+def runs(text: Column) -> Column:
+    """The distinct candidate runs of a text."""
+    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: F.regexp_replace(r, TAIL, ""))), lambda r: F.length(r) >= LEAST)
+
+
+def hashed(value: Column) -> Column:
     return F.sha2(value, 256)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """Per row: ``base`` (tagged, sorted) and ``_runs``, the credential-like runs outside of base spans."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.md5(F.concat_ws(":", F.col(id_col).cast("string"), text).cast("binary")).alias("_row"),
-        F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("_repo"),
-        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"),
-        base_spans(text).alias("base"),
-        S.find(text, RUN).alias("_runs"),
-    ).withColumn("_runs", F.filter("_runs", lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"]))))
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_VALUES else df
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(value, repos, owners, learnt) for every value that a base detector found, over the whole corpus.
+def ownership(uses: DataFrame) -> DataFrame:
+    """(value, repos, owners) of (value, repo, owner) rows, over the whole corpus.
 
     Distinct (value, repository) and (value, owner) rows are made before and
     after the shuffle, so a value in a third of all rows is no hot key.
-    ``learnt``: it stood in an assignment or was an access key.
     """
-    uses = found.select("_repo", "_owner", F.explode("base").alias("x")).select(
-        F.sha2(value_of(F.col("x.kind"), F.col("x.m")), 256).alias("value"), (F.col("x.kind") != "hex").alias("learnt"), "_repo", "_owner"
-    )
-    repos = uses.groupBy("value", "_repo").agg(F.max("learnt").alias("learnt")).groupBy("value").agg(F.count(F.lit(1)).alias("repos"), F.max("learnt").alias("learnt"))
-    owners = uses.select("value", "_owner").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
+    repos = uses.select("value", "repo").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("repos"))
+    owners = uses.select("value", "owner").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
     return repos.join(owners, "value")
 
 
@@ -83,30 +82,33 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     """One row a document: ``base`` and ``all_spans`` (tagged, sorted), ``n_live`` and ``n_example``.
 
     ``n_live`` counts base spans whose value fewer than EXAMPLE_OWNERS owners
-    hold, ``n_example`` the others. ``reuse`` spans are bare uses of learnt
-    values; they are in ``all_spans`` besides all base spans.
+    and EXAMPLE_REPOS repositories hold, ``n_example`` the others. ``reuse``
+    spans are bare uses of live learnt values; they are in ``all_spans`` besides
+    all base spans.
     """
-    found = cut(scan(docs, id_col, text_col, repo_col, owner_col))
-    known = cut(ownership(found))
-    known = F.broadcast(known) if known.count() <= BROADCAST_VALUES else known
-    base = found.select("_row", F.explode("base").alias("x")).select("_row", F.lit(True).alias("in_base"), F.sha2(value_of(F.col("x.kind"), F.col("x.m")), 256).alias("value"), "x")
-    bare = found.select("_row", F.explode(S.tagged(F.col("_runs"), "reuse", KINDS.index("reuse"))).alias("x")).select("_row", F.lit(False).alias("in_base"), F.sha2(F.col("x.m"), 256).alias("value"), "x")
-    per_row = (
-        base.unionByName(bare)
-        .distinct()
-        .join(known, "value")
-        .where("in_base or learnt")
-        .groupBy("_row")
-        .agg(
-            F.count(F.when(F.col("in_base") & (F.col("owners") < EXAMPLE_OWNERS), 1)).alias("n_live"),
-            F.count(F.when(F.col("in_base") & (F.col("owners") >= EXAMPLE_OWNERS), 1)).alias("n_example"),
-            F.collect_list(F.when(~F.col("in_base"), F.col("x"))).alias("_more"),
-        )
-    )
-    return found.join(per_row, "_row", "left").select(
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    who = [F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner")]
+    key = S.row_key(F.col(id_col), text).alias("_row")
+    found = cut(docs.select(F.col(id_col).alias("doc_id"), key, *who, base_spans(text).alias("base")))
+    base = found.select("_row", "repo", "owner", F.explode("base").alias("x")).withColumn("m", value_of(F.col("x.kind"), F.col("x.m")))
+    base = base.select("_row", "repo", "owner", hashed(F.col("m")).alias("value"), ((F.col("x.kind") != "hex") & (F.length("m") >= LEAST)).alias("learnt"), F.col("x.s").alias("s"), F.col("x.k").alias("k"))
+    learnt = _few(cut(base.where("learnt").select("value").distinct()))
+    bare = docs.select(key, *who, F.explode(runs(text)).alias("run")).withColumn("value", hashed(F.col("run")))
+    bare = cut(bare.join(learnt, "value").select("_row", "repo", "owner", "value", "run"))
+    counted = cut(ownership(base.select("value", "repo", "owner").unionByName(bare.select("value", "repo", "owner"))))
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)
+    known = _few(counted.select("value", example.alias("example")))
+    placed = base.select("_row", "s", "k", "value").distinct()  # repeated rows have one key
+    verdicts = placed.join(known, "value").groupBy("_row").agg(F.count(F.when(~F.col("example"), 1)).alias("n_live"), F.count(F.when(F.col("example"), 1)).alias("n_example"))
+    hits = bare.join(known.where("not example"), "value").groupBy("_row").agg(F.collect_set("run").alias("runs"))
+    # no value holds a backslash, so each can be quoted
+    pattern = F.concat(F.lit(BEFORE), F.array_join(F.transform(F.array_sort("runs"), lambda r: F.concat(F.lit(r"\Q"), r, F.lit(r"\E"))), "|"), F.lit(AFTER))
+    texts = docs.select(key, text.alias("_text")).join(hits, "_row").select("_row", S.tagged(S.find(F.col("_text"), pattern, F.lit(True)), "reuse", KINDS.index("reuse")).alias("_more")).dropDuplicates(["_row"])
+    nothing = F.filter("base", lambda x: F.lit(False))
+    return found.join(verdicts, "_row", "left").join(texts, "_row", "left").select(
         "doc_id",
         "base",
-        F.array_sort(F.concat("base", F.coalesce("_more", F.filter("base", lambda x: F.lit(False))))).alias("all_spans"),
+        F.array_sort(F.concat("base", F.coalesce(S.apart(F.col("_more"), F.col("base")), nothing))).alias("all_spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_example", F.lit(0)).alias("n_example"),
     )

@@ -8,9 +8,12 @@ the entity. Terms at or over the threshold with enough documents behind them are
 generalised wherever they stand, also in texts without the entity, together with
 the base spans (``term`` spans). A term is a whole word of 4 to 40 letters.
 
-Null or empty texts: no spans. Repeated rows count once for each (id, text).
-An entity in every document carries no information and discloses nothing. Empty
-table: no rows. Other columns of the input are not looked at.
+Null or empty texts: no spans, one row. Null ids: each row keeps its own spans.
+Repeated rows count once for each (id, text) and get a row each. Ties: spans at
+one start are in the order of KINDS. Very long texts are scanned whole;
+positions are folded in blocks. An entity in every document carries no
+information and discloses nothing. Empty table: no rows. Other columns of the
+input are not looked at, and ``redacted`` keeps them, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -61,22 +64,6 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def _masked(text: Column, spans: Column) -> Column:
-    """The text with sorted spans overwritten by digits, so that no term lies in one or touches it."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        e = F.greatest(acc["at"], x["e"])
-        s = F.greatest(acc["at"], x["s"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s - acc["at"]), F.repeat(F.lit("0"), e - s)).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-
-
-def row_key(id_col: str, text: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), text).cast("binary"))
-
-
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
@@ -102,9 +89,12 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     pairs = entities.join(of_entity, "entity").join(terms.join(at_least, "term"), "_row").where(share(F.least("n_entity", "n_near"), F.col("n_near")) >= DISCLOSURE)
     both = pairs.groupBy("entity", "term", "n_entity", "n_near").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT)
     both = cut(both.where(share(F.col("n_both"), F.col("n_near")) >= DISCLOSURE))
-    terms = _few(cut(both.select("term").distinct()))
+    terms = cut(both.select("term").distinct())
     words = docs.select(F.explode(F.array_distinct(F.transform(_words(F.col(text_col)), F.lower))).alias("term"))
-    df = words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    count = F.count(F.lit(1)).alias("n_term")
+    # terms that fit into every task meet the words where they are; otherwise words are counted before anything is shuffled
+    few = terms.count() <= BROADCAST_TERMS
+    df = words.join(F.broadcast(terms), "term").groupBy("term").agg(count) if few else words.groupBy("term").agg(count).join(terms, "term")
     disclosure = share(F.col("n_both"), F.greatest("n_term", "n_near"))
     return both.join(df, "term").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
@@ -117,38 +107,27 @@ def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     pattern = F.concat(F.lit(BEFORE + "(?:"), F.array_join("words", "|"), F.lit(")" + AFTER))
     places = S.tagged(S.find(F.col("_text"), pattern, F.lit(True)), "term", KINDS.index("term"))
     # always by shuffle, so that disk grows with the input and not by a change of plan
-    return texts.join(hits.hint("shuffle_hash"), "_row").select("_row", places.alias("_more")).dropDuplicates(["_row"])
+    return texts.join(hits.hint("merge"), "_row").select("_row", places.alias("_more")).dropDuplicates(["_row"])
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_row, id, base, all_spans) of every row: base spans, and disclosing terms beside them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(row_key(id_col, text).alias("_row"), text.alias("_text"))
-    found = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text).alias("_row"), base_spans(text).alias("base"), text.alias("_text"))
-    beside = F.when(F.size("base") > 0, F.array_distinct(F.transform(_words(_masked(F.col("_text"), F.col("base"))), F.lower)))
+    texts = docs.select(S.row_key(F.col(id_col), text).alias("_row"), text.alias("_text"))
+    found = docs.select(F.col(id_col).alias("doc_id"), S.row_key(F.col(id_col), text).alias("_row"), base_spans(text).alias("base"), text.alias("_text"))
+    beside = F.when(F.size("base") > 0, F.array_distinct(F.transform(_words(S.replaced(F.col("_text"), F.col("base"), lambda x: F.lit("0"))), F.lower)))
     found = cut(found.withColumn("terms", beside).drop("_text"))
     entities = F.array_distinct(F.transform("base", lambda b: F.sha2(F.concat(b["kind"], F.lit(":"), b["m"]), 256)))
     private = cut(found.where("size(base) > 0").select("_row", entities.alias("entities"), "terms").dropDuplicates(["_row"]))
     flagged = cut(disclosing(docs, private, text_col).select("term").distinct())
     spans = occurrences(texts, flagged)
     empty = F.filter("base", lambda x: F.lit(False))
-    apart = F.filter("_more", lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
-    return found.join(spans, "_row", "left").select("_row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce(apart, empty))).alias("all_spans"))
+    return found.join(spans, "_row", "left").select("_row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce(S.apart(F.col("_more"), F.col("base")), empty))).alias("all_spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping sorted spans replaced by the tag of its first."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        tag = F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        fresh = x["s"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), tag)).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    return S.replaced(text, spans, lambda x: F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +138,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = sanitise(docs.select(id_col, text_col), id_col, text_col).where("size(all_spans) > 0").select("_row", "all_spans").dropDuplicates(["_row"])
     # the row is carried as one struct, so that no name of its columns can clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_col, text).alias("_row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), S.row_key(F.col(id_col), text).alias("_row"))
     own = F.col("doc")[text_col]
     fresh = F.when(F.col("all_spans").isNull(), own).otherwise(redact(own, F.col("all_spans")))
     return rows.join(spans, "_row", "left").select(F.col("doc").withField(f"`{text_col}`", fresh).alias("doc")).select("doc.*")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import op8_secrets as P8
+from . import op9_pii as P9
+from . import op10_sharding as P10
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,17 +35,81 @@ def _spans(kind: str, order: int, pattern: str, of: str = "t", keep: str = "TRUE
 
 
 _VALUE = P8.ASSIGN_VALUE.replace("'", "''")
-_RUN = "[A-Za-z0-9+/_.=-]{16,}"
+_CUT = f"regexp_replace(x.m, '{P8.TAIL}', '')"
 SECRETS = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
-b AS (SELECT r, doc_id, source, list_sort(list_concat({_spans('assign', 0, P8.ASSIGN, keep=f"length(regexp_replace(x.m, '{_VALUE}', '')) >= 8")}, {_spans('access', 1, P8.ACCESS)}, {_spans('hex', 2, P8.HEX)})) AS base, {_spans('reuse', 3, _RUN, keep="regexp_matches(x.m, '[0-9]')")} AS runs FROM d),
-u AS (SELECT r, doc_id, coalesce(source, '') AS owner, unnest(base) AS x FROM b),
-v AS (SELECT *, CASE WHEN x.kind = 'assign' THEN regexp_replace(x.m, '{_VALUE}', '') ELSE x.m END AS value FROM u),
-o AS (SELECT value, count(DISTINCT owner) AS owners, bool_or(x.kind <> 'hex') AS learnt FROM v GROUP BY value),
-n AS (SELECT r, count(*) FILTER (WHERE owners < {P8.EXAMPLE_OWNERS}) AS n_live, count(*) FILTER (WHERE owners >= {P8.EXAMPLE_OWNERS}) AS n_example FROM v JOIN o USING (value) GROUP BY r),
-q AS (SELECT r, base, unnest(runs) AS x FROM b),
-e AS (SELECT r, list(x) AS more FROM q JOIN o ON o.value = x.m WHERE learnt AND len(list_filter(base, lambda y: x.s < y.s + length(y.m) AND y.s < x.s + length(x.m))) = 0 GROUP BY r),
+b AS (SELECT r, doc_id, source, list_sort(list_concat({_spans('assign', 0, P8.ASSIGN, keep=f"length(regexp_replace(x.m, '{_VALUE}', '')) >= 8")}, {_spans('access', 1, P8.ACCESS)}, {_spans('hex', 2, P8.HEX)})) AS base, {_spans('reuse', 3, P8.RUN)} AS runs FROM d),
+u AS (SELECT r, coalesce(doc_id::VARCHAR, '') AS repo, coalesce(source, '') AS owner, unnest(base) AS x FROM b),
+v AS (SELECT *, regexp_replace(CASE WHEN x.kind = 'assign' THEN regexp_replace(x.m, '{_VALUE}', '') ELSE x.m END, '{P8.TAIL}', '') AS value FROM u),
+k AS (SELECT DISTINCT value FROM v WHERE x.kind <> 'hex' AND length(value) >= {P8.LEAST}),
+q AS (SELECT r, coalesce(doc_id::VARCHAR, '') AS repo, coalesce(source, '') AS owner, base, unnest(list_transform(runs, lambda x: {{'s': x.s, 'k': x.k, 'kind': x.kind, 'm': {_CUT}}})) AS x FROM b),
+h AS (SELECT r, repo, owner, base, x, value FROM q JOIN k ON k.value = x.m),
+o AS (SELECT value, count(DISTINCT owner) >= {P8.EXAMPLE_OWNERS} OR count(DISTINCT repo) >= {P8.EXAMPLE_REPOS} AS example FROM (SELECT value, repo, owner FROM v UNION ALL SELECT value, repo, owner FROM h) GROUP BY value),
+n AS (SELECT r, count(*) FILTER (WHERE NOT example) AS n_live, count(*) FILTER (WHERE example) AS n_example FROM v JOIN o USING (value) GROUP BY r),
+e AS (SELECT r, list(x) AS more FROM h JOIN o USING (value) WHERE NOT example AND len(list_filter(base, lambda y: x.s < y.s + length(y.m) AND y.s < x.s + length(x.m))) = 0 GROUP BY r),
 f AS (SELECT r, doc_id, base, list_sort(list_concat(base, coalesce(more, []))) AS every, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM b LEFT JOIN n USING (r) LEFT JOIN e USING (r))
 SELECT doc_id, len(list_filter(base, lambda x: x.kind = 'assign'))::BIGINT AS n_assign, len(list_filter(base, lambda x: x.kind = 'access'))::BIGINT AS n_access, len(list_filter(base, lambda x: x.kind = 'hex'))::BIGINT AS n_hex,
     sha256(array_to_string(list_transform(base, lambda x: x.kind || ':' || x.s || ':' || (x.s + length(x.m))), ',')) AS base_sha256, array_to_string(list_transform(every, lambda x: x.kind || ':' || x.s || ':' || (x.s + length(x.m))), ',') AS spans, n_live, n_example FROM f
 """
+
+
+_DIGITS = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({_DIGITS})[i]::INT ELSE CASE WHEN 2 * reverse({_DIGITS})[i]::INT > 9 THEN 2 * reverse({_DIGITS})[i]::INT - 9 ELSE 2 * reverse({_DIGITS})[i]::INT END END)) % 10 = 0"""
+_JOINED = "array_to_string(list_transform({0}, lambda x: x.kind || ':' || x.s || ':' || (x.s + length(x.m))), ',')"
+PRIVATE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT r, doc_id, t, list_sort(list_concat({_spans('email', 0, r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')},
+    {_spans('ip', 1, r'[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', keep="list_bool_and(list_transform(string_split(x.m, '.'), lambda p: p::HUGEINT <= 255))")},
+    {_spans('card', 2, r'[0-9]([\x20-]?[0-9])+', keep=f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}")},
+    {_spans('phone', 3, r'\+[0-9][\x20().0-9-]+[0-9]', keep=f"length({_DIGITS}) BETWEEN 10 AND 15")})) AS base FROM d),
+-- runs of letters and what stands between them; words of 4 to 40 letters with nothing beside them that makes them part of something longer
+z AS (SELECT r, unnest(string_split_regex(t, '\\p{{L}}+')) AS gap, unnest(regexp_extract_all(t, '\\p{{L}}+')) AS m, generate_subscripts(string_split_regex(t, '\\p{{L}}+'), 1) AS i FROM d),
+y AS (SELECT r, m, gap, lead(gap) OVER (PARTITION BY r ORDER BY i) AS after, (sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY r ORDER BY i))::BIGINT - length(m) AS s FROM z),
+l AS (SELECT r, {{'s': s, 'k': 4, 'kind': 'term', 'm': m}} AS x FROM y WHERE length(m) BETWEEN 4 AND 40 AND NOT regexp_matches(right(gap, 1), '[\\p{{L}}\\p{{N}}@._%+-]') AND NOT regexp_matches(left(after, 1), '[\\p{{L}}\\p{{N}}@_%+-]')),
+c AS (SELECT count(*)::DOUBLE AS n FROM d), g AS (SELECT min(r) AS r FROM d GROUP BY doc_id, t),
+w AS (SELECT DISTINCT r, lower(x.m) AS term FROM l),
+p AS (SELECT r, base FROM b SEMI JOIN g USING (r) WHERE len(base) > 0), e AS (SELECT DISTINCT r, unnest(list_transform(base, lambda x: x.kind || ':' || x.m)) AS entity FROM p),
+o AS (SELECT DISTINCT r, lower(x.m) AS term FROM l JOIN p USING (r) WHERE len(list_filter(base, lambda y: x.s <= y.s + length(y.m) AND y.s <= x.s + length(x.m))) = 0),
+ne AS (SELECT entity, count(*) AS n_entity FROM e GROUP BY entity), nt AS (SELECT term, count(*) AS n_term FROM w GROUP BY term),
+q AS (SELECT entity, term, count(*) AS n_both FROM e JOIN o USING (r) GROUP BY entity, term HAVING count(*) >= {P9.SUPPORT}),
+f AS (SELECT DISTINCT term FROM q JOIN ne USING (entity) JOIN nt USING (term), c WHERE n_entity < n AND ln(n * n_both / (n_entity * n_term)) / ln(n / n_entity) >= {P9.DISCLOSURE}::DOUBLE),
+h AS (SELECT r, list(x) AS more FROM l JOIN b USING (r) WHERE lower(x.m) IN (SELECT term FROM f) AND len(list_filter(base, lambda y: x.s < y.s + length(y.m) AND y.s < x.s + length(x.m))) = 0 GROUP BY r)
+SELECT doc_id, {', '.join(f"len(list_filter(base, lambda x: x.kind = '{k}'))::BIGINT AS n_{k}" for k in P9.KINDS[:4])}, sha256({_JOINED.format('base')}) AS base_sha256, {_JOINED.format('list_sort(list_concat(base, coalesce(more, [])))')} AS spans FROM b LEFT JOIN h USING (r)
+"""
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def _hash52(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
+
+
+def _least(children: dict, at: str) -> str:
+    """The place of the child with the least draw."""
+    draws = ", ".join(f"{{'d': -ln(({_hash52(f"'{P10.SEED}{at}/{name}' || coalesce(':' || doc_id, '')")} + 0.5) / 4503599627370496.0::DOUBLE) / {P10._weight(child)}::DOUBLE, 'i': {i}}}" for i, (name, child) in enumerate(children.items()))
+    return f"list_min([{draws}]).i"
+
+
+def _descent(tree: P10.Tree) -> str:
+    """The shard at the end of the descent, written out as nested cases."""
+    regions = []
+    for i, (region, racks) in enumerate(tree.items()):
+        inner = " ".join(f"WHEN {j} THEN {list(leaves)}[1 + {_least(leaves, f'/{region}/{rack}')}]" for j, (rack, leaves) in enumerate(racks.items()))
+        regions.append(f"WHEN {i} THEN CASE {_least(racks, f'/{region}')} {inner} END")
+    return f"CASE {_least(tree, '')} {' '.join(regions)} END"
+
+
+SHARDS = f"""
+WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, {_descent(P10.layout(16))}::INT AS shard, {_descent(P10.layout(17))}::INT AS grown_shard FROM documents),
+c AS (SELECT doc_id, (length(h) // 2 + 1)::BIGINT AS size, shard, grown_shard,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda y: ('0x' || y)::BIGINT)), lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM x),
+r AS (SELECT *, {_hash52(f"'{P10.SLOT}:' || coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32")} % greatest(1, least({P10.MOST}, -(-(SELECT count(*) FROM documents) // {P10.BASE * P10.RANGE_ROWS}))) AS range FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY range, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM r
+"""

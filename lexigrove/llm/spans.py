@@ -2,33 +2,53 @@
 
 ``split`` gives what lies between the matches and ``regexp_extract_all`` the
 matches; running sums of their lengths are the positions, in code points.
+Running values are folded in blocks and over blocks, so that a text with very
+many matches is not copied once a match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<s:int,e:int,m:string>>"
+#: Elements that are folded together.
+BLOCK = 256
 
 
 def none() -> Column:
     return F.array().cast(SPANS)
 
 
+def blocks(items: Column, size: int = BLOCK) -> Column:
+    """An array in slices of ``size``; none of an empty array."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / F.lit(size)).cast("int"))
+    return F.transform(F.when(F.size(items) > 0, starts).otherwise(F.array().cast("array<int>")), lambda b: F.slice(items, b * size + 1, F.lit(size)))
+
+
+def before(values: Column, combine: Callable[[Column, Column], Column], size: int = BLOCK) -> Column:
+    """For each value the combination (from 0) of those before it."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(combine(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    inner = F.transform(blocks(values, size), lambda part: F.aggregate(part, start, step))
+    offsets = F.aggregate(F.transform(inner, lambda x: x["at"]), start, step, lambda acc: acc["out"])
+    return F.flatten(F.transform(F.arrays_zip(inner.alias("i"), offsets.alias("o")), lambda z: F.transform(z["i"]["out"], lambda y: combine(y, z["o"]).cast("int"))))
+
+
 def find(text: Column, pattern: Column | str, quick: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as (start, end, match); ``quick`` rules rows out cheaply."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     pieces, found = F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), none().alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["p"])
-        e = (s + F.length(x["m"])).cast("int")
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.cast("int").alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
-
     pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("p"), found.alias("m"))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    places = F.transform(pairs, lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("n"), x["m"].alias("m")))
+    starts = before(F.transform(places, lambda x: x["gap"] + x["n"]), lambda a, b: a + b)
+    spans = F.transform(F.arrays_zip(places.alias("x"), starts.alias("at")), lambda z: F.struct(
+        (z["at"] + z["x"]["gap"]).cast("int").alias("s"), (z["at"] + z["x"]["gap"] + z["x"]["n"]).cast("int").alias("e"), z["x"]["m"].alias("m")))
     return F.when(text.rlike(pattern) if quick is None else quick, spans).otherwise(none())
 
 
@@ -40,3 +60,30 @@ def tagged(spans: Column, kind: str, order: int) -> Column:
 def digest(spans: Column) -> Column:
     """``kind:start:end`` of sorted tagged spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat(x["kind"], F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",")
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others."""
+    return F.filter(spans, lambda x: ~F.exists(others, lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
+
+
+def replaced(text: Column, spans: Column, fill: Callable[[Column], Column]) -> Column:
+    """The text with each run of overlapping sorted spans replaced by ``fill`` of its first."""
+    reach = before(F.transform(spans, lambda x: x["e"]), F.greatest)
+    firsts = F.filter(F.transform(F.arrays_zip(spans.alias("x"), reach.alias("at")), lambda z: F.struct(z["at"].alias("at"), z["x"]["s"].alias("s"), fill(z["x"]).alias("fill"))), lambda z: z["s"] >= z["at"])
+
+    def part(runs: Column) -> Column:
+        # what the block covers is cut out once, since a place in a text is counted from its beginning
+        base = runs[0]["at"]
+        own = F.substring(text, base + 1, F.element_at(runs, -1)["s"] - base)
+        return F.array_join(F.transform(runs, lambda r: F.concat(F.substring(own, r["at"] - base + 1, r["s"] - r["at"]), r["fill"])), "")
+
+    rest = F.substring(text, F.array_max(F.transform(spans, lambda x: x["e"])) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(blocks(firsts), part), ""), rest)).otherwise(text)
+
+
+def row_key(id_col: Column, text: Column) -> Column:
+    """A 128-bit name of (id, text); a null id is unlike every other, and no id and text can pass for another pair."""
+    key = id_col.cast("string")
+    own = F.coalesce(F.concat(F.length(key).cast("string"), F.lit(":"), key), F.lit("-"))
+    return F.md5(F.concat(own, F.lit(":"), text).cast("binary"))

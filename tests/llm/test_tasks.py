@@ -50,15 +50,51 @@ def test_repeated_passages(spark, monkeypatch, group):
         assert (r.n_bytes, bytes(r.kept), len(r.spans)) == want[r.doc_id], r.doc_id
 
 
-def test_suffix_order_is_the_sorted_order():
+def shared_bytes(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_suffix_order_and_factors_agree_with_brute_force():
     rng = np.random.default_rng(1)
-    data = rng.integers(97, 99, 3000).astype(np.uint8)
-    data[500:700] = data[100:300]
+    data = rng.integers(97, 99, 700).astype(np.uint8)
+    data[500:620] = data[100:220]
+    data[230:240], data[390:400] = 99, 99
     at = np.arange(len(data) - 99)
-    order, same = op2_suffix.suffix_order(data, at, at)
-    want = sorted(at.tolist(), key=lambda i: (data[i : i + 100].tobytes(), i))
+    place = rng.permutation(len(at)).astype(np.int32)
+    order, shared = op2_suffix.suffix_order(data, at, place)
+    suffix = [data[i : i + 100].tobytes() for i in at]
+    want = sorted(at.tolist(), key=lambda i: (suffix[i], place[i]))
     assert order.tolist() == want
-    assert same.tolist() == [k > 0 and data[i : i + 100].tobytes() == data[want[k - 1] : want[k - 1] + 100].tobytes() for k, i in enumerate(want)]
+    assert shared.tolist() == [0] + [shared_bytes(suffix[a], suffix[b]) for a, b in zip(want, want[1:])]
+    factors = op2_suffix.previous_factors(order, shared, place)
+    assert factors.tolist() == [max([shared_bytes(suffix[i], suffix[j]) for j in at if place[j] < place[i]], default=0) for i in at]
+
+
+def test_rows_of_one_id_keep_what_is_their_own(spark):
+    rng = random.Random(11)
+    passage = words(rng, 60)
+    texts = [words(rng, 40) + passage, words(rng, 70) + passage + words(rng, 9), words(rng, 50)]
+    rows = [(i, t) for i in (3, None) for t in texts]
+    got = op2_suffix.deduplicated(docs(spark, rows + [(4, passage), (2, "other " + words(rng, 30))])).collect()
+    kept = {(r.doc_id, r.n_bytes): bytes(r.kept).decode() for r in got}
+    # of the rows of id 3 one keeps the passage, and each keeps all else; those of no id are later than all
+    mine = [kept[3, len(t)] for t in texts]
+    assert sum(passage in k for k in mine) == 1 and mine[2] == texts[2]
+    assert all(t.startswith(k[:60]) and len(k) >= len(t) - len(passage) - 1 for k, t in zip(mine, texts))
+    assert kept[4, len(passage)] == ""
+    assert all(kept[None, len(t)] == "" for t in texts)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(12)
+    long = words(rng, 150_000, 90_000)
+    rows = [(1, long), (2, words(rng, 30) + long[500_000:500_400]), (3, "x" * 600_000)]
+    got = {r.doc_id: r for r in op2_suffix.deduplicated(docs(spark, rows)).collect()}
+    want = brute_removed(rows[1:2] + [(1, long[500_000:500_400])])
+    assert (len(got[1].spans), bytes(got[3].kept)) == (0, b"x") and bytes(got[2].kept) == want[2][1]
+    w = long.split()
+    sizes = {r.doc_id: r for r in op6_minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert sizes[1].n_shingles == len({tuple(w[i : i + 5]) for i in range(149_996)}) and sizes[3].n_shingles == 1
 
 
 def test_no_documents(spark):
