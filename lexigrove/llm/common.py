@@ -37,11 +37,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    A session that names none runs in one process, as in tests; it gets a
-    temporary folder of its own.
+    A session in one process that names none, as in tests, gets a temporary
+    folder of its own; on a cluster that is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         there = tempfile.mkdtemp(prefix="lexigrove-")
         spark.sparkContext.setCheckpointDir(there)
     return there

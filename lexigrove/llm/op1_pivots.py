@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, by_group, components, cut, table
+from .common import blocks, by_group, components, cut, ship, table
 from .vectors import by_size, matrix, packed, unit
 
 COSINE = 0.9
@@ -162,6 +162,7 @@ def _search(part: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
+    ship(vectors.sparkSession)
     rows = cut(packed(vectors, id_col, vec_col))
     valid = rows.where("name is not null")
     # all rows of a name hold the same values, so any of them will do

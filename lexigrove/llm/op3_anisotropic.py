@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, table
+from .common import by_group, cut, ship, table
 from .vectors import by_size, matrix, packed
 
 K, QUERY_EVERY = 20, 20
@@ -160,6 +160,7 @@ def search_block(book: Codebook | None, ids: np.ndarray, x: np.ndarray, codes: n
 
 def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the largest inner product for each query."""
+    ship(vectors.sparkSession)
     rows = cut(packed(vectors, id_col, vec_col).where("vec is not null").select("vec_id", "vec"))
     books = codebooks(rows)
     n = rows.count()

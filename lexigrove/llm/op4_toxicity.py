@@ -10,8 +10,10 @@ labels, give the score. Tagging is one pass over the texts with no shuffle.
 
 Null and empty texts: no tokens, the calibrated score of none. Null labels are
 not learnt from; with no usable labels every score is 0. Null ids are scored
-and never count as held out. Repeated rows score alike. Other columns of the
-input, lang and source among them, are not read. Empty table: no rows.
+and never count as held out. Repeated rows score alike; of equal texts with
+different labels the more frequent label is learnt, toxic if they tie. Very long
+texts are tagged whole. Other columns of the input, lang and source among them,
+are not read, so their names can't clash. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, table
+from .common import cut, forget, ship, table
 
 #: The fit reads about so many labelled rows, picked by a hash of the id, at every size of input.
 SAMPLE_ROWS = 12_000
-#: Of the sample, about so many sequences of each label fit the field, those with more tokens left out (never of the
-#: scoring): they are all that the driver holds. The calibration uses the whole sample.
-FIT_ROWS, FIT_TOKENS = 1_500, 1_000
+#: Of the sample, about so many rows of each label fit the field, in windows of so many tokens, spread evenly over a text
+#: that has more than so many windows (scoring reads every token): they are all that the driver holds. The calibration
+#: uses the whole sample.
+FIT_ROWS, FIT_TOKENS, FIT_WINDOWS = 1_500, 1_000, 8
 #: Words that can have a weight, and what makes one a toxic tag: toxic documents and their share, rate ratio, z-score.
 VOCABULARY, LEAST_DOCS, LEAST_SHARE, RATIO, Z = 4_000, 5, 0.01, 8.0, 5.0
 STEPS, RATE, DECAY = 150, 0.25, 0.02
@@ -206,8 +209,16 @@ def _tagged_slices(model: Field, texts: list[str | None]) -> Iterator[tuple[int,
             a, size, seqs = i + 1, 0, []
 
 
+def windows(seq: np.ndarray) -> list[np.ndarray]:
+    """A sequence in windows of FIT_TOKENS, or FIT_WINDOWS of them from its first to its last."""
+    n = -(-len(seq) // FIT_TOKENS)
+    at = range(n) if n <= FIT_WINDOWS else np.linspace(0, n - 1, FIT_WINDOWS).astype(int).tolist()
+    return [seq[i * FIT_TOKENS : (i + 1) * FIT_TOKENS] for i in at]
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """The field fitted on about SAMPLE_ROWS of the labelled rows that are not held out."""
+    ship(docs.sparkSession)
     model = Field()
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, F.col(label_col).cast("int").alias("_label"))
     n = usable.count()
@@ -247,9 +258,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = Field(words=words)
         for batch in batches:
-            seqs = [small.ids(t) for t in batch.column(0).to_pylist()]
-            short = [len(s) <= FIT_TOKENS for s in seqs]
-            yield pa.RecordBatch.from_arrays([pa.array([s.astype("<i4").tobytes() for s, k in zip(seqs, short) if k], pa.binary()), batch.column(1).filter(pa.array(short))], ["seq", "label"])
+            out = [(w.astype("<i4").tobytes(), label) for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in windows(small.ids(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.binary()), pa.array([label for _, label in out], pa.int32())], ["seq", "label"])
 
     draw = F.pmod(F.xxhash64("text", F.lit("sequence")), F.lit(1_000_000))
     share = F.when(F.col("_label") == 1, F.lit(int(1_000_000 * min(1.0, FIT_ROWS / n1)))).otherwise(F.lit(int(1_000_000 * min(1.0, FIT_ROWS / n0))))
@@ -272,6 +282,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def tagged(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, spans): spans of tokens whose toxic marginal is at least 0.5, in code points, neighbours joined."""
+    ship(docs.sparkSession)
 
     def spans(text: str, p: np.ndarray) -> list[dict]:
         hot = np.flatnonzero(p >= 0.5)
@@ -303,6 +314,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The score is computed beside the row (one pass, nothing is joined), so
     repeated and null ids are judged row by row.
     """
+    ship(docs.sparkSession)
     model = learn(docs, labels)
 
     @F.pandas_udf("double")

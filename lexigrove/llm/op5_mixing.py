@@ -6,9 +6,10 @@ distribution at a uniform number hashed from (seed, id), is exploded by that
 count, and the copies are ordered over the whole corpus by a second hash.
 
 Null sources are a source of their own; a source with no weight given gets
-``default`` (nothing if it is 0). Null ids hash alike. Repeated rows draw alike.
-Null texts pass through. Empty table: no rows. All columns of the input stay;
-``copy_no`` and ``shuffle_key`` are added.
+``default`` (nothing if it is 0). Null ids hash alike. Repeated rows draw alike
+and get equal keys; the order among rows with equal keys (one id, one copy
+number) is left open. Null, empty and very long texts pass through. Empty table: no rows. All columns of the input stay;
+``copy_no`` and ``shuffle_key`` are added, in place of columns of these names.
 """
 
 from __future__ import annotations

@@ -14,8 +14,11 @@ components, by the distance of the signatures and then by sketches that hold
 the whole set of most documents; no more than the few likely pairs leave a block.
 
 Null and empty texts: an empty set, linked with nothing. Null ids: kept, linked
-with nothing, no component. Repeated rows are documents with equal sets. Other
-columns are not read. Empty table: no rows.
+with nothing, no component. Repeated rows are documents with equal sets; of
+different texts under one id each has its own set size, and the one with the
+least hash stands for the id in links. Ties: the smallest id names a component.
+Very long texts are hashed whole. Other columns are not read, so their names
+can't clash. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, by_group, components, cut, forget, table
+from .common import blocks, by_group, components, cut, forget, ship, table
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: 8 chunks of 5 minima with one open place: all pairs that differ in at most 15 of 40 places share a key.
 #: A pair at a similarity of 0.75 shares one with a probability above 0.9996.
 CHUNKS, CHUNK, ERRORS, BITS = 8, 5, 1, 16
-#: Pairs whose signatures differ in more places are not confirmed (at 0.75: fewer than 3 in 10,000).
-FARTHEST = 20
+#: The distance threshold of the join: pairs whose signatures differ in more places are not confirmed (at a similarity
+#: of 0.75 a pair is that far apart with a probability below 2 in 1,000,000).
+FARTHEST = 24
 #: Members of a hub that are compared at once.
 BLOCK = 512
 #: A sketch is the SKETCH smallest 32-bit shingle hashes: the whole set up to that size. A pair is confirmed on full sets
@@ -304,6 +308,7 @@ def across(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
+    ship(docs.sparkSession)
     marks = cut(signed(docs, id_col, text_col))
     full = marks.where("n_shingles > 0 and id is not null")
     classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("rep"), F.min_by("sig", "id").alias("sig"))
@@ -316,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut(keys.join(hubs, "key"))
     pairs = cut(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     needed = shared.select("id").distinct()
-    texts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    texts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(needed, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
     sigs = reps.join(needed, "id", "left_semi")
     links = cut(confirmed(near_pairs(pairs, sigs), texts))
@@ -341,10 +346,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component; all columns stay as they are. Of repeated rows one stays."""
-    found = near_duplicates(docs, id_col).where("kept").select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(found, id_col, "left_semi").dropDuplicates([id_col])
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component; all columns stay as they are.
+
+    Of rows that repeat (id, text) one stays; different texts under one id all do.
+    """
+    found = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(found, id_col, "left_semi").dropDuplicates([id_col, text_col])
     return named.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
 
 

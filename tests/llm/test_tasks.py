@@ -160,6 +160,35 @@ def test_every_pair_within_the_distance_shares_a_key():
     assert all(set(x) & set(y) for x, y in zip(op6_minhash.chunk_keys(a).tolist(), op6_minhash.chunk_keys(b).tolist()))
 
 
+def test_pairs_at_the_threshold_are_found():
+    """Of pairs with a similarity just at 0.75, how many share a key and are near enough to be confirmed."""
+    rng = np.random.default_rng(3)
+    n, size = 3000, 242
+    both = 182
+    sets = rng.integers(0, 2**63, (n, size), dtype=np.uint64)
+    shared, own = sets[:, :both], (size - both) // 2
+    a, b = np.hstack((shared, sets[:, both : both + own])), np.hstack((shared, sets[:, both + own : both + 2 * own]))
+    assert 100 * both >= 75 * (both + 2 * (a.shape[1] - both)) and a.shape == b.shape
+    sig_a, sig_b = (op6_minhash.signatures(np.sort(x, axis=1).ravel(), np.full(n, x.shape[1])) for x in (a, b))
+    keys = [set(x) & set(y) for x, y in zip(op6_minhash.chunk_keys(sig_a).tolist(), op6_minhash.chunk_keys(sig_b).tolist())]
+    found = np.array([bool(k) for k in keys]) & ((sig_a != sig_b).sum(1) <= op6_minhash.FARTHEST)
+    assert found.mean() > 0.998, found.mean()
+
+
+def test_texts_under_one_id_stay(spark):
+    rng = random.Random(13)
+    a, b = words(rng, 60), words(rng, 60)
+    kept = op6_minhash.keep_first(docs(spark, [(1, a), (1, b), (1, a), (2, a), (3, b + " more"), (None, a), (None, a)])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept if r.doc_id != 3) == sorted([(1, a), (1, b), (0, a), (0, a)])
+
+
+def test_windows_cover_a_sequence():
+    short, long = np.arange(2500), np.arange(op4_toxicity.FIT_TOKENS * 50 + 7)
+    assert np.concatenate(op4_toxicity.windows(short)).tolist() == short.tolist() and op4_toxicity.windows(np.zeros(0, int)) == []
+    parts = op4_toxicity.windows(long)
+    assert len(parts) == op4_toxicity.FIT_WINDOWS and parts[0][0] == 0 and parts[-1][-1] == long[-1]
+
+
 # ---- op7
 
 
