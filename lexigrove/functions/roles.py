@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,12 +12,13 @@ from .text import basename, terms
 
 
 def _any(p: Column, parts: list[str] = (), ends: list[str] = ()) -> Column:
-    return reduce(or_, [p.contains(x) for x in parts] + [p.endswith(x) for x in ends])
+    """Whether a path holds one of the parts or ends so; one pattern, so that the path is written out once in the plan."""
+    return p.rlike("|".join([re.escape(x) for x in parts] + [re.escape(x) + r"\z" for x in ends]))
 
 
 def _role(path: Column, config_ends: list[str], more_source: Column) -> Column:
     p = F.lower(path)
-    site = p.startswith("site/") & p.endswith("index.html")
+    site = (p.startswith("site/") | p.contains("/site/")) & p.endswith("index.html")
     return (
         F.when(_any(p, S.GENERATED_PARTS) | site, "generated")
         .when(_any(p, ends=S.LOCKFILE_ENDS), "lockfile")
@@ -30,6 +30,11 @@ def _role(path: Column, config_ends: list[str], more_source: Column) -> Column:
     )
 
 
+def test_path(path: Column) -> Column:
+    """Whether a path is that of a test, whatever its other roles."""
+    return _any(F.lower(path), S.TEST_PARTS, S.TEST_ENDS)
+
+
 def index_role(path: Column) -> Column:
     """The role that an index stores."""
     return _role(path, S.CONFIG_ENDS, F.lit(False))

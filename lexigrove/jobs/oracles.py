@@ -6,11 +6,11 @@ import re
 
 from .. import schema as S
 from ..functions.globs import to_regex
-from ..functions.text import LOWER, UPPER
+from ..functions.text import LOWER, UPPER, singular_of
 from ..operators.extract import IMPORTS, PATTERNS
 from ..operators.scan import Query
 from ..sources import model as M
-from .queries import EXCLUDE, FOCUS, IMPORT_REACH, INCLUDE, PHRASE, SYMBOL, WORDS
+from .queries import EXCLUDE, FOCUS, INCLUDE, PHRASE, SYMBOL, WORDS
 
 
 def text(x: str) -> str:
@@ -74,7 +74,7 @@ def role(path: str, rank: bool = False) -> str:
     p = f"lower({path})"
     config_ends = [e for e in S.CONFIG_ENDS if not (rank and e == ".jsonc")]
     more = f" OR list_has_any({terms(base(path))}, ['src', 'lib', 'app'])" if rank else ""
-    return f"""CASE WHEN {any_of(p, S.GENERATED_PARTS)} OR (prefix({p}, 'site/') AND suffix({p}, 'index.html')) THEN 'generated'
+    return f"""CASE WHEN {any_of(p, S.GENERATED_PARTS)} OR ((prefix({p}, 'site/') OR contains({p}, '/site/')) AND suffix({p}, 'index.html')) THEN 'generated'
     WHEN {any_of(p, ends=S.LOCKFILE_ENDS)} THEN 'lockfile' WHEN {any_of(p, S.TEST_PARTS, S.TEST_ENDS)} THEN 'test' WHEN {any_of(p, S.DOC_PARTS, S.DOC_ENDS)} THEN 'doc'
     WHEN {any_of(p, S.CONFIG_PARTS, config_ends)} THEN 'config' WHEN {any_of(p, S.SOURCE_PARTS, S.SOURCE_ENDS)}{more} THEN 'source' ELSE 'other' END"""
 
@@ -129,7 +129,7 @@ PARTS = {
     "x_overlap": "SELECT task_id, item_id, path, doc_id, count(*) AS shared, round(sum(1.0::DOUBLE / df), 6) AS weight FROM x_doc_terms JOIN x_task_terms USING (term) JOIN x_df USING (term) GROUP BY ALL",
     "x_mode_scores": f"""SELECT task_id, path, unnest(['A', 'B', 'C', 'D']) AS mode, unnest([shared::DOUBLE, shared + CASE WHEN {role('path')} = 'source' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, weight, weight + coalesce(quality, 0) * 0.01::DOUBLE]) AS s
         FROM x_overlap LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id)""",
-    "x_ranked": "SELECT * FROM (SELECT task_id, mode, row_number() OVER (PARTITION BY task_id, mode ORDER BY round(s, 6) DESC, path) AS pos, path FROM x_mode_scores) WHERE pos <= 10",
+    "x_ranked": "SELECT * FROM (SELECT task_id, mode, row_number() OVER (PARTITION BY task_id, mode ORDER BY round(s, 6) DESC, path) AS pos, path FROM x_mode_scores)",
     "x_judged": f"SELECT task_id, path, CASE WHEN toxic = 1 THEN 'irrelevant' WHEN quality = 1 THEN {pick(['primary', 'acceptable', 'supporting'], 'doc_id')} ELSE 'supporting' END AS label FROM x_overlap JOIN labels USING (doc_id)",
     "x_runs": """SELECT task_id, repo_id, task_type, query, mode, floor(value * 100)::BIGINT AS latency_ms, coalesce(event_type <> 'error', false) AS json_parse_ok
         FROM (SELECT *, unnest(['A', 'B', 'C', 'D']) AS mode, unnest([0, 1, 2, 3]) AS i FROM x_tasks) LEFT JOIN events ON event_id = item_id * 4 + i""",
@@ -169,7 +169,7 @@ def bm25(tokens: list[str]) -> str:
         WHERE term IN ({wanted}) AND avg_doc_length > 0 AND doc_length > 0 GROUP BY path"""
 
 
-def found(q: Query, match_all: bool = False, roles: list[str] | None = None, lexical_sql: str | None = None) -> str:
+def found(q: Query, match_all: bool = False, roles: list[str] | None = None, lexical_sql: str | None = None, signals_sql: str | None = None, report: bool = False) -> str:
     """The whole ranking recipe; sums in the same order as the operator's."""
     idl = q.identifier_like
     contains_any = lambda x: "(" + " OR ".join(f"contains({x}, {text(w)})" for w in S.FIXTURE_WORDS) + ")"
@@ -195,16 +195,20 @@ def found(q: Query, match_all: bool = False, roles: list[str] | None = None, lex
         keep += f" AND role IN ({array(roles)[1:-1]})"
     ph = phrase("snippet")
     snip_score = f"(CASE WHEN contains({ph}, {text(q.phrase)}) THEN 4.0::DOUBLE ELSE 0 END + CASE WHEN contains({squash(ph)}, {text(q.squashed)}) THEN 2.5::DOUBLE ELSE 0 END + {hits(ph)} * 0.8::DOUBLE - CASE WHEN {contains_any(ph)} THEN 0.15::DOUBLE ELSE 0 END)"
-    anchor = "role IN ('source', 'config') AND NOT is_fixture AND is_exact AND raw_score >= 0.5"
+    anchor = "role IN ('source', 'config') AND NOT is_fixture AND NOT has_symbol AND is_exact AND raw_score >= 0.5"
     capped = (
-        f"""SELECT * REPLACE (CASE WHEN best_anchor IS NOT NULL AND NOT is_exact AND score + tier * 0.15::DOUBLE >= best_anchor THEN round((best_anchor - 0.01::DOUBLE) * 100) / 100 - tier * 0.15::DOUBLE ELSE score END AS score)
-        FROM f4, (SELECT max(CASE WHEN {anchor} THEN score + tier * 0.15::DOUBLE END) AS best_anchor FROM f4)"""
+        f"""SELECT * REPLACE (CASE WHEN best_anchor IS NOT NULL AND NOT is_exact AND score > best_anchor THEN round((best_anchor - 0.01::DOUBLE) * 100) / 100 ELSE score END AS score)
+        FROM f6, (SELECT max(CASE WHEN {anchor} THEN score END) AS best_anchor FROM f6)"""
         if lexical_sql
-        else "SELECT * FROM f4"
+        else "SELECT * FROM f6"
     )
+    signal_join = f"LEFT JOIN ({signals_sql}) USING (path)" if signals_sql else ""
+    signal_part = "coalesce(sg[3].score, 0) + coalesce(sg[2].score, 0) + coalesce(sg[1].score, 0)" if signals_sql else "0.0::DOUBLE"
+    kind = (lambda k: f"coalesce(list_contains(list_transform(sg, lambda x: x.type), '{k}'), false)") if signals_sql else (lambda k: "false")
+    chosen = "path, rank, score, confidence, line_ranges, snippets, evidence, next_action FROM f9" if report else "path, role, score, confidence, tier::INT AS tier, matched_terms::INT AS matched_terms, round(raw_score, 6) AS raw_score FROM f7"
     return f"""WITH m AS ({two_pass(q)}), c0 AS ({clustered('SELECT * FROM m')}),
     c1 AS (SELECT path, cluster, min(line_number) AS start_line, max(line_number) AS end_line, {phrase("string_agg(snippet, ' ' ORDER BY line_number, snippet)")} AS joined, bool_or({contains_any('lower(snippet)')}) AS fixture,
-        max({{'score': {snip_score}, 'line_number': line_number, 'snippet': snippet}}).snippet AS best_snippet FROM c0 GROUP BY path, cluster),
+        max({{'score': {snip_score}, 'line_number': line_number, 'snippet': snippet}}).snippet AS best_snippet, max({{'score': {snip_score}, 'line_number': line_number, 'snippet': snippet}}).line_number AS best_line FROM c0 GROUP BY path, cluster),
     c2 AS (SELECT *, contains(joined, {text(q.phrase)}) OR contains({squash('joined')}, {text(q.squashed)}) AS exact, {hits('joined')} AS hits, end_line - start_line + 1 AS span FROM c1),
     c3 AS (SELECT *, CASE WHEN exact THEN 4.0::DOUBLE ELSE 0 END + hits * 1.2::DOUBLE + hits::DOUBLE / span * 1.5::DOUBLE - CASE WHEN fixture THEN 0.25::DOUBLE ELSE 0 END AS priority FROM c2),
     f0 AS (SELECT path, max({{'priority': priority, 'start_line': start_line, 'end_line': end_line, 'fixture': fixture, 'hits': hits}}) FILTER (WHERE exact) AS exact,
@@ -213,30 +217,71 @@ def found(q: Query, match_all: bool = False, roles: list[str] | None = None, lex
     f1 AS (SELECT * FROM f0 JOIN (SELECT path, {', '.join(f'bool_or(contains({ph}, {text(t)})) AS s{i}' for i, t in enumerate(q.terms))} FROM m GROUP BY path) USING (path)),
     f2 AS (SELECT *, {role('path', True)} AS role, {terms('path')} AS path_terms, {terms(base('path'))} AS name_terms FROM f1),
     f3 AS (SELECT *, {total} + {shape} + {boost} + {weight('role', S.ROLE_WEIGHT)} AS before, {tier} AS tier, {matched} AS matched_terms, exact IS NOT NULL AND exact.fixture AS is_fixture, exact IS NOT NULL AS is_exact, exact IS NULL AND near IS NOT NULL AS is_near, strlen({shorten('first_snippet', S.SNIPPET_WIDTH)}) AS snippet_bytes FROM f2),
-    f35 AS (SELECT *, before + {lexical_part} + 0.01::DOUBLE * least(n_clusters, 3) + (0.03::DOUBLE + least(n_clusters, 4) * 0.01::DOUBLE) + CASE WHEN matched_terms > 0 THEN matched_terms * 0.14::DOUBLE - ({len(q.terms)} - matched_terms) * 0.07::DOUBLE ELSE 0 END AS total FROM f3 {lexical_join}),
-    f36 AS (SELECT *, CASE WHEN is_fixture THEN least(total, 0.30::DOUBLE) ELSE total END AS raw_score FROM f35),
+    f35 AS (SELECT *, before + {signal_part} + {lexical_part} + 0.01::DOUBLE * least(n_clusters, 3) + (0.03::DOUBLE + least(n_clusters, 4) * 0.01::DOUBLE) + CASE WHEN matched_terms > 0 THEN matched_terms * 0.14::DOUBLE - ({len(q.terms)} - matched_terms) * 0.07::DOUBLE ELSE 0 END AS total FROM f3 {lexical_join} {signal_join}),
+    f36 AS (SELECT * {f"REPLACE (greatest(tier, coalesce(top_tier, 0)) AS tier)" if signals_sql else ""}, tier >= 4 AS shaped, CASE WHEN is_fixture THEN least(total, 0.30::DOUBLE) ELSE total END AS raw_score FROM f35),
     f4 AS (SELECT *, round(least(greatest(raw_score, 0), 1) * 100) / 100 AS score FROM f36),
-    f5 AS (SELECT *, CASE WHEN is_fixture THEN 'low' WHEN is_exact AND (snippet_bytes <= 80 OR ({idl} AND role = 'source')) THEN 'high' WHEN is_exact OR is_near OR (role = 'source' AND matched_terms >= 2) THEN 'medium' WHEN role = 'source' AND round(least(greatest(raw_score, 0), 1) * 100) / 100 >= 0.60 THEN 'medium' ELSE 'low' END AS confidence FROM ({capped}))
-    SELECT path, role, round(score + tier * 0.15::DOUBLE, 6) AS score, confidence, tier::INT AS tier, matched_terms::INT AS matched_terms, round(raw_score, 6) AS raw_score FROM f5 WHERE {keep} ORDER BY 3 DESC, tier >= 4 DESC, 7 DESC, path LIMIT {S.CANDIDATE_LIMIT}"""
+    f5 AS (SELECT *, CASE WHEN is_fixture THEN 'low' WHEN is_exact AND (snippet_bytes <= 80 OR ({idl} AND role = 'source')) THEN 'high' WHEN is_exact OR is_near OR (role = 'source' AND matched_terms >= 2) THEN 'medium' WHEN role = 'source' AND score >= 0.60 THEN 'medium' ELSE 'low' END AS own_confidence FROM f4),
+    f6 AS (SELECT * REPLACE (CASE WHEN tier > 0 THEN round(greatest(score + tier * 0.15::DOUBLE, 0) * 100) / 100 ELSE score END AS score), {kind('indexed_symbol_definition')} OR {kind('indexed_symbol_reference')} AS has_symbol,
+        CASE WHEN tier = 0 THEN own_confidence WHEN {kind('indexed_symbol_definition')} THEN 'high' WHEN tier >= 2 OR {kind('indexed_symbol_reference')} THEN 'medium' WHEN {kind('indexed_edge')} THEN 'low' ELSE own_confidence END AS confidence FROM f5),
+    f7 AS ({capped}){_report(q, hit, bool(lexical_sql), bool(signals_sql), shorten("best_snippet", S.SNIPPET_WIDTH)) if report else ""}
+    SELECT {chosen} WHERE {keep} ORDER BY score DESC, shaped DESC, round(raw_score, 6) DESC, path LIMIT {S.CANDIDATE_LIMIT}"""
+
+
+def _report(q: Query, hit, lexical: bool, signalled: bool, snippet: str) -> str:
+    """Line ranges, snippets and the reasons of each file in the order in which they are given."""
+    line = lambda when, kind, detail: f"CASE WHEN {when} THEN '{kind}: ' || {detail} END"
+    why = [f"CASE WHEN sg[{i}] IS NOT NULL THEN sg[{i}].type || ': ' || sg[{i}].detail END" for i in (1, 2, 3)] if signalled else []
+    why += [line(f"lexical >= {S.LEXICAL_SHOWN}", "lexical_score", "'lexical score matched terms: ' || lexical_terms")] if lexical else []
+    for i, t in enumerate(q.terms):
+        n, p = hit("name_terms", t), hit("path_terms", t)
+        quoted = text(f"'{t}'")
+        why += [
+            line(n, "filename_token_match", f"'filename token matches ' || {quoted}"), line(f"NOT {n} AND {p}", "path_token_match", f"'path token matches ' || {quoted}"),
+            line(f"s{i}", "snippet_term_match", f"'matched ' || {quoted} || ' in snippet'"),
+        ]
+    same = lambda where: "(" + " AND ".join(f"list_contains({where}, {text(t)})" for t in q.terms) + ")"
+    like = lambda where: "(" + " AND ".join(hit(where, t) for t in q.terms) + ")"
+    asked = text(f" '{q.phrase}'")
+    why.append(
+        f"CASE WHEN {like('name_terms')} THEN 'filename_shape_match: filename stem ' || CASE WHEN {same('name_terms')} THEN 'matches' ELSE 'closely matches' END || {asked} "
+        f"WHEN {like('path_terms')} THEN 'path_shape_match: path tokens ' || CASE WHEN {same('path_terms')} THEN 'match' ELSE 'closely match' END || {asked} END"
+    )
+    why += [
+        line("is_exact", "exact_phrase_match", "'matched exact phrase in lines ' || exact.start_line || '-' || exact.end_line"),
+        line("is_fixture", "fixture_like_match", "'exact phrase appears in assertion or fixture-like text'"),
+        line("is_near", "near_phrase_match", "near.hits || ' query terms clustered in lines ' || near.start_line || '-' || near.end_line"),
+    ]
+    if q.expansion:
+        held = "[" + ", ".join(f"CASE WHEN {hit('name_terms', t)} OR {hit('path_terms', t)} THEN {text(t)} END" for t in q.expansion) + "]"
+        held = f"list_filter({held}, lambda t: t IS NOT NULL)"
+        why.append(line(f"len({held}) >= 2", "identifier_expansion", f"'identifier expansion matched ' || array_to_string({held}, ' + ')"))
+    words = {"source": "source-like file role", "test": "test file role", "doc": "documentation file role", "config": "configuration file role", "lockfile": "lockfile or dependency snapshot", "generated": "generated or build output"}
+    why.append("CASE role " + " ".join(f"WHEN '{r}' THEN '{r}_role: path suggests {w}'" for r, w in words.items()) + " END")
+    why += ["'rg_match: matched on lines ' || line_ranges", line("matched_terms > 0", "query_term_coverage", f"'matched ' || matched_terms || ' of {len(q.terms)} query terms'")]
+    islands = "SELECT path, min(line_number) AS a, max(line_number) AS b FROM (SELECT path, line_number, line_number - row_number() OVER (PARTITION BY path ORDER BY line_number) AS g FROM (SELECT DISTINCT path, line_number FROM m)) GROUP BY path, g"
+    return f""", lr AS (SELECT path, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS line_ranges FROM ({islands}) GROUP BY path),
+    sn AS (SELECT path, string_agg(best_line || ': ' || {snippet}, chr(10) ORDER BY rn) AS snippets FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY priority DESC, start_line) AS rn FROM c3) WHERE rn <= 3 GROUP BY path),
+    f8 AS (SELECT *, concat_ws(chr(10), {', '.join(why)}) AS evidence, row_number() OVER (ORDER BY score DESC, shaped DESC, round(raw_score, 6) DESC, path)::INT AS rank FROM f7 JOIN lr USING (path) JOIN sn USING (path)),
+    f9 AS (SELECT *, CASE WHEN rank <= 3 THEN 'open ' || path END AS next_action FROM f8)"""
 
 
 def _singular(t: str) -> str:
-    from ..operators.rank import _singular
-
-    return _singular(t)
+    return singular_of(t)
 
 
-def lexical_score(q: Query) -> str:
+def lexical_score(q: Query, scale: float = 1.0) -> str:
     bound = f"{len(q.lex_tokens) * 2.5}::DOUBLE * greatest(ln(lex_file_count + 1.0::DOUBLE), 1.0::DOUBLE)"
-    part = f"{S.LEXICAL_MAX}::DOUBLE * least(score / ({bound}), 1.0::DOUBLE)"
-    return f"SELECT path, CASE WHEN {part} >= {S.LEXICAL_MIN} THEN {part} ELSE 0 END AS lexical FROM ({bm25(q.lex_tokens)}), x_stats"
+    part = f"{S.LEXICAL_MAX}::DOUBLE * least(score / ({bound}), 1.0::DOUBLE) * {scale}::DOUBLE"
+    held = f"(SELECT path, list(term) AS held FROM x_postings WHERE term IN ({array(q.lex_tokens)[1:-1]}) GROUP BY path)"
+    said = f"array_to_string(list_filter({array(q.lex_tokens)}, lambda t: list_contains(held, t)), ', ')"
+    return f"SELECT path, CASE WHEN {part} >= {S.LEXICAL_MIN} THEN {part} ELSE 0 END AS lexical, {said} AS lexical_terms FROM ({bm25(q.lex_tokens)}) JOIN {held} USING (path), x_stats"
 
 
 Q, W = Query(PHRASE), Query(WORDS)
 VERSION = Query(PHRASE + " version")
 _metrics = ("hit1", "hit3", "hit8", "rr", "ndcg8", "precision8", "recall8", "unnecessary")
 _area = f"SELECT path, {AREA} AS area FROM (SELECT path, string_split(path, '/') AS s FROM x_files WHERE {role('path')} = 'source')"
-_token_files = "SELECT 'src/t/test_' || replace(p_name, ' ', '_') || '_' || p_partkey || '.rs' AS path FROM part WHERE p_size % 2 = 0 UNION ALL SELECT DISTINCT 'src/s/' || replace(p_name, ' ', '_') || '.rs' FROM part WHERE p_size % 2 = 0"
+_token_files = "SELECT 'src/t/test_' || replace(p_name, ' ', '_') || '_' || p_partkey || '.rs' AS path FROM part UNION ALL SELECT DISTINCT 'src/s/' || replace(p_name, ' ', '_') || '.rs' FROM part"
 _test_stem = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + stem("path") + ", '^(test_)+', ''), '(_test)+$', ''), '(\\.test)+$', ''), '(\\.spec)+$', '')"
 _path_tokens = lambda x: f"list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _related = f"""SELECT path, {role('path')} AS role, sum(weight) AS score, min(CASE WHEN weight >= 100 THEN 0 WHEN weight >= 50 THEN 1 ELSE 2 END) AS level, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons"""
@@ -294,9 +339,8 @@ BODIES = {
         SELECT src, dst, CASE WHEN exact = 1 THEN 'extracted' WHEN overlap >= 2 THEN 'inferred' ELSE 'ambiguous' END AS confidence, CASE WHEN exact = 1 THEN 'filename stem matches' ELSE 'shared stem tokens: ' || overlap END AS reason
         FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM p) WHERE rn <= 3""",
     "config_edges": f"WITH r AS (SELECT path, {role('path')} AS role FROM x_files) SELECT path AS src, (SELECT path FROM r WHERE role = 'source' ORDER BY CASE path " + " ".join(f"WHEN {text(p)} THEN {i}" for i, p in enumerate(S.SOURCE_ROOTS)) + f" ELSE {len(S.SOURCE_ROOTS)} END, path LIMIT 1) AS dst FROM r WHERE role IN ('config', 'lockfile')",
-    "import_resolve": f"""WITH o AS (SELECT path AS from_file, d.doc_id, source, unnest(range(1, {IMPORT_REACH + 1})) AS k FROM documents d JOIN x_files USING (doc_id)),
-        u AS (SELECT from_file, doc_id::VARCHAR AS spec, k, {pick(M.PREFIXES, '(doc_id + k)')} || '/' || source || '/' || {pick(M.FOLDERS, '(doc_id + k)')} || '/doc_' || (doc_id + k) || {pick(M.ENDINGS, '(doc_id + k)')} AS path FROM o)
-        SELECT from_file, spec, arg_min(path, k) AS target FROM u WHERE path IN (SELECT path FROM x_files) GROUP BY ALL""",
+    "import_resolve": f"""WITH n AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next_id FROM documents)
+        SELECT a.path AS from_file, n.doc_id::VARCHAR AS spec, b.path AS target FROM n JOIN x_files a ON a.doc_id = n.doc_id JOIN x_files b ON b.doc_id = n.next_id""",
     "symbol_refs": f"SELECT target_file, symbol_name, context, confidence, count(*) AS n, sum({_n})::BIGINT AS total FROM x_refs GROUP BY ALL",
     "related_files": f"""WITH w AS (SELECT dst AS path, {EDGE_W} AS weight, edge_type || ': ' || reason AS reason FROM x_edges WHERE src = '{FOCUS}' UNION ALL SELECT src, {EDGE_W}, edge_type || ': ' || reason FROM x_edges WHERE dst = '{FOCUS}' AND src <> '{FOCUS}'
         UNION ALL SELECT target_file, {REF_W}, symbol_name || ' reference for ' || reason FROM x_refs WHERE from_file = '{FOCUS}' UNION ALL SELECT from_file, {REF_W}, symbol_name || ' reference for ' || reason FROM x_refs WHERE target_file = '{FOCUS}' AND from_file <> '{FOCUS}'),
@@ -304,9 +348,10 @@ BODIES = {
     "blast_impact": f"""WITH w AS (SELECT from_file AS path, {REF_W} AS weight, CASE WHEN context = 'production' THEN 0 WHEN context IN ('test', 'fixture') THEN 1 ELSE 3 END AS category, symbol_name || ' reference (' || context || ')' AS reason FROM x_refs WHERE target_file = '{FOCUS}' AND from_file <> '{FOCUS}'
         UNION ALL SELECT src, {EDGE_W}, CASE edge_type WHEN 'same_area' THEN 2 WHEN 'likely_test_for' THEN 1 ELSE 0 END, edge_type || ': ' || reason FROM x_edges WHERE dst = '{FOCUS}' UNION ALL SELECT dst, {EDGE_W}, 2, edge_type || ': ' || reason FROM x_edges WHERE src = '{FOCUS}' AND edge_type = 'same_area'),
         r AS ({_related}, min(category) AS category FROM w WHERE path <> '{FOCUS}' GROUP BY path) SELECT path, role, {array(S.IMPACT_ORDER)}[category + 1] AS context, score, {_level} AS confidence, reasons FROM r""",
-    "blast_risk": f"""WITH s AS (SELECT symbol_name, count(DISTINCT CASE WHEN context = 'production' THEN from_file END) AS pf, coalesce(sum(CASE WHEN context = 'production' THEN {_n} END), 0) AS pr, count(DISTINCT CASE WHEN context IN ('test', 'fixture') THEN from_file END) AS tf, coalesce(sum(CASE WHEN context IN ('test', 'fixture') THEN {_n} END), 0) AS tr FROM x_refs GROUP BY 1)
+    "blast_risk": f"""WITH s0 AS (SELECT symbol_name, count(DISTINCT CASE WHEN context = 'production' THEN from_file END) AS pf, coalesce(sum(CASE WHEN context = 'production' THEN {_n} END), 0) AS pr, count(DISTINCT CASE WHEN context IN ('test', 'fixture') THEN from_file END) AS tf, coalesce(sum(CASE WHEN context IN ('test', 'fixture') THEN {_n} END), 0) AS tr, count(*) AS n FROM x_refs GROUP BY 1),
+        a AS (SELECT name AS symbol_name, bool_or(kind = 'module') AS area FROM x_symbols GROUP BY 1), s AS (SELECT symbol_name, coalesce(pf, 0) AS pf, coalesce(pr, 0) AS pr, coalesce(tf, 0) AS tf, coalesce(tr, 0) AS tr, coalesce(n, 0) AS n, coalesce(area, false) AS area FROM s0 FULL JOIN a USING (symbol_name))
         SELECT symbol_name, CASE WHEN pf >= 3 THEN 'high' WHEN pf > 0 THEN 'medium' ELSE 'low' END AS level, concat_ws('; ', CASE WHEN pf >= 3 THEN pf || ' production files have direct symbol users (' || pr || ' production references)' WHEN pf > 0 THEN pf || ' production ' || CASE WHEN pf = 1 THEN 'file has' ELSE 'files have' END || ' direct symbol users (' || pr || ' production ' || CASE WHEN pr = 1 THEN 'reference' ELSE 'references' END || ')' END,
-        CASE WHEN tr > 0 THEN tr || ' test/fixture references across ' || tf || ' ' || CASE WHEN tf = 1 THEN 'file' ELSE 'files' END END, 'index status is stale') AS reasons FROM s""",
+        CASE WHEN tr > 0 THEN tr || ' test/fixture references across ' || tf || ' ' || CASE WHEN tf = 1 THEN 'file' ELSE 'files' END WHEN pf > 0 THEN NULL WHEN area THEN 'only same_area evidence was found' WHEN n = 0 THEN 'no direct symbol users were found' END, 'index status is stale') AS reasons FROM s""",
     "cosine_topk": "SELECT * FROM x_nearest",
     "semantic_fusion": f"""SELECT path, round(CASE WHEN score IS NOT NULL THEN score + 0.3::DOUBLE * coalesce(similarity, 0) ELSE 0.8::DOUBLE * coalesce(similarity, 0) END, 6) AS score, CASE WHEN score IS NOT NULL THEN confidence WHEN coalesce(similarity, 0) >= 0.6 THEN 'medium' ELSE 'low' END AS confidence, score IS NULL AS is_new, coalesce(anchor, false) AS anchor
         FROM x_candidates FULL OUTER JOIN x_nearest USING (path) ORDER BY 2 DESC, path LIMIT {S.CANDIDATE_LIMIT}""",
@@ -320,9 +365,9 @@ BODIES = {
     "eval_demotions": "SELECT b.task_id, o.pos::INT AS rank FROM x_ranked b JOIN x_ranked o ON b.task_id = o.task_id AND b.path = o.path AND b.mode = 'C' AND b.pos = 1 AND o.mode = 'B' AND o.pos > 1 ORDER BY 1 LIMIT 30",
     "eval_no_hit": "SELECT task_id, repo_id, task_type, string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes FROM x_scored GROUP BY ALL HAVING bool_and(miss) ORDER BY repo_id, task_id LIMIT 30",
     "eval_slowest": "SELECT task_id, mode, latency_ms FROM x_runs WHERE latency_ms IS NOT NULL ORDER BY latency_ms DESC, task_id, mode LIMIT 20",
-    "eval_validate": """WITH t AS (SELECT task_id, CASE WHEN item_id % 7 <> 0 THEN repo_id END AS repo_id, query FROM x_tasks), l AS (SELECT 'task_' || (doc_id % 60) AS task_id, 'repo' || (doc_id % 60 % 3) AS repo_id, CASE WHEN doc_id % 11 = 0 THEN '/abs' WHEN doc_id % 13 <> 0 THEN 'src/a.rs' END AS path, CASE WHEN toxic = 1 THEN 'bad' ELSE 'primary' END AS label FROM labels)
-        SELECT 'error' AS severity, task_id || ': missing repo_id' AS message FROM t WHERE repo_id IS NULL UNION ALL SELECT 'error', task_id || ': missing query' FROM t WHERE query IS NULL OR query = ''
-        UNION ALL SELECT DISTINCT 'error', 'label references unknown task_id: ' || task_id FROM l WHERE task_id NOT IN (SELECT task_id FROM t) UNION ALL SELECT DISTINCT 'error', l.task_id || ': label repo_id != task repo_id' FROM l JOIN t USING (task_id) WHERE t.repo_id IS NOT NULL AND l.repo_id IS DISTINCT FROM t.repo_id
+    "eval_validate": """WITH t AS (SELECT CASE WHEN item_id % 17 <> 16 THEN task_id END AS task_id, CASE WHEN item_id % 7 <> 0 THEN repo_id END AS repo_id, query FROM x_tasks), l AS (SELECT 'task_' || (doc_id % 60) AS task_id, 'repo' || (doc_id % 60 % 3) AS repo_id, CASE WHEN doc_id % 11 = 0 THEN '/abs' WHEN doc_id % 13 <> 0 THEN 'src/a.rs' END AS path, CASE WHEN toxic = 1 THEN 'bad' ELSE 'primary' END AS label FROM labels)
+        SELECT 'error' AS severity, coalesce(task_id, 'None') || ': missing repo_id' AS message FROM t WHERE repo_id IS NULL UNION ALL SELECT 'error', coalesce(task_id, 'None') || ': missing query' FROM t WHERE query IS NULL OR query = '' UNION ALL SELECT 'error', 'task missing task_id' FROM t WHERE task_id IS NULL
+        UNION ALL SELECT DISTINCT 'error', 'label references unknown task_id: ' || task_id FROM l WHERE task_id NOT IN (SELECT task_id FROM t WHERE task_id IS NOT NULL) UNION ALL SELECT DISTINCT 'error', l.task_id || ': label repo_id != task repo_id' FROM l JOIN t USING (task_id) WHERE t.repo_id IS NOT NULL AND l.repo_id IS DISTINCT FROM t.repo_id
         UNION ALL SELECT 'error', task_id || ': invalid label ''' || label || ''' for ' || coalesce(path, '') FROM l WHERE label NOT IN ('primary', 'acceptable', 'supporting', 'irrelevant') UNION ALL SELECT 'error', task_id || ': label entry missing path' FROM l WHERE path IS NULL OR path = ''
         UNION ALL SELECT 'error', task_id || ': path must be repo-relative forward-slash: ' || path FROM l WHERE path LIKE '/%' UNION ALL SELECT 'warning', task_id || ': no labels' FROM t WHERE task_id NOT IN (SELECT task_id FROM l) AND upper(task_id) NOT LIKE 'EXAMPLE%'""",
 }

@@ -14,8 +14,12 @@ from ..operators import edges as E
 from ..operators import evaluate as V
 from ..operators import extract as N
 from ..operators import graph as G
+from ..operators import imports as I
+from ..operators import index as K
+from ..operators import inputs as J
 from ..operators import lexical as L
 from ..operators import rank as R
+from ..operators import references as Y
 from ..operators import scan as C
 from ..operators import vector as X
 from ..sources import model as M
@@ -23,9 +27,8 @@ from ..sources import model as M
 #: What the fixed queries ask for.
 PHRASE, WORDS, FILE_QUERY = "apache license", "the version", "core doc"
 INCLUDE, EXCLUDE = ["*.rs", "**/core/*.py", "docs/**/*.{md,txt}"], ["lib/**", "*_1?.rs"]
-SYMBOL, FOCUS, QUERY_VECTOR = "SMALL_ring", "nation/3", 0
-#: An import of a file is resolved to the next file of its source, so many numbers on at most.
-IMPORT_REACH = 40
+SYMBOL, FOCUS = "SMALL_ring", "nation/3"
+IDENTIFIER = "ApacheLicense"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -93,39 +96,41 @@ def glob_filter(spark, d):
     return M.files(spark, d).where(globs.kept(F.col("path"), INCLUDE, EXCLUDE)).select("path")
 
 
-def _lines(spark, d):
-    return M.lines(M.files(spark, d))
+def _lines(spark, d, query, phrase_only=False):
+    """Lines of the files that can match."""
+    q = C.Query(query)
+    return C.lines_of(M.files(spark, d), [q.phrase] if phrase_only else [q.phrase, *q.patterns])
 
 
 @query
 def line_scan(spark, d):
-    return C.line_scan(_lines(spark, d), [PHRASE])
+    return C.line_scan(_lines(spark, d, PHRASE, True), [PHRASE])
 
 
 @query
 def scan_two_pass(spark, d):
-    return C.two_pass(_lines(spark, d), C.Query(PHRASE))
+    return C.two_pass(_lines(spark, d, PHRASE), C.Query(PHRASE))
 
 
 @query
 def scan_coverage(spark, d):
-    return C.coverage(C.two_pass(_lines(spark, d), C.Query(PHRASE)))
+    return C.coverage(C.two_pass(_lines(spark, d, PHRASE), C.Query(PHRASE)))
 
 
 @query
 def baseline_match_rank(spark, d):
-    return C.baseline_ranking(_lines(spark, d), C.Query(WORDS))
+    return C.baseline_ranking(_lines(spark, d, WORDS), C.Query(WORDS))
 
 
 @query
 def match_clusters(spark, d):
-    found = C.clusters(C.two_pass(_lines(spark, d), C.Query(WORDS)))
+    found = C.clusters(C.two_pass(_lines(spark, d, WORDS), C.Query(WORDS)))
     return found.select("path", F.col("cluster").cast("long").alias("cluster"), "start_line", "end_line", F.size("items").alias("n"))
 
 
 @query
 def line_ranges(spark, d):
-    return C.line_ranges(C.two_pass(_lines(spark, d), C.Query(WORDS)))
+    return C.line_ranges(C.two_pass(_lines(spark, d, WORDS), C.Query(WORDS)))
 
 
 @query
@@ -155,17 +160,17 @@ def bm25_topk(spark, d):
 
 @query
 def find_lexical(spark, d):
-    return R.find(_lines(spark, d), PHRASE)
+    return R.find(_lines(spark, d, PHRASE), PHRASE)
 
 
 @query
 def find_match_all(spark, d):
-    return R.find(_lines(spark, d), WORDS, match="all", roles=["source", "doc"])
+    return R.find(_lines(spark, d, WORDS), WORDS, match="all", roles=["source", "doc"])
 
 
 @query
 def find_indexed(spark, d):
-    return R.find_indexed(_lines(spark, d), M.files(spark, d), PHRASE)
+    return R.find_indexed(_lines(spark, d, PHRASE), M.files(spark, d), PHRASE)
 
 
 @query
@@ -210,7 +215,7 @@ def test_edges(spark, d):
 
 def _token_files(spark, d):
     """Files named by their parts' names, so that stems share tokens."""
-    part = M.read(spark, d, "part").where("p_size % 2 = 0")
+    part = M.read(spark, d, "part")
     name = F.regexp_replace("p_name", " ", "_")
     test = F.concat(F.lit("src/t/test_"), name, F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".rs"))
     source = F.concat(F.lit("src/s/"), name, F.lit(".rs"))
@@ -224,9 +229,9 @@ def config_edges(spark, d):
 
 @query
 def import_resolve(spark, d):
-    docs = M.read(spark, d, "documents").select("doc_id", "source")
-    near = F.transform(F.sequence(F.lit(1), F.lit(IMPORT_REACH)), lambda k: M.doc_path(F.col("doc_id") + k, F.col("source")))
-    asked = docs.select(M.doc_path(F.col("doc_id"), F.col("source")).alias("from_file"), F.col("doc_id").cast("string").alias("spec"), near.alias("options"))
+    docs = M.next_of_source(M.read(spark, d, "documents")).where("next_id is not null")
+    target = M.doc_path(F.col("next_id"), F.col("source"))
+    asked = docs.select(M.doc_path(F.col("doc_id"), F.col("source")).alias("from_file"), F.col("doc_id").cast("string").alias("spec"), F.array(F.concat(target, F.lit("x")), target).alias("options"))
     return E.resolve(asked, M.files(spark, d))
 
 
@@ -252,7 +257,12 @@ def blast_impact(spark, d):
 
 @query
 def blast_risk(spark, d):
-    return G.risk(M.symbol_refs(spark, d), "stale")
+    return G.risk(M.symbol_refs(spark, d), "stale", _unused(spark, d))
+
+
+def _unused(spark, d):
+    """(symbol_name, same_area): every symbol, and whether an area connects its file."""
+    return M.symbols(spark, d).groupBy(F.col("name").alias("symbol_name")).agg(F.max((F.col("kind") == "module").cast("int")).alias("same_area"))
 
 
 def _vectors(spark, d):
@@ -340,6 +350,7 @@ def eval_validate(spark, d):
         F.concat(F.lit("task_"), (F.col("doc_id") % 60).cast("string")).alias("task_id"), F.concat(F.lit("repo"), (F.col("doc_id") % 60 % 3).cast("string")).alias("repo_id"),
         F.when(F.col("doc_id") % 11 == 0, "/abs").when(F.col("doc_id") % 13 != 0, "src/a.rs").alias("path"), F.when(F.col("toxic") == 1, "bad").otherwise("primary").alias("label"),
     )
+    tasks = tasks.withColumn("task_id", F.when(F.col("item_id") % 17 != 16, F.col("task_id")))
     return V.violations(tasks, labels)
 
 
@@ -372,3 +383,171 @@ def semantic_wins(spark, d):
 @query
 def task_counts(spark, d):
     return M.tasks(spark, d).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def find_report(spark, d):
+    return R.find_report(_lines(spark, d, WORDS), WORDS)
+
+
+def _facts(spark, d):
+    return M.doc_symbols(spark, d), M.doc_refs(spark, d), M.doc_edges(spark, d)
+
+
+@query
+def find_with_signals(spark, d):
+    return R.find_indexed(_lines(spark, d, PHRASE), M.files(spark, d), PHRASE, "stale", *_facts(spark, d))
+
+
+@query
+def find_indexed_report(spark, d):
+    return R.find_indexed_report(_lines(spark, d, IDENTIFIER), M.files(spark, d), IDENTIFIER, "fresh", *_facts(spark, d))
+
+
+@query
+def line_contexts(spark, d):
+    code = M.rust_lines(spark, d)
+    return Y.line_contexts(code, N.symbols(code))
+
+
+@query
+def symbol_ref_contexts(spark, d):
+    code = M.rust_lines(spark, d)
+    return Y.symbol_references(code, _as_symbols(N.symbols(code)))
+
+
+def _as_symbols(found):
+    return found.withColumnRenamed("path", "file_path")
+
+
+@query
+def module_uses(spark, d):
+    code = M.rust_lines(spark, d)
+    return Y.module_uses(code, N.symbols(code).where("kind = 'struct'").select(F.col("name").alias("module")))
+
+
+@query
+def import_edges(spark, d):
+    return I.import_edges(M.importing_lines(spark, d), M.importing_files(spark, d))
+
+
+@query
+def import_bindings(spark, d):
+    return I.import_bindings(M.importing_lines(spark, d), M.importing_files(spark, d))
+
+
+@query
+def binding_refs(spark, d):
+    code = M.importing_lines(spark, d)
+    return Y.binding_references(I.import_bindings(code, M.importing_files(spark, d)), _as_symbols(N.symbols(code)))
+
+
+@query
+def manifest_edges(spark, d):
+    return I.manifest_edges(M.manifests(spark, d))
+
+
+@query
+def file_evidence(spark, d):
+    return G.file_evidence(M.doc_edges(spark, d), M.doc_refs(spark, d))
+
+
+@query
+def file_risk(spark, d):
+    return G.file_risk(G.file_evidence(M.doc_edges(spark, d), M.doc_refs(spark, d)), "stale")
+
+
+@query
+def file_symbols(spark, d):
+    return G.file_symbols(M.symbols(spark, d))
+
+
+@query
+def best_symbol(spark, d):
+    return G.best_symbol(M.symbols(spark, d))
+
+
+@query
+def symbol_uses(spark, d):
+    return G.symbol_uses(M.symbols(spark, d), M.symbol_refs(spark, d))
+
+
+@query
+def shown_refs(spark, d):
+    return G.shown_refs(M.symbol_refs(spark, d))
+
+
+@query
+def shown_edges(spark, d):
+    return G.shown_edges(M.edges(spark, d))
+
+
+@query
+def reason_summary(spark, d):
+    return G.reason_summary(M.edges(spark, d), M.symbol_refs(spark, d), _focus(spark, FOCUS))
+
+
+@query
+def inspection_order(spark, d):
+    return G.inspection_order(_focus(spark, FOCUS), blast_impact(spark, d))
+
+
+@query
+def impact_share(spark, d):
+    return G.share_of_best(blast_impact(spark, d)).select("path", "score", "share")
+
+
+@query
+def area_edges(spark, d):
+    first = M.files(spark, d).where(roles.index_role(F.col("path")) == "source").agg(F.min("path").alias("path"))
+    return E.area_edges(M.files(spark, d), first)
+
+
+@query
+def semantic_documents(spark, d):
+    docs = X.documents(M.files(spark, d), M.doc_symbols(spark, d), roles.index_role(F.col("path")))
+    return docs.select("path", F.length("document").alias("n_chars"), F.md5(F.col("document").cast("binary")).alias("document_md5"))
+
+
+@query
+def semantic_symbol_guard(spark, d):
+    return X.guard(X.fuse(_candidates(spark, d).withColumn("symbol_anchor", F.col("path").endswith("7")), _nearest(spark, d)))
+
+
+@query
+def index_files(spark, d):
+    rows = K.indexed_files(K.walked(M.files(spark, d)))
+    return rows.select("path", "role", "size_bytes", F.col("content_hash").isNotNull().alias("hashed"), F.coalesce("doc_length", F.lit(-1)).alias("doc_length"), F.coalesce(F.size("terms"), F.lit(-1)).alias("n_terms"))
+
+
+@query
+def scan_pruned(spark, d):
+    urls = M.read(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    named = M.read(spark, d, "part").select(F.concat(M.pick(["target", "a/build", "src/distance", ".git/x", "b/.hidden", "node_modules/c", "ok"], F.col("p_partkey")), F.lit("/"), F.regexp_replace("p_name", " ", "."), M.pick([".rs", ".exe", ".DLL"], F.col("p_size"))).alias("path"))
+    every = urls.unionByName(named).distinct()
+    kept = lambda df, name: df.select("path", F.lit(True).alias(name))
+    return every.join(kept(K.pruned(every), "scanned"), "path", "left").join(kept(K.walked(every), "indexed"), "path", "left").na.fill(False)
+
+
+@query
+def index_state(spark, d):
+    k = F.col("p_partkey")
+    rev = lambda n: F.when(k % n != 0, F.concat(F.lit("r"), (k % 5).cast("string")))
+    return M.read(spark, d, "part").select("p_partkey", K.state(rev(7), F.when(k % 3 == 0, F.lit("r1")).otherwise(rev(4)), k % 13 != 0).alias("state"))
+
+
+@query
+def eval_found_json(spark, d):
+    return J.found_paths(M.found_json(spark, d)).select("run", "ok", F.array_join("paths", ",").alias("paths"), "semantic_status")
+
+
+@query
+def eval_task_json(spark, d):
+    rows = J.required(J.json_rows(M.task_json(spark, d), "task_id string, repo_id string, query string"), ["task_id", "repo_id"])
+    labelled = M.read(spark, d, "labels").where("quality = 1").select(F.concat(F.lit("task_"), F.col("doc_id").cast("string")).alias("task_id"))
+    return J.selected(rows, ["repo1", "repo2"], labelled)
+
+
+@query
+def eval_fan_out(spark, d):
+    return J.fan_out(M.ranked(spark, d), "B", ["C", "D"])

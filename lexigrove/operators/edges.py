@@ -31,22 +31,25 @@ def area_edges(files: DataFrame, focus: DataFrame) -> DataFrame:
 def test_edges(files: DataFrame, limit: int = 3) -> DataFrame:
     """(src, dst, confidence, reason): tests and the first source files, by path, whose stem they share.
 
-    An equal stem or a shared stem token makes a pair: two equi-joins in place of comparing all.
+    An equal stem or a shared stem token makes a pair. A test's first sources
+    are among the first of each of its tokens, so only these are joined: no
+    token, however common, makes more than ``limit`` pairs a test.
     """
     roles = with_roles(files)
-    tests = roles.where("role = 'test'").select(F.col("path").alias("src"), T.test_stem(F.col("path")).alias("stem"))
-    sources = roles.where("role = 'source'").select(F.col("path").alias("dst"), T.stem(F.col("path")).alias("stem"))
-    exact = tests.join(sources, "stem").select("src", "dst", F.lit(0).alias("overlap"), F.lit(1).alias("exact"))
-    left = tests.select("src", F.explode(T.path_tokens(F.col("stem"))).alias("token"))
-    right = sources.select("dst", F.explode(F.array_distinct(T.path_tokens(F.col("stem")))).alias("token"))
-    overlap = left.join(right, "token").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("int").alias("overlap")).withColumn("exact", F.lit(0))
-    pairs = exact.unionByName(overlap).groupBy("src", "dst").agg(F.max("overlap").alias("overlap"), F.max("exact").alias("exact"))
-    first = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("rn") <= limit)
-    return first.select(
+    keys = lambda stem: F.array_distinct(F.concat(T.path_tokens(stem), F.array(F.concat(F.lit("="), stem))))
+    sources = roles.where("role = 'source'").select(F.col("path").alias("dst"), F.explode(keys(T.stem(F.col("path")))).alias("key"))
+    first = sources.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("dst"))).where(F.col("rn") <= limit).drop("rn")
+    tests = roles.where("role = 'test'").select(F.col("path").alias("src"), F.explode(keys(T.test_stem(F.col("path")))).alias("key"))
+    pairs = tests.join(first, "key").select("src", "dst").distinct()
+    nearest = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("rn") <= limit)
+    left, right = T.test_stem(F.col("src")), T.stem(F.col("dst"))
+    shared = T.let(T.path_tokens(right), lambda r: F.size(F.filter(T.path_tokens(left), lambda t: F.array_contains(r, t))))
+    found = nearest.select("src", "dst", (left == right).alias("exact"), shared.alias("overlap"))
+    return found.select(
         "src",
         "dst",
-        F.when(F.col("exact") == 1, "extracted").when(F.col("overlap") >= 2, "inferred").otherwise("ambiguous").alias("confidence"),
-        F.when(F.col("exact") == 1, "filename stem matches").otherwise(F.concat(F.lit("shared stem tokens: "), F.col("overlap").cast("string"))).alias("reason"),
+        F.when(F.col("exact"), "extracted").when(F.col("overlap") >= 2, "inferred").otherwise("ambiguous").alias("confidence"),
+        F.when(F.col("exact"), "filename stem matches").otherwise(F.concat(F.lit("shared stem tokens: "), F.col("overlap").cast("string"))).alias("reason"),
     )
 
 

@@ -50,11 +50,10 @@ def per_task(ranked: DataFrame, judged: DataFrame, runs: DataFrame) -> DataFrame
 
 def summary(scored: DataFrame) -> DataFrame:
     """Means over three groupings in one pass: by mode, by repository and mode, by task type and mode."""
-    scored.createOrReplaceTempView("_scored")
-    means = ", ".join(f"round(avg({m}) + 1e-9, 6) AS {m}" for m in METRICS)  # a tie of the last digit can't go either way
-    return scored.sparkSession.sql(
-        f"""SELECT repo_id, task_type, mode, count(*) AS n, sum(CAST(miss AS INT)) AS misses, {means}, round(avg(CASE WHEN json_parse_ok THEN 1.0D ELSE 0.0D END), 6) AS json_ok
-        FROM _scored GROUP BY GROUPING SETS ((mode), (repo_id, mode), (task_type, mode))"""
+    means = [r6(F.avg(m) + 1e-9, m) for m in METRICS]  # a tie of the last digit can't go either way
+    mode, repo, kind = map(F.col, ("mode", "repo_id", "task_type"))
+    return scored.groupingSets([(mode,), (repo, mode), (kind, mode)], repo, kind, mode).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("miss").cast("int")).alias("misses"), *means, r6(F.avg(F.when(F.col("json_parse_ok"), 1.0).otherwise(0.0)), "json_ok")
     )
 
 
@@ -116,13 +115,15 @@ def violations(tasks: DataFrame, labels: DataFrame) -> DataFrame:
     text = lambda *c: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c])
     tid, missing = F.col("task_id"), lambda c: F.col(c).isNull() | (F.col(c) == "")
     error = lambda df, when, message: df.where(when).select(F.lit("error").alias("severity"), message.alias("message"))
-    known = tasks.select("task_id", F.col("repo_id").alias("task_repo"))
+    name = F.coalesce(tid, F.lit("None"))  # how a missing id is written
+    known = tasks.where(tid.isNotNull()).select("task_id", F.col("repo_id").alias("task_repo"))
     joined = labels.join(known, "task_id", "left")
     path = F.col("path")
     absolute = path.startswith("/") | path.contains("\\") | (F.substring(path, 2, 1) == ":")
     rows = [
-        error(tasks, missing("repo_id"), text(tid, ": missing repo_id")),
-        error(tasks, missing("query"), text(tid, ": missing query")),
+        error(tasks, missing("task_id"), F.lit("task missing task_id")),
+        error(tasks, missing("repo_id"), text(name, ": missing repo_id")),
+        error(tasks, missing("query"), text(name, ": missing query")),
         error(labels.join(known, "task_id", "left_anti"), F.lit(True), text("label references unknown task_id: ", tid)).distinct(),
         error(joined, F.col("task_repo").isNotNull() & ~F.col("repo_id").eqNullSafe(F.col("task_repo")), text(tid, ": label repo_id != task repo_id")).distinct(),
         error(labels, ~F.coalesce(F.col("label").isin(list(S.GAIN)), F.lit(False)), text(tid, ": invalid label '", F.coalesce("label", F.lit("")), "' for ", F.coalesce(path, F.lit("")))),

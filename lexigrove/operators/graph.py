@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -115,23 +115,153 @@ def impact(edges: DataFrame, refs: DataFrame, focus: DataFrame) -> DataFrame:
     return _rolled(every, F.min("category").alias("category")).select("path", "role", name.alias("context"), "score", level_name(F.col("level")).alias("confidence"), "reasons")
 
 
-def risk(refs: DataFrame, status: str = "fresh") -> DataFrame:
-    """(symbol_name, level, reasons): risk of changing each symbol, from the files that use it."""
+def _several(n: Column, one: str, many: str) -> Column:
+    return F.when(n == 1, one).otherwise(many)
+
+
+def _joined(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _test_users(tr: Column, tf: Column) -> Column:
+    return _joined(tr, S.RISK["tests"], tf, " ", _several(tf, "file", "files"))
+
+
+def _status(status: str) -> Column:
+    return F.lit(None).cast("string") if status == "fresh" else F.lit(S.RISK["status"] + status)
+
+
+def risk(refs: DataFrame, status: str = "fresh", areas: DataFrame | None = None) -> DataFrame:
+    """(symbol_name, level, reasons): risk of changing each symbol, from the files that use it.
+
+    ``areas``: (symbol_name) of symbols that nothing but the area of their file connects, and symbols without any user.
+    """
     n = F.col("additional_count") + 1
     prod, test = F.col("context") == "production", F.col("context").isin("test", "fixture")
     sums = refs.groupBy("symbol_name").agg(
         F.count_distinct(F.when(prod, F.col("from_file"))).alias("pf"), F.coalesce(F.sum(F.when(prod, n)), F.lit(0)).alias("pr"),
-        F.count_distinct(F.when(test, F.col("from_file"))).alias("tf"), F.coalesce(F.sum(F.when(test, n)), F.lit(0)).alias("tr"),
+        F.count_distinct(F.when(test, F.col("from_file"))).alias("tf"), F.coalesce(F.sum(F.when(test, n)), F.lit(0)).alias("tr"), F.count(F.lit(1)).alias("n_refs"),
     )
-    s = lambda c: F.col(c).cast("string")
-    files = lambda c: F.when(F.col(c) == 1, "file").otherwise("files")
-    tests = F.concat(s("tr"), F.lit(" test/fixture references across "), s("tf"), F.lit(" "), files("tf"))
-    high = F.concat(s("pf"), F.lit(" production files have direct symbol users ("), s("pr"), F.lit(" production references)"))
-    medium = F.concat(
-        s("pf"), F.lit(" production "), files("pf"), F.when(F.col("pf") == 1, " has").otherwise(" have"), F.lit(" direct symbol users ("), s("pr"),
-        F.lit(" production "), F.when(F.col("pr") == 1, "reference").otherwise("references"), F.lit(")"),
+    if areas is None:
+        sums = sums.withColumn("same_area", F.lit(0))
+    else:
+        sums = sums.join(areas.select("symbol_name", "same_area"), "symbol_name", "full_outer").na.fill(0, ["pf", "pr", "tf", "tr", "n_refs", "same_area"])
+    pf, pr, tf, tr = map(F.col, ("pf", "pr", "tf", "tr"))
+    high = _joined(pf, S.RISK["high"], pr, S.RISK["references"])
+    medium = _joined(pf, " production ", _several(pf, "file", "files"), _several(pf, " has", " have"), S.RISK["medium"], pr, " production ", _several(pr, "reference", "references"), ")")
+    tests = (tf > 0) | (tr > 0)
+    first = F.when(pf >= 3, high).when(pf > 0, medium)
+    rest = F.when(pf > 0, F.when(tr > 0, _test_users(tr, tf))).when(tests, _test_users(tr, tf)).when(F.col("same_area") > 0, S.RISK["area"]).when(F.col("n_refs") == 0, S.RISK["no_symbol_users"])
+    return sums.select("symbol_name", F.when(pf >= 3, "high").when(pf > 0, "medium").otherwise("low").alias("level"), F.array_join(F.array_compact(F.array(first, rest, _status(status))), "; ").alias("reasons"))
+
+
+def file_evidence(edges: DataFrame, refs: DataFrame) -> DataFrame:
+    """One row a file that anything points to: who uses it, by kind of use.
+
+    Symbol users come from references of other files, module users from files
+    that import, reference, declare or configure it, counted once each.
+    """
+    n = F.col("additional_count") + 1
+    users = refs.where("target_file is not null and from_file <> target_file").select(
+        F.col("target_file").alias("path"), F.col("from_file").alias("user"),
+        F.when(F.col("context") == "production", 0).when(F.col("context").isin("test", "fixture"), 1).otherwise(3).alias("category"),
+        n.alias("n"), F.lit(False).alias("module"),
+    )
+    of_edge = F.when(F.col("edge_type") == "same_area", 2).when(F.col("edge_type") == "likely_test_for", 1).otherwise(0)
+    module = F.col("edge_type").isin("imports", "references", "declares_module", "configures")
+    ends = lambda a, b: [F.col(a).alias("path"), F.col(b).alias("user"), of_edge.alias("category"), F.lit(0).alias("n"), module.alias("module")]
+    inbound = edges.where("src <> dst").select(*ends("dst", "src"))
+    area = edges.where("edge_type = 'same_area' and src <> dst").select(*ends("src", "dst"))
+    by_user = users.unionByName(inbound).unionByName(area).groupBy("path", "user").agg(
+        F.min("category").alias("best"), F.max("module").alias("module"),
+        *[F.sum(F.when(F.col("category") == c, F.col("n")).otherwise(0)).alias(name) for c, name in ((0, "pr"), (1, "tr"), (3, "ur"))],
     )
-    first = F.when(F.col("pf") >= 3, high).when(F.col("pf") > 0, medium)
-    also = F.when(F.col("tr") > 0, tests)
-    stale = F.lit(None).cast("string") if status == "fresh" else F.lit(f"index status is {status}")
-    return sums.select("symbol_name", F.when(F.col("pf") >= 3, "high").when(F.col("pf") > 0, "medium").otherwise("low").alias("level"), F.array_join(F.array_compact(F.array(first, also, stale)), "; ").alias("reasons"))
+    one = lambda when: F.sum(when.cast("int"))
+    in_module = (F.col("best") == 0) & F.col("module")
+    return by_user.groupBy("path").agg(
+        one(F.col("pr") > 0).alias("symbol_files"), F.sum("pr").alias("symbol_references"), one(in_module).alias("module_files"), one((F.col("pr") > 0) | in_module).alias("production_files"),
+        one((F.col("tr") > 0) | (F.col("best") == 1)).alias("test_files"), F.sum("tr").alias("test_references"), one(F.col("best") == 2).alias("area_files"), F.sum("ur").alias("unknown_references"), one(F.col("ur") > 0).alias("unknown_files"),
+    )
+
+
+def file_risk(evidence: DataFrame, status: str = "fresh") -> DataFrame:
+    """(path, level, reasons): risk of changing each file, from its evidence."""
+    c = F.col
+    symbols = F.when(c("symbol_references") > 0, _joined(c("symbol_references"), " production symbol ", _several(c("symbol_references"), "reference", "references"), " across ", c("symbol_files"), " ", _several(c("symbol_files"), "file", "files")))
+    modules = F.when(c("module_files") > 0, _joined(c("module_files"), " production file/module ", _several(c("module_files"), "user", "users"), " across ", c("module_files"), " ", _several(c("module_files"), "file", "files")))
+    p = c("production_files")
+    inbound = _joined(p, " production ", _several(p, "file", "files"), _several(p, " has", " have"), S.RISK["inbound"], F.array_join(F.array_compact(F.array(symbols, modules)), "; "), ")")
+    tests = _test_users(c("test_references"), c("test_files"))
+    no_refs = (c("symbol_references") + c("test_references") + c("unknown_references")) == 0
+    rest = F.when(p > 0, F.when(c("test_references") > 0, tests)).when((c("test_files") > 0) | (c("test_references") > 0), tests).when(c("area_files") > 0, S.RISK["area"]).when(no_refs, S.RISK["no_file_users"])
+    reasons = F.array_join(F.array_compact(F.array(F.when(p > 0, inbound), rest, _status(status))), "; ")
+    return evidence.select("path", F.when(p >= 3, "high").when(p > 0, "medium").otherwise("low").alias("level"), reasons.alias("reasons"))
+
+
+def file_symbols(symbols: DataFrame, limit: int | None = S.DISPLAY_LIMIT) -> DataFrame:
+    """(file_path, pos, name, kind, line_number): the public symbols of each file by importance; ``limit`` of them."""
+    wanted = symbols.where((F.col("visibility") == "public") & F.col("kind").isin(S.IMPACT_KINDS))
+    order = Window.partitionBy("file_path").orderBy(rank_of(F.col("kind"), S.KIND_ORDER), "line_number", "name")
+    numbered = wanted.withColumn("pos", F.row_number().over(order))
+    return (numbered if limit is None else numbered.where(F.col("pos") <= limit)).select("file_path", "pos", "name", "kind", "line_number")
+
+
+def best_symbol(symbols: DataFrame) -> DataFrame:
+    """(file_path, name, line_number): the symbol that stands for a file: by kind, public before private, then line and name."""
+    priority = rank_of(F.col("kind"), S.KIND_ORDER) * 10 + F.when(F.col("visibility") == "private", 100).otherwise(0)
+    return symbols.groupBy("file_path").agg(F.min(F.struct(priority.alias("p"), "line_number", "name")).alias("x")).select("file_path", "x.name", "x.line_number")
+
+
+def inspection_order(focus: DataFrame, impacted: DataFrame) -> DataFrame:
+    """(pos, path): focus paths, then what a change of them reaches, nearest first. The result is a user's reading list."""
+    level = rank_of(F.col("confidence"), ["high", "medium", "low"])
+    first = focus.select(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0.0).alias("c"), F.lit(0).alias("d"), "path")
+    rest = impacted.join(F.broadcast(focus.select("path")), "path", "left_anti").select(F.lit(1).alias("a"), rank_of(F.col("context"), S.IMPACT_ORDER).alias("b"), (-F.col("score")).alias("c"), level.alias("d"), "path")
+    order = Window.orderBy("a", "b", "c", "d", "path")
+    return first.unionByName(rest).withColumn("pos", F.row_number().over(order)).select("pos", "path")
+
+
+def share_of_best(scored: DataFrame) -> DataFrame:
+    """``scored`` with ``share``: the score as a part of the highest, at most 1; 0 if that is not positive."""
+    best = scored.agg(F.max("score").alias("best"))
+    share = F.when(F.col("best") > 0, F.least(F.col("score") / F.col("best"), F.lit(1.0))).otherwise(0.0)
+    return scored.join(F.broadcast(best)).withColumn("share", F.round(share, 6)).drop("best")  # one row
+
+
+def reason_summary(edges: DataFrame, refs: DataFrame, focus: DataFrame) -> DataFrame:
+    """(path, label, n, weight): why each neighbour of the focus paths is related: how often each reason occurs, and its highest weight."""
+    f = F.broadcast(focus.select("path").distinct())  # the paths that a user asks about
+    label = F.when(F.col("edge_type") == "same_area", "same_area").otherwise(F.concat(F.col("edge_type"), F.lit(": "), F.col("reason")))
+    by = F.concat(F.col("symbol_name"), F.lit(" reference ("), F.col("context"), F.lit(")"))
+
+    def ends(df: DataFrame, mine: str, other: str, weight: Column, text: Column) -> DataFrame:
+        return df.join(f.select(F.col("path").alias(mine)), mine, "left_semi").where(F.col(other).isNotNull()).select(F.col(other).alias("path"), text.alias("label"), weight.alias("weight"))
+
+    every = (
+        ends(edges, "src", "dst", edge_weight(), label)
+        .unionByName(ends(edges.where("src <> dst"), "dst", "src", edge_weight(), label))
+        .unionByName(ends(refs, "from_file", "target_file", ref_weight(), by))
+        .unionByName(ends(refs.where("from_file <> target_file"), "target_file", "from_file", ref_weight(), by))
+    )
+    return every.join(f, "path", "left_anti").groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
+
+
+def shown_refs(refs: DataFrame) -> DataFrame:
+    """(from_file, context, target_file, confidence, symbol_name, line_number, more): one reference stands for those of a file, context and target."""
+    order = F.struct(rank_of(F.col("confidence"), S.CONFIDENCE_ORDER).alias("a"), "line_number", "symbol_name", "reason")
+    return refs.groupBy("from_file", "context", "target_file").agg(
+        F.min_by(F.struct("confidence", "symbol_name", "line_number"), order).alias("x"), (F.sum(F.col("additional_count") + 1) - 1).alias("more")
+    ).select("from_file", "context", "target_file", "x.confidence", "x.symbol_name", "x.line_number", "more")
+
+
+def symbol_uses(symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """(name, file_path, n_uses, n_files): every definition with the references to it."""
+    uses = refs.groupBy(F.col("symbol_name").alias("name"), F.col("target_file").alias("file_path")).agg(F.sum(F.col("additional_count") + 1).alias("n_uses"), F.count_distinct("from_file").alias("n_files"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return symbols.select("name", "file_path").distinct().join(uses, ["name", "file_path"], "left").select("name", "file_path", zero("n_uses"), zero("n_files"))
+
+
+def shown_edges(edges: DataFrame, limit: int = S.DISPLAY_LIMIT) -> DataFrame:
+    """(dst, pos, edge_type, src, reason): the first edges into each file, by kind, ends and reason."""
+    order = Window.partitionBy("dst").orderBy(rank_of(F.col("edge_type"), S.EDGE_ORDER), "edge_type", "src", "reason")
+    return edges.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("dst", "pos", "edge_type", "src", "reason")

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.text import lexical_terms
+from ..functions import text as T
+
 
+def lexical_rows(files: DataFrame, limit: int = S.TERMS_PER_FILE) -> DataFrame:
+    """(path, doc_length, terms): what an index stores of a file; all tokens count towards the length, the commonest are kept.
 
-def tokens(files: DataFrame) -> DataFrame:
-    """(path, term), one row for each occurrence."""
-    return files.select("path", F.explode(lexical_terms(F.col("text"))).alias("term"))
+    A file is one row, so its terms are counted in it and nothing is shuffled.
+    """
+    both = T.let(T.lexical_terms(F.col("text")), lambda t: F.struct(F.size(t).alias("doc_length"), T.term_counts(t, limit).alias("terms")))
+    return files.select("path", both.alias("lex")).select("path", "lex.doc_length", "lex.terms")
 
 
 def doc_lengths(files: DataFrame) -> DataFrame:
     """(path, doc_length): all tokens count, also those beyond the kept terms."""
-    return files.select("path", F.size(lexical_terms(F.col("text"))).alias("doc_length"))
+    return files.select("path", F.size(T.lexical_terms(F.col("text"))).alias("doc_length"))
 
 
 def postings(files: DataFrame, limit: int = S.TERMS_PER_FILE) -> DataFrame:
     """(path, term, tf): the commonest terms of each file, ties by term."""
-    counts = tokens(files).groupBy("path", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    order = Window.partitionBy("path").orderBy(F.desc("tf"), "term")
-    return counts.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit).select("path", "term", "tf")
+    return lexical_rows(files, limit).select("path", F.explode("terms").alias("x")).select("path", "x.term", "x.tf")
 
 
 def index_stats(files: DataFrame) -> DataFrame:
@@ -44,15 +49,26 @@ def bm25_term(tf: Column, df: Column, n: Column, length: Column, average: Column
 
 
 def bm25(files: DataFrame, terms: list[str]) -> DataFrame:
-    """(path, score): BM25 of the query's terms; repeated query terms count again."""
-    posts, lengths, stats = postings(files), doc_lengths(files), index_stats(files)
-    repeat = F.lit(0)
-    for t in dict.fromkeys(terms):
-        repeat = F.when(F.col("term") == t, F.lit(terms.count(t))).otherwise(repeat)
-    hits = posts.where(F.col("term").isin(terms)).join(document_frequency(posts, terms), "term").join(lengths, "path").join(F.broadcast(stats))
-    # stats is one row
-    part = bm25_term(F.col("tf"), F.col("df"), F.col("lex_file_count").cast("double"), F.col("doc_length"), F.col("avg_doc_length")) * repeat
-    return hits.where("avg_doc_length > 0 and doc_length > 0").withColumn("part", part).groupBy("path").agg(F.sum("part").alias("score"))
+    """(path, score, lex_file_count, lexical_terms): BM25 of the query's terms; repeated query terms count again.
+
+    One pass counts files, lengths and the terms' files into one row; the other
+    scores the files that can hold a term.
+    """
+    wanted = list(dict.fromkeys(terms))
+    rows = lexical_rows(files)
+    tf = lambda t: F.get(F.filter("terms", lambda x: x["term"] == t), F.lit(0))["tf"]
+    stats = rows.agg(
+        F.count(F.lit(1)).alias("lex_file_count"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_doc_length"),
+        *[F.greatest(F.count(tf(t)), F.lit(1)).alias(f"df_{i}") for i, t in enumerate(wanted)],
+    )
+    low = T.ascii_lower(F.col("text"))
+    some = lexical_rows(files.where(reduce(or_, [low.contains(t) for t in wanted], F.lit(False)))).join(F.broadcast(stats))  # stats is one row
+    raw = F.lit(0.0)
+    for t in terms:
+        part = bm25_term(tf(t), F.col(f"df_{wanted.index(t)}"), F.col("lex_file_count").cast("double"), F.col("doc_length"), F.col("avg_doc_length"))
+        raw = raw + F.coalesce(part, F.lit(0.0))
+    held = reduce(or_, [tf(t).isNotNull() for t in wanted], F.lit(False))
+    return some.where((F.col("avg_doc_length") > 0) & (F.col("doc_length") > 0) & held).select("path", raw.alias("score"), "lex_file_count", F.array_join(F.filter(F.array(*[F.when(tf(t).isNotNull(), t) for t in terms]), lambda x: x.isNotNull()), ", ").alias("lexical_terms"))
 
 
 def top_k(scored: DataFrame, k: int = S.CANDIDATE_LIMIT) -> DataFrame:

@@ -25,6 +25,7 @@ class Query:
     lex_tokens: list[str] = field(init=False)
     patterns: list[str] = field(init=False)
     identifier_like: bool = field(init=False)
+    expansion: list[str] = field(init=False)
 
     def __post_init__(self) -> None:
         self.raw = self.raw.strip()
@@ -36,6 +37,14 @@ class Query:
         self.terms = sorted(set(parts))
         self.patterns = list(dict.fromkeys(parts + ([self.phrase] if len(self.phrase) > 1 else [])))
         self.identifier_like = any(x in self.raw for x in ("_", "--", "::", "/")) or bool(re.search("[A-Z]", self.raw)) or any(len(t.encode()) >= 6 and t in self.raw for t in self.terms)
+        self.expansion = self.terms if self.identifier_like and " " not in self.raw and len(self.terms) >= 2 else []
+
+
+def lines_of(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """(path, line_number, line) of the files that hold any of the strings; others are not split into lines."""
+    text = F.lower(F.col("text"))
+    some = files.where(reduce(or_, [text.contains(p) for p in patterns], F.lit(False)))
+    return some.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_number"), "line")
 
 
 def line_scan(lines: DataFrame, patterns: list[str], cap: int = S.MATCH_LIMIT) -> DataFrame:

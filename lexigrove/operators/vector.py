@@ -35,13 +35,39 @@ def fuse(candidates: DataFrame, semantic: DataFrame, annotate_only: bool = False
     known = F.col("score").isNotNull()
     total = F.col("score") if annotate_only else F.when(known, F.col("score") + F.lit(0.3) * sim).otherwise(F.lit(0.8) * sim)
     confidence = F.when(known, F.col("confidence")).when(sim >= 0.6, "medium").otherwise("low")
-    out = both.select("path", F.round(total, 6).alias("score"), confidence.alias("confidence"), (~known).alias("is_new"), F.coalesce("anchor", F.lit(False)).alias("anchor"))
+    out = both.select("path", F.round(total, 6).alias("score"), confidence.alias("confidence"), (~known).alias("is_new"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("anchor", "symbol_anchor") if c in candidates.columns])
     return out.orderBy(F.desc("score"), "path").limit(S.CANDIDATE_LIMIT)
 
 
 def guard(candidates: DataFrame) -> DataFrame:
-    """Candidates that are no anchor fall below the best anchor."""
-    best = candidates.agg(F.max(F.when(F.col("anchor"), F.col("score"))).alias("best"))
+    """Candidates that are no anchor fall below the best one: phrase anchors first, then symbol anchors (``symbol_anchor``, if given).
+
+    Both heights are taken before either cap.
+    """
+    kinds = [c for c in ("anchor", "symbol_anchor") if c in candidates.columns]
+    best = candidates.agg(*[F.max(F.when(F.col(c), F.col("score"))).alias(f"best_{c}") for c in kinds])
     out = candidates.join(F.broadcast(best))  # one row
-    capped = F.col("best").isNotNull() & ~F.col("anchor") & (F.col("score") >= F.col("best") - 1e-9)
-    return out.withColumn("score", F.when(capped, F.greatest(F.round(F.col("best") - 0.01, 6), F.lit(0.0))).otherwise(F.col("score"))).drop("best")
+    for c in kinds:
+        high = F.col(f"best_{c}")
+        capped = high.isNotNull() & ~F.col(c) & (F.col("score") >= high - 1e-9)
+        out = out.withColumn("score", F.when(capped, F.greatest(F.round(high - 0.01, 6), F.lit(0.0))).otherwise(F.col("score")))
+    return out.drop(*[f"best_{c}" for c in kinds])
+
+
+def is_identifier(query: str) -> bool:
+    """Whether a query is one identifier: an underscore, or an upper-case letter after the first character."""
+    return not any(c.isspace() for c in query) and ("_" in query or any(c.isupper() for c in query[1:]))
+
+
+def strong_symbol_anchor(role: Column, evidence: Column, is_fixture: Column, query: str) -> Column:
+    """A source or config file that defines the very symbol that is asked for, in whatever case."""
+    wanted = ("defines symbol " + query).lower()
+    return role.isin("source", "config") & ~is_fixture & F.exists(evidence, lambda x: (x["type"] == "indexed_symbol_definition") & (F.lower(x["detail"]) == wanted))
+
+
+def documents(files: DataFrame, symbols: DataFrame, role: Column) -> DataFrame:
+    """(path, document): what an embedding model reads of a file: path, role, symbols and the beginning of its text."""
+    names = symbols.groupBy(F.col("file_path").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    listed = F.when(F.col("names").isNotNull(), F.concat(F.lit("symbols: "), F.col("names"), F.lit("\n"))).otherwise(F.lit(""))
+    text = F.concat(F.lit("path: "), F.col("path"), F.lit("\nrole: "), role, F.lit("\n"), listed, F.lit("---\n"), F.substring(F.coalesce("text", F.lit("")), 1, S.PREVIEW_CHARS))
+    return files.join(names, "path", "left").select("path", text.alias("document"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,23 @@ def lines(of: DataFrame) -> DataFrame:
     return of.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_number"), "line")
 
 
+#: Ids that one window looks at when the next row of a source is sought.
+ID_RANGE = 4096
+
+
+def next_of_source(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, next_id): the next id of the same source, however far it is.
+
+    A source may hold a third of all rows, so it is cut into ranges of ids: the
+    next id is in the same range or the first of a later one.
+    """
+    ranged = docs.select("doc_id", "source", F.floor(F.col("doc_id") / ID_RANGE).alias("part"))
+    firsts = ranged.groupBy("source", "part").agg(F.min("doc_id").alias("first_id"))
+    later = firsts.select("source", "part", F.lead("first_id").over(Window.partitionBy("source").orderBy("part")).alias("later_id"))
+    here = F.lead("doc_id").over(Window.partitionBy("source", "part").orderBy("doc_id"))
+    return ranged.withColumn("here", here).join(later, ["source", "part"]).select("doc_id", "source", F.coalesce("here", "later_id").alias("next_id"))
+
+
 def _node(kind: str, key: str) -> Column:
     return F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"))
 
@@ -103,18 +122,19 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(task_id, item_id, path, doc_id, shared, weight): files that share long terms with a task, and the sum of their rarity.
 
-    Lists, labels and metrics are all derived from it, so it is kept; Spark takes an equal plan from the cache.
+    Lists, labels and metrics are all derived from it: the condition on both sums keeps the plan of each use
+    the same, so that Spark makes one shuffle for all of them.
     """
     long = lambda c: F.array_distinct(F.filter(lexical_terms(c), lambda t: F.octet_length(t) >= 8))
     docs = files(spark, sf_dir).select("path", "doc_id", F.explode(long(F.col("text"))).alias("term"))
     wanted = tasks(spark, sf_dir).select("task_id", "item_id", F.explode(long(F.col("query"))).alias("term"))
     hits = docs.join(wanted, "term")
     df = docs.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return hits.join(df, "term").groupBy("task_id", "item_id", "path", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum(F.lit(1.0) / F.col("df")), 6).alias("weight")).persist()
+    return hits.join(df, "term").groupBy("task_id", "item_id", "path", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum(F.lit(1.0) / F.col("df")), 6).alias("weight")).where("shared > 0 and weight > 0")
 
 
-def ranked(spark: SparkSession, sf_dir: str, depth: int = 10) -> DataFrame:
-    """(task_id, mode, pos, path): the lists of four modes, from plain counts to rarity with a quality bonus."""
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task_id, mode, pos, path): the whole lists of four modes, from plain counts to rarity with a quality bonus."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
     found = overlap(spark, sf_dir).join(labels, "doc_id", "left").withColumn("role", index_role(F.col("path")))
     values = {
@@ -126,7 +146,7 @@ def ranked(spark: SparkSession, sf_dir: str, depth: int = 10) -> DataFrame:
     score = F.array(*[F.struct(F.lit(m).alias("mode"), v.alias("s")) for m, v in values.items()])
     each = found.select("task_id", "path", F.explode(score).alias("x")).select("task_id", "path", "x.mode", F.round("x.s", 6).alias("s"))
     order = Window.partitionBy("task_id", "mode").orderBy(F.desc("s"), "path")
-    return each.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= depth).select("task_id", "mode", "pos", "path")
+    return each.withColumn("pos", F.row_number().over(order)).select("task_id", "mode", "pos", "path")
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,3 +187,120 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         end = F.when(F.col("p_partkey") % 4 == i, F.lit(ending)).otherwise(end)
     path = F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", ""), end)
     return read(spark, sf_dir, "part").select(path.alias("path"), F.col("p_partkey").cast("int").alias("line_number"), line.alias("line"))
+
+
+def _path_of(key: Column) -> Column:
+    """The source file of a part: folders and languages take turns."""
+    root = F.when(key % 4 == 3, "src/").otherwise("")
+    return F.concat(root, F.lit("pkg"), (F.floor(key / 4) % 5).cast("string"), F.lit("/m_"), key.cast("string"), pick([".py", ".ts", ".go", ".rs"], key))
+
+
+#: Lines of a source file of each language: imports of a neighbour in its folder ({a}) and one in the next folder ({b}, of {d}), and its own symbol ({k}).
+IMPORT_LINES = [
+    ["from .m_{a} import Sym_{a} as s, nothing", "import pkg{d}.m_{b}", "from ..pkg{d}.m_{b} import Sym_{b}", "class Sym_{k}:"],
+    ["import Sym_{a}, {{ Sym_{a} as t, other }} from './m_{a}'", "export * from '../pkg{d}/m_{b}'", "import {{ Sym_{b} }} from \"../pkg{d}/m_{b}.ts\"", "export class Sym_{k} {{"],
+    ["import \"pkg{d}/m_{b}\"", "import \"./m_{a}\"", "import \"fmt\"", "type Sym_{k} struct {{"],
+    ["use crate::pkg{d}::m_{b}::Sym_{b};", "use super::m_{a};", "use std::fmt;", "pub struct Sym_{k} {{"],
+]
+
+
+def importing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line_number, line): parts as source files that import each other."""
+    k = F.col("p_partkey")
+    value = {"a": k + 20, "b": k + 4, "d": (F.floor(k / 4) + 1) % 5, "k": k}
+    lines = F.lit(None).cast("array<string>")
+    for i, shapes in enumerate(IMPORT_LINES):
+        each = []
+        for shape in shapes:
+            bits = re.split(r"\{([abdk])\}", shape)
+            each.append(F.concat(*[value[b].cast("string") if j % 2 else F.lit(b.replace("{{", "{").replace("}}", "}")) for j, b in enumerate(bits)]))
+        lines = F.when(k % 4 == i, F.array(*each)).otherwise(lines)
+    return read(spark, sf_dir, "part").select(_path_of(k).alias("path"), F.posexplode(lines).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_number"), "line")
+
+
+def importing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(_path_of(F.col("p_partkey")).alias("path"))
+
+
+#: Lines of Rust test sections and of what stands around them; {n} is a part's name, {k} its key.
+TEST_LINES = [
+    "use crate::store::{{{n}, Other as O}};", "    let x: {n} = {n}::new();", "#[cfg(test)]", "#[test]", "    fn checks_{k}() {{", "    assert_eq!({n}::A, {n}::B); // {n}", "    fn make_{k}() {{", "    call({n});",
+    "pub struct {n} {{", "    println!(\"{n}\");", "    fn plain_{k}() {{", "fn top_{k}() {{", "    self.repo({n}, x::y);",
+]
+
+
+#: The line among them that every tenth part gets.
+DEFINING_LINE = 8
+
+
+def rust_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line_number, line): parts as lines of Rust, some hundred lines a file, with test sections in some."""
+    k = F.col("p_partkey")
+    size = F.col("p_size")
+    name = F.concat(F.lit("Part"), (k - k % 10 + F.when(k % 10 == 0, 0).otherwise(10 * (size % 4))).cast("string"))
+    line = F.lit("")
+    for i, shape in enumerate(TEST_LINES):
+        bits = re.split(r"\{([nk])\}", shape)
+        text = F.concat(*[({"n": name, "k": k.cast("string")}[b]) if j % 2 else F.lit(b.replace("{{", "{").replace("}}", "}")) for j, b in enumerate(bits)])
+        line = F.when(F.when(k % 10 == 0, DEFINING_LINE).otherwise((k * 7 + size) % len(TEST_LINES)) == i, text).otherwise(line)
+    path = F.concat(F.lit("src/f"), F.floor(k / 100).cast("string"), F.when(F.floor(k / 100) % 5 == 4, "_test.rs").otherwise(".rs"))
+    return read(spark, sf_dir, "part").select(path.alias("path"), (k % 100 + 1).cast("int").alias("line_number"), line.alias("line"))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): parts as browser manifests, and the scripts that some of them name."""
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size")
+    json = F.concat(F.lit('{"background": {"service_worker": "./bg_'), k, F.lit('.js", "scripts": ["lib/s_'), k, F.lit('"]}, "content_scripts": [{"js": ["/c_'), k, F.lit('.js", "missing.js"], "css": ["c_'), k, F.lit('.css"]}, {"matches": []}]}'))
+    text = F.when(s % 10 == 0, "not json {").otherwise(json)
+    folder = F.concat(F.lit("ext"), (s % 4).cast("string"), F.lit("/"))
+    named = F.array(F.concat(folder, F.lit("bg_"), k, F.when(s % 3 == 0, ".ts").otherwise(".js")), F.concat(folder, F.lit("lib/s_"), k, F.when(s % 2 == 0, ".mjs").otherwise("/index.ts")), F.concat(F.lit("c_"), k, F.lit(".jsx")), F.concat(folder, F.lit("c_"), k, F.lit(".css")))
+    part = read(spark, sf_dir, "part")
+    main = part.select(F.concat(folder, F.lit("p"), k, F.lit("/../manifest.json")).alias("x"), F.concat(folder, k, F.lit("_manifest.json")).alias("path"), text.alias("text")).drop("x")
+    return main.unionByName(part.select(F.explode(named).alias("path"), F.lit("").alias("text")))
+
+
+SYMBOL_NAMES = ["apache_license", "ApacheLicense", "license_text", "apache", "Other", "license_apache_note", "LICENSE", "plain"]
+EDGE_KINDS = ["imports", "references", "declares_module", "same_area", "likely_test_for", "configures"]
+CONTEXTS, LEVELS = ["production", "fixture", "test", "unknown"], ["extracted", "inferred", "ambiguous"]
+
+
+def doc_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, kind, file_path, line_number, visibility): a symbol in every document's file."""
+    i = F.col("doc_id")
+    return read(spark, sf_dir, "documents").select(
+        pick(SYMBOL_NAMES, F.floor(i / 3)).alias("name"), pick(KINDS, i).alias("kind"), doc_path(i, F.col("source")).alias("file_path"), (i % 50 + 1).cast("int").alias("line_number"), F.when(i % 2 == 0, "public").otherwise("private").alias("visibility")
+    )
+
+
+def doc_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References between documents' files: each uses a symbol of the next of its source."""
+    i = F.col("doc_id")
+    return next_of_source(read(spark, sf_dir, "documents")).where("next_id is not null").select(
+        doc_path(i, F.col("source")).alias("from_file"), pick(SYMBOL_NAMES, i).alias("symbol_name"), doc_path(F.col("next_id"), F.col("source")).alias("target_file"), (i % 30).cast("int").alias("line_number"),
+        pick(LEVELS, i).alias("confidence"), F.lit("use").alias("reason"), pick(CONTEXTS, F.floor(i / 2)).alias("context"), (i % 3).cast("int").alias("additional_count"),
+    )
+
+
+def doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(edge_type, src, dst, confidence, reason): edges from each document's file to the next of its source."""
+    i = F.col("doc_id")
+    return next_of_source(read(spark, sf_dir, "documents")).where("next_id is not null").select(
+        pick(EDGE_KINDS, i).alias("edge_type"), doc_path(i, F.col("source")).alias("src"), doc_path(F.col("next_id"), F.col("source")).alias("dst"), pick(LEVELS, i).alias("confidence"), F.lit("next").alias("reason")
+    )
+
+
+def found_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, text): outputs of searches as JSON, one a task; some are cut off or empty."""
+    item = F.col("item_id")
+    paths = F.array_join(F.transform(F.sequence(F.lit(1), item % 4), lambda k: F.concat(F.lit('{"path": "./src\\\\f'), (item + k).cast("string"), F.lit('.rs"}'))), ", ")
+    whole = F.concat(F.lit('{"candidates": ['), F.when(item % 4 == 0, "").otherwise(paths), F.lit('], "coverage": {"semantic_status": "'), pick(["ready", "off"], item), F.lit('"}}'))
+    text = F.when(item % 11 == 0, "").when(item % 7 == 0, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(whole)
+    return read(spark, sf_dir, "benchmark").select(F.concat(F.lit("task_"), item.cast("string")).alias("run"), text.alias("text"))
+
+
+def task_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): task rows as lines of JSON; some lack a field, are blank or begin with a byte-order mark."""
+    item = F.col("item_id")
+    repo = F.when(item % 6 == 0, "").otherwise(F.concat(F.lit('"repo_id": "repo'), (item % 3).cast("string"), F.lit('", ')))
+    line = F.concat(F.lit('{"task_id": "task_'), item.cast("string"), F.lit('", '), repo, F.lit('"query": "q'), item.cast("string"), F.lit('"}'))
+    return read(spark, sf_dir, "benchmark").select(F.when(item % 9 == 8, "  ").when(item % 9 == 7, F.concat(F.lit("﻿"), line)).otherwise(line).alias("value"))
