@@ -10,7 +10,7 @@ from ..operators.extract import PATTERNS
 from ..operators.scan import Query
 from ..sources import model as M
 from .oracles import BODIES, EDGE_W, LEVELS, PARTS, REF_W, W, Q, _area, _n, array, found, lexical, lexical_score, phrase, pick, role, singular, squash, terms, text, whole
-from .queries import FOCUS, IDENTIFIER
+from .queries import FOCUS, FOCUS_FILE, IDENTIFIER, SYMBOL
 
 NAME = Query(IDENTIFIER)
 
@@ -151,4 +151,10 @@ INDEX_BODIES |= {
         e AS (SELECT f || k || '_manifest.json' AS src, unnest([f || 'bg_' || k || CASE WHEN s % 3 = 0 THEN '.ts' ELSE '.js' END, f || 'lib/s_' || k || CASE WHEN s % 2 = 0 THEN '.mjs' ELSE '/index.ts' END, 'c_' || k || '.jsx', f || 'c_' || k || '.css']) AS dst, unnest(['background.service_worker', 'background.scripts', 'content_scripts.js', 'content_scripts.css']) AS field FROM m)
         SELECT 'references' AS edge_type, src, dst, 'extracted' AS confidence, 'manifest ' || field || ' references ' || dst AS reason FROM e""",
 }
+INDEX_BODIES |= {
+    "kind_counts": "SELECT kind, visibility, count(*) AS n, count(DISTINCT file_path) AS files FROM x_symbols GROUP BY ALL",
+    "mode_guess": "SELECT key, CASE WHEN contains(value, '/') OR contains(value, chr(92)) OR contains(value, '.') OR prefix(key, 'file/') THEN 'file' ELSE 'symbol' END AS mode FROM x_named",
+    "focus_paths": f"SELECT DISTINCT file_path AS path, 'file' AS mode, './x/../{FOCUS_FILE}' AS asked FROM x_symbols WHERE file_path = '{FOCUS_FILE}' UNION ALL SELECT DISTINCT file_path, 'symbol', {text(SYMBOL)} FROM ({BODIES['symbol_lookup']})",
+    "all_refs": f"SELECT from_file, symbol_name, target_file, context, confidence, reason, target_line, line_number, additional_count FROM ({INDEX_BODIES['symbol_ref_contexts']}) UNION SELECT from_file, symbol_name, target_file, context, confidence, reason, target_line, line_number, additional_count FROM ({INDEX_BODIES['binding_refs']})",
+}
 INDEX_SQL = {name: whole(body) for name, body in INDEX_BODIES.items()}

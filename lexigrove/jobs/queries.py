@@ -28,7 +28,7 @@ from ..sources import model as M
 PHRASE, WORDS, FILE_QUERY = "apache license", "the version", "core doc"
 INCLUDE, EXCLUDE = ["*.rs", "**/core/*.py", "docs/**/*.{md,txt}"], ["lib/**", "*_1?.rs"]
 SYMBOL, FOCUS = "SMALL_ring", "nation/3"
-IDENTIFIER = "ApacheLicense"
+IDENTIFIER, FOCUS_FILE = "ApacheLicense", "Brand#2"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -551,3 +551,32 @@ def eval_task_json(spark, d):
 @query
 def eval_fan_out(spark, d):
     return J.fan_out(M.ranked(spark, d), "B", ["C", "D"])
+
+
+@query
+def kind_counts(spark, d):
+    return G.kind_counts(M.symbols(spark, d))
+
+
+@query
+def mode_guess(spark, d):
+    named = _urls_and_names(spark, d)
+    return named.select("key", G.mode_guess(F.col("value"), F.col("key").startswith("file/")).alias("mode"))
+
+
+@query
+def focus_paths(spark, d):
+    files = M.symbols(spark, d).select(F.col("file_path").alias("path")).distinct()
+    asked = ["./x/../" + FOCUS_FILE, SYMBOL]
+    both = [G.focus_of(files, M.symbols(spark, d), q).withColumn("asked", F.lit(q)) for q in asked]
+    return both[0].unionByName(both[1])
+
+
+@query
+def all_refs(spark, d):
+    """References of every language in one table, without repeats."""
+    code, imported = M.rust_lines(spark, d), M.importing_lines(spark, d)
+    rust = Y.symbol_references(code, _as_symbols(N.symbols(code)))
+    bound = Y.binding_references(I.import_bindings(imported, M.importing_files(spark, d)), _as_symbols(N.symbols(imported)))
+    every = rust.unionByName(bound)
+    return K.distinct_facts(every, every.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import text as T
 from ..functions.roles import index_role
 
 
@@ -62,6 +63,24 @@ def lookup(symbols: DataFrame, name: str) -> DataFrame:
     return tiered.join(F.broadcast(best), tiered["tier"] == best["best"]).drop("best")  # one row
 
 
+def mode_guess(query: Column, exists: Column) -> Column:
+    """What a query asks about while there is no index: a file if it looks like a path or is one, else a symbol."""
+    return F.when(query.contains("/") | query.contains("\\") | query.contains(".") | exists, "file").otherwise("symbol")
+
+
+def focus_of(files: DataFrame, symbols: DataFrame, query: str) -> DataFrame:
+    """(path, mode): the file that a query names, or the files that define the symbol it names, in one plan."""
+    hit = files.where(T.normal_path(F.col("path")) == T.normal_path(F.lit(query))).select("path").distinct()
+    n_hits = hit.agg(F.count(F.lit(1)).alias("n_hits"))
+    defining = lookup(symbols, query).select(F.col("file_path").alias("path")).distinct().join(F.broadcast(n_hits)).where("n_hits = 0").drop("n_hits")  # one row
+    return hit.withColumn("mode", F.lit("file")).unionByName(defining.withColumn("mode", F.lit("symbol")))
+
+
+def kind_counts(symbols: DataFrame) -> DataFrame:
+    """(kind, visibility, n, files) of symbols."""
+    return symbols.groupBy("kind", "visibility").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_path").alias("files"))
+
+
 def grouped_refs(refs: DataFrame) -> DataFrame:
     """References of one file, name, target, context, confidence and reason as one row."""
     key = ["from_file", "symbol_name", "target_file", "context", "confidence", "reason"]

@@ -43,7 +43,7 @@ def indexed_files(files: DataFrame) -> DataFrame:
     size = F.octet_length(F.coalesce("text", F.lit("")))
     small = size <= S.READ_LIMIT_BYTES
     lex = lexical.lexical_rows(files.where(small & F.col("text").isNotNull()))
-    rows = files.select("path", R.index_role(F.col("path")).alias("role"), size.cast("long").alias("size_bytes"), F.when(small, F.xxhash64("text")).alias("content_hash"))
+    rows = files.select("path", R.index_role(F.col("path")).alias("role"), size.cast("long").alias("size_bytes"), F.when(small & F.col("text").isNotNull(), F.xxhash64("text")).alias("content_hash"))
     return rows.join(lex, "path", "left")
 
 
