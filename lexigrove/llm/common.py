@@ -139,19 +139,6 @@ def by_group(
     return df.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(stream, schema)
 
 
-def starts_of(*keys) -> object:
-    """Where the groups of sorted key arrays begin."""
-    import numpy as np
-
-    n = len(keys[0])
-    new = np.zeros(n, bool)
-    if n:
-        new[0] = True
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every vertex of ``edges`` (a, b), component being its smallest vertex.
 

@@ -153,7 +153,8 @@ def search_block(book: Codebook | None, ids: np.ndarray, x: np.ndarray, codes: n
             bound = np.sort(x[first] @ query)[0] if len(first) == k else -np.inf
             slack = MARGIN * np.sqrt(query @ query) / np.sqrt(book.dim)
             at = np.flatnonzero((guess + slack * error >= bound) & (ids != query_id))
-        score = x[at] @ query
+        # summed in the order of the components, as any engine can repeat it
+        score = np.cumsum(x[at] * query, axis=1)[:, -1] if len(at) else np.zeros(0)
         best = _top(score, ids[at], k)
         yield query_id, ids[at][best], score[best]
 

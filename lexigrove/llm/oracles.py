@@ -78,6 +78,30 @@ SELECT doc_id, {', '.join(f"len(list_filter(base, lambda x: x.kind = '{k}'))::BI
 """
 
 
+NEAREST = f"""
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+#: Every 100-byte string of every text by its hash, the first place of each, and what later places cover.
+REPEATS = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, j, substr(h, 1000 * j + 1, 1198) AS h FROM (SELECT r, h, unnest(range(0, length(h) // 1000 + 1)) AS j FROM d)),
+p AS (SELECT r, 500 * j + i AS i, md5(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT r, j, h, unnest(range(0, least(500, length(h) // 2 - 99))) AS i FROM c WHERE length(h) >= 200)),
+f AS (SELECT m, min(r * 4294967296 + i) AS first FROM p GROUP BY m HAVING count(*) > 1),
+g AS (SELECT r, i FROM p JOIN f USING (m) WHERE r * 4294967296 + i > first),
+s AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 100 OR lag(i) OVER (PARTITION BY r ORDER BY i) IS NULL THEN 1 ELSE 0 END AS opens FROM g),
+u AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS n FROM s) GROUP BY r, n),
+k AS (SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, list({'a': a, 'b': b} ORDER BY a) AS spans FROM u GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE substr(h, 1, 2 * spans[1].a) || coalesce(array_to_string(list_transform(range(1, len(spans) + 1), lambda j: substr(h, 2 * spans[j].b + 1, 2 * (coalesce(spans[j + 1].a, length(h) // 2) - spans[j].b))), ''), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 def _crc_table() -> list[int]:
     out = []
     for x in range(256):

@@ -17,4 +17,4 @@ from .op10_sharding import op10_hash_tree
 
 QUERIES = {f.__name__: f for f in (
     op1_pivot_permutation, op2_longest_previous, op3_score_aware, op4_crf, op5_poisson, op6_multi_index, op7_merge_rounds, op8_ownership, op9_disclosure, op10_hash_tree)}
-ORACLE_SQL = {"op1_pivot_permutation": oracles.VECTORS, "op5_poisson": MIX_SQL, "op6_multi_index": oracles.DOCUMENTS, "op8_ownership": oracles.SECRETS, "op9_disclosure": oracles.PRIVATE, "op10_hash_tree": oracles.SHARDS}
+ORACLE_SQL = {"op1_pivot_permutation": oracles.VECTORS, "op2_longest_previous": oracles.REPEATS, "op3_score_aware": oracles.NEAREST, "op5_poisson": MIX_SQL, "op6_multi_index": oracles.DOCUMENTS, "op8_ownership": oracles.SECRETS, "op9_disclosure": oracles.PRIVATE, "op10_hash_tree": oracles.SHARDS}
