@@ -34,3 +34,36 @@ def test_stages(spark):
 def test_run(spark):
     small = SF.replace("0.01", "0.001")
     assert P.run(spark, small).count() > 0 and P.ORACLE_SQL is None
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, _row string, copy_no int, component_id long, doc string, rate double"
+
+
+def odd_rows(spark):
+    long = " ".join(f"w{i % 9973}" for i in range(40_000))
+    texts = [None, "", "plain words of a text that nobody repeats at all", "mail a@b.co", "mail a@b.co", long, long + " end"]
+    rows = [(i, t, None, None if i % 2 else "s", None, 7, 0.5, "r", 3, 1, "d", 9.0) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[2], (None, "a text of no id, once", *rows[0][2:]), (None, None, *rows[0][2:])], ODD)
+
+
+def test_odd_rows_pass_every_stage(spark):
+    docs = odd_rows(spark)
+    clean, first, private, mixed, encoded = [None] * 5
+    clean = cut(P.toxicity(spark, docs, SF))
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    first = cut(P.near_duplicates(spark, clean, SF))
+    # of the two long texts one stays, of the repeated row one, all others do; of no set links with nothing
+    assert first.columns == docs.columns and sorted((r.doc_id if r.doc_id is not None else -1) for r in first.collect()) == [-1, -1, 0, 1, 2, 3, 5]
+    private = cut(P.personal_data(spark, first, SF))
+    texts = {r.doc_id: (r.text, r.n_chars, r._row, r.copy_no) for r in private.collect()}
+    assert private.columns == docs.columns and texts[3] == ("mail [EMAIL]", 12, "r", 3) and texts[0][0] is None and texts[1][0] == ""
+    mixed = cut(P.mixing(spark, private, SF))
+    assert mixed.columns == docs.columns and {r.rate for r in mixed.collect()} <= {9.0}
+    encoded = cut(P.encoding(spark, mixed, SF))
+    assert encoded.count() == mixed.count() and all(r.n_tokens >= 2 for r in encoded.collect())
+
+
+def test_empty_tables_pass_every_stage(spark):
+    none = odd_rows(spark).where("false")
+    for _, stage in P.STAGES:
+        assert stage(spark, none, SF).count() == 0
