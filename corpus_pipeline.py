@@ -4,6 +4,12 @@ toxicity: documents that score 0.5 or more go. near_duplicates: one document of
 each component stays. personal_data: base spans and disclosing terms are
 replaced. mixing: sources are replicated to equal weights in a global random
 order. encoding: ids of every text.
+
+Every stage takes null and empty texts (nothing to find; they pass), null ids
+(rows of their own in the first three stages, alike in their draws in mixing),
+repeated rows (near_duplicates keeps one of each id and text), very long texts
+(whole), empty tables (no rows) and further columns, which it passes on as they
+are, whatever their names; encoding returns its own.
 """
 
 from __future__ import annotations
