@@ -36,7 +36,7 @@ SAMPLE_ROWS = 12_000
 #: Of the sample, about so many rows of each label fit the field, in windows of so many tokens, spread evenly over a text
 #: that has more than so many windows (scoring reads every token): they are all that the driver holds. The calibration
 #: uses the whole sample.
-FIT_ROWS, FIT_TOKENS, FIT_WINDOWS = 1_500, 1_000, 8
+FIT_ROWS, FIT_TOKENS, FIT_WINDOWS = 1_000, 500, 4
 #: Words that can have a weight, and what makes one a toxic tag: toxic documents and their share, rate ratio, z-score.
 VOCABULARY, LEAST_DOCS, LEAST_SHARE, RATIO, Z = 4_000, 5, 0.01, 8.0, 5.0
 STEPS, RATE, DECAY = 150, 0.25, 0.02
@@ -268,6 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seqs = [np.frombuffer(bytes(x), "<i4") for x in fit["seq"]]
     model.trans = np.array([[0.0, -3.0], [0.0, -1.0]])
     model.fit(seqs, [tag[s] & bool(k) for s, k in zip(seqs, fit["label"])])
+    del fit, seqs
 
     def signals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
