@@ -250,6 +250,17 @@ def test_near_duplicate_vectors(spark, monkeypatch, block):
         assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept
 
 
+def test_pairs_at_the_cosine_share_two_pivots():
+    rng = np.random.default_rng(14)
+    rows = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 64)))
+    pivots = op1_pivots.choose_pivots(rows(2 * op1_pivots.MOST_PIVOTS), op1_pivots.MOST_PIVOTS)
+    x, z = rows(1500), rows(1500)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    near = [np.argpartition(-(v @ pivots.T), op1_pivots.NEAREST - 1, axis=1)[:, : op1_pivots.NEAREST] for v in (x, y)]
+    assert len(pivots) == op1_pivots.MOST_PIVOTS and np.mean([len(set(a) & set(b)) >= 2 for a, b in zip(*near)]) > 0.95
+
+
 def test_search_recall_and_ties(spark):
     x = cloud(1200)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + ODD + [(5, x[5].tolist())]
