@@ -142,7 +142,7 @@ PARTS |= {
 }
 INDEX_BODIES |= {
     "line_contexts": "SELECT path, line_number, code, context, in_test FROM x_contexts",
-    "symbol_ref_contexts": "SELECT path AS from_file, name AS symbol_name, target_file, context, confidence, reason, min(target_line) AS target_line, min(line_number) AS line_number, (count(*) - 1)::INT AS additional_count FROM x_names JOIN x_unique USING (name) GROUP BY ALL",
+    "symbol_ref_contexts": f"SELECT path AS from_file, name AS symbol_name, target_file, context, confidence, reason, min(target_line) AS target_line, min(line_number) AS line_number, (count(*) - 1)::INT AS additional_count FROM x_names JOIN x_unique USING (name) WHERE {role('path')} = 'source' GROUP BY ALL",
     "module_uses": "SELECT path, line_number, module FROM (SELECT path, line_number, unnest(list_distinct(regexp_extract_all(line, '([A-Za-z0-9_]+)::', 1))) AS module FROM x_rust) WHERE module IN (SELECT name FROM x_rsymbols WHERE kind = 'struct')",
     "import_edges": "SELECT DISTINCT 'imports' AS edge_type, path AS src, target AS dst, confidence, 'imports ' || target AS reason FROM x_resolved",
     "import_bindings": "SELECT * FROM x_bound",
