@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import op8_secrets as P8
 from . import op9_pii as P9
 from . import op10_sharding as P10
+from . import op13_manifest as P13
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -111,6 +112,11 @@ def _crc_table() -> list[int]:
     return out
 
 
+def _crc32(hexed: str) -> str:
+    """CRC-32 of bytes given as hex digits."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all({hexed}, '..'), lambda y: ('0x' || y)::BIGINT)), lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
 def _hash52(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
 
@@ -133,7 +139,42 @@ def _descent(tree: P10.Tree) -> str:
 SHARDS = f"""
 WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, {_descent(P10.layout(16))}::INT AS shard, {_descent(P10.layout(17))}::INT AS grown_shard FROM documents),
 c AS (SELECT doc_id, (length(h) // 2 + 1)::BIGINT AS size, shard, grown_shard,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda y: ('0x' || y)::BIGINT)), lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM x),
+    {_crc32('h')} AS text_crc32 FROM x),
 r AS (SELECT *, {_hash52(f"'{P10.SLOT}:' || coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32")} % greatest(1, least({P10.MOST}, -(-(SELECT count(*) FROM documents) // {P10.BASE * P10.RANGE_ROWS}))) AS range FROM c)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY range, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM r
 """
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _trees(name: str, height: int) -> str:
+    """From {name}0 (tree, pos, n, digest) the nodes of each level, {name}k, and their siblings, {name}hk; a tree of one node stays as it is."""
+    a, out = P13.ARITY, []
+    for k in range(height + 1):
+        out.append(f"""{name}h{k} AS (SELECT tree, pos, n, coalesce(string_agg(digest, '') OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lo, coalesce(string_agg(digest, '') OVER (l ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS hi
+    FROM {name}{k} WINDOW l AS (PARTITION BY tree, pos // {a} ORDER BY pos))""")
+        out.append(f"{name}{k + 1} AS (SELECT tree, pos // {a} AS pos, (n + {a - 1}) // {a} AS n, CASE WHEN n = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {name}{k} GROUP BY tree, pos // {a}, n)")
+    return ",\n".join(out)
+
+
+#: Levels of the languages' trees and of the tree over them that the SQL is written out for.
+LEVELS = {"t": 8, "u": 4}
+_AT = [(n, k) for n, h in LEVELS.items() for k in range(h + 1)]
+_FOLDS = ",\n".join(
+    f"f{i} AS (SELECT *, CASE WHEN {n}n{k} = 1 THEN x ELSE sha256({n}lo{k} || x || {n}hi{k}) END AS y FROM {f'(SELECT * EXCLUDE (x, y), y AS x FROM f{i - 1})' if i else 'j'})" for i, (n, k) in enumerate(_AT)
+)
+MANIFEST = f"""
+WITH d0 AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('text')} AS leaf, CASE WHEN {_crc32('hex(encode(doc_id::VARCHAR))')} % 3 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS changed FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d0),
+t0 AS (SELECT tree, pos, n, leaf AS digest FROM d),
+{_trees('t', LEVELS['t'])},
+s AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM t{LEVELS['t'] + 1}),
+u0 AS (SELECT '' AS tree, place AS pos, count(*) OVER () AS n, subroot AS digest FROM s),
+{_trees('u', LEVELS['u'])},
+j AS (SELECT d.doc_id, d.leaf, s.subroot, coalesce(d.changed, d.leaf) AS x, {', '.join(f'{n}h{k}.{c} AS {n}{c}{k}' for n, k in _AT for c in ('n', 'lo', 'hi'))} FROM d JOIN s USING (tree)
+    {' '.join(f"JOIN {n}h{k} ON {n}h{k}.pos = {'d.pos' if n == 't' else 's.place'} // {P13.ARITY**k}{' AND th' + str(k) + '.tree = d.tree' if n == 't' else ''}" for n, k in _AT)}),
+{_FOLDS}
+SELECT doc_id, leaf, subroot, r.digest AS root, sha256({' || '.join(f'{n}lo{k} || {n}hi{k}' for n, k in _AT)}) AS proof_sha256, y AS folded_root, y = r.digest AS verified FROM f{len(_AT) - 1} JOIN u{LEVELS['u'] + 1} r ON true
+"""
