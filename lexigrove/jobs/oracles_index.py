@@ -133,24 +133,119 @@ PARTS |= {
     + _strong
     + ")",
     "x_ifile": "SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 3 THEN 'src/' ELSE '' END || 'pkg' || (p_partkey // 4 % 5) || '/m_' || p_partkey || ['.py', '.ts', '.go', '.rs'][CAST(p_partkey % 4 AS INT) + 1] AS path FROM part",
-    # each line's target: a is 20 parts on, b is 4 parts on; of Rust, only paths from the crate are certain
-    "x_asked": """SELECT k, path, line_number, k + CASE WHEN line_number = 1 AND k % 4 < 2 OR line_number = 2 AND k % 4 >= 2 THEN 20 ELSE 4 END AS other, CASE WHEN k % 4 = 3 AND line_number = 2 THEN 'inferred' ELSE 'extracted' END AS confidence
-        FROM x_ifile, (SELECT unnest([1, 2, 3]) AS line_number) WHERE k % 4 < 2 OR line_number < 3""",
-    "x_resolved": "SELECT a.*, t.path AS target FROM x_asked a JOIN x_ifile t ON t.k = a.other",
-    "x_bound": """SELECT path AS from_file, unnest(CASE WHEN line_number = 3 THEN ['Sym_' || other] WHEN k % 4 = 0 THEN ['Sym_' || other, 'nothing'] ELSE ['Sym_' || other, 'other'] END) AS symbol_name, target AS target_file, line_number::INT AS line_number, 'extracted' AS confidence, 'direct import binding from ' || target AS reason
-        FROM x_resolved WHERE k % 4 < 2 AND line_number <> 2""",
 }
 INDEX_BODIES |= {
     "line_contexts": "SELECT path, line_number, code, context, in_test FROM x_contexts",
     "symbol_ref_contexts": f"SELECT path AS from_file, name AS symbol_name, target_file, context, confidence, reason, min(target_line) AS target_line, min(line_number) AS line_number, (count(*) - 1)::INT AS additional_count FROM x_names JOIN x_unique USING (name) WHERE {role('path')} = 'source' GROUP BY ALL",
     "module_uses": "SELECT path, line_number, module FROM (SELECT path, line_number, unnest(list_distinct(regexp_extract_all(line, '([A-Za-z0-9_]+)::', 1))) AS module FROM x_rust) WHERE module IN (SELECT name FROM x_rsymbols WHERE kind = 'struct')",
-    "import_edges": "SELECT DISTINCT 'imports' AS edge_type, path AS src, target AS dst, confidence, 'imports ' || target AS reason FROM x_resolved",
-    "import_bindings": "SELECT * FROM x_bound",
-    "binding_refs": "SELECT from_file, symbol_name, target_file, 4 AS target_line, line_number, confidence, reason, 'production' AS context, 0 AS additional_count FROM x_bound WHERE prefix(symbol_name, 'Sym_')",
     "manifest_edges": """WITH m AS (SELECT p_partkey AS k, p_size AS s, 'ext' || (p_size % 4) || '/' AS f FROM part WHERE p_size % 10 <> 0),
         e AS (SELECT f || k || '_manifest.json' AS src, unnest([f || 'bg_' || k || CASE WHEN s % 3 = 0 THEN '.ts' ELSE '.js' END, f || 'lib/s_' || k || CASE WHEN s % 2 = 0 THEN '.mjs' ELSE '/index.ts' END, 'c_' || k || '.jsx', f || 'c_' || k || '.css']) AS dst, unnest(['background.service_worker', 'background.scripts', 'content_scripts.js', 'content_scripts.css']) AS field FROM m)
         SELECT 'references' AS edge_type, src, dst, 'extracted' AS confidence, 'manifest ' || field || ' references ' || dst AS reason FROM e""",
 }
+# ---- facts of whole source files: what each line of a file declares, imports and names, listed by hand
+
+_SYMBOLS = [
+    [(16, "Sym_", "struct"), (20, "run_", "function"), (23, "_late_", "function", "private"), (27, "after_", "function")],
+    [(14, "nested_", "function", "private"), (18, "Sym_", "struct"), (21, "run_", "function"), (22, "make_", "function"), (24, "second_", "function"), (25, "_cls_", "struct", "private"), (26, "gen_", "function", "private"), (29, "_hid_", "function", "private")],
+    [(9, "Sym_", "struct"), (10, "Act_", "trait"), (14, "Num_", "type_alias"), (16, "One_", "const"), (16, "Two_", "const"), (17, "Three_", "const"), (19, "V_", "static"), (19, "W_", "static"), (20, "Start_", "function"), (23, "Run_", "function")],
+    [(10, "Sym_", "struct"), (13, "E_", "enum"), (17, "Display for Sym_", "impl", "private"), (20, "LIST_", "const", "private"), (20, "S_", "static", "private"), (22, "run_", "function"), (33, "T_", "trait", "private")],
+]
+#: Of Rust by lines; the names of the third and the ninth have no number.
+_LINE_SYMBOLS = [
+    (8, "child_", "module", "public"), (10, "Sym_", "struct", "private"), (15, "from", "function", "private"), (13, "E_", "enum", "public"), (17, "Display for Sym_", "impl", "private"), (18, "inner_", "function", "private"),
+    (20, "LIST_", "const", "private"), (22, "run_", "function", "private"), (30, "check", "function", "private"), (32, "Alias_", "type_alias", "private"), (33, "T_", "trait", "private"),
+]
+#: By language: line, module, how, names, default name, certainty.
+_IMPORTS = [
+    [(4, "os", "import"), (4, "pkg{d}.m_{b}", "import"), (5, ".", "from", "m_{a},gone"), (9, ".m_{a}", "from", "Sym_{a},nothing"), (11, "..pkg{d}.m_{b}", "from", "Sym_{b}")],
+    [(2, "./m_{a}", "from", "Sym_{a},other", "Def_{a}"), (6, "../pkg{d}/m_{b}.ts", "from", "", "Only"), (7, "../pkg{d}/m_{b}", "from"), (8, "../pkg{d}/m_{b}", "from", "Sym_{b}"), (13, "./m_{a}", "import")],
+    [(2, "pkg{d}/m_{b}", "import"), (6, "./m_{a}", "import")],
+    [(2, "crate::pkg{d}::m_{b}::{{Sym_{b}, self", "use"), (2, "crate::pkg{d}::m_{b}", "use"), (3, "super::m_{a}", "use", "", None, "inferred"), (4, "std::fmt", "use", "", None, "inferred"), (4, "std::io::Write", "use", "", None, "inferred"), (8, "child_{k}", "mod")],
+]
+#: Files that these name where they exist: line, path, names, default name, certainty.
+_TARGETS = [
+    [(4, "pkg{d}/m_{b}.py"), (9, "{f}/m_{a}.py", "Sym_{a},nothing"), (11, "pkg{d}/m_{b}.py", "Sym_{b}")],
+    [(2, "{f}/m_{a}.ts", "Sym_{a},other", "Def_{a}"), (6, "pkg{d}/m_{b}.ts", "", "Only"), (7, "pkg{d}/m_{b}.ts"), (8, "pkg{d}/m_{b}.ts", "Sym_{b}"), (13, "{f}/m_{a}.ts")],
+    [(2, "pkg{d}/m_{b}.go"), (6, "{f}/m_{a}.go")],
+    [(2, "src/pkg{d}/m_{b}.rs"), (3, "src/{f}/m_{a}.rs", "", None, "inferred")],
+]
+
+
+def _filled(shape: str | None) -> str:
+    bits = re.split(r"\{([abdkf])\}", shape) if shape is not None else ["NULL"]
+    value = {"a": "k + 20", "b": "k + 4", "d": "(k // 4 + 1) % 5", "k": "k", "f": "folder"}
+    return "NULL::VARCHAR" if shape is None else " || ".join(f"({value[b]})::VARCHAR" if j % 2 else text(b.replace("{{", "{").replace("}}", "}")) for j, b in enumerate(bits))
+
+
+def _listed(rows: list[tuple], lang: int, columns: list[str], defaults: list) -> list[str]:
+    out = []
+    for row in rows:
+        cells = [*row, *defaults[len(row) - len(columns) :]] if len(row) < len(columns) else list(row)
+        out.append(f"SELECT k, path, folder, {cells[0]}::INT AS line_number, " + ", ".join(f"{_filled(c)} AS {n}" for n, c in zip(columns[1:], cells[1:])) + f" FROM x_src WHERE k % 4 = {lang}")
+    return out
+
+
+def _union(lists: list[list[tuple]], columns: list[str], defaults: list) -> str:
+    return " UNION ALL ".join(x for lang, rows in enumerate(lists) for x in _listed(rows, lang, columns, defaults))
+
+
+def _signature(lines: list[list[str]]) -> str:
+    """The text of a line of a file, shortened."""
+    each = " ".join(f"WHEN k % 4 = {lang} AND line_number = {n} THEN {_filled(line)}" for lang, of in enumerate(lines) for n, line in enumerate(of, 1) if "{k}" in line or "fn " in line)
+    return f"CASE {each} END"
+
+
+_sized = f"CASE WHEN length(line) > {S.SIGNATURE_WIDTH} THEN substring(line, 1, {S.SIGNATURE_WIDTH - 3}) || '...' ELSE line END"
+_trimmed = "trim(regexp_replace(line, '\\s+', ' ', 'g'))"
+
+
+def _symbol_sql(rows: str) -> str:
+    return f"SELECT path, line_number, name, kind, visibility, {_sized} AS signature FROM (SELECT * REPLACE ({_trimmed} AS line) FROM (SELECT *, {_signature(M.SOURCE_LINES)} AS line FROM ({rows})))"
+
+
+_numbered_name = lambda n: n if n in ("from", "check") else n + "{k}"
+_child_path = "'src/' || folder || '/m_' || k || '/child_' || k || '.rs'"
+_root_line = "'fn go() { root_' || k || '::go(); root_' || (k - 8) || '::go() }'"
+_edge = "SELECT DISTINCT 'imports' AS edge_type, path AS src, target AS dst, confidence, 'imports ' || target AS reason FROM x_found"
+PARTS |= {
+    "x_src": "SELECT k, path, 'pkg' || (k // 4 % 5) AS folder FROM x_ifile",
+    "x_there": f"SELECT path FROM x_ifile UNION SELECT folder || '/__init__.py' FROM x_src WHERE k % 4 = 0 AND folder IN ('pkg0', 'pkg1') UNION SELECT {_child_path} FROM x_src WHERE k % 8 = 3 UNION SELECT 'src/root_' || k || '.rs' FROM x_src WHERE k % 8 = 7",
+    "x_items": _symbol_sql(_union([[(n, _numbered_name(name), kind, *v) for n, name, kind, *v in rows] for rows in _SYMBOLS], ["line_number", "name", "kind", "visibility"], ["public"]))
+    + f" UNION ALL SELECT {_child_path}, 1, 'of_child', 'function', 'public', 'pub fn of_child() {{}}' FROM x_src WHERE k % 8 = 3 UNION ALL SELECT 'src/root_' || k || '.rs', 3, 'go', 'function', 'private', {_root_line} FROM x_src WHERE k % 8 = 7",
+    # a package's own file binds the names; without one each name is a file
+    "x_named_targets": _union(_TARGETS, ["line_number", "target", "names", "default_name", "confidence"], ["", None, "extracted"])
+    + """ UNION ALL SELECT k, path, folder, 5, CASE WHEN folder IN ('pkg0', 'pkg1') THEN folder || '/__init__.py' ELSE folder || '/m_' || (k + 20) || '.py' END, CASE WHEN folder IN ('pkg0', 'pkg1') THEN 'm_' || (k + 20) || ',gone' ELSE '' END, NULL, CASE WHEN folder IN ('pkg0', 'pkg1') THEN 'extracted' ELSE 'inferred' END FROM x_src WHERE k % 4 = 0"""
+    # without a file below it a module resolves to the file that declares it
+    + f""" UNION ALL SELECT k, path, folder, 8, CASE WHEN k % 8 = 3 THEN {_child_path} ELSE path END, '', NULL, 'extracted' FROM x_src WHERE k % 4 = 3
+        UNION ALL SELECT k, 'src/root_' || k || '.rs', folder, n, 'src/root_' || k || '.rs', '', NULL, CASE n WHEN 1 THEN 'inferred' ELSE 'extracted' END FROM x_src, (SELECT unnest([1, 2]) AS n) WHERE k % 8 = 7""",
+    "x_found": "SELECT n.* FROM x_named_targets n SEMI JOIN x_there t ON t.path = n.target",
+    "x_bound": """SELECT DISTINCT path AS from_file, name AS symbol_name, target AS target_file, line_number, confidence, word || ' import binding from ' || target AS reason FROM (
+        SELECT *, unnest(string_split(names, ',')) AS name, 'direct' AS word FROM x_found WHERE names <> '' UNION ALL SELECT *, default_name, 'default' FROM x_found WHERE default_name IS NOT NULL)""",
+}
+INDEX_BODIES |= {
+    "extract_symbols": "SELECT DISTINCT * FROM x_items",
+    "extract_imports": "SELECT path, line_number, module, confidence, how, names, default_name FROM ("
+    + _union(_IMPORTS, ["line_number", "module", "how", "names", "default_name", "confidence"], ["", None, "extracted"])
+    + ") UNION ALL SELECT 'src/root_' || k || '.rs', n, CASE n WHEN 1 THEN 'self::root_' || k || '::X' ELSE 'crate::root_' || k END, CASE n WHEN 1 THEN 'inferred' ELSE 'extracted' END, 'use', '', NULL FROM x_src, (SELECT unnest([1, 2]) AS n) WHERE k % 8 = 7",
+    "import_edges": _edge,
+    "import_bindings": "SELECT * FROM x_bound",
+    "binding_refs": "SELECT DISTINCT from_file, symbol_name, target_file, target_line, b.line_number, confidence, reason, 'production' AS context, 0 AS additional_count FROM x_bound b JOIN (SELECT path AS target_file, name AS symbol_name, min(line_number) AS target_line FROM x_items GROUP BY ALL) USING (target_file, symbol_name)",
+    "fallback_symbols": _symbol_sql(_union([[], [], [], [(n, _numbered_name(name), kind, v) for n, name, kind, v in _LINE_SYMBOLS]], ["line_number", "name", "kind", "visibility"], []))
+    + f" UNION ALL SELECT {_child_path}, 1, 'of_child', 'function', 'public', 'pub fn of_child() {{}}' FROM x_src WHERE k % 8 = 3 UNION ALL SELECT 'src/root_' || k || '.rs', 3, 'go', 'function', 'private', {_root_line} FROM x_src WHERE k % 8 = 7",
+    "fallback_edges": f"""WITH e AS (SELECT 'declares_module' AS edge_type, path AS src, CASE WHEN k % 8 = 3 THEN {_child_path} ELSE path END AS dst, 'declares module child_' || k AS reason, 'extracted' AS confidence FROM x_src WHERE k % 4 = 3
+        UNION ALL SELECT kind, path, 'src/pkg' || ((k // 4 + 1) % 5) || '/m_' || (k + 4) || '.rs', kind || ' crate::pkg' || ((k // 4 + 1) % 5) || '::m_' || (k + 4), 'extracted' FROM x_src, (SELECT unnest(['imports', 'references']) AS kind) WHERE k % 4 = 3
+        UNION ALL SELECT 'imports', path, 'src/' || folder || '/m_' || (k + 20) || '.rs', 'imports crate::' || folder || '::m_' || (k + 20), 'extracted' FROM x_src WHERE k % 4 = 3
+        UNION ALL SELECT kind, 'src/root_' || k || '.rs', 'src/root_' || k || '.rs', kind || ' crate::root_' || k, 'extracted' FROM x_src, (SELECT unnest(['imports', 'references']) AS kind) WHERE k % 8 = 7
+        UNION ALL SELECT 'references', 'src/root_' || k || '.rs', 'src/root_' || (k - 8) || '.rs', 'references crate::root_' || (k - 8), 'inferred' FROM x_src WHERE k % 8 = 7)
+        SELECT edge_type, src, dst, confidence, reason FROM e SEMI JOIN x_there t ON t.path = e.dst""",
+    "rust_facts": f"""SELECT 'statements' AS corpus, 'symbol' AS fact, path, kind AS what, name, visibility AS detail, line_number FROM (SELECT DISTINCT * FROM x_items) WHERE suffix(path, '.rs')
+        UNION ALL SELECT 'statements', 'edge', src, edge_type, dst, confidence, 0 FROM ({_edge}) WHERE suffix(src, '.rs')
+        UNION ALL SELECT 'lines', 'symbol', 'src/f_' || p_partkey || '.rs', 'function', 'deep_' || p_partkey, 'public', 2 FROM part UNION ALL SELECT 'lines', 'symbol', 'src/f_' || p_partkey || '.rs', 'type_alias', 'T_' || p_partkey, 'private', 4 FROM part
+        UNION ALL SELECT 'lines', 'edge', 'src/f_' || p_partkey || '.rs', 'imports', 'src/f_' || p_partkey || '.rs', 'extracted', 0 FROM part""",
+}
+INDEX_BODIES["all_edges"] = f"""SELECT edge_type, src, dst, confidence, reason FROM ({_edge}) UNION SELECT 'imports', 'src/f_' || p_partkey || '.rs', 'src/f_' || p_partkey || '.rs', 'extracted', 'imports crate::f_' || p_partkey FROM part
+    UNION SELECT edge_type, src, dst, confidence, reason FROM ({INDEX_BODIES['manifest_edges']}) UNION SELECT 'likely_test_for', src, dst, confidence, reason FROM ({BODIES['test_edges']})
+    UNION SELECT 'configures', src, dst, 'inferred', 'configuration' FROM ({BODIES['config_edges']}) UNION SELECT 'same_area', src, dst, 'inferred', 'same area' FROM ({INDEX_BODIES['area_edges']})"""
 INDEX_BODIES |= {
     "kind_counts": "SELECT kind, visibility, count(*) AS n, count(DISTINCT file_path) AS files FROM x_symbols GROUP BY ALL",
     "mode_guess": "SELECT key, CASE WHEN contains(value, '/') OR contains(value, chr(92)) OR contains(value, '.') OR prefix(key, 'file/') THEN 'file' ELSE 'symbol' END AS mode FROM x_named",

@@ -17,6 +17,7 @@ from ..operators import graph as G
 from ..operators import imports as I
 from ..operators import index as K
 from ..operators import inputs as J
+from ..operators import items as B
 from ..operators import lexical as L
 from ..operators import rank as R
 from ..operators import references as Y
@@ -356,12 +357,12 @@ def eval_validate(spark, d):
 
 @query
 def extract_symbols(spark, d):
-    return N.symbols(M.code_lines(spark, d))
+    return B.symbols(M.source_files(spark, d))
 
 
 @query
 def extract_imports(spark, d):
-    return N.imports(M.code_lines(spark, d))
+    return B.imports(M.source_files(spark, d)).withColumn("names", F.array_join("names", ","))
 
 
 @query
@@ -426,20 +427,56 @@ def module_uses(spark, d):
     return Y.module_uses(code, N.symbols(code).where("kind = 'struct'").select(F.col("name").alias("module")))
 
 
+def _resolved(spark, d):
+    files = M.source_files(spark, d)
+    return B.resolved_imports(B.imports(files), files)
+
+
 @query
 def import_edges(spark, d):
-    return I.import_edges(M.importing_lines(spark, d), M.importing_files(spark, d))
+    return B.import_edges(_resolved(spark, d))
 
 
 @query
 def import_bindings(spark, d):
-    return I.import_bindings(M.importing_lines(spark, d), M.importing_files(spark, d))
+    return B.import_bindings(_resolved(spark, d))
 
 
 @query
 def binding_refs(spark, d):
-    code = M.importing_lines(spark, d)
-    return Y.binding_references(I.import_bindings(code, M.importing_files(spark, d)), _as_symbols(N.symbols(code)))
+    return Y.binding_references(B.import_bindings(_resolved(spark, d)), _as_symbols(B.symbols(M.source_files(spark, d))))
+
+
+@query
+def fallback_symbols(spark, d):
+    return B.fallback_symbols(M.source_files(spark, d))
+
+
+@query
+def fallback_edges(spark, d):
+    return B.fallback_edges(M.source_files(spark, d))
+
+
+@query
+def rust_facts(spark, d):
+    """Symbols and edges of two sets of Rust files: one whose statements say something, and one that is read line by line."""
+    out = []
+    for name, files in (("statements", M.source_files(spark, d).where("path like '%.rs'")), ("lines", M.closed_files(spark, d))):
+        symbols, edges = B.rust_facts(files, B.symbols(files), B.import_edges(B.resolved_imports(B.imports(files), files)))
+        out.append(symbols.select(F.lit(name).alias("corpus"), F.lit("symbol").alias("fact"), "path", F.col("kind").alias("what"), "name", F.col("visibility").alias("detail"), "line_number"))
+        out.append(edges.select(F.lit(name).alias("corpus"), F.lit("edge").alias("fact"), F.col("src").alias("path"), F.col("edge_type").alias("what"), F.col("dst").alias("name"), F.col("confidence").alias("detail"), F.lit(0).alias("line_number")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query
+def all_edges(spark, d):
+    """Edges of statements (or lines), manifests, tests, configuration and the areas of a focus file, in one table without repeats."""
+    closed = M.closed_files(spark, d)
+    _, rust = B.rust_facts(closed, B.symbols(closed), B.import_edges(B.resolved_imports(B.imports(closed), closed)))
+    kind = lambda df, name: df.withColumn("edge_type", F.lit(name))
+    near = kind(area_edges(spark, d), "same_area").withColumn("confidence", F.lit("inferred")).withColumn("reason", F.lit("same area"))
+    config = kind(config_edges(spark, d), "configures").withColumn("confidence", F.lit("inferred")).withColumn("reason", F.lit("configuration"))
+    return B.edge_table([import_edges(spark, d), rust, manifest_edges(spark, d), kind(test_edges(spark, d), "likely_test_for"), config, near])
 
 
 @query
@@ -575,8 +612,7 @@ def focus_paths(spark, d):
 @query
 def all_refs(spark, d):
     """References of every language in one table, without repeats."""
-    code, imported = M.rust_lines(spark, d), M.importing_lines(spark, d)
+    code = M.rust_lines(spark, d)
     rust = Y.symbol_references(code, _as_symbols(N.symbols(code)))
-    bound = Y.binding_references(I.import_bindings(imported, M.importing_files(spark, d)), _as_symbols(N.symbols(imported)))
-    every = rust.unionByName(bound)
+    every = rust.unionByName(binding_refs(spark, d))
     return K.distinct_facts(every, every.columns)

@@ -1,4 +1,4 @@
-"""Symbols and imports of source files from line patterns."""
+"""Symbols of single source lines from patterns; ``items`` reads whole files."""
 
 from __future__ import annotations
 
@@ -33,16 +33,6 @@ PATTERNS = [
     ("go", r"^const ([A-Za-z_][A-Za-z0-9_]*)", "const"),
     ("go", r"^var ([A-Za-z_][A-Za-z0-9_]*)", "static"),
 ]
-#: (language, pattern with the module as its group).
-IMPORTS = [
-    ("rust", r"^(?:pub )?use ([A-Za-z0-9_:]+)"),
-    ("rust", r"^(?:pub )?mod ([A-Za-z0-9_]+);"),
-    ("python", r"^import ([A-Za-z0-9_.]+)"),
-    ("python", r"^from ([A-Za-z0-9_.]+) import "),
-    ("script", r"^(?:import|export) .*from [\"'](\.[^\"']*)[\"']"),
-    ("script", r"^require\([\"'](\.[^\"']*)[\"']\)"),
-    ("go", r"^import \"([^\"]+)\""),
-]
 
 
 def family(path: Column) -> Column:
@@ -69,15 +59,6 @@ def symbols(lines: DataFrame) -> DataFrame:
     return found.select("path", "line_number", "name", "kind", F.when(public, "public").otherwise("private").alias("visibility"), shorten(F.col("line"), S.SIGNATURE_WIDTH).alias("signature"))
 
 
-def imports(lines: DataFrame) -> DataFrame:
-    """(path, line_number, module, confidence) of import lines; ``crate::`` paths are certain, other ``use`` paths inferred."""
-    of = lines.withColumn("family", family(F.col("path")))
-    hits = [F.when((F.col("family") == lang) & F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for lang, p in IMPORTS]
-    found = of.select("path", "line_number", "line", _first(hits).alias("module"))
-    inferred = F.col("line").rlike("^(?:pub )?use ") & ~F.col("module").startswith("crate")
-    return found.select("path", "line_number", "module", F.when(inferred, "inferred").otherwise("extracted").alias("confidence"))
-
-
 def identifier_refs(lines: DataFrame, defined: DataFrame) -> DataFrame:
     """(path, name, n): uses of names that exactly one symbol defines, outside its defining lines."""
     known = defined.groupBy("name").agg(F.count(F.lit(1)).alias("defs"), F.min("path").alias("target")).where("defs = 1")

@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import text as T
 from .edges import resolve
-from .extract import family, imports
-
-SCRIPT_NAMES = r"^import\s+(?:[A-Za-z_$][A-Za-z0-9_$]*\s*,\s*)?\{([^}]*)\}\s*from"
-SCRIPT_DEFAULT = r"^import\s+(?:type\s+)?([A-Za-z_$][A-Za-z0-9_$]*)\s*(?:,[^\"']*)?\s*from"
-PYTHON_NAMES = r"^from\s+[A-Za-z0-9_.]+\s+import\s+\(?([^()#]+)"
+from .extract import family
 
 
 def _ends(stems: list[Column], ends: list[str]) -> list[Column]:
@@ -60,47 +56,10 @@ def go_options(path: Column, module: Column) -> Column:
     return F.when(name == "", F.array().cast("array<string>")).otherwise(F.concat(F.when(name.contains("/"), alone).otherwise(F.array().cast("array<string>")), beside, alone))
 
 
-def rust_options(path: Column, module: Column) -> Column:
-    """Files of a module path, longest prefix first; ``crate`` is the root, ``self`` and ``super`` the file's own module and its parent."""
-    own = F.filter(F.split(F.regexp_replace(F.regexp_replace(path, r"^src/", ""), r"(/mod)?\.rs$", ""), "/"), lambda x: ~x.isin("lib", "main", ""))
-    parts = F.filter(F.split(module, "::"), lambda x: x != "")
-    head = F.try_element_at(parts, F.lit(1))
-    tail = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
-    nothing = F.array().cast("array<string>")
-    base = F.when(head == "self", own).when(head == "super", F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0)))).otherwise(nothing)
-    whole = F.concat(base, F.when(head.isin("crate", "self", "super"), tail).otherwise(parts))
-
-    def of(n: Column) -> Column:
-        k = F.array_join(F.slice(whole, 1, n), "/")
-        return F.array(F.concat(k, F.lit(".rs")), F.concat(k, F.lit("/mod.rs")), F.concat(F.lit("src/"), k, F.lit(".rs")), F.concat(F.lit("src/"), k, F.lit("/mod.rs")))
-
-    return F.when(F.size(whole) > 0, F.flatten(F.transform(F.reverse(F.sequence(F.lit(1), F.size(whole))), of))).otherwise(nothing)
-
-
 def options(path: Column, module: Column) -> Column:
-    """The files that an import may mean, in order, by the language of its file."""
+    """The files that an import may mean, in order, by the language of its file; those of Rust are in ``items``."""
     kind = family(path)
-    return F.when(kind == "python", python_options(path, module)).when(kind == "script", script_options(path, module)).when(kind == "go", go_options(path, module)).when(kind == "rust", rust_options(path, module))
-
-
-def import_edges(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """(edge_type, src, dst, confidence, reason): imports that name a known file, distinct."""
-    asked = imports(lines).select(F.col("path").alias("from_file"), F.concat_ws(":", F.col("line_number"), "module", "confidence").alias("spec"), options(F.col("path"), F.col("module")).alias("options"), "confidence")
-    found = resolve(asked.where("options is not null"), files).join(asked.select("from_file", "spec", "confidence").distinct(), ["from_file", "spec"])
-    return found.select(F.lit("imports").alias("edge_type"), F.col("from_file").alias("src"), F.col("target").alias("dst"), "confidence", F.concat(F.lit("imports "), "target").alias("reason")).distinct()
-
-
-def import_bindings(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """(from_file, symbol_name, target_file, line_number, confidence, reason): names that Python and script imports bind; an alias keeps the original."""
-    kind = family(F.col("path"))
-    listed = F.when(kind == "python", F.regexp_extract("line", PYTHON_NAMES, 1)).when(kind == "script", F.regexp_extract("line", SCRIPT_NAMES, 1)).otherwise("")
-    names = F.transform(F.split(listed, ","), lambda x: F.trim(F.regexp_replace(x, r"\s+as\s+.*$", "")))
-    default = F.when(kind == "script", F.regexp_extract("line", SCRIPT_DEFAULT, 1)).otherwise("")
-    every = F.array_distinct(F.filter(F.concat(names, F.array(default)), lambda x: ~x.isin("", "*", "default", "type")))
-    bound = lines.where(kind.isin("python", "script")).select(F.col("path").alias("from_file"), "line_number", F.explode(every).alias("symbol_name"))
-    asked = imports(lines).select(F.col("path").alias("from_file"), F.col("line_number").cast("string").alias("spec"), options(F.col("path"), F.col("module")).alias("options")).where("options is not null")
-    target = resolve(asked, files).select("from_file", F.col("spec").cast("int").alias("line_number"), F.col("target").alias("target_file"))
-    return bound.join(target, ["from_file", "line_number"]).select("from_file", "symbol_name", "target_file", "line_number", F.lit("extracted").alias("confidence"), F.concat(F.lit("direct import binding from "), "target_file").alias("reason"))
+    return F.when(kind == "python", python_options(path, module)).when(kind == "script", script_options(path, module)).when(kind == "go", go_options(path, module))
 
 
 def manifest_options(path: Column, raw: Column) -> Column:

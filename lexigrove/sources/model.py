@@ -195,31 +195,57 @@ def _path_of(key: Column) -> Column:
     return F.concat(root, F.lit("pkg"), (F.floor(key / 4) % 5).cast("string"), F.lit("/m_"), key.cast("string"), pick([".py", ".ts", ".go", ".rs"], key))
 
 
-#: Lines of a source file of each language: imports of a neighbour in its folder ({a}) and one in the next folder ({b}, of {d}), and its own symbol ({k}).
-IMPORT_LINES = [
-    ["from .m_{a} import Sym_{a} as s, nothing", "import pkg{d}.m_{b}", "from ..pkg{d}.m_{b} import Sym_{b}", "class Sym_{k}:"],
-    ["import Sym_{a}, {{ Sym_{a} as t, other }} from './m_{a}'", "export * from '../pkg{d}/m_{b}'", "import {{ Sym_{b} }} from \"../pkg{d}/m_{b}.ts\"", "export class Sym_{k} {{"],
-    ["import \"pkg{d}/m_{b}\"", "import \"./m_{a}\"", "import \"fmt\"", "type Sym_{k} struct {{"],
-    ["use crate::pkg{d}::m_{b}::Sym_{b};", "use super::m_{a};", "use std::fmt;", "pub struct Sym_{k} {{"],
-]
+#: A source file of each language, by line: what stands in strings, comments, bodies and groups, and statements over several lines.
+SOURCE_LINES = [
+    [
+        '\"\"\"Doc string with', "class NotOne: inside text", '\"\"\"', "import os, pkg{d}.m_{b} as pb  # import nothing.real", "from . import (", "    m_{a},", "    gone as g,", ")", "from .m_{a} import Sym_{a} as s, nothing",
+        "try:", "    from ..pkg{d}.m_{b} import Sym_{b}", "except ImportError:", "    Sym_{b} = None", "@decorate(", '    \"x = 1\")', "class Sym_{k}:", "    def method(self):", "        import pkg{d}.m_{a}", "if True:",
+        "    async def run_{k}():", "        def inner():", "            pass", "    def _late_{k}(a,", '                  b): return \"\"\"', "def fake():", '\"\"\"', "def after_{k}(): pass",
+    ],
+    [
+        "// import Fake from './m_{a}'", "import Def_{a}, {{", "  Sym_{a} as t,", "  other,", "}} from './m_{a}'", 'import type Only from \"../pkg{d}/m_{b}.ts\";', "export * from '../pkg{d}/m_{b}'", "export {{", "  Sym_{b} as again", '}} from \"../pkg{d}/m_{b}\"',
+        "const late = require('./m_{k}')", "if (late) {{", "  require('./m_{a}')", '  function nested_{k}() {{ return \"}}\" }}', "}}", "/* class Gone {{", "}} */", "export class Sym_{k} {{", "  method() {{ require('./m_{k}') }}", "}}",
+        "export default async function run_{k}() {{ const a = () => 1 }}", "export const make_{k} = async (x) => {{", "  class Inner {{}}", "}}, second_{k} = function () {{}}", "let _cls_{k} = class {{}}, plain_{k} = 1", "function* gen_{k}() {{}}",
+        "interface I_{k} {{ a: string }}", "const text = `class T {{`", "export function _hid_{k}() {{}}",
+    ],
+    [
+        "package m", 'import \"pkg{d}/m_{b}\"', "import (", '\t\"./m_{k}\"', ")", 'import alias \"./m_{a}\"', "// func Fake_{k}() {{", "type (", "\tSym_{k} struct {{ A int }}", "\tAct_{k} interface {{", "\t\tDo()", "\t}}", ")", "type Num_{k} int", "const (",
+        "\tOne_{k}, Two_{k} = 1, 2", '\tThree_{k} = \"const X = {{\"', ")", "var V_{k}, W_{k} int = 1, 2", "func (r *Sym_{k}) Start_{k}() {{", "\tvar local = 1", "}}", "func Run_{k}(", "\ta int,", ") string {{", "\treturn `func Raw() {{`", "}}",
+    ],
+    [
+        "//! mod fake_{k};", "use crate::{{pkg{d}::m_{b}::{{Sym_{b}, self as me}}, pkg{d}::m_{b} as again}};", "pub(crate) use super::m_{a};", "use std::{{", "    fmt,", "    io::Write,", "}};", "pub mod child_{k};", "#[derive(Debug)]", "struct Sym_{k} {{",
+        "    pub field: u8, /* {{ /* nested */ */", "}}", "pub(super) enum E_{k} {{ A }}", "impl<T: Into<String>> From<T> for Sym_{k} where T: Copy {{", "    fn from(x: T) -> Self {{ let c = '{{'; todo!() }}", "}}", "impl Display for Sym_{k} {{", "    fn inner_{k}() {{}}", "}}",
+        'const LIST_{k}: [u8; 2] = [1, 2]; static mut S_{k}: &str = \"fn quoted() {{\";', "pub const fn cf_{k}() {{}}", "async unsafe fn run_{k}<'a>(", "    x: &'a str,", ") -> u8 {{", "    mod hidden {{ pub fn no() {{}} }}", "    crate::pkg{d}::m_{b}::call(m_{a}::make())", "}}",
+        "mod tests {{", "    use super::*;", "    fn check() {{}}", "}}", "type Alias_{k} = u8;", "trait T_{k} {{ fn f(&self); }}",
+    ],
+]
 
 
-def importing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, line_number, line): parts as source files that import each other."""
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): parts as whole source files that import each other, some packages of Python and some modules below modules of Rust."""
     k = F.col("p_partkey")
     value = {"a": k + 20, "b": k + 4, "d": (F.floor(k / 4) + 1) % 5, "k": k}
-    lines = F.lit(None).cast("array<string>")
-    for i, shapes in enumerate(IMPORT_LINES):
-        each = []
-        for shape in shapes:
-            bits = re.split(r"\{([abdk])\}", shape)
-            each.append(F.concat(*[value[b].cast("string") if j % 2 else F.lit(b.replace("{{", "{").replace("}}", "}")) for j, b in enumerate(bits)]))
-        lines = F.when(k % 4 == i, F.array(*each)).otherwise(lines)
-    return read(spark, sf_dir, "part").select(_path_of(k).alias("path"), F.posexplode(lines).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_number"), "line")
-
-
-def importing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select(_path_of(F.col("p_partkey")).alias("path"))
+    text = F.lit("")
+    for i, lines in enumerate(SOURCE_LINES):
+        bits = re.split(r"\{([abdk])\}", "\n".join(lines))
+        text = F.when(k % 4 == i, F.concat(*[value[b].cast("string") if j % 2 else F.lit(b.replace("{{", "{").replace("}}", "}")) for j, b in enumerate(bits)])).otherwise(text)
+    part = read(spark, sf_dir, "part")
+    folder = F.concat(F.lit("pkg"), (F.floor(k / 4) % 5).cast("string"))
+    package = part.where((k % 4 == 0) & folder.isin("pkg0", "pkg1")).select(F.concat(folder, F.lit("/__init__.py")).alias("path"), F.lit("").alias("text")).distinct()
+    module = F.concat(F.lit("src/"), folder, F.lit("/m_"), k.cast("string"), F.lit("/child_"), k.cast("string"), F.lit(".rs"))
+    child = part.where(k % 8 == 3).select(module.alias("path"), F.lit("pub fn of_child() {}").alias("text"))
+    at_root = part.where(k % 8 == 7).select(
+        F.concat(F.lit("src/root_"), k.cast("string"), F.lit(".rs")).alias("path"),
+        F.concat(F.lit("use self::root_"), k.cast("string"), F.lit("::X; // own\nuse crate::root_"), k.cast("string"), F.lit(";\nfn go() { root_"), k.cast("string"), F.lit("::go(); root_"), (k - 8).cast("string"), F.lit("::go() }")).alias("text"),
+    )
+    return part.select(_path_of(k).alias("path"), text.alias("text")).unionByName(package).unionByName(child).unionByName(at_root)
+
+
+def closed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): parts as Rust files with everything inside a module's body, where statements give neither a symbol nor an edge."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("mod inner {\n    pub(crate) fn deep_"), k, F.lit("() {}\n    use crate::f_"), k, F.lit(";\n    type T_"), k, F.lit(" = u8; // type No = u8\n}\n"))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("src/f_"), k, F.lit(".rs")).alias("path"), text.alias("text"))
 
 
 #: Lines of Rust test sections and of what stands around them; {n} is a part's name, {k} its key.

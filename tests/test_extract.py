@@ -12,7 +12,6 @@ def found(df):
 def test_rust(spark):
     df = code(spark, "src/a.rs", "pub struct Foo {\n    fn hidden() {}\nfn run() {\npub(crate) const X: u8 = 1;\nimpl Display for Foo {\nmod parts;\nuse crate::x::Y;\nuse std::fmt;\nlet z = Foo::new(run());")
     assert found(df) == {("Foo", "struct", "public"), ("run", "function", "private"), ("X", "const", "public"), ("Foo", "impl", "private"), ("parts", "module", "private")}
-    assert {(r.module, r.confidence) for r in N.imports(df).collect()} == {("parts", "extracted"), ("crate::x::Y", "extracted"), ("std::fmt", "inferred")}
     refs = {(r.name, r.n) for r in N.identifier_refs(df, N.symbols(df)).collect()}
     assert refs == {("run", 1)}  # Foo has two definitions
 
@@ -20,10 +19,8 @@ def test_rust(spark):
 def test_python_and_scripts(spark):
     py = code(spark, "a.py", "class A:\n    def method(self):\nasync def go():\ndef _p():\nfrom a.b import c\nimport os.path")
     assert found(py) == {("A", "struct", "public"), ("go", "function", "public"), ("_p", "function", "private")}
-    assert {r.module for r in N.imports(py).collect()} == {"a.b", "os.path"}
     ts = code(spark, "a.ts", "export function f() {\nclass C {\nexport const g = (x) => x\nconst n = 1\nimport x from './m'\nimport y from 'react'\nconst z = require('./q')")
     assert found(ts) == {("f", "function", "public"), ("C", "struct", "private"), ("g", "function", "public")}
-    assert {r.module for r in N.imports(ts).collect()} == {"./m"}
 
 
 def test_go_and_other_files(spark):

@@ -7,6 +7,7 @@ from lexigrove.operators import edges as E
 from lexigrove.operators import extract as N
 from lexigrove.operators import graph as G
 from lexigrove.operators import imports as I
+from lexigrove.operators import items as B
 from lexigrove.operators import index as K
 from lexigrove.operators import inputs as J
 from lexigrove.operators import rank as R
@@ -119,7 +120,6 @@ def test_ambiguous_names_make_no_reference(spark):
     [
         ("pkg/a.py", ".b", ["pkg/b.py", "pkg/b/__init__.py"]), ("pkg/sub/a.py", "..", ["pkg/__init__.py"]), ("a.py", "m", ["m/__init__.py", "m.py"]), ("a.py", "m.n", ["m/n.py", "m/n/__init__.py"]),
         ("src/a.ts", "./b", ["src/b.ts", "src/b.tsx"]), ("src/a.js", "../b", ["b.js", "b.jsx"]), ("src/a.ts", "./b.js", ["src/b.js"]), ("p/a.go", "x/y", ["x/y.go", "x/y/index.go", "x/y/y.go", "y.go"]),
-        ("src/a/b.rs", "crate::c::D", ["c/D.rs", "c/D/mod.rs", "src/c/D.rs", "src/c/D/mod.rs", "c.rs"]), ("src/a/b.rs", "super::c", ["a/c.rs"]), ("src/a/mod.rs", "self::c", ["a/c.rs"]),
     ],
 )
 def test_import_options(spark, path, module, first):
@@ -128,9 +128,8 @@ def test_import_options(spark, path, module, first):
 
 
 def test_bindings_keep_the_original_name(spark):
-    code = lines(spark, {"pkg/a.py": "from .b import Foo as Bar, baz\nfrom .gone import x", "src/u.ts": "import Main, { One as Two } from './v'"})
-    files = table(spark, {"pkg/b.py": "", "src/v.ts": "", "pkg/a.py": "", "src/u.ts": ""})
-    found = I.import_bindings(code, files)
+    files = table(spark, {"pkg/a.py": "from .b import Foo as Bar, baz\nfrom .gone import x", "src/u.ts": "import Main, { One as Two } from './v'", "pkg/b.py": "", "src/v.ts": ""})
+    found = B.import_bindings(B.resolved_imports(B.imports(files), files))
     assert {(r.from_file, r.symbol_name, r.target_file) for r in found.collect()} == {("pkg/a.py", "Foo", "pkg/b.py"), ("pkg/a.py", "baz", "pkg/b.py"), ("src/u.ts", "Main", "src/v.ts"), ("src/u.ts", "One", "src/v.ts")}
     symbols = spark.createDataFrame([("Foo", "struct", "pkg/b.py", 9, "public"), ("Foo", "struct", "pkg/b.py", 4, "public")], SYMBOLS)
     assert [(r.symbol_name, r.target_line) for r in Y.binding_references(found, symbols).collect()] == [("Foo", 4)]
