@@ -26,17 +26,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, forget, ship, table
 
 #: The fit reads about so many labelled rows, picked by a hash of the id, at every size of input.
 SAMPLE_ROWS = 12_000
-#: Of the sample, about so many rows of each label fit the field, in windows of so many tokens, spread evenly over a text
-#: that has more than so many windows (scoring reads every token): they are all that the driver holds. The calibration
-#: uses the whole sample.
-FIT_ROWS, FIT_TOKENS, FIT_WINDOWS = 1_000, 500, 4
+#: Of the sample, rows of each label fit the field in the order of a hash, each with all its windows of FIT_TOKENS, until
+#: they have FIT_BUDGET tokens: they are all that the driver holds. A row of more than a quarter of that is no row of the
+#: fit (it counts in the vocabulary and the calibration, which use the whole sample, and is scored whole).
+FIT_BUDGET, FIT_TOKENS = 300_000, 500
 #: Words that can have a weight, and what makes one a toxic tag: toxic documents and their share, rate ratio, z-score.
 VOCABULARY, LEAST_DOCS, LEAST_SHARE, RATIO, Z = 4_000, 5, 0.01, 8.0, 5.0
 STEPS, RATE, DECAY = 150, 0.25, 0.02
@@ -210,10 +210,14 @@ def _tagged_slices(model: Field, texts: list[str | None]) -> Iterator[tuple[int,
 
 
 def windows(seq: np.ndarray) -> list[np.ndarray]:
-    """A sequence in windows of FIT_TOKENS, or FIT_WINDOWS of them from its first to its last."""
-    n = -(-len(seq) // FIT_TOKENS)
-    at = range(n) if n <= FIT_WINDOWS else np.linspace(0, n - 1, FIT_WINDOWS).astype(int).tolist()
-    return [seq[i * FIT_TOKENS : (i + 1) * FIT_TOKENS] for i in at]
+    """All of a sequence, in windows of FIT_TOKENS."""
+    return [seq[i : i + FIT_TOKENS] for i in range(0, len(seq), FIT_TOKENS)]
+
+
+def within_budget(rows: DataFrame, budget: int) -> DataFrame:
+    """Rows (draw, label, n_tokens) of each label in the order of their draws as long as they have no more than so many tokens together."""
+    so_far = F.sum("n_tokens").over(Window.partitionBy("label").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0))  # of at most the sample's rows
+    return rows.where(F.col("n_tokens") <= budget // 4).withColumn("_so_far", so_far).where(F.col("_so_far") <= budget).drop("_so_far")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
@@ -261,9 +265,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = [(w.astype("<i4").tobytes(), label) for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in windows(small.ids(t))]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.binary()), pa.array([label for _, label in out], pa.int32())], ["seq", "label"])
 
-    draw = F.pmod(F.xxhash64("text", F.lit("sequence")), F.lit(1_000_000))
-    share = F.when(F.col("_label") == 1, F.lit(int(1_000_000 * min(1.0, FIT_ROWS / n1)))).otherwise(F.lit(int(1_000_000 * min(1.0, FIT_ROWS / n0))))
-    fit = sample.where(draw < share).mapInArrow(sequences, "seq binary, label int").toPandas()
+    drawn = sample.withColumn("draw", F.xxhash64("text", F.lit("sequence")))
+    # only draws and counts are put in order; the counts need not be those of the tagger to the last token
+    counted = drawn.select("draw", F.col("_label").alias("label"), F.regexp_count("text", F.lit(r"(?U)[^\W\d_]+")).alias("n_tokens"))
+    chosen = within_budget(counted, FIT_BUDGET).select("draw")
+    fit = drawn.join(F.broadcast(chosen), "draw", "left_semi").select("text", "_label").mapInArrow(sequences, "seq binary, label int").toPandas()
     fit = fit.sort_values(["seq", "label"]).reset_index(drop=True)  # the order of rows would change the last digits
     seqs = [np.frombuffer(bytes(x), "<i4") for x in fit["seq"]]
     model.trans = np.array([[0.0, -3.0], [0.0, -1.0]])

@@ -184,9 +184,30 @@ def test_texts_under_one_id_stay(spark):
 
 def test_windows_cover_a_sequence():
     short, long = np.arange(2500), np.arange(op4_toxicity.FIT_TOKENS * 50 + 7)
-    assert np.concatenate(op4_toxicity.windows(short)).tolist() == short.tolist() and op4_toxicity.windows(np.zeros(0, int)) == []
-    parts = op4_toxicity.windows(long)
-    assert len(parts) == op4_toxicity.FIT_WINDOWS and parts[0][0] == 0 and parts[-1][-1] == long[-1]
+    for seq in (short, long):
+        parts = op4_toxicity.windows(seq)
+        assert np.concatenate(parts).tolist() == seq.tolist() and max(map(len, parts)) <= op4_toxicity.FIT_TOKENS
+    assert op4_toxicity.windows(np.zeros(0, int)) == []
+
+
+def test_rows_of_the_fit_are_bounded_by_their_tokens(spark):
+    rows = spark.createDataFrame([(i, i % 2, 20 + i % 3) for i in range(100)] + [(-5, 0, 26), (-4, 1, 20_000)], "draw long, label int, n_tokens long")
+    got = op4_toxicity.within_budget(rows, 100).collect()
+    assert {r.label: sum(x.n_tokens for x in got if x.label == r.label) for r in got} == {0: 83, 1: 84} and all(r.n_tokens <= 25 for r in got)
+    assert sorted(r.draw for r in got) == list(range(8))
+    whole = op4_toxicity.within_budget(spark.createDataFrame([(1, 1, 20_000), (2, 1, 30_000), (3, 0, 10)], "draw long, label int, n_tokens long"), op4_toxicity.FIT_BUDGET)
+    assert whole.count() == 3  # a text of 20,000 tokens enters whole
+
+
+def test_long_repeated_and_null_rows_score_alike(spark):
+    rng = random.Random(44)
+    long = " ".join(rng.choices("alpha beta gamma delta".split(), k=60_000))
+    table = docs(spark, [(1, long), (2, long), (None, long), (None, None), (3, ""), (4, long + " vilewordx")])
+    model = op4_toxicity.Field(words={"vilewordx": 1}, emit=np.array([-6.0, 5.0]), trans=np.array([[0.0, -3.0], [0.0, -1.0]]), scale=np.array([-2.0, 2.0, 1.0]))
+    got = op4_toxicity.tagged(table, model).collect()
+    assert len({r.score for r in got if r.doc_id in (1, 2) or (r.doc_id is None and r.spans is not None and r.score not in {x.score for x in got if x.doc_id == 3})}) == 1
+    hit = next(r for r in got if r.doc_id == 4)
+    assert hit.score > 0.5 and [(long + " vilewordx")[s.start : s.end] for s in hit.spans] == ["vilewordx"]
 
 
 # ---- op7
