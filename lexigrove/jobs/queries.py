@@ -14,6 +14,7 @@ from ..operators import edges as E
 from ..operators import evaluate as V
 from ..operators import extract as N
 from ..operators import graph as G
+from ..operators import ignore as O
 from ..operators import imports as I
 from ..operators import index as K
 from ..operators import inputs as J
@@ -154,9 +155,15 @@ def index_stats(spark, d):
     return L.index_stats(M.files(spark, d)).select("lex_file_count", F.round("avg_doc_length", 6).alias("avg_doc_length"))
 
 
+def _index(spark, d):
+    """The stored lexical index of the documents' files, written where there is none of their present state."""
+    return K.stored(spark, M.read(spark, d, "documents"), M.files(spark, d))
+
+
 @query
 def bm25_topk(spark, d):
-    return L.top_k(L.bm25(M.files(spark, d), C.Query(PHRASE + " version").lex_tokens))
+    terms, index = C.Query(PHRASE + " version").lex_tokens, _index(spark, d)
+    return L.top_k(index.bm25(terms) if index else L.bm25(M.files(spark, d), terms))
 
 
 @query
@@ -171,7 +178,7 @@ def find_match_all(spark, d):
 
 @query
 def find_indexed(spark, d):
-    return R.find_indexed(_lines(spark, d, PHRASE), M.files(spark, d), PHRASE)
+    return R.find_indexed(_lines(spark, d, PHRASE), M.files(spark, d), PHRASE, index=_index(spark, d))
 
 
 @query
@@ -397,12 +404,12 @@ def _facts(spark, d):
 
 @query
 def find_with_signals(spark, d):
-    return R.find_indexed(_lines(spark, d, PHRASE), M.files(spark, d), PHRASE, "stale", *_facts(spark, d))
+    return R.find_indexed(_lines(spark, d, PHRASE), M.files(spark, d), PHRASE, "stale", *_facts(spark, d), index=_index(spark, d))
 
 
 @query
 def find_indexed_report(spark, d):
-    return R.find_indexed_report(_lines(spark, d, IDENTIFIER), M.files(spark, d), IDENTIFIER, "fresh", *_facts(spark, d))
+    return R.find_indexed_report(_lines(spark, d, IDENTIFIER), M.files(spark, d), IDENTIFIER, "fresh", *_facts(spark, d), index=_index(spark, d))
 
 
 @query
@@ -447,6 +454,14 @@ def binding_refs(spark, d):
     return Y.binding_references(B.import_bindings(_resolved(spark, d)), _as_symbols(B.symbols(M.source_files(spark, d))))
 
 
+@query
+def ignored_files(spark, d):
+    """Which files of a few trees their ignore files leave out."""
+    files = M.tree_files(spark, d)
+    out = O.ignored(files, O.rules(files)).withColumn("ignored", F.lit(True))
+    return files.where("path not like '%ignore'").select("path").join(out, "path", "left").select("path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+
+
 @query
 def fallback_symbols(spark, d):
     return B.fallback_symbols(M.source_files(spark, d))

@@ -63,12 +63,19 @@ def bm25(files: DataFrame, terms: list[str]) -> DataFrame:
     )
     low = T.ascii_lower(F.col("text"))
     some = lexical_rows(files.where(reduce(or_, [low.contains(t) for t in wanted], F.lit(False)))).join(F.broadcast(stats))  # stats is one row
+    return bm25_of(some.withColumns({f"tf_{i}": tf(t) for i, t in enumerate(wanted)}), terms, wanted)
+
+
+def bm25_of(rows: DataFrame, terms: list[str], wanted: list[str]) -> DataFrame:
+    """Scores of rows (path, doc_length, lex_file_count, avg_doc_length, and tf_i and df_i of each wanted term)."""
     raw = F.lit(0.0)
     for t in terms:
-        part = bm25_term(tf(t), F.col(f"df_{wanted.index(t)}"), F.col("lex_file_count").cast("double"), F.col("doc_length"), F.col("avg_doc_length"))
+        i = wanted.index(t)
+        part = bm25_term(F.col(f"tf_{i}"), F.col(f"df_{i}"), F.col("lex_file_count").cast("double"), F.col("doc_length"), F.col("avg_doc_length"))
         raw = raw + F.coalesce(part, F.lit(0.0))
-    held = reduce(or_, [tf(t).isNotNull() for t in wanted], F.lit(False))
-    return some.where((F.col("avg_doc_length") > 0) & (F.col("doc_length") > 0) & held).select("path", raw.alias("score"), "lex_file_count", F.array_join(F.filter(F.array(*[F.when(tf(t).isNotNull(), t) for t in terms]), lambda x: x.isNotNull()), ", ").alias("lexical_terms"))
+    held = F.array_compact(F.array(*[F.when(F.col(f"tf_{wanted.index(t)}").isNotNull(), F.lit(t)) for t in terms], F.lit(None).cast("string")))
+    some = rows.where((F.col("avg_doc_length") > 0) & (F.col("doc_length") > 0) & (F.size(held) > 0))
+    return some.select("path", raw.alias("score"), "lex_file_count", F.array_join(held, ", ").alias("lexical_terms"))
 
 
 def top_k(scored: DataFrame, k: int = S.CANDIDATE_LIMIT) -> DataFrame:

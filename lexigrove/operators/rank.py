@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import add, and_, or_
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from ..functions import text as T
 from . import lexical, signals
 from .scan import Query, clusters, two_pass
 
+if TYPE_CHECKING:
+    from .index import Index
+
 
 def _by_role(weights: dict[str, float], role: Column) -> Column:
     out = F.lit(0.0)
@@ -213,19 +217,19 @@ def status_scale(status: str) -> float:
     return S.STATUS_SCALE.get(status, S.STATUS_OTHER)
 
 
-def lexical_part(files: DataFrame, q: Query, scale: float = 1.0) -> DataFrame:
-    """(path, lexical, lexical_terms): the share of the score that BM25 adds; nothing below the least."""
+def lexical_part(files: DataFrame, q: Query, scale: float = 1.0, index: Index | None = None) -> DataFrame:
+    """(path, lexical, lexical_terms): the share of the score that BM25 adds, from a stored index if there is one; nothing below the least."""
     if not q.lex_tokens or scale <= 0:
         return files.select("path", F.lit(0.0).alias("lexical"), F.lit("").alias("lexical_terms")).where(F.lit(False))
-    raw = lexical.bm25(files, q.lex_tokens)
+    raw = index.bm25(q.lex_tokens) if index else lexical.bm25(files, q.lex_tokens)
     bound = F.lit(len(q.lex_tokens) * (S.BM25_K1 + 1)) * F.greatest(F.log(F.col("lex_file_count") + F.lit(1.0)), F.lit(1.0))
     part = F.lit(S.LEXICAL_MAX) * F.least(F.col("score") / bound, F.lit(1.0)) * F.lit(scale)
     return raw.select("path", F.when(part >= S.LEXICAL_MIN, part).otherwise(0.0).alias("lexical"), "lexical_terms")
 
 
-def _indexed(lines: DataFrame, files: DataFrame, q: Query, status: str, symbols: DataFrame | None, refs: DataFrame | None, edges: DataFrame | None) -> DataFrame:
+def _indexed(lines: DataFrame, files: DataFrame, q: Query, status: str, symbols: DataFrame | None, refs: DataFrame | None, edges: DataFrame | None, index: Index | None = None) -> DataFrame:
     scale = status_scale(status)
-    df = score(features(two_pass(lines, q), q), q).join(lexical_part(files, q, scale), "path", "left")
+    df = score(features(two_pass(lines, q), q), q).join(lexical_part(files, q, scale, index), "path", "left")
     if symbols is None or scale <= 0:
         empty = F.array().cast("array<struct<type:string,detail:string,score:double,tier:int>>")
         df = df.withColumns({"signals": empty, "index_tier": F.lit(0)})
@@ -235,15 +239,15 @@ def _indexed(lines: DataFrame, files: DataFrame, q: Query, status: str, symbols:
     return top(anchor_cap(finish(df, q)))
 
 
-def find_indexed(lines: DataFrame, files: DataFrame, query: str, status: str = "fresh", symbols: DataFrame | None = None, refs: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+def find_indexed(lines: DataFrame, files: DataFrame, query: str, status: str = "fresh", symbols: DataFrame | None = None, refs: DataFrame | None = None, edges: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """Ranked files with the lexical score of an index, its definitions, references and edges if given, and the cap of those that no anchor supports."""
-    return _indexed(lines, files, Query(query), status, symbols, refs, edges).select(*_COLUMNS)
+    return _indexed(lines, files, Query(query), status, symbols, refs, edges, index).select(*_COLUMNS)
 
 
-def find_indexed_report(lines: DataFrame, files: DataFrame, query: str, status: str, symbols: DataFrame, refs: DataFrame, edges: DataFrame) -> DataFrame:
+def find_indexed_report(lines: DataFrame, files: DataFrame, query: str, status: str, symbols: DataFrame, refs: DataFrame, edges: DataFrame, index: Index | None = None) -> DataFrame:
     """The same with line ranges, snippets and evidence."""
     q = Query(query)
-    return report(numbered(_indexed(lines, files, q, status, symbols, refs, edges)), q)
+    return report(numbered(_indexed(lines, files, q, status, symbols, refs, edges, index)), q)
 
 
 def anchor_cap(df: DataFrame) -> DataFrame:

@@ -241,6 +241,24 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(_path_of(k).alias("path"), text.alias("text")).unionByName(package).unionByName(child).unionByName(at_root)
 
 
+#: Files of the trees, and ignore files with the rules that they hold.
+TREE_PATHS = ["src/a_{k}.rs", "build/out_{k}.o", "logs/keep_{k}.log", "logs/x_{k}.tmp", "deep/build/in_{k}.rs", "docs/{k}.md"]
+IGNORE_FILES = {
+    ".gitignore": "*.tmp\n/r0/docs/  \n\n# comment\nbuild/", "r1/.gitignore": "!build/\n*.md\n!1?.md", "r2/.rgignore": "logs/*\n!logs/keep_*", "r3/.ignore": "!*.tmp\nsrc/**", "r4/.gitignore": "deep/**/in_*\n\\!x\nsrc/a_[!0-9]*",
+}
+
+
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): parts as files of five trees, with ignore files."""
+    k = F.col("p_partkey")
+    name = F.lit("")
+    for i, shape in enumerate(TREE_PATHS):
+        before, after = shape.split("{k}")
+        name = F.when(F.col("p_size") % len(TREE_PATHS) == i, F.concat(F.lit(before), k.cast("string"), F.lit(after))).otherwise(name)
+    rules = spark.createDataFrame(list(IGNORE_FILES.items()), "path string, text string")
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("r"), (k % 5).cast("string"), F.lit("/"), name).alias("path"), F.lit("").alias("text")).unionByName(rules)
+
+
 def closed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text): parts as Rust files with everything inside a module's body, where statements give neither a symbol nor an edge."""
     k = F.col("p_partkey").cast("string")
