@@ -392,7 +392,19 @@ PARTS["x_extracted"] = f"""SELECT path, line_number, f, line, CASE {' '.join(f"W
 BODIES |= {
     "identifier_refs": """WITH d AS (SELECT path, line_number, name FROM x_extracted WHERE kind IS NOT NULL), k AS (SELECT name, min(path) AS target FROM d GROUP BY name HAVING count(*) = 1),
         u AS (SELECT path, line_number, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS name FROM x_code) SELECT path, name, target, count(*) AS n FROM u JOIN k USING (name) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.path = u.path AND d.line_number = u.line_number) GROUP BY ALL""",
-    "semantic_wins": "SELECT c.task_id, c.task_type, c.miss AND NOT o.miss AS win, c.hit1 = 1 AND o.hit1 <> 1 AS regression FROM x_scored c JOIN x_scored o ON c.task_id = o.task_id AND c.mode = 'C' AND o.mode = 'B' WHERE (c.miss AND NOT o.miss) OR (c.hit1 = 1 AND o.hit1 <> 1)",
+    "semantic_wins": """WITH t AS (SELECT task_id, mode, string_agg(path, chr(10) ORDER BY pos) FILTER (WHERE pos <= 3) AS top, coalesce(list_sort(list(DISTINCT path) FILTER (WHERE label = 'irrelevant')), []) AS bad FROM x_ranked LEFT JOIN x_judged USING (task_id, path) WHERE pos <= 8 GROUP BY ALL),
+        s AS (SELECT * FROM x_scored LEFT JOIN t USING (task_id, mode)),
+        b AS (SELECT c.task_id, c.repo_id, c.task_type, c.query, c.miss AS cm, o.miss AS om, c.hit1 AS c1, o.hit1 AS o1, c.hit8 AS c8, o.hit8 AS o8, coalesce(c.top, '') AS ct, coalesce(o.top, '') AS ot, o.latency_ms - c.latency_ms AS ms, list_filter(coalesce(o.bad, []), lambda x: NOT list_contains(coalesce(c.bad, []), x)) AS new
+            FROM s c JOIN s o ON c.task_id = o.task_id AND c.mode = 'C' AND o.mode = 'D'),
+        l AS (SELECT 'win' AS list, row_number() OVER (ORDER BY task_type, task_id) AS place, task_id, repo_id, task_type, query, c8 AS base_hit, o8 AS other_hit, ct AS base_top, ot AS other_top, ms AS latency_delta, '' AS irrelevant FROM b WHERE cm AND NOT om
+            UNION ALL SELECT 'regression', row_number() OVER (ORDER BY task_id), task_id, repo_id, task_type, query, c1, o1, ct, ot, ms, '' FROM b WHERE c1 = 1 AND o1 <> 1
+            UNION ALL SELECT 'bad_promotion', row_number() OVER (ORDER BY repo_id, task_id), task_id, repo_id, task_type, query, NULL, NULL, '', '', NULL, array_to_string(list_sort(new), chr(10)) FROM b WHERE len(new) > 0)
+        SELECT * REPLACE (place::INT AS place) FROM l WHERE place <= 20""",
+    "vector_file_load": f"""WITH e AS (SELECT vec_id, embedding AS v, vec_id // {M.FILE_VECTORS} AS f FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT f, count(*) AS n, row_number() OVER () AS x FROM e GROUP BY f),
+        p AS (SELECT f, n, CASE f % 11 WHEN 5 THEN 'version' WHEN 6 THEN 'model' WHEN 7 THEN 'stale' WHEN 4 THEN 'vectors file is too short' WHEN 3 THEN 'vectors file truncated (expected ' || (8 + n * {M.DIMENSIONS * 4}) || ' bytes, got ' || (6 + n * {M.DIMENSIONS * 4}) || ')'
+            WHEN 9 THEN 'corrupt (' || (n - 1) || ' file entries, ' || n || ' vectors)' END AS problem FROM n)
+        SELECT 'vectors_' || f || '.bin' AS path, problem, NULL AS name, 0 AS n, NULL::DOUBLE AS total, NULL::DOUBLE AS first FROM p WHERE problem IS NOT NULL
+        UNION ALL SELECT 'vectors_' || f || '.bin', NULL, 'src/f' || vec_id || '.rs', len(v)::INT, round(list_sum(list_transform(v, lambda x: x::DOUBLE)), 6), v[1]::DOUBLE FROM e JOIN p USING (f) WHERE problem IS NULL""",
     "task_counts": "SELECT repo_id, count(*) AS n FROM x_tasks GROUP BY 1",
 }
 

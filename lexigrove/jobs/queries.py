@@ -25,6 +25,7 @@ from ..operators import references as Y
 from ..operators import scan as C
 from ..operators import vector as X
 from ..sources import model as M
+from ..sources import vector_file as VF
 
 #: What the fixed queries ask for.
 PHRASE, WORDS, FILE_QUERY = "apache license", "the version", "core doc"
@@ -380,12 +381,17 @@ def identifier_refs(spark, d):
 
 @query
 def semantic_wins(spark, d):
-    """Tasks that one mode misses and another finds, and hit-at-one losses."""
-    s = _scored(spark, d)
-    c = s.where("mode = 'C'").select("task_id", "task_type", F.col("miss").alias("c_miss"), F.col("hit1").alias("c_hit1"))
-    o = s.where("mode = 'B'").select("task_id", F.col("miss").alias("o_miss"), F.col("hit1").alias("o_hit1"))
-    both = c.join(o, "task_id")
-    return both.select("task_id", "task_type", (F.col("c_miss") & ~F.col("o_miss")).alias("win"), ((F.col("c_hit1") == 1) & (F.col("o_hit1") != 1)).alias("regression")).where("win or regression")
+    """What one mode finds and the other doesn't, the losses, and the bad promotions, as three lists."""
+    return V.mode_lists(_scored(spark, d), M.ranked(spark, d), M.judged(spark, d))
+
+
+@query
+def vector_file_load(spark, d):
+    """Vectors of binary files with the names that they belong to, or why a file can't be used."""
+    files, meta = M.vector_files(spark, d)
+    found = VF.loaded(files, meta, K.semantic_problem(2, M.MODEL_NAME, M.DIMENSIONS, "r1"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return found.select("path", "problem", "name", F.coalesce(F.array_size("embedding"), F.lit(0)).alias("n"), F.round(total, 6).alias("total"), F.col("embedding")[0].cast("double").alias("first"))
 
 
 @query

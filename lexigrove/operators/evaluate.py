@@ -57,9 +57,62 @@ def summary(scored: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Latency p50 and p95 by linear interpolation; runs without a latency don't count."""
-    return scored.groupBy(*by).agg(r6(F.percentile("latency_ms", F.lit(0.5)), "p50_ms"), r6(F.percentile("latency_ms", F.lit(0.95)), "p95_ms"), F.count("latency_ms").alias("n_timed"))
+def percentiles(scored: DataFrame, by: list[str], value: str = "latency_ms", points: dict[str, float] | None = None, ranges: int = 1024) -> DataFrame:
+    """Percentiles by linear interpolation between two ranks (p50 and p95 unless given), exact; rows without a value don't count.
+
+    Equal values are counted before anything is shuffled, and a group's values
+    are parted into ranges between its least and its greatest. Running sums over
+    the ranges' counts tell which range holds a rank; only those ranges' values
+    are put in order, so no task gets all values of a group.
+    """
+    points = points or {"p50_ms": 0.5, "p95_ms": 0.95}
+    v, n = F.col("v"), F.col("n")
+    counted = scored.groupBy(F.struct(*by).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))  # nulls inside a struct are equal in a join
+    totals = counted.groupBy("g").agg(F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("n_timed"), F.min("v").alias("low"), F.max("v").alias("high"))
+    place = F.when(F.col("high") > F.col("low"), F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * ranges)).otherwise(0).cast("int")
+    timed = counted.where("v is not null").join(totals.select("g", "low", "high"), "g").select("g", "v", "n", place.alias("part"))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # of ranges, at most so many
+    parts = timed.groupBy("g", "part").agg(F.sum("n").alias("in_part")).withColumn("before", F.coalesce(F.sum("in_part").over(before), F.lit(0)))
+    rank = lambda p: F.lit(float(p)) * (F.col("n_timed") - 1)
+    sides = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(i).alias("side"), f(rank(p)).cast("long").alias("at")) for name, p in points.items() for i, f in enumerate((F.floor, F.ceil))])
+    asked = totals.where("n_timed > 0").select("g", F.explode(sides).alias("a")).select("g", "a.*")
+    held = parts.join(asked, "g").where("before <= at and at < before + in_part").select("g", "part", "before", "name", "side", "at")
+    so_far = F.col("before") + F.sum("n").over(Window.partitionBy("g", "part", "name", "side").orderBy("v"))
+    at_rank = timed.join(held, ["g", "part"]).withColumn("so_far", so_far).where("so_far > at").groupBy("g", "name", "side").agg(F.min("v").cast("double").alias("v"))
+    wide = at_rank.groupBy("g").agg(*[F.max(F.when((F.col("name") == name) & (F.col("side") == i), v)).alias(f"_{name}_{i}") for name in points for i in (0, 1)])
+    found = totals.join(wide, "g", "left")
+    between = lambda name, p: F.col(f"_{name}_0") + (F.col(f"_{name}_1") - F.col(f"_{name}_0")) * (rank(p) - F.floor(rank(p)))
+    return found.select(*[F.col("g")[c].alias(c) for c in by], *[r6(between(name, p), name) for name, p in points.items()], "n_timed")
+
+
+def mode_lists(scored: DataFrame, ranked: DataFrame, judged: DataFrame, base: str = "C", other: str = "D", limit: int = 20) -> DataFrame:
+    """(list, place, task_id, repo_id, task_type, query, base_hit, other_hit, base_top, other_top, latency_delta, irrelevant): one mode against another.
+
+    ``win``: the other mode finds what the base misses, by task type and task;
+    ``regression``: the base is right at once and the other isn't, by task;
+    ``bad_promotion``: irrelevant files that only the other brings up, by
+    repository and task. Each list ends after ``limit`` rows.
+    """
+    top = ranked.where(F.col("mode").isin(base, other) & (F.col("pos") <= K)).join(judged.select("task_id", "path", "label"), ["task_id", "path"], "left")
+    paths = top.groupBy("task_id", "mode").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos") <= 3, F.struct("pos", "path")))), lambda x: x["path"]), "\n").alias("top"), F.collect_set(F.when(F.col("label") == "irrelevant", F.col("path"))).alias("bad")
+    )
+    side = lambda m, name: scored.where(F.col("mode") == m).join(paths, ["task_id", "mode"], "left").select(
+        "task_id", *[F.col(c).alias(f"{c}_{name}") for c in ("repo_id", "task_type", "query", "miss", "hit1", "hit8", "latency_ms")], F.coalesce("top", F.lit("")).alias(f"top_{name}"), F.coalesce("bad", F.array().cast("array<string>")).alias(f"bad_{name}")
+    )
+    both = side(base, "a").join(side(other, "b"), "task_id").withColumn("new", F.array_sort(F.array_except("bad_b", "bad_a")))
+    none = F.lit(None)
+
+    def listed(name: str, when: Column, order: list[str], *columns: Column) -> DataFrame:
+        rows = both.where(when).orderBy(*order).limit(limit)
+        place = F.row_number().over(Window.orderBy(*order)).alias("place")  # of at most ``limit`` rows
+        return rows.select(F.lit(name).alias("list"), place, "task_id", F.col("repo_id_a").alias("repo_id"), F.col("task_type_a").alias("task_type"), F.col("query_a").alias("query"), *columns)
+
+    details = lambda hit: [F.col(f"{hit}_a").alias("base_hit"), F.col(f"{hit}_b").alias("other_hit"), F.col("top_a").alias("base_top"), F.col("top_b").alias("other_top"), (F.col("latency_ms_b") - F.col("latency_ms_a")).alias("latency_delta"), F.lit("").alias("irrelevant")]
+    wins = listed("win", F.col("miss_a") & ~F.col("miss_b"), ["task_type_a", "task_id"], *details("hit8"))
+    losses = listed("regression", (F.col("hit1_a") == 1) & (F.col("hit1_b") != 1), ["task_id"], *details("hit1"))
+    bad = listed("bad_promotion", F.size("new") > 0, ["repo_id_a", "task_id"], none.cast("double").alias("base_hit"), none.cast("double").alias("other_hit"), F.lit("").alias("base_top"), F.lit("").alias("other_top"), none.cast("long").alias("latency_delta"), F.array_join("new", "\n").alias("irrelevant"))
+    return wins.unionByName(losses).unionByName(bad)
 
 
 def compare(scored: DataFrame, ranked: DataFrame, judged: DataFrame, base: str = "C", other: str = "D") -> DataFrame:

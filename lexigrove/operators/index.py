@@ -73,14 +73,11 @@ def state(indexed_rev: Column, current_rev: Column, exists: Column) -> Column:
     return F.when(~exists, "missing").when(current_rev.isNull(), "unverifiable").when(indexed_rev.eqNullSafe(current_rev), "fresh").otherwise("stale")
 
 
-def semantic_problem(meta: DataFrame, version: int, model: str, dims: int, rev: str | None) -> DataFrame:
-    """One row: why vectors (schema_version, model_name, dimensions, repo_rev, n_files, n_vectors) can't be used, or null."""
-    c = F.col
-    stale = c("repo_rev").isNotNull() & F.lit(rev).isNotNull() & (c("repo_rev") != F.lit(rev))
-    why = (
-        F.when(c("schema_version") != version, "version").when((c("model_name") != model) | (c("dimensions") != dims), "model").when(F.coalesce(stale, F.lit(False)), "stale").when(c("n_vectors") != c("n_files"), "corrupt")
-    )
-    return meta.select(why.alias("problem"))
+def semantic_problem(version: int, model: str, dims: int, rev: str | Column | None) -> Column:
+    """Why vectors described by (schema_version, model_name, dimensions, repo_rev) can't be used, or null; the first of these that differs."""
+    c, now = F.col, rev if isinstance(rev, Column) else F.lit(rev).cast("string")
+    stale = c("repo_rev").isNotNull() & now.isNotNull() & (c("repo_rev") != now)
+    return F.when(c("schema_version") != version, "version").when((c("model_name") != model) | (c("dimensions") != dims), "model").when(F.coalesce(stale, F.lit(False)), "stale")
 
 
 #: Folders that the postings are parted into by a hash of the term.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import index_role
 from ..functions.text import lexical_terms
+from .vector_file import encoded
 
 PREFIXES = ["src", "docs", "config", "tests", "lib", "app", "vendor", "packages"]
 FOLDERS = ["core", "test_util", "generated", "docs", "ui"]
@@ -348,3 +349,22 @@ def task_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     repo = F.when(item % 6 == 0, "").otherwise(F.concat(F.lit('"repo_id": "repo'), (item % 3).cast("string"), F.lit('", ')))
     line = F.concat(F.lit('{"task_id": "task_'), item.cast("string"), F.lit('", '), repo, F.lit('"query": "q'), item.cast("string"), F.lit('"}'))
     return read(spark, sf_dir, "benchmark").select(F.when(item % 9 == 8, "  ").when(item % 9 == 7, F.concat(F.lit("﻿"), line)).otherwise(line).alias("value"))
+
+
+#: Vectors of a file, and the model that their descriptions name.
+FILE_VECTORS, MODEL_NAME, DIMENSIONS = 40, "small-model", 64
+
+
+def vector_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings as vector files (path, content), and their descriptions; some are cut off, or described wrongly."""
+    each = read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding", F.floor(F.col("vec_id") / FILE_VECTORS).alias("f"))
+    of = each.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    path, f = F.concat(F.lit("vectors_"), F.col("f").cast("string"), F.lit(".bin")), F.col("f")
+    whole = encoded(F.col("v.embedding"), DIMENSIONS)
+    content = F.when(f % 11 == 3, whole.substr(F.lit(1), F.octet_length(whole) - 2)).when(f % 11 == 4, whole.substr(F.lit(1), F.lit(5))).otherwise(whole)
+    names = F.transform("v.vec_id", lambda i: F.concat(F.lit("src/f"), i.cast("string"), F.lit(".rs")))
+    meta = of.select(
+        path.alias("path"), F.when(f % 11 == 5, 1).otherwise(2).alias("schema_version"), F.when(f % 11 == 6, "other").otherwise(MODEL_NAME).alias("model_name"), F.lit(DIMENSIONS).alias("dimensions"),
+        F.when(f % 11 == 7, "r0").when(f % 11 != 8, "r1").alias("repo_rev"), F.when(f % 11 == 9, F.slice(names, 2, F.size(names))).otherwise(names).alias("files"),
+    )
+    return of.select(path.alias("path"), content.alias("content")), meta
