@@ -96,6 +96,16 @@ def ranges(numbers: Column) -> Column:
     return let(numbers, joined)
 
 
+def range_list(numbers: Column) -> Column:
+    """The same as an array of (start, end)."""
+
+    def pairs(n: Column) -> Column:
+        starts, ends = F.filter(n, lambda x: ~F.array_contains(n, x - 1)), F.filter(n, lambda x: ~F.array_contains(n, x + 1))
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.struct(r["a"].cast("int").alias("start"), r["b"].cast("int").alias("end")))
+
+    return let(numbers, pairs)
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -255,4 +255,26 @@ INDEX_BODIES |= {
     "focus_paths": f"SELECT DISTINCT file_path AS path, 'file' AS mode, './x/../{FOCUS_FILE}' AS asked FROM x_symbols WHERE file_path = '{FOCUS_FILE}' UNION ALL SELECT DISTINCT file_path, 'symbol', {text(SYMBOL)} FROM ({BODIES['symbol_lookup']})",
     "all_refs": f"SELECT from_file, symbol_name, target_file, context, confidence, reason, target_line, line_number, additional_count FROM ({INDEX_BODIES['symbol_ref_contexts']}) UNION SELECT from_file, symbol_name, target_file, context, confidence, reason, target_line, line_number, additional_count FROM ({INDEX_BODIES['binding_refs']})",
 }
+_by_kind = f"CASE edge_type {' '.join(f'WHEN {text(k)} THEN {i}' for i, k in enumerate(S.EDGE_ORDER))} ELSE {len(S.EDGE_ORDER)} END, edge_type"
+_ordered = lambda c, order: f"CASE {c} {' '.join(f'WHEN {text(k)} THEN {i}' for i, k in enumerate(order))} ELSE {len(order)} END"
+
+
+def _first_edges(mine: str, other: str) -> str:
+    return f"SELECT {mine} AS path, string_agg(edge_type || ' ' || {other} || ' ' || confidence, chr(10) ORDER BY p) AS edges FROM (SELECT *, row_number() OVER (PARTITION BY {mine} ORDER BY {_by_kind}, {other}, reason) AS p FROM x_edges) WHERE p <= {S.DISPLAY_LIMIT} GROUP BY {mine}"
+
+
+INDEX_BODIES |= {
+    "find_json": INDEX_BODIES["find_report"],
+    "related_json": BODIES["related_files"],
+    "blast_json": f"SELECT * FROM ({BODIES['blast_impact']}) ORDER BY {_ordered('context', S.IMPACT_ORDER)}, score DESC, {_ordered('confidence', ['high', 'medium', 'low'])}, path LIMIT {S.DISPLAY_LIMIT}",
+    "map_json": f"""WITH n AS (SELECT src AS path FROM x_edges UNION SELECT dst FROM x_edges UNION SELECT file_path FROM x_symbols),
+        s AS (SELECT file_path AS path, string_agg(line_number || ' ' || name || ' ' || kind || ' ' || visibility, chr(10) ORDER BY p) AS symbols FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_number, name, kind) AS p FROM x_symbols) WHERE p <= {S.DISPLAY_LIMIT} GROUP BY 1),
+        o AS ({_first_edges('src', 'dst')}), i AS ({_first_edges('dst', 'src')}), c AS ({BODIES['edge_counts']})
+        SELECT path, {role('path')} AS role, coalesce(symbols, '') AS symbols, coalesce(o.edges, '') AS outgoing, coalesce(i.edges, '') AS incoming, coalesce(c.incoming, 0) AS n_incoming, coalesce(c.outgoing, 0) AS n_outgoing, coalesce(types, '') AS types
+        FROM n LEFT JOIN s USING (path) LEFT JOIN o USING (path) LEFT JOIN i USING (path) LEFT JOIN c USING (path)""",
+    "symbol_json": f"""WITH l AS ({BODIES['symbol_lookup']}), m AS (SELECT DISTINCT l.*, visibility FROM l JOIN x_symbols USING (name, kind, file_path, line_number)),
+        f AS (SELECT *, row_number() OVER (ORDER BY {_ordered('kind', S.KIND_ORDER)}, file_path, line_number, name) AS rank FROM m),
+        u AS (SELECT symbol_name AS name, target_file AS file_path, sum(additional_count + 1)::BIGINT AS n_uses, count(DISTINCT from_file) AS n_files FROM x_refs GROUP BY ALL)
+        SELECT {text(SYMBOL)} AS query, ['exact', 'case_insensitive', 'substring'][tier + 1] AS match_mode, rank::INT AS rank, name, kind, file_path, line_number, visibility, coalesce(n_uses, 0) AS n_uses, coalesce(n_files, 0) AS n_files FROM f LEFT JOIN u USING (name, file_path) WHERE rank <= {S.DISPLAY_LIMIT}""",
+}
 INDEX_SQL = {name: whole(body) for name, body in INDEX_BODIES.items()}

@@ -22,6 +22,7 @@ from ..operators import items as B
 from ..operators import lexical as L
 from ..operators import rank as R
 from ..operators import references as Y
+from ..operators import reports as P
 from ..operators import scan as C
 from ..operators import vector as X
 from ..sources import model as M
@@ -404,6 +405,49 @@ def find_report(spark, d):
     return R.find_report(_lines(spark, d, WORDS), WORDS)
 
 
+def _reread(report):
+    """A report as it comes back from its JSON."""
+    return P.from_json(P.to_json(report), report)
+
+
+@query
+def find_json(spark, d):
+    """The find report from its nested JSON, one row a candidate."""
+    return R.written(_reread(R.find_document(_lines(spark, d, WORDS), WORDS)).select(F.inline("candidates")))
+
+
+@query
+def map_json(spark, d):
+    """Map reports of all nodes and symbols' files from their JSON, arrays as text."""
+    edges, symbols = M.edges(spark, d), M.symbols(spark, d)
+    nodes = edges.select(F.col("src").alias("path")).unionByName(edges.select(F.col("dst").alias("path"))).unionByName(symbols.select(F.col("file_path").alias("path"))).distinct()
+    back = _reread(P.map_documents(nodes, symbols, edges))
+    edge = lambda side: lambda e: F.concat_ws(" ", e["edge_type"], e[side], e["confidence"])
+    return back.select(
+        "path", "role", F.array_join(F.transform("symbols", lambda s: F.concat_ws(" ", s["line_number"], s["name"], s["kind"], s["visibility"])), "\n").alias("symbols"),
+        F.array_join(F.transform("outgoing_edges", edge("dst")), "\n").alias("outgoing"), F.array_join(F.transform("incoming_edges", edge("src")), "\n").alias("incoming"),
+        F.coalesce("connection_counts.incoming", F.lit(0)).alias("n_incoming"), F.coalesce("connection_counts.outgoing", F.lit(0)).alias("n_outgoing"),
+        F.coalesce(F.array_join(F.transform("connection_counts.by_type", lambda t: F.concat_ws("=", t["edge_type"], t["n"])), ","), F.lit("")).alias("types"),
+    )
+
+
+@query
+def symbol_json(spark, d):
+    return _reread(P.symbol_document(M.symbols(spark, d), M.symbol_refs(spark, d), SYMBOL)).select("query", "match_mode", F.inline("matches"))
+
+
+@query
+def related_json(spark, d):
+    back = _reread(P.related_document(M.edges(spark, d), M.symbol_refs(spark, d), _focus(spark, FOCUS), FOCUS))
+    return back.select(F.inline("related_files")).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query
+def blast_json(spark, d):
+    back = _reread(P.blast_document(M.edges(spark, d), M.symbol_refs(spark, d), _focus(spark, FOCUS), FOCUS))
+    return back.select(F.inline("impacted_files")).withColumn("reasons", F.array_join("reasons", "; "))
+
+
 def _facts(spark, d):
     return M.doc_symbols(spark, d), M.doc_refs(spark, d), M.doc_edges(spark, d)
 

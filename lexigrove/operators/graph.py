@@ -96,8 +96,8 @@ def usage_summary(refs: DataFrame) -> DataFrame:
     return refs.groupBy("symbol_name").agg(F.sum(n).alias("total"), when("production").alias("production"), when("test", "fixture").alias("test_fixture"), when("unknown").alias("unknown"))
 
 
-def related(edges: DataFrame, refs: DataFrame, focus: DataFrame, limit: int = S.DISPLAY_LIMIT) -> DataFrame:
-    """(path, role, score, confidence, reasons): weighted neighbours of the focus paths, in both directions."""
+def related(edges: DataFrame, refs: DataFrame, focus: DataFrame, limit: int = S.DISPLAY_LIMIT, listed: bool = False) -> DataFrame:
+    """(path, role, score, confidence, reasons): weighted neighbours of the focus paths, in both directions; reasons as an array if ``listed``."""
     f = F.broadcast(focus.select("path").distinct())  # the paths that a user asks about
     in_src, in_dst = f.select(F.col("path").alias("src")), f.select(F.col("path").alias("dst"))
     reason = F.concat(F.col("edge_type"), F.lit(": "), F.col("reason"))
@@ -108,16 +108,17 @@ def related(edges: DataFrame, refs: DataFrame, focus: DataFrame, limit: int = S.
     used = refs.join(mine, "from_file", "left_semi").where("target_file is not null").select(F.col("target_file").alias("path"), ref_weight().alias("weight"), by.alias("reason"))
     users = refs.join(theirs, "target_file", "left_semi").join(mine, "from_file", "left_anti").select(F.col("from_file").alias("path"), ref_weight().alias("weight"), by.alias("reason"))
     every = out.unionByName(inc).unionByName(used).unionByName(users).join(f, "path", "left_anti")
-    return _rolled(every).orderBy(F.desc("score"), F.desc("level"), "path").limit(limit).select("path", "role", "score", level_name(F.col("level")).alias("confidence"), "reasons")
+    return _rolled(every).orderBy(F.desc("score"), F.desc("level"), "path").limit(limit).select("path", "role", "score", level_name(F.col("level")).alias("confidence"), F.col("reasons") if listed else F.array_join("reasons", "; ").alias("reasons"))
 
 
 def _rolled(weighted: DataFrame, *more: Column) -> DataFrame:
-    reasons = F.array_join(F.array_sort(F.collect_set("reason")), "; ")
+    """By path: the sum of weights, the best level and all reasons."""
+    reasons = F.array_sort(F.collect_set("reason"))
     return weighted.groupBy("path").agg(F.sum("weight").alias("score"), F.min(level(F.col("weight"))).cast("int").alias("level"), reasons.alias("reasons"), *more).withColumn("role", index_role(F.col("path")))
 
 
-def impact(edges: DataFrame, refs: DataFrame, focus: DataFrame) -> DataFrame:
-    """(path, role, context, score, confidence, reasons): what a change of the focus paths reaches; inbound, and its area."""
+def impact(edges: DataFrame, refs: DataFrame, focus: DataFrame, listed: bool = False) -> DataFrame:
+    """(path, role, context, score, confidence, reasons): what a change of the focus paths reaches; inbound, and its area; reasons as an array if ``listed``."""
     f = F.broadcast(focus.select("path").distinct())  # the paths that a user asks about
     src, dst = f.select(F.col("path").alias("src")), f.select(F.col("path").alias("dst"))
     mine, theirs = f.select(F.col("path").alias("from_file")), f.select(F.col("path").alias("target_file"))
@@ -131,7 +132,7 @@ def impact(edges: DataFrame, refs: DataFrame, focus: DataFrame) -> DataFrame:
     area = edges.where("edge_type = 'same_area'").join(src, "src", "left_semi").select(*columns("dst"))
     every = users.unionByName(inbound).unionByName(area).join(f, "path", "left_anti")
     name = F.element_at(F.array(*map(F.lit, S.IMPACT_ORDER)), F.col("category") + 1)
-    return _rolled(every, F.min("category").alias("category")).select("path", "role", name.alias("context"), "score", level_name(F.col("level")).alias("confidence"), "reasons")
+    return _rolled(every, F.min("category").alias("category")).select("path", "role", name.alias("context"), "score", level_name(F.col("level")).alias("confidence"), F.col("reasons") if listed else F.array_join("reasons", "; ").alias("reasons"))
 
 
 def _several(n: Column, one: str, many: str) -> Column:

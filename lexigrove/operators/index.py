@@ -81,7 +81,7 @@ def semantic_problem(version: int, model: str, dims: int, rev: str | Column | No
 
 
 #: Folders that the postings are parted into by a hash of the term.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def bucket(term: Column) -> Column:
@@ -121,24 +121,13 @@ def stored(spark: SparkSession, source: DataFrame, files: DataFrame) -> Index |
     index = Index(spark, f"{folder.rstrip('/')}/lexigrove-index-{rev}")
     if index.status(rev) != "fresh":
         draft = Index(spark, f"{index.folder}-{uuid.uuid4().hex}")
-        draft.write(rev, **lexical_tables(files))
+        draft.write_lexical(rev, files)
         fs, there = index._path()
         if not fs.rename(draft._path()[1], there) or fs.exists(there.suffix("/" + draft._path()[1].getName())):
             draft.clear()  # another session was first
     return index
 
 
-def lexical_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """What is stored for BM25: postings with their files' lengths, document frequencies, and one row of counts."""
-    rows = lexical.lexical_rows(files)
-    posts = rows.select("path", "doc_length", F.explode("terms").alias("x")).select("x.term", "path", "x.tf", "doc_length").withColumn("bucket", bucket(F.col("term")))
-    return {
-        "postings": posts,
-        "frequencies": posts.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")),
-        "stats": rows.agg(F.count(F.lit(1)).alias("lex_file_count"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_doc_length")),
-    }
-
-
 @dataclass
 class Index:
     """Tables of an index under one folder, each written as Parquet."""
@@ -164,6 +153,18 @@ class Index:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def write_lexical(self, rev: str | None, files: DataFrame) -> None:
+        """Write what BM25 needs: each file's length and terms (the texts are read for these alone), then from them postings, frequencies and one row of counts."""
+        lexical.lexical_rows(files).write.mode("overwrite").parquet(f"{self.folder}/files")
+        rows = self.read("files")
+        posts = rows.select("path", "doc_length", F.explode("terms").alias("x")).select("x.term", "path", "x.tf", "doc_length").withColumn("bucket", bucket(F.col("term")))
+        self.write(
+            rev,
+            postings=posts,
+            frequencies=posts.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")),
+            stats=rows.agg(F.count(F.lit(1)).alias("lex_file_count"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_doc_length")),
+        )
+
     def of_terms(self, name: str, terms: list[str]) -> DataFrame:
         """The rows of some terms; only the folders of their buckets are opened."""
         return self.read(name).where(F.col("bucket").isin([bucket(F.lit(t)) for t in terms]) & F.col("term").isin(terms))

@@ -156,27 +156,36 @@ def finish(df: DataFrame, q: Query) -> DataFrame:
     return df.withColumn("score", F.when(F.col("tier") > 0, T.round2(F.greatest(F.col("score") + F.col("tier") * F.lit(S.TIER_WEIGHT), F.lit(0.0)))).otherwise(F.col("score")))
 
 
-def report(df: DataFrame, q: Query) -> DataFrame:
-    """(path, line_ranges, snippets, evidence, next_action) of ranked files: why each is in the list, and what to look at.
+def explained(df: DataFrame, q: Query) -> DataFrame:
+    """(path, role, rank, score, confidence, line_ranges, snippets, evidence, next_action) of ranked files: why each is in the list, as arrays of structs.
 
     Index evidence comes first, then the lexical score, then the rest in the order in which it was weighed.
     """
     none = F.array().cast("array<struct<type:string,detail:string>>")
     first = F.transform("signals", lambda x: F.struct(x["type"].alias("type"), x["detail"].alias("detail"))) if "signals" in df.columns else none
     lexical = F.array_compact(F.array(_evidence(F.col("lexical") >= S.LEXICAL_SHOWN, "lexical_score", "lexical score matched terms: ", F.col("lexical_terms")))) if "lexical" in df.columns else none
-    ranges = T.ranges(F.col("lines"))
     last = F.array_compact(F.array(
-        _evidence(None, "rg_match", "matched on lines ", ranges),
+        _evidence(None, "rg_match", "matched on lines ", T.ranges(F.col("lines"))),
         _evidence(F.col("matched_terms") > 0, "query_term_coverage", "matched ", F.col("matched_terms").cast("string"), f" of {len(q.terms)} query terms"),
     ))
-    every = F.concat(first, lexical, F.col("why"), last)
-    written = lambda items, a, b: F.array_join(F.transform(items, lambda x: F.concat(x[a].cast("string"), F.lit(": "), x[b])), "\n")
     return df.select(
-        "path", "rank", "score", "confidence", ranges.alias("line_ranges"), written(F.col("snippets"), "line_number", "text").alias("snippets"), written(every, "type", "detail").alias("evidence"),
+        "path", "role", "rank", "score", "confidence", T.range_list(F.col("lines")).alias("line_ranges"), "snippets", F.concat(first, lexical, F.col("why"), last).alias("evidence"),
         F.when(F.col("rank") <= 3, F.concat(F.lit("open "), F.col("path"))).alias("next_action"),
     )
 
 
+def written(of: DataFrame) -> DataFrame:
+    """``explained`` with its arrays as text."""
+    lines = lambda items, a, b: F.array_join(F.transform(items, lambda x: F.concat(x[a].cast("string"), F.lit(": "), x[b])), "\n").alias(items)
+    ranges = F.array_join(F.transform("line_ranges", lambda r: F.when(r["start"] == r["end"], r["start"].cast("string")).otherwise(F.concat_ws("-", r["start"], r["end"]))), ", ")
+    return of.select("path", "rank", "score", "confidence", ranges.alias("line_ranges"), lines("snippets", "line_number", "text"), lines("evidence", "type", "detail"), "next_action")
+
+
+def report(df: DataFrame, q: Query) -> DataFrame:
+    """(path, rank, score, confidence, line_ranges, snippets, evidence, next_action) of ranked files, as text."""
+    return written(explained(df, q))
+
+
 def top(df: DataFrame, k: int = S.CANDIDATE_LIMIT) -> DataFrame:
     """The best k, in order; the raw score is rounded so that the order of sums can't decide."""
     df = df.withColumn("_shape", F.exists("why", lambda x: x["type"].isin("filename_shape_match", "path_shape_match"))).withColumn("raw_score", F.round("raw_score", 6))
@@ -212,6 +221,18 @@ def find_report(lines: DataFrame, query: str) -> DataFrame:
     return report(numbered(_ranked(lines, q, "any", None)), q)
 
 
+def find_document(lines: DataFrame, query: str) -> DataFrame:
+    """One row (query, candidates, coverage): the ranked files with all that explains them, nested, and what was found in all."""
+    q = Query(query)
+    found = two_pass(lines, q)
+    first = F.struct("rank", "path", "role", "score", "confidence", "line_ranges", "snippets", "evidence", "next_action")
+    shown = explained(numbered(top(finish(score(features(found, q), q), q))), q).agg(F.array_sort(F.collect_list(first)).alias("candidates"))  # CANDIDATE_LIMIT rows
+    counts = found.agg(F.count(F.lit(1)).alias("raw_match_count"), F.count_distinct("path").alias("raw_candidate_file_count"))
+    both = shown.join(F.broadcast(counts))  # one row each
+    coverage = F.struct("raw_match_count", "raw_candidate_file_count", F.size("candidates").alias("displayed_candidate_count"), (F.size("candidates") < F.col("raw_candidate_file_count")).alias("limited"), F.lit(S.MATCH_LIMIT).alias("match_limit_per_file"), F.lit(S.CANDIDATE_LIMIT).alias("candidate_limit"))
+    return both.select(F.lit(query).alias("query"), "candidates", coverage.alias("coverage"))
+
+
 def status_scale(status: str) -> float:
     """How much an index of this state counts."""
     return S.STATUS_SCALE.get(status, S.STATUS_OTHER)

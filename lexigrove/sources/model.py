@@ -129,9 +129,11 @@ def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = lambda c: F.array_distinct(F.filter(lexical_terms(c), lambda t: F.octet_length(t) >= 8))
     docs = files(spark, sf_dir).select("path", "doc_id", F.explode(long(F.col("text"))).alias("term"))
     wanted = tasks(spark, sf_dir).select("task_id", "item_id", F.explode(long(F.col("query"))).alias("term"))
-    hits = docs.join(wanted, "term")
-    df = docs.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return hits.join(df, "term").groupBy("task_id", "item_id", "path", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum(F.lit(1.0) / F.col("df")), 6).alias("weight")).where("shared > 0 and weight > 0")
+    # only terms of tasks are shuffled, once: the counts look at all columns, so that both uses have the same plan below
+    held = docs.join(wanted.select("term").distinct(), "term", "left_semi").repartition("term")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("path").alias("_p"), F.max("doc_id").alias("_d")).where("_p is not null and _d is not null").select("term", "df")
+    hits = held.join(wanted, "term").join(df, "term")
+    return hits.groupBy("task_id", "item_id", "path", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum(F.lit(1.0) / F.col("df")), 6).alias("weight")).where("shared > 0 and weight > 0")
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
