@@ -277,4 +277,27 @@ INDEX_BODIES |= {
         u AS (SELECT symbol_name AS name, target_file AS file_path, sum(additional_count + 1)::BIGINT AS n_uses, count(DISTINCT from_file) AS n_files FROM x_refs GROUP BY ALL)
         SELECT {text(SYMBOL)} AS query, ['exact', 'case_insensitive', 'substring'][tier + 1] AS match_mode, rank::INT AS rank, name, kind, file_path, line_number, visibility, coalesce(n_uses, 0) AS n_uses, coalesce(n_files, 0) AS n_files FROM f LEFT JOIN u USING (name, file_path) WHERE rank <= {S.DISPLAY_LIMIT}""",
 }
+def _reranked(q: Query, annotate: bool) -> str:
+    """Anchors from evidence, then fusion, then both guards."""
+    c = found(q, lexical_sql=lexical_score(q), signals_sql=signals(q, 1.0), report=True)
+    total = "c.score" if annotate else "CASE WHEN c.score IS NOT NULL THEN c.score + 0.3::DOUBLE * coalesce(similarity, 0) ELSE 0.8::DOUBLE * coalesce(similarity, 0) END"
+    name = text("indexed_symbol_definition: defines symbol " + q.raw.lower())
+    return f"""SELECT path, CASE WHEN s IS NOT NULL AND NOT symbol_anchor AND score >= s - 1e-9 THEN greatest(round(s - 0.01::DOUBLE, 6), 0) ELSE score END AS score, confidence, is_new, anchor, symbol_anchor, {text(q.raw)} AS asked FROM (
+        SELECT * REPLACE (CASE WHEN p IS NOT NULL AND NOT anchor AND score >= p - 1e-9 THEN greatest(round(p - 0.01::DOUBLE, 6), 0) ELSE score END AS score) FROM (
+        SELECT *, max(score) FILTER (WHERE anchor) OVER () AS p, max(score) FILTER (WHERE symbol_anchor) OVER () AS s FROM (
+        SELECT path, round({total}, 6) AS score, CASE WHEN c.score IS NOT NULL THEN c.confidence WHEN coalesce(similarity, 0) >= 0.6 THEN 'medium' ELSE 'low' END AS confidence, c.score IS NULL AS is_new, coalesce(anchor, false) AS anchor, coalesce(symbol_anchor, false) AS symbol_anchor
+        FROM (SELECT path, score, confidence, fine AND contains(evidence, 'exact_phrase_match: ') AS anchor, fine AND list_contains(string_split(lower(evidence), chr(10)), {name}) AS symbol_anchor
+            FROM (SELECT *, {role('path')} IN ('source', 'config') AND NOT contains(evidence, 'fixture_like_match: ') AS fine FROM ({c}))) c {'LEFT' if annotate else 'FULL'} JOIN x_doc_near USING (path) ORDER BY 2 DESC, 1 LIMIT {S.CANDIDATE_LIMIT})))"""
+
+
+PARTS["x_doc_near"] = f"""SELECT path, similarity FROM (SELECT path, round(greatest(least(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings JOIN x_files ON doc_id = vec_id WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 1)), 1), -1), 6) AS similarity
+    FROM embeddings JOIN x_files ON doc_id = vec_id WHERE embedding IS NOT NULL) WHERE similarity >= {S.COSINE_FLOOR} ORDER BY similarity DESC, path LIMIT {S.SEMANTIC_TOP}"""
+_mine = "(SELECT file_path FROM x_defining)"
+PARTS["x_defining"] = BODIES["symbol_lookup"]
+INDEX_BODIES |= {
+    "reason_summary_symbol": f"""SELECT path, label, count(*) AS n, max(weight) AS weight FROM (SELECT dst AS path, CASE WHEN edge_type = 'same_area' THEN edge_type ELSE edge_type || ': ' || reason END AS label, {EDGE_W} AS weight FROM x_edges WHERE src IN {_mine}
+        UNION ALL SELECT src, CASE WHEN edge_type = 'same_area' THEN edge_type ELSE edge_type || ': ' || reason END, {EDGE_W} FROM x_edges WHERE dst IN {_mine} UNION ALL SELECT target_file, symbol_name || ' reference (' || context || ')', {REF_W} FROM x_refs WHERE from_file IN {_mine}
+        UNION ALL SELECT from_file, symbol_name || ' reference (' || context || ')', {REF_W} FROM x_refs WHERE target_file IN {_mine}) WHERE path NOT IN {_mine} GROUP BY path, label UNION ALL SELECT DISTINCT file_path, 'defines matched symbol', 1, 1000.0::DOUBLE FROM x_defining""",
+    "semantic_rerank": f"SELECT * FROM ({_reranked(NAME, True)}) UNION ALL SELECT * FROM ({_reranked(Q, False)})",
+}
 INDEX_SQL = {name: whole(body) for name, body in INDEX_BODIES.items()}

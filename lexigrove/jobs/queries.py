@@ -589,6 +589,26 @@ def reason_summary(spark, d):
     return G.reason_summary(M.edges(spark, d), M.symbol_refs(spark, d), _focus(spark, FOCUS))
 
 
+@query
+def reason_summary_symbol(spark, d):
+    """Why files are related to those that define a symbol."""
+    defining = G.lookup(M.symbols(spark, d), SYMBOL).select(F.col("file_path").alias("path")).distinct()
+    return G.reason_summary(M.edges(spark, d), M.symbol_refs(spark, d), defining, defines=True)
+
+
+@query
+def semantic_rerank(spark, d):
+    """Ranked files of an identifier, which similarities only annotate, and of a phrase, with anchors from their evidence."""
+    vectors = M.read(spark, d, "embeddings").where("embedding is not null")
+    near = M.files(spark, d).join(vectors, F.col("doc_id") == F.col("vec_id")).select("path", "embedding", "vec_id")
+    semantic = X.top_cosine(near.drop("vec_id"), near.agg(F.min_by("embedding", "vec_id").alias("embedding")))
+    out = []
+    for query in (IDENTIFIER, PHRASE):
+        ranked = R.find_indexed_explained(_lines(spark, d, query), M.files(spark, d), query, "fresh", *_facts(spark, d), index=_index(spark, d))
+        out.append(X.rerank(ranked, semantic, query).withColumn("asked", F.lit(query)))
+    return out[0].unionByName(out[1])
+
+
 @query
 def inspection_order(spark, d):
     return G.inspection_order(_focus(spark, FOCUS), blast_impact(spark, d))

@@ -248,8 +248,11 @@ def share_of_best(scored: DataFrame) -> DataFrame:
     return scored.join(F.broadcast(best)).withColumn("share", F.round(share, 6)).drop("best")  # one row
 
 
-def reason_summary(edges: DataFrame, refs: DataFrame, focus: DataFrame) -> DataFrame:
-    """(path, label, n, weight): why each neighbour of the focus paths is related: how often each reason occurs, and its highest weight."""
+def reason_summary(edges: DataFrame, refs: DataFrame, focus: DataFrame, defines: bool = False) -> DataFrame:
+    """(path, label, n, weight): why each neighbour of the focus paths is related: how often each reason occurs, and its highest weight.
+
+    ``defines``: the focus paths define a symbol that is asked for, which is a reason of their own, before all others.
+    """
     f = F.broadcast(focus.select("path").distinct())  # the paths that a user asks about
     label = F.when(F.col("edge_type") == "same_area", "same_area").otherwise(F.concat(F.col("edge_type"), F.lit(": "), F.col("reason")))
     by = F.concat(F.col("symbol_name"), F.lit(" reference ("), F.col("context"), F.lit(")"))
@@ -263,7 +266,9 @@ def reason_summary(edges: DataFrame, refs: DataFrame, focus: DataFrame) -> DataF
         .unionByName(ends(refs, "from_file", "target_file", ref_weight(), by))
         .unionByName(ends(refs.where("from_file <> target_file"), "target_file", "from_file", ref_weight(), by))
     )
-    return every.join(f, "path", "left_anti").groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
+    found = every.join(f, "path", "left_anti").groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
+    own = f.select("path", F.lit(S.DEFINES_REASON).alias("label"), F.lit(1).cast("long").alias("n"), F.lit(S.DEFINES_WEIGHT).alias("weight"))
+    return found.unionByName(own) if defines else found
 
 
 def shown_refs(refs: DataFrame) -> DataFrame:

@@ -266,9 +266,14 @@ def find_indexed(lines: DataFrame, files: DataFrame, query: str, status: str = "
 
 
 def find_indexed_report(lines: DataFrame, files: DataFrame, query: str, status: str, symbols: DataFrame, refs: DataFrame, edges: DataFrame, index: Index | None = None) -> DataFrame:
-    """The same with line ranges, snippets and evidence."""
+    """The same with line ranges, snippets and evidence, as text."""
+    return written(find_indexed_explained(lines, files, query, status, symbols, refs, edges, index))
+
+
+def find_indexed_explained(lines: DataFrame, files: DataFrame, query: str, status: str, symbols: DataFrame, refs: DataFrame, edges: DataFrame, index: Index | None = None) -> DataFrame:
+    """The same as arrays of structs."""
     q = Query(query)
-    return report(numbered(_indexed(lines, files, q, status, symbols, refs, edges, index)), q)
+    return explained(numbered(_indexed(lines, files, q, status, symbols, refs, edges, index)), q)
 
 
 def anchor_cap(df: DataFrame) -> DataFrame:

@@ -65,6 +65,18 @@ def strong_symbol_anchor(role: Column, evidence: Column, is_fixture: Column, que
     return role.isin("source", "config") & ~is_fixture & F.exists(evidence, lambda x: (x["type"] == "indexed_symbol_definition") & (F.lower(x["detail"]) == wanted))
 
 
+def anchored(candidates: DataFrame, query: str) -> DataFrame:
+    """Candidates (path, role, evidence, ...) with ``anchor`` and ``symbol_anchor``, from their evidence: the exact phrase, or the definition of the symbol, in source or config files that don't look like fixtures."""
+    has = lambda kind: F.exists("evidence", lambda x: x["type"] == kind)
+    phrase = F.col("role").isin("source", "config") & has("exact_phrase_match") & ~has("fixture_like_match")
+    return candidates.withColumns({"anchor": phrase, "symbol_anchor": strong_symbol_anchor(F.col("role"), F.col("evidence"), has("fixture_like_match"), query)})
+
+
+def rerank(candidates: DataFrame, semantic: DataFrame, query: str) -> DataFrame:
+    """(path, score, confidence, is_new, anchor, symbol_anchor): candidates with similarities added; no anchor is displaced, and a query of one identifier only annotates."""
+    return guard(fuse(anchored(candidates, query).select("path", "score", "confidence", "anchor", "symbol_anchor"), semantic, is_identifier(query)))
+
+
 def documents(files: DataFrame, symbols: DataFrame, role: Column) -> DataFrame:
     """(path, document): what an embedding model reads of a file: path, role, symbols and the beginning of its text."""
     names = symbols.groupBy(F.col("file_path").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "name"))), lambda x: x["name"]), ", ").alias("names"))

@@ -56,6 +56,7 @@ ROLE_TEXT = {
 EDGE_ORDER = ["declares_module", "imports", "references", "likely_test_for", "configures", "same_area"]
 EDGE_WEIGHT = {"imports": 100.0, "references": 100.0, "declares_module": 100.0, "configures": 100.0, "likely_test_for": 75.0, "same_area": 20.0}
 EDGE_OTHER = 40.0
+DEFINES_REASON, DEFINES_WEIGHT = "defines matched symbol", 1000.0
 REF_WEIGHT = {"production": 90.0, "fixture": 60.0, "test": 55.0, "unknown": 25.0}
 CONFIDENCE_BONUS = {"extracted": 10.0, "inferred": 5.0, "ambiguous": 0.0}
 CONTEXT_ORDER = ["production", "fixture", "test", "unknown"]

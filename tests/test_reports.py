@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from lexigrove.operators import graph as G
 from lexigrove.operators import rank as R
 from lexigrove.operators import reports as P
+from lexigrove.operators import vector as X
 
 EDGES = "edge_type string, src string, dst string, confidence string, reason string"
 SYMBOLS = "name string, kind string, file_path string, line_number int, visibility string"
@@ -52,3 +54,26 @@ def test_symbols_and_neighbours(spark):
     blast = P.blast_document(edges, refs, focus, "a.rs", limit=1).first()
     assert [(f.path, f.context) for f in blast.impacted_files] == [("x.rs", "production")]
     assert P.blast_document(edges, refs, focus.where("path = ''"), "a").first().impacted_files == []
+
+
+def test_anchors_come_from_evidence(spark):
+    kind = "path string, role string, score double, confidence string, evidence array<struct<type:string,detail:string>>"
+    rows = [
+        ("src/a.rs", "source", 0.5, "high", [("exact_phrase_match", "x")]), ("src/b.rs", "source", 0.45, "high", [("exact_phrase_match", "x"), ("fixture_like_match", "y")]), ("docs/c.md", "doc", 0.48, "low", [("exact_phrase_match", "x")]),
+        ("src/d.rs", "config", 0.3, "low", [("indexed_symbol_definition", "defines symbol FooBar")]), ("src/e.rs", "source", 0.2, "low", [("indexed_symbol_definition", "defines symbol FooBarBaz")]),
+    ]
+    candidates = spark.createDataFrame(rows, kind)
+    semantic = spark.createDataFrame([("docs/c.md", 0.9), ("src/new.rs", 0.7)], "path string, similarity double")
+    flags = {r.path: (r.anchor, r.symbol_anchor) for r in X.anchored(candidates, "foobar").collect()}
+    assert flags == {"src/a.rs": (True, False), "src/b.rs": (False, False), "docs/c.md": (False, False), "src/d.rs": (False, True), "src/e.rs": (False, False)}
+    fused = {r.path: round(r.score, 6) for r in X.rerank(candidates, semantic, "foo bar").collect()}
+    assert fused == {"src/a.rs": 0.5, "docs/c.md": 0.49, "src/new.rs": 0.49, "src/b.rs": 0.45, "src/d.rs": 0.3, "src/e.rs": 0.2}
+    named = {r.path: round(r.score, 6) for r in X.rerank(candidates, semantic, "FooBar").collect()}  # one identifier: nothing is added, but its definition leads
+    assert named == {"src/a.rs": 0.29, "docs/c.md": 0.29, "src/b.rs": 0.29, "src/d.rs": 0.3, "src/e.rs": 0.2}
+
+
+def test_the_definition_is_a_reason(spark):
+    edges = spark.createDataFrame([("imports", "x.rs", "a.rs", "extracted", "i")], EDGES)
+    focus = spark.createDataFrame([("a.rs",)], "path string")
+    got = {tuple(r) for r in G.reason_summary(edges, spark.createDataFrame([], REFS), focus, defines=True).collect()}
+    assert {r[:3] for r in got} == {("x.rs", "imports: i", 1), ("a.rs", "defines matched symbol", 1)} and max(r[3] for r in got) == 1000.0
