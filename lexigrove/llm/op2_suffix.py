@@ -226,8 +226,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _ranges(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int, more: np.ndarray | None = None) -> pa.RecordBatch:
-    """(id, tag, kind, data) rows, a row's ranges together as pairs of unsigned 32-bit integers (and ``more`` after them)."""
-    order = np.lexsort((start, tag, doc))
+    """(id, tag, kind, data) rows, a row's ranges together as pairs of unsigned 32-bit integers (and ``more`` after them); ranges that equal rows share are told once."""
+    order = np.lexsort((end, start, tag, doc))
+    if more is None and len(order):
+        a, b = order[1:], order[:-1]
+        order = order[np.concatenate(([True], (doc[a] != doc[b]) | (tag[a] != tag[b]) | (start[a] != start[b]) | (end[a] != end[b])))]
     doc, tag = doc[order], tag[order]
     at = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))) if len(doc) else np.zeros(0, np.int64)
     flat = np.stack((start[order], end[order]) if more is None else (start[order], end[order], *(m[order] for m in more.T)), axis=1).astype("<u4")
@@ -255,7 +258,7 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
                         some = data[x : x + 256]
                         n = np.array([len(d) // 8 for d in some])
                         each = (np.repeat(v[x : x + 256], n).astype("<i8").tobytes() for v in (part_ids, part_tags))
-                        rows.append((int(part_ids[x] % buckets), GONE, *each, b"".join(some), *[b""] * 5))
+                        rows.append(((int(part_ids[x]) + int(part_tags[x])) % buckets, GONE, *each, b"".join(some), *[b""] * 5))
                 bucket = (anchor % np.uint64(buckets)).astype(np.int64)
                 order = np.flatnonzero(first)
                 order = order[np.argsort(bucket[order], kind="stable")]
@@ -406,7 +409,8 @@ def removed(keyed: DataFrame) -> DataFrame:
     joined = shared.hint("merge").join(texts, ["id", "tag"]).select("id", "tag", "text", "data")
     again = cut(by_group(_fetch(joined, buckets), ["bucket"], _factors, _RANGES, buckets))
     release(keyed.sparkSession)
-    return compared.where(F.col("kind") == GONE).unionByName(again).groupBy("id", "tag").agg(F.collect_list("data").alias("data"))
+    # a set: rows that are equal in id and text come with the same ranges, however many they are
+    return compared.where(F.col("kind") == GONE).unionByName(again).groupBy("id", "tag").agg(F.collect_set("data").alias("data"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

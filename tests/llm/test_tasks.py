@@ -182,6 +182,17 @@ def test_texts_under_one_id_stay(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept if r.doc_id != 3) == sorted([(1, a), (1, b), (0, a), (0, a)])
 
 
+def test_equal_rows_tell_their_ranges_once(spark):
+    rng = random.Random(71)
+    text = words(rng, 300)
+    rows = [(None, text)] * 1500 + [(7, text), (7, text), (7, text + " more")]
+    table = docs(spark, rows).repartition(5)
+    found = op2_suffix.removed(op2_suffix._keyed(table, "doc_id", "text")).collect()
+    assert found and max(sum(map(len, r.data)) for r in found) < 2_000  # a few ranges, not those of every row
+    got = op2_suffix.deduplicated(table).collect()
+    assert len(got) == len(rows) and len({(r.n_bytes, bytes(r.kept)) for r in got if r.doc_id is None}) == 1
+
+
 def test_windows_cover_a_sequence():
     short, long = np.arange(2500), np.arange(op4_toxicity.FIT_TOKENS * 50 + 7)
     for seq in (short, long):
