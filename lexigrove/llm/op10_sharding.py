@@ -5,8 +5,10 @@ Each document descends region, rack and shard. At a node every child draws
 a child is taken in proportion to the weight below it, and a change of weight
 moves rows only between the changed subtree and its siblings. A shard that is
 added opens a subtree of its own at the top and can only take rows into itself.
-A child's name depends on its place alone, so the tree of n + 1 shards and the
-grown tree of n shards are the same tree.
+From BASE shards on, and among trees of fewer than BASE (whose shards have a
+region each), the tree of n + 1 shards and the grown tree of n are the same; a
+tree that was laid out for BASE - 1 shards and grown is not the one laid out for
+BASE, which has racks: a tree is laid out once and grown from there.
 
 Null ids: all hash alike, so they share a shard; their slots are spread by size
 and content. Null texts: no bytes (size 1, crc 0). Very long texts count whole.

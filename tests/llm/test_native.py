@@ -135,6 +135,13 @@ def descended(key, tree):
     return int(at.rsplit("/", 1)[1])
 
 
+def test_trees_of_fewer_shards_grow_alike():
+    for n in (1, 3, 13, 14, 16, 17, 20):
+        assert op10_sharding.grow(op10_sharding.layout(n)) == op10_sharding.layout(n + 1)
+    assert op10_sharding.grow(op10_sharding.layout(15)) != op10_sharding.layout(16)  # laid out with racks from the start
+    assert set(op10_sharding.grow(op10_sharding.layout(15))) == {f"shard{i}" for i in range(16)}
+
+
 @pytest.mark.parametrize("n", [1, 3, 16, 17, 21])
 def test_descent_and_growth(spark, n):
     ids = spark.createDataFrame([(i,) for i in [*range(1500), None]], "doc_id long").withColumn("text", F.lit("x"))
