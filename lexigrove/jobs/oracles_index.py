@@ -227,6 +227,9 @@ INDEX_BODIES |= {
     "extract_imports": "SELECT path, line_number, module, confidence, how, names, default_name FROM ("
     + _union(_IMPORTS, ["line_number", "module", "how", "names", "default_name", "confidence"], ["", None, "extracted"])
     + ") UNION ALL SELECT 'src/root_' || k || '.rs', n, CASE n WHEN 1 THEN 'self::root_' || k || '::X' ELSE 'crate::root_' || k END, CASE n WHEN 1 THEN 'inferred' ELSE 'extracted' END, 'use', '', NULL FROM x_src, (SELECT unnest([1, 2]) AS n) WHERE k % 8 = 7",
+    "readable_texts": """SELECT path, (CASE WHEN doc_id % 10 = 0 THEN n + 2 WHEN doc_id % 7 = 0 THEN n * 200 ELSE n END)::INT AS size_bytes, CASE WHEN doc_id % 10 = 0 THEN -1 WHEN doc_id % 7 = 0 AND n * 200 > 262144 AND NOT regexp_matches(path, '\\.(rs|py|ts|js|go)$') THEN -1 WHEN doc_id % 7 = 0 THEN length(text) * 200 ELSE length(text) END::INT AS n_chars
+        FROM (SELECT *, strlen(text) AS n FROM x_files)""",
+    "surviving_repos": "SELECT 'repo' || s_suppkey AS repo_id, s_name FROM supplier WHERE s_suppkey IN (SELECT item_id * 3 FROM benchmark WHERE item_id IN (SELECT doc_id FROM labels))",
     # by tree: what the rules say of each kind of file
     "ignored_files": """SELECT 'r' || r || '/' || CASE i WHEN 0 THEN 'src/a_' || k || '.rs' WHEN 1 THEN 'build/out_' || k || '.o' WHEN 2 THEN 'logs/keep_' || k || '.log' WHEN 3 THEN 'logs/x_' || k || '.tmp' WHEN 4 THEN 'deep/build/in_' || k || '.rs' ELSE 'docs/' || k || '.md' END AS path,
         CASE i WHEN 0 THEN r = 3 WHEN 1 THEN r <> 1 WHEN 2 THEN false WHEN 3 THEN r <> 3 WHEN 4 THEN r <> 1 ELSE r = 0 OR (r = 1 AND k NOT BETWEEN 10 AND 19) END AS ignored FROM (SELECT p_partkey AS k, p_partkey % 5 AS r, p_size % 6 AS i FROM part)""",

@@ -101,9 +101,9 @@ def glob_filter(spark, d):
 
 
 def _lines(spark, d, query, phrase_only=False):
-    """Lines of the files that can match."""
+    """Lines of the files that can match, none under build and output folders."""
     q = C.Query(query)
-    return C.lines_of(M.files(spark, d), [q.phrase] if phrase_only else [q.phrase, *q.patterns])
+    return C.lines_of(K.pruned(M.files(spark, d)), [q.phrase] if phrase_only else [q.phrase, *q.patterns])
 
 
 @query
@@ -504,6 +504,24 @@ def binding_refs(spark, d):
     return Y.binding_references(B.import_bindings(_resolved(spark, d)), _as_symbols(B.symbols(M.source_files(spark, d))))
 
 
+@query
+def readable_texts(spark, d):
+    """What is read of documents as files of bytes: some are no UTF-8, some large."""
+    i = F.col("doc_id")
+    raw = F.when(i % 10 == 0, F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FFFE")))).when(i % 7 == 0, F.encode(F.repeat("text", 200), "utf-8")).otherwise(F.encode("text", "utf-8"))
+    read = M.files(spark, d).select("path", raw.alias("content")).select("path", F.octet_length("content").alias("size_bytes"), K.text_of(F.col("content"), F.col("path")).alias("text"))
+    return read.select("path", "size_bytes", F.coalesce(F.length("text"), F.lit(-1)).alias("n_chars"))
+
+
+@query
+def surviving_repos(spark, d):
+    """Repositories of suppliers that labelled tasks name, as a run that takes only labelled tasks keeps them."""
+    repos = M.read(spark, d, "supplier").select(F.concat(F.lit("repo"), F.col("s_suppkey").cast("string")).alias("repo_id"), "s_name")
+    labelled = M.read(spark, d, "labels").select(F.concat(F.lit("task_"), F.col("doc_id").cast("string")).alias("task_id")).distinct()
+    tasks = M.tasks(spark, d).select("task_id", F.concat(F.lit("repo"), (F.col("item_id") * 3).cast("string")).alias("repo_id"))
+    return J.surviving_repos(repos, tasks.join(labelled, "task_id", "left_semi"))
+
+
 @query
 def ignored_files(spark, d):
     """Which files of a few trees their ignore files leave out."""
