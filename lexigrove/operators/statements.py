@@ -72,7 +72,9 @@ def pieces(files: DataFrame) -> DataFrame:
 
         return T.let(_tokens(clean, lang), both)
 
-    cuts = files.where(F.col("text").isNotNull() & kind.isin(*MASKS)).select("path", kind.alias("family"), F.posexplode(_by_family(kind, cut)).alias("pos", "x"))
+    # whole files are dealt out by path, so that the windows over their pieces need no shuffle of their own
+    whole = files.where(F.col("text").isNotNull() & kind.isin(*MASKS)).select("path", "text").repartition("path")
+    cuts = whole.select("path", kind.alias("family"), F.posexplode(_by_family(kind, cut)).alias("pos", "x"))
     strings = lambda lang: F.regexp_replace("x.code", "(?s)" + "|".join(MASKS[lang][1]), '""')
     return cuts.select("path", "family", "pos", F.col("x.code").alias("code"), F.col("x.raw").alias("raw"), _by_family(F.col("family"), strings).alias("bare"))
 
