@@ -3,7 +3,9 @@
 A source's mean repetition rate is its target share of the output over its
 share of the input. Each document draws its count by inverting the Poisson
 distribution at a uniform number hashed from (seed, id), is exploded by that
-count, and the copies are ordered over the whole corpus by a second hash.
+count, and the copies are ordered over the whole corpus by a second hash. A
+document with more than SPREAD copies is dealt out first, as ranges of its copy
+numbers, so no task multiplies a row by more than that in one step.
 
 Null sources are a source of their own; a source with no weight given gets
 ``default`` (nothing if it is 0). Null ids hash alike. Repeated rows draw alike
@@ -17,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tasks
 
 #: Rates up to this many sources are sent to all tasks; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Copies that one task makes of a row in one step.
+SPREAD = 256
 #: Production parameter: the total stays as it is, and every source gets an equal part of it.
 EPOCHS = 1.0
 
@@ -86,14 +90,34 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, default: float, epo
     return out.withColumn("law", law(F.col("rate")))
 
 
+def _copied(drawn: DataFrame) -> DataFrame:
+    """``drawn`` with a row for each ``copy_no`` from 1 to ``_copies``.
+
+    The largest count (one number) says how often ranges have to be cut: each
+    step cuts a row's range into at most SPREAD parts, and deals them out by hash.
+    """
+    most = drawn.agg(F.max("_copies")).first()[0] or 0
+    rows = drawn.where("_copies > 0").withColumn("_from", F.lit(1)).withColumn("_to", F.col("_copies"))
+    step = SPREAD
+    while step * SPREAD < most:
+        step *= SPREAD
+    if most > SPREAD:
+        many, rows = rows.where(F.col("_copies") > SPREAD), rows.where(F.col("_copies") <= SPREAD)
+        while step >= SPREAD:
+            many = many.withColumn("_from", F.explode(F.sequence("_from", "_to", F.lit(step)))).withColumn("_to", F.least(F.col("_to"), F.col("_from") + (step - 1)))
+            many = many.repartition(tasks(drawn), "_id", "_from")
+            step //= SPREAD
+        rows = rows.unionByName(many)
+    return rows.withColumn("copy_no", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to", "_copies")
+
+
 def _mixed(docs: DataFrame, weights: dict[str, float] | None, default: float, epochs: float, seed: str, id_col: str, source_col: str) -> DataFrame:
     """(doc, copy_no, shuffle_key) in the global order; the row is one struct, so that no name of its columns can clash."""
     by_source = rates(docs, weights, default, epochs, source_col)
     by_source = F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"))
     drawn = rows.join(by_source.select("_source", "rate", "law"), "_source").withColumn("_copies", poisson(uniform(seed, F.col("_id")), F.col("rate"), F.col("law")))
-    copies = drawn.where("_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("_id"), F.col("copy_no").cast("string")).cast("binary")))
+    keyed = _copied(drawn).withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("_id"), F.col("copy_no").cast("string")).cast("binary")))
     return keyed.select("doc", "copy_no", "shuffle_key").orderBy("shuffle_key")
 
 
@@ -119,8 +143,8 @@ def op5_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
 r AS (SELECT s, 1.0::DOUBLE / (SELECT sum(1.0::DOUBLE) FROM n) * (SELECT sum(n) FROM n) * {EPOCHS}::DOUBLE / n AS rate FROM n),
-k AS (SELECT unnest(range(0, 40)) AS k),
-t AS (SELECT s, rate, k, CASE WHEN k = 0 THEN exp(-rate) ELSE exp(-rate + k * ln(rate) - lgamma(k + 1)) END AS p FROM r, k),
+k AS (SELECT s, rate, unnest(range(0, ceil(rate + 9 * sqrt(rate) + 21)::BIGINT)) AS k FROM r),
+t AS (SELECT s, rate, k, CASE WHEN k = 0 THEN exp(-rate) ELSE exp(-rate + k * ln(rate) - lgamma(k + 1)) END AS p FROM k),
 c AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS total FROM t),
 u AS (SELECT *, (('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
 d AS (SELECT u.doc_id, u.source, u.text, count(*) FILTER (WHERE c.total < u.u) AS copies FROM u JOIN c ON c.s = coalesce(u.source, '') GROUP BY ALL),
