@@ -33,7 +33,6 @@ HEX = r"[0-9a-f]{32,}"
 LEAST = 8
 RUN = rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}"
 TAIL = r"[.-]+$"
-BEFORE, AFTER = r"(?<![A-Za-z0-9+/_.=-])(?:", r")(?=[.-]*(?![A-Za-z0-9+/_.=-]))"
 KINDS = ("assign", "access", "hex", "reuse")
 #: A value held by so many owners, or in so many repositories, is a copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 20
@@ -55,8 +54,9 @@ def base_spans(text: Column) -> Column:
 
 
 def runs(text: Column) -> Column:
-    """The distinct candidate runs of a text."""
-    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: F.regexp_replace(r, TAIL, ""))), lambda r: F.length(r) >= LEAST)
+    """The candidate runs of a text with their places."""
+    cut_off = F.transform(S.find(text, RUN), lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], TAIL, "").alias("m")))
+    return F.filter(cut_off, lambda x: F.length(x["m"]) >= LEAST)
 
 
 def hashed(value: Column) -> Column:
@@ -93,19 +93,18 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     base = found.select("_row", "repo", "owner", F.explode("base").alias("x")).withColumn("m", value_of(F.col("x.kind"), F.col("x.m")))
     base = base.select("_row", "repo", "owner", hashed(F.col("m")).alias("value"), ((F.col("x.kind") != "hex") & (F.length("m") >= LEAST)).alias("learnt"), F.col("x.s").alias("s"), F.col("x.k").alias("k"))
     learnt = _few(cut(base.where("learnt").select("value").distinct()))
-    bare = docs.select(key, *who, F.explode(runs(text)).alias("run")).withColumn("value", hashed(F.col("run")))
-    bare = cut(bare.join(learnt, "value").select("_row", "repo", "owner", "value", "run"))
+    bare = docs.select(key, *who, F.explode(runs(text)).alias("run")).withColumn("value", hashed(F.col("run.m")))
+    bare = cut(bare.join(learnt, "value").select("_row", "repo", "owner", "value", F.col("run.s").alias("s"), F.col("run.m").alias("m")))
     counted = cut(ownership(base.select("value", "repo", "owner").unionByName(bare.select("value", "repo", "owner"))))
     example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)
     known = _few(counted.select("value", example.alias("example")))
     placed = base.select("_row", "s", "k", "value").distinct()  # repeated rows have one key
     verdicts = placed.join(known, "value").groupBy("_row").agg(F.count(F.when(~F.col("example"), 1)).alias("n_live"), F.count(F.when(F.col("example"), 1)).alias("n_example"))
-    hits = bare.join(known.where("not example"), "value").groupBy("_row").agg(F.collect_set("run").alias("runs"))
-    # no value holds a backslash, so each can be quoted
-    pattern = F.concat(F.lit(BEFORE), F.array_join(F.transform(F.array_sort("runs"), lambda r: F.concat(F.lit(r"\Q"), r, F.lit(r"\E"))), "|"), F.lit(AFTER))
-    texts = docs.select(key, text.alias("_text")).join(hits, "_row").select("_row", S.tagged(S.find(F.col("_text"), pattern, F.lit(True)), "reuse", KINDS.index("reuse")).alias("_more")).dropDuplicates(["_row"])
+    span = F.struct(F.col("s"), (F.col("s") + F.length("m")).cast("int").alias("e"), F.col("m"))
+    more = S.tagged(F.collect_set(span), "reuse", KINDS.index("reuse"))
+    reused = bare.join(known.where("not example"), "value").groupBy("_row").agg(more.alias("_more"))
     nothing = F.filter("base", lambda x: F.lit(False))
-    return found.join(verdicts, "_row", "left").join(texts, "_row", "left").select(
+    return found.join(verdicts, "_row", "left").join(reused, "_row", "left").select(
         "doc_id",
         "base",
         F.array_sort(F.concat("base", F.coalesce(S.apart(F.col("_more"), F.col("base")), nothing))).alias("all_spans"),

@@ -63,8 +63,18 @@ def digest(spans: Column) -> Column:
 
 
 def apart(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda x: ~F.exists(others, lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
+    """The spans that overlap none of the others, by start; null for null spans.
+
+    One sweep over both in order: how far the others before a span reach, and
+    where the first of those after it starts, are running values.
+    """
+    last = F.lit(2**31 - 1)
+    # at one start the others come first, so that they count as before
+    both = F.array_sort(F.concat(*(F.transform(a, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("own"), x["e"].alias("e"), x.alias("x"))) for k, a in enumerate((others, spans)))))
+    reach = before(F.transform(both, lambda y: F.when(y["own"] == 0, y["e"]).otherwise(0)), F.greatest)
+    ahead = F.reverse(before(F.reverse(F.transform(both, lambda y: F.when(y["own"] == 0, last - y["s"]).otherwise(0))), F.greatest))
+    kept = F.filter(F.arrays_zip(both.alias("y"), reach.alias("r"), ahead.alias("a")), lambda z: (z["y"]["own"] == 1) & (z["r"] <= z["y"]["s"]) & (last - z["a"] >= z["y"]["e"]))
+    return F.when(spans.isNotNull(), F.transform(kept, lambda z: z["y"]["x"]))
 
 
 def replaced(text: Column, spans: Column, fill: Callable[[Column], Column]) -> Column:

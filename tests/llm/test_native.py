@@ -209,3 +209,43 @@ def test_disclosing_terms_stand_anywhere(spark):
     got = {r.doc_id: r.text for r in op9_pii.redacted(docs(spark, texts)).where("doc_id is not null").collect()}
     assert got[3] == f"mail [EMAIL]{far} 3 [TERM] [TERM], and [TERM]"
     assert got[60] == "ask [TERM] about it" and got[61] == texts[61]
+
+
+def test_spans_apart(spark):
+    import random
+
+    rng = random.Random(8)
+    draw = lambda n: sorted((a, a + rng.randint(1, 9)) for a in (rng.randint(0, 120) for _ in range(n)))
+    rows = [(draw(rng.randint(0, 12)), draw(rng.randint(0, 12))) for _ in range(300)]
+    kind = lambda c, k: S.tagged(F.transform(c, lambda x: F.struct(x["s"], x["e"], F.lit("").alias("m"))), k, 0)
+    df = spark.createDataFrame(rows, "a array<struct<s:int,e:int>>, b array<struct<s:int,e:int>>")
+    got = df.select("a", "b", S.apart(kind("a", "x"), kind("b", "y")).alias("c")).collect()
+    for r in got:
+        assert [(x.s, x.e) for x in r.c] == [tuple(x) for x in r.a if not any(x.s < y.e and y.s < x.e for y in r.b)]
+
+
+def test_many_live_values_in_one_text(spark):
+    values = [hashlib.md5(str(i).encode()).hexdigest()[:12] + "Zz" for i in range(5000)]
+    text = " ".join(f"token={v}" for v in values) + " then " + " ".join(f"{v}." for v in values)
+    df = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (2, "é " + values[7] + " x" + values[8], "b")], "doc_id long, text string, source string")
+    got = op8_secrets.secrets(df).select("doc_id", S.digest(F.col("all_spans")).alias("a"), "n_live").collect()
+    uses = [(m.start(), 3, "reuse", m.end()) for m in re.finditer(r"(?<==)?\b[0-9a-f]{12}Zz(?=\.)", text)]
+    want = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(base8(text) + uses))
+    assert len(uses) == 5000 and [r.a for r in got if r.doc_id == 1] == [want] * 2
+    assert [(r.a, r.n_live) for r in got if r.doc_id == 2] == [("reuse:2:16", 0)]
+
+
+def test_many_copies_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(op5_mixing, "SPREAD", 3)
+    rows = [(0, "y" * 300_000, "rare"), (None, None, None)] + [(i, f"t{i}", "big") for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = op5_mixing.rates(df, None, 1.0, 1.0, "source").select("_source", "rate", "law").collect()
+    u = op5_mixing.uniform("mix", F.col("doc_id").cast("string"))
+    laws = spark.createDataFrame(drawn, op5_mixing.rates(df, None, 1.0, 1.0, "source").select("_source", "rate", "law").schema)
+    want = df.withColumn("_source", F.coalesce("source", F.lit(""))).join(laws, "_source").select("doc_id", op5_mixing.poisson(u, F.col("rate"), F.col("law")).alias("k")).collect()
+    got = {}
+    for r in op5_mixing.mix(df).select("doc_id", "copy_no", F.length("text").alias("n")).collect():
+        got.setdefault(r.doc_id, []).append(r.copy_no)
+        assert r.doc_id != 0 or r.n == 300_000
+    assert {k: sorted(v) for k, v in got.items()} == {r.doc_id: list(range(1, r.k + 1)) for r in want if r.k}
+    assert len(got[0]) > 81
