@@ -1,12 +1,14 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Reference points are thinned from a bounded sample so that no two are close. A
-vector is described by its NEAREST nearest reference points in order, and filed
-in the inverted list of each but the last. A list longer than BLOCK is parted by
-the other pivots of its vectors, so that two vectors that share the list's pivot
-and another meet in the part of the other. Within a list, pairs are confirmed by
-their cosine in double precision, and those that share at least two pivots count
-in the list of the smallest, in the part of the second: once each.
+vector is described by its NEAREST nearest reference points in order, nearest
+first, and filed in the inverted lists of its first FILED. The lists say which
+vectors share how many reference points: a pair that shares one of the first
+FILED of both, and another among the NEAREST, is a candidate, and only
+candidates are verified by their cosine in double precision. A pair belongs to
+the list of the smallest reference point that is among the first of both. A list
+longer than BLOCK is parted by the other reference points of its vectors, where a
+pair belongs to the part of the smallest other one it shares: it counts once.
 
 Equal vectors are one point with a weight, so groups of copies cost nothing. A
 part that is still longer than BLOCK is dealt into blocks that meet pair by
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, by_group, components, cut, ship, table
+from .common import blocks, by_group, components, cut, forget, ship, table
 from .vectors import by_size, packed, unit
 
 COSINE = 0.9
@@ -35,8 +37,10 @@ COSINE = 0.9
 LEAST_PIVOTS, MOST_PIVOTS = 16, 4096
 #: The sample has so many vectors for each reference point; no two reference points are closer than APART.
 SAMPLE, APART = 4, 0.6
-#: Of pairs at the threshold, with 4,096 reference points and vectors in no clusters at all, 97 % share two of eight.
-NEAREST, BLOCK = 8, 4096
+#: Of pairs at the threshold, with 4,096 reference points and vectors in no clusters at all, 98 % are candidates.
+NEAREST, FILED, BLOCK = 10, 6, 4096
+#: Sizes of up to so many lists go to every task; more are joined by a shuffle.
+BROADCAST_LISTS = 100_000
 
 
 def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
@@ -65,7 +69,7 @@ def pivots_of(points: DataFrame) -> dict[int, np.ndarray]:
 
 
 def described(points: DataFrame, pivots: dict[int, np.ndarray], kind: str) -> DataFrame:
-    """(id, weight, dim, near, vec): points with their nearest pivots, ascending; -1 alone where there are too few to share two."""
+    """(id, weight, dim, near, vec): points with their nearest pivots, nearest first; -1 alone where there are too few to share two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +82,9 @@ def described(points: DataFrame, pivots: dict[int, np.ndarray], kind: str) -> Da
                     if k < 2:
                         near = np.full((n, 1), -1, np.int32)
                     else:
-                        near = np.sort(np.argpartition(-(unit(x) @ refs.T), k - 1, axis=1)[:, :k], axis=1).astype(np.int32)
+                        far = -(unit(x) @ refs.T)
+                        near = np.argpartition(far, k - 1, axis=1)[:, :k]
+                        near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
                     vec = pa.array([row.tobytes() for row in x.astype(kind)], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(weight[at]), pa.array(np.full(n, x.shape[1], np.int32)), lists, vec], ["id", "weight", "dim", "near", "vec"])
@@ -86,25 +92,44 @@ def described(points: DataFrame, pivots: dict[int, np.ndarray], kind: str) -> Da
     return points.select("id", "weight", "vec").mapInArrow(run, "id long, weight long, dim int, near array<int>, vec binary")
 
 
-def filed(points: DataFrame) -> DataFrame:
-    """(dim, pivot, parts, part, id, weight, near, vec): described points in the inverted lists of their pivots, long lists in parts."""
-    at = points.select("*", F.posexplode(F.slice("near", F.lit(1), F.greatest(F.size("near") - 1, F.lit(1)))).alias("pos", "pivot"))
-    # a list's rows are in as many parts as they have later pivots, so a long one gets so many times more parts
-    parts = F.when(F.count(F.lit(1)) > BLOCK, F.ceil(F.count(F.lit(1)) * NEAREST / F.lit(BLOCK))).otherwise(1).cast("int")
-    sizes = at.groupBy("dim", "pivot").agg(parts.alias("parts"))
-    later = F.slice("near", F.col("pos") + 2, F.greatest(F.size("near") - F.col("pos") - 1, F.lit(0)))
-    part = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_distinct(F.transform(later, lambda q: F.pmod(q, F.col("parts"))))))
-    return at.join(sizes, ["dim", "pivot"]).select("dim", "pivot", "parts", part.alias("part"), "id", "weight", "near", "vec")
-
-
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The two smallest pivots that rows of ``a`` and ``b`` share, as a pair each; -1 where there are fewer."""
-    shared = (a[:, :, None] == b[:, None, :]).any(2) & (a >= 0)
-    first = shared.argmax(1)
-    rows = np.arange(len(a))
-    one = np.where(shared.any(1), a[rows, first], -1)
-    shared[rows, first] = False
-    two = np.where(shared.any(1), a[rows, shared.argmax(1)], -1)
+def filed(points: DataFrame, few: bool) -> DataFrame:
+    """(dim, pivot, parts, part, id, weight, near, vec): described points in the inverted lists of their first pivots, long lists in parts.
+
+    ``few``: the number of lists is known to be bounded, so their sizes go to every task.
+    """
+    first = F.slice("near", F.lit(1), F.lit(FILED))
+    # a list's rows are in as many parts as they have other pivots, so a long one gets so many times more parts
+    parts = F.when((F.count(F.lit(1)) > BLOCK) & (F.col("pivot") >= 0), F.ceil(F.count(F.lit(1)) * (NEAREST - 1) / F.lit(BLOCK))).otherwise(1).cast("int")
+    sizes = points.select("dim", F.explode(first).alias("pivot")).groupBy("dim", "pivot").agg(parts.alias("parts"))
+    others = F.array_except("near", F.array("pivot"))
+    part = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_distinct(F.transform(others, lambda q: F.pmod(q, F.col("parts"))))))
+    at = points.select("*", F.explode(first).alias("pivot"))
+    return at.join(F.broadcast(sizes) if few else sizes, ["dim", "pivot"]).select("dim", "pivot", "parts", part.alias("part"), "id", "weight", "near", "vec")
+
+
+def _candidates(near: np.ndarray, pivot: int, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each of ``rows`` shares another pivot than ``pivot`` with each of ``others``: shared-pivot counts from inverted lists."""
+    shared = np.zeros((len(rows), len(others)), bool)
+
+    def lists(at: np.ndarray) -> dict[int, np.ndarray]:
+        flat = near[at].ravel()
+        order = np.argsort(flat, kind="stable")
+        names, starts = np.unique(flat[order], return_index=True)
+        return dict(zip(names.tolist(), np.split(order // near.shape[1], starts[1:])))
+
+    right = lists(others)
+    for name, mine in lists(rows).items():
+        if name != pivot and name in right:
+            shared[np.ix_(mine, right[name])] = True
+    return shared
+
+
+def _owner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of ``a`` and ``b`` the smallest pivot among the first of both, and the smallest other one that they share."""
+    none = np.iinfo(np.int32).max
+    equal = a[:, :, None] == b[:, None, :]
+    one = np.where(equal[:, :FILED, :FILED].any(2), a[:, :FILED], none).min(1)
+    two = np.where(equal.any(2) & (a != one[:, None]), a, none).min(1)
     return np.stack((one, two), axis=1)
 
 
@@ -121,6 +146,8 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
+#: Where more than one in so many pairs of a tile are candidates, one matrix product gives all their cosines.
+DENSE = 30
 KEY = ["dim", "pivot", "part", "bi", "bj"]
 
 
@@ -141,23 +168,28 @@ def _search(part: pa.Table, kind: str) -> Iterator[pa.RecordBatch]:
         order = s + np.argsort(ids[s:e], kind="stable")
         x = unit(np.frombuffer(b"".join(vec_raw[i] for i in order.tolist()), kind).reshape(e - s, -1).astype(np.float64))
         left, right = (np.arange(e - s), np.arange(e - s)) if bi[s] == bj[s] else (np.flatnonzero(own[order] == bi[s]), np.flatnonzero(own[order] == bj[s]))
+        near = np.array([near_raw[k] for k in order.tolist()], np.int32)
+        alone = near[0, 0] < 0
         found = []
         for a in range(0, len(left), 512):
             rows = left[a : a + 512]
-            hit = x[rows] @ x[right].T >= COSINE
+            could = np.ones((len(rows), len(right)), bool) if alone else _candidates(near, int(pivot[s]), rows, right)
             if bi[s] == bj[s]:
-                hit &= right[None, :] > rows[:, None]
-            i, j = np.nonzero(hit)
-            found.append((rows[i], right[j]))
+                could &= right[None, :] > rows[:, None]
+            i, j = np.nonzero(could)
+            if len(i) * DENSE > could.size:
+                near_by = (x[rows] @ x[right].T)[i, j] >= COSINE
+            else:
+                near_by = np.concatenate([np.einsum("ij,ij->i", x[rows[i[c : c + 65536]]], x[right[j[c : c + 65536]]]) >= COSINE for c in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+            found.append((rows[i[near_by]], right[j[near_by]]))
         i, j = (np.concatenate(c) for c in zip(*found)) if found else (left, left)
         if not len(i):
             continue
-        near = np.array([near_raw[k] for k in order.tolist()], np.int32)
         mine = np.ones(len(i), bool)
-        if near[0, 0] >= 0:
+        if not alone:
             for a in range(0, len(i), 200_000):
-                two = _first_shared(near[i[a : a + 200_000]], near[j[a : a + 200_000]])
-                mine[a : a + 200_000] = (two[:, 0] == pivot[s]) & (two[:, 1] >= 0) & (two[:, 1] % parts[s] == group[s])
+                two = _owner(near[i[a : a + 200_000]], near[j[a : a + 200_000]])
+                mine[a : a + 200_000] = (two[:, 0] == pivot[s]) & (two[:, 1] % parts[s] == group[s])
         w = weight[order]
         links = np.bincount(i[mine], weights=w[j[mine]], minlength=e - s) + np.bincount(j[mine], weights=w[i[mine]], minlength=e - s)
         i, j = i[mine], j[mine]
@@ -178,9 +210,13 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     points = cut(sizes.join(valid.groupBy("name").agg(F.first("vec").alias("vec")), "name"))
     # components that were single floats travel as such
     kind = "<f4" if "array<float>" in vectors.select(vec_col).schema.simpleString() else "<f8"
-    lists = filed(cut(described(points, pivots_of(points), kind)))
+    pivots = pivots_of(points)
+    index = cut(described(points, pivots, kind))
+    most = index.select("dim").distinct().count() + sum(map(len, pivots.values()))
+    lists = filed(index, most <= BROADCAST_LISTS)
     dealt = blocks(lists, KEY[:3], "id", BLOCK).select(*KEY, "own", "parts", "id", "weight", "near", "vec")
     found = cut(by_group(dealt, KEY, lambda part: _search(part, kind), "id long, links long, root long"))
+    forget(index)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = cut(components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))))
     per_name = points.select("name", "id", "weight").join(links, "id", "left").join(comp, "id", "left").select(
