@@ -6,7 +6,13 @@ of an entity and a term of the same text, as a share of the entity's own
 information, is the term's disclosure: 1 means that the term occurs only with
 the entity. Terms at or over the threshold with enough documents behind them are
 generalised wherever they stand, also in texts without the entity, together with
-the base spans (``term`` spans). A term is a whole word of 4 to 40 letters.
+the base spans (``term`` spans). A term is any whole word with a letter in it:
+letters and digits, hyphens between them, of every length; support decides.
+
+Entities of the same texts are compared once, and so are terms of the same
+texts. Texts with very many entities and terms are left out of the search for
+pairs, but not of the counts: a pair meets in another text, or both its sides
+are in SUPPORT of these.
 
 Null or empty texts: no spans, one row. Null ids: each row keeps its own spans.
 Repeated rows count once for each (id, text) and get a row each. Ties: spans at
@@ -32,12 +38,14 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
 OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,40}(?![\p{L}\p{N}@_%+-])"
-BEFORE, AFTER = TERM.split(r"\p{L}{4,40}")
+WORD = r"(?=[\p{N}-]*+\p{L})[\p{L}\p{N}]++(?:-[\p{L}\p{N}]++)*+"
+TERM = rf"(?<![\p{{L}}\p{{N}}@._%+-]){WORD}(?![\p{{L}}\p{{N}}@_%+-])"
 #: Documents that a pair needs, and the share of the entity's information.
 SUPPORT, DISCLOSURE = 3, 0.9
 #: Candidate terms up to this many are sent to all tasks; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
+#: Entities times terms of a text from which it is one of the large ones, whose pairs are dealt into SALTS tasks.
+LARGE, SALTS = 2_000_000, 32
 
 
 def _digits(x: Column) -> Column:
@@ -68,8 +76,17 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
 
+def _kinds_of(postings: DataFrame, name: str, n: str) -> tuple[DataFrame, DataFrame]:
+    """(name, n, head) of everything in at least SUPPORT texts, and (head, n): those of the same texts share a head."""
+    texts = (F.bit_xor(F.xxhash64("_row")).alias("_x"), F.sum(F.xxhash64("_row", F.lit(1)).cast("decimal(38,0)")).alias("_y"))
+    known = cut(postings.groupBy(name).agg(F.count(F.lit(1)).alias(n), *texts).where(F.col(n) >= SUPPORT))
+    heads = known.groupBy(n, "_x", "_y").agg(F.min(name).alias("head"))
+    known = cut(known.join(heads, [n, "_x", "_y"]).select(name, n, "head"))
+    return known, known.where(F.col(name) == F.col("head")).select(name, n)
+
+
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or over the threshold.
+    """(entity, term, disclosure) of the pairs at or over the threshold; of entities of the same texts only the first.
 
     ``found``: (_row, entities, terms) of the texts with entities. Document
     frequencies of the candidate terms are taken over all texts.
@@ -80,34 +97,59 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     def share(n_both: Column, n_term: Column) -> Column:
         return F.log(n * n_both / (F.col("n_entity") * n_term)) / own
 
-    entities = found.select("_row", F.explode("entities").alias("entity"))
-    terms = found.select("_row", F.explode("terms").alias("term"))
-    # a pair is in no more documents than either of its sides
-    of_entity = _few(cut(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where((F.col("n_entity") >= SUPPORT) & (own > 0))))
-    # a term is in no fewer documents than it is beside an entity in: pairs that fall short with that number can't reach the threshold
-    at_least = _few(cut(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).where(F.col("n_near") >= SUPPORT)))
-    pairs = entities.join(of_entity, "entity").join(terms.join(at_least, "term"), "_row").where(share(F.least("n_entity", "n_near"), F.col("n_near")) >= DISCLOSURE)
-    both = pairs.groupBy("entity", "term", "n_entity", "n_near").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    both = cut(both.where(share(F.col("n_both"), F.col("n_near")) >= DISCLOSURE))
+    large = F.size("entities").cast("long") * F.size("terms") > LARGE
+    entities = found.select("_row", large.alias("large"), F.explode("entities").alias("entity"))
+    terms = found.select("_row", large.alias("large"), F.explode("terms").alias("term"))
+    _, entity_heads = _kinds_of(entities, "entity", "n_entity")
+    known_terms, term_heads = _kinds_of(terms, "term", "n_near")
+    entities = entities.join(_few(entity_heads.where(own > 0)), "entity")
+    terms = terms.join(_few(term_heads), "term")
+    # a pair is in no more documents than either of its sides, and a term is in no fewer than it is beside an entity in
+    possible = share(F.least("n_entity", "n_near"), F.col("n_near")) >= DISCLOSURE
+    pair = ["entity", "term", "n_entity", "n_near"]
+    count = lambda name: F.count(F.lit(1)).alias(name)
+    both = entities.where("not large").drop("large").join(terms.where("not large").drop("large"), "_row").where(possible).groupBy(*pair).agg(count("n_both"))
+    if found.where(large).limit(1).count():
+        both = _with_large(cut(both), entities.where("large").drop("large"), terms.where("large").drop("large"), possible, pair)
+    both = both.where((F.col("n_both") >= SUPPORT) & (share(F.col("n_both"), F.col("n_near")) >= DISCLOSURE))
+    both = cut(both.withColumnRenamed("term", "head").join(known_terms.select("head", "term"), "head").drop("head"))
     terms = cut(both.select("term").distinct())
     words = docs.select(F.explode(F.array_distinct(F.transform(_words(F.col(text_col)), F.lower))).alias("term"))
-    count = F.count(F.lit(1)).alias("n_term")
     # terms that fit into every task meet the words where they are; otherwise words are counted before anything is shuffled
     few = terms.count() <= BROADCAST_TERMS
-    df = words.join(F.broadcast(terms), "term").groupBy("term").agg(count) if few else words.groupBy("term").agg(count).join(terms, "term")
+    df = words.join(F.broadcast(terms), "term").groupBy("term").agg(count("n_term")) if few else words.groupBy("term").agg(count("n_term")).join(terms, "term")
     disclosure = share(F.col("n_both"), F.greatest("n_term", "n_near"))
     return both.join(df, "term").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
+def _with_large(both: DataFrame, entities: DataFrame, terms: DataFrame, possible: Column, pair: list[str]) -> DataFrame:
+    """``both``, the counts over texts that aren't large, with those of the large ones added.
+
+    A pair of ``both`` is looked up in the large texts of its entity. A pair that
+    is in none but large ones has both its sides in SUPPORT of them.
+    """
+    in_large = lambda df, name: df.groupBy(name).agg(F.count(F.lit(1)).alias(f"{name}_large"))
+    of_entity, of_term = cut(in_large(entities, "entity")), cut(in_large(terms, "term"))
+    reach = F.col("n_both") + F.least(F.coalesce("entity_large", F.lit(0)), F.coalesce("term_large", F.lit(0)))
+    met = cut(both.join(of_entity, "entity", "left").join(of_term, "term", "left").where(reach >= SUPPORT))
+    looked = met.where("entity_large > 0 and term_large > 0").select("entity", "term").join(entities.select("entity", "_row"), "entity").join(terms.select("term", "_row"), ["term", "_row"])
+    more = looked.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_more"))
+    met = met.join(more, ["entity", "term"], "left").select(*pair, (F.col("n_both") + F.coalesce("n_more", F.lit(0))).alias("n_both"))
+    left = entities.join(of_entity.where(F.col("entity_large") >= SUPPORT), "entity").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = terms.join(of_term.where(F.col("term_large") >= SUPPORT), "term").withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
+    only = left.join(right, ["_row", "_salt"]).where(possible).groupBy(*pair).agg(F.count(F.lit(1)).alias("n_both"))
+    return met.unionByName(only.join(both, ["entity", "term"], "left_anti"))
+
+
 def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(_row, _more): every place of ``terms`` in the (_row, _text) that have some, as tagged spans."""
+    flagged = _few(terms)
     words = texts.select("_row", F.explode(_words(F.col("_text"))).alias("word"))
-    hits = cut(words.join(_few(terms), F.lower("word") == F.col("term")).groupBy("_row").agg(F.collect_set("word").alias("words")))
-    # words are letters only, so they stand in a pattern as they are
-    pattern = F.concat(F.lit(BEFORE + "(?:"), F.array_join("words", "|"), F.lit(")" + AFTER))
-    places = S.tagged(S.find(F.col("_text"), pattern, F.lit(True)), "term", KINDS.index("term"))
+    hits = cut(words.join(flagged, F.lower("word") == F.col("term")).select("_row").distinct())
     # always by shuffle, so that disk grows with the input and not by a change of plan
-    return texts.join(hits.hint("merge"), "_row").select("_row", places.alias("_more")).dropDuplicates(["_row"])
+    placed = texts.join(hits.hint("merge"), "_row").dropDuplicates(["_row"]).select("_row", F.explode(S.find(F.col("_text"), TERM)).alias("x"))
+    own = placed.join(flagged, F.lower("x.m") == F.col("term")).groupBy("_row").agg(F.collect_list("x").alias("x"))
+    return own.select("_row", S.tagged(F.col("x"), "term", KINDS.index("term")).alias("_more"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +157,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(S.row_key(F.col(id_col), text).alias("_row"), text.alias("_text"))
     found = docs.select(F.col(id_col).alias("doc_id"), S.row_key(F.col(id_col), text).alias("_row"), base_spans(text).alias("base"), text.alias("_text"))
-    beside = F.when(F.size("base") > 0, F.array_distinct(F.transform(_words(S.replaced(F.col("_text"), F.col("base"), lambda x: F.lit("0"))), F.lower)))
+    beside = F.when(F.size("base") > 0, F.array_distinct(F.transform(_words(S.replaced(F.col("_text"), F.col("base"), lambda x: F.lit("@"))), F.lower)))
     found = cut(found.withColumn("terms", beside).drop("_text"))
     entities = F.array_distinct(F.transform("base", lambda b: F.sha2(F.concat(b["kind"], F.lit(":"), b["m"]), 256)))
     private = cut(found.where("size(base) > 0").select("_row", entities.alias("entities"), "terms").dropDuplicates(["_row"]))

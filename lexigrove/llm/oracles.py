@@ -57,16 +57,17 @@ SELECT doc_id, len(list_filter(base, lambda x: x.kind = 'assign'))::BIGINT AS n_
 _DIGITS = "regexp_replace(x.m, '[^0-9]', '', 'g')"
 _LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({_DIGITS})[i]::INT ELSE CASE WHEN 2 * reverse({_DIGITS})[i]::INT > 9 THEN 2 * reverse({_DIGITS})[i]::INT - 9 ELSE 2 * reverse({_DIGITS})[i]::INT END END)) % 10 = 0"""
 _JOINED = "array_to_string(list_transform({0}, lambda x: x.kind || ':' || x.s || ':' || (x.s + length(x.m))), ',')"
+_WORD = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
 PRIVATE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT r, doc_id, t, list_sort(list_concat({_spans('email', 0, r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')},
     {_spans('ip', 1, r'[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', keep="list_bool_and(list_transform(string_split(x.m, '.'), lambda p: p::HUGEINT <= 255))")},
     {_spans('card', 2, r'[0-9]([\x20-]?[0-9])+', keep=f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}")},
     {_spans('phone', 3, r'\+[0-9][\x20().0-9-]+[0-9]', keep=f"length({_DIGITS}) BETWEEN 10 AND 15")})) AS base FROM d),
--- runs of letters and what stands between them; words of 4 to 40 letters with nothing beside them that makes them part of something longer
-z AS (SELECT r, unnest(string_split_regex(t, '\\p{{L}}+')) AS gap, unnest(regexp_extract_all(t, '\\p{{L}}+')) AS m, generate_subscripts(string_split_regex(t, '\\p{{L}}+'), 1) AS i FROM d),
+-- words and what stands between them; those with a letter, and with nothing beside them that makes them part of something longer
+z AS (SELECT r, unnest(string_split_regex(t, '{_WORD}')) AS gap, unnest(regexp_extract_all(t, '{_WORD}')) AS m, generate_subscripts(string_split_regex(t, '{_WORD}'), 1) AS i FROM d),
 y AS (SELECT r, m, gap, lead(gap) OVER (PARTITION BY r ORDER BY i) AS after, (sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY r ORDER BY i))::BIGINT - length(m) AS s FROM z),
-l AS (SELECT r, {{'s': s, 'k': 4, 'kind': 'term', 'm': m}} AS x FROM y WHERE length(m) BETWEEN 4 AND 40 AND NOT regexp_matches(right(gap, 1), '[\\p{{L}}\\p{{N}}@._%+-]') AND NOT regexp_matches(left(after, 1), '[\\p{{L}}\\p{{N}}@_%+-]')),
+l AS (SELECT r, {{'s': s, 'k': 4, 'kind': 'term', 'm': m}} AS x FROM y WHERE regexp_matches(m, '\\p{{L}}') AND NOT regexp_matches(right(gap, 1), '[@._%+-]') AND NOT regexp_matches(left(after, 1), '[@_%+-]')),
 c AS (SELECT count(*)::DOUBLE AS n FROM d), g AS (SELECT min(r) AS r FROM d GROUP BY doc_id, t),
 w AS (SELECT DISTINCT r, lower(x.m) AS term FROM l),
 p AS (SELECT r, base FROM b SEMI JOIN g USING (r) WHERE len(base) > 0), e AS (SELECT DISTINCT r, unnest(list_transform(base, lambda x: x.kind || ':' || x.m)) AS entity FROM p),
