@@ -53,10 +53,13 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(S.tagged(x, KINDS[i], i) for i, x in enumerate((assign, access, long_hex)))))
 
 
+def _trimmed(run: Column) -> Column:
+    return F.regexp_replace(run, TAIL, "")
+
+
 def runs(text: Column) -> Column:
-    """The candidate runs of a text with their places."""
-    cut_off = F.transform(S.find(text, RUN), lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], TAIL, "").alias("m")))
-    return F.filter(cut_off, lambda x: F.length(x["m"]) >= LEAST)
+    """The distinct candidate runs of a text."""
+    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), _trimmed)), lambda r: F.length(r) >= LEAST)
 
 
 def hashed(value: Column) -> Column:
@@ -93,16 +96,19 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     base = found.select("_row", "repo", "owner", F.explode("base").alias("x")).withColumn("m", value_of(F.col("x.kind"), F.col("x.m")))
     base = base.select("_row", "repo", "owner", hashed(F.col("m")).alias("value"), ((F.col("x.kind") != "hex") & (F.length("m") >= LEAST)).alias("learnt"), F.col("x.s").alias("s"), F.col("x.k").alias("k"))
     learnt = _few(cut(base.where("learnt").select("value").distinct()))
-    bare = docs.select(key, *who, F.explode(runs(text)).alias("run")).withColumn("value", hashed(F.col("run.m")))
-    bare = cut(bare.join(learnt, "value").select("_row", "repo", "owner", "value", F.col("run.s").alias("s"), F.col("run.m").alias("m")))
+    bare = docs.select(key, *who, F.explode(runs(text)).alias("run")).withColumn("value", hashed(F.col("run")))
+    bare = cut(bare.join(learnt, "value").select("_row", "repo", "owner", "value", "run"))
     counted = cut(ownership(base.select("value", "repo", "owner").unionByName(bare.select("value", "repo", "owner"))))
     example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)
     known = _few(counted.select("value", example.alias("example")))
     placed = base.select("_row", "s", "k", "value").distinct()  # repeated rows have one key
     verdicts = placed.join(known, "value").groupBy("_row").agg(F.count(F.when(~F.col("example"), 1)).alias("n_live"), F.count(F.when(F.col("example"), 1)).alias("n_example"))
-    span = F.struct(F.col("s"), (F.col("s") + F.length("m")).cast("int").alias("e"), F.col("m"))
-    more = S.tagged(F.collect_set(span), "reuse", KINDS.index("reuse"))
-    reused = bare.join(known.where("not example"), "value").groupBy("_row").agg(more.alias("_more"))
+    live = bare.join(known.where("not example"), "value").select("_row", "run").distinct()
+    # only texts with live uses are read again; their runs with places meet the uses of the same text
+    texts = docs.select(key, text.alias("_text")).join(live.select("_row").distinct(), "_row").dropDuplicates(["_row"])
+    places = texts.select("_row", F.explode(S.find(F.col("_text"), RUN)).alias("x")).select("_row", "x.s", _trimmed(F.col("x.m")).alias("run"))
+    span = F.struct(F.col("s"), (F.col("s") + F.length("run")).cast("int").alias("e"), F.col("run").alias("m"))
+    reused = places.join(live, ["_row", "run"]).groupBy("_row").agg(S.tagged(F.collect_list(span), "reuse", KINDS.index("reuse")).alias("_more"))
     nothing = F.filter("base", lambda x: F.lit(False))
     return found.join(verdicts, "_row", "left").join(reused, "_row", "left").select(
         "doc_id",

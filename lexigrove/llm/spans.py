@@ -22,6 +22,11 @@ def none() -> Column:
     return F.array().cast(SPANS)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row; inside a lambda an expression is computed once an element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def blocks(items: Column, size: int = BLOCK) -> Column:
     """An array in slices of ``size``; none of an empty array."""
     starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / F.lit(size)).cast("int"))
@@ -35,20 +40,27 @@ def before(values: Column, combine: Callable[[Column, Column], Column], size: in
     def step(acc: Column, x: Column) -> Column:
         return F.struct(combine(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
-    inner = F.transform(blocks(values, size), lambda part: F.aggregate(part, start, step))
-    offsets = F.aggregate(F.transform(inner, lambda x: x["at"]), start, step, lambda acc: acc["out"])
-    return F.flatten(F.transform(F.arrays_zip(inner.alias("i"), offsets.alias("o")), lambda z: F.transform(z["i"]["out"], lambda y: combine(y, z["o"]).cast("int"))))
+    def spread(parts: Column) -> Column:
+        offsets = F.aggregate(F.transform(parts, lambda x: x["at"]), start, step, lambda acc: acc["out"])
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("i"), offsets.alias("o")), lambda z: F.transform(z["i"]["out"], lambda y: combine(y, z["o"]).cast("int"))))
+
+    return let(values, lambda v: let(F.transform(blocks(v, size), lambda part: F.aggregate(part, start, step)), spread))
 
 
 def find(text: Column, pattern: Column | str, quick: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as (start, end, match); ``quick`` rules rows out cheaply."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    pieces, found = F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0))
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("p"), found.alias("m"))
-    places = F.transform(pairs, lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("n"), x["m"].alias("m")))
-    starts = before(F.transform(places, lambda x: x["gap"] + x["n"]), lambda a, b: a + b)
-    spans = F.transform(F.arrays_zip(places.alias("x"), starts.alias("at")), lambda z: F.struct(
-        (z["at"] + z["x"]["gap"]).cast("int").alias("s"), (z["at"] + z["x"]["gap"] + z["x"]["n"]).cast("int").alias("e"), z["x"]["m"].alias("m")))
+
+    def placed(places: Column) -> Column:
+        starts = before(F.transform(places, lambda x: x["gap"] + x["n"]), lambda a, b: a + b)
+        return F.transform(F.arrays_zip(places.alias("x"), starts.alias("at")), lambda z: F.struct(
+            (z["at"] + z["x"]["gap"]).cast("int").alias("s"), (z["at"] + z["x"]["gap"] + z["x"]["n"]).cast("int").alias("e"), z["x"]["m"].alias("m")))
+
+    def paired(found: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(F.split(text, p, -1), F.lit(1), F.size(found)).alias("p"), found.alias("m"))
+        return let(F.transform(pairs, lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("n"), x["m"].alias("m"))), placed)
+
+    spans = let(F.regexp_extract_all(text, p, F.lit(0)), paired)
     return F.when(text.rlike(pattern) if quick is None else quick, spans).otherwise(none())
 
 
@@ -71,10 +83,13 @@ def apart(spans: Column, others: Column) -> Column:
     last = F.lit(2**31 - 1)
     # at one start the others come first, so that they count as before
     both = F.array_sort(F.concat(*(F.transform(a, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("own"), x["e"].alias("e"), x.alias("x"))) for k, a in enumerate((others, spans)))))
-    reach = before(F.transform(both, lambda y: F.when(y["own"] == 0, y["e"]).otherwise(0)), F.greatest)
-    ahead = F.reverse(before(F.reverse(F.transform(both, lambda y: F.when(y["own"] == 0, last - y["s"]).otherwise(0))), F.greatest))
-    kept = F.filter(F.arrays_zip(both.alias("y"), reach.alias("r"), ahead.alias("a")), lambda z: (z["y"]["own"] == 1) & (z["r"] <= z["y"]["s"]) & (last - z["a"] >= z["y"]["e"]))
-    return F.when(spans.isNotNull(), F.transform(kept, lambda z: z["y"]["x"]))
+
+    def swept(y: Column) -> Column:
+        reach = before(F.transform(y, lambda v: F.when(v["own"] == 0, v["e"]).otherwise(0)), F.greatest)
+        ahead = F.reverse(before(F.reverse(F.transform(y, lambda v: F.when(v["own"] == 0, last - v["s"]).otherwise(0))), F.greatest))
+        return F.filter(F.arrays_zip(y.alias("y"), reach.alias("r"), ahead.alias("a")), lambda z: (z["y"]["own"] == 1) & (z["r"] <= z["y"]["s"]) & (last - z["a"] >= z["y"]["e"]))
+
+    return F.when(spans.isNotNull(), F.transform(let(both, swept), lambda z: z["y"]["x"]))
 
 
 def replaced(text: Column, spans: Column, fill: Callable[[Column], Column]) -> Column:
@@ -86,10 +101,10 @@ def replaced(text: Column, spans: Column, fill: Callable[[Column], Column]) -> C
         # what the block covers is cut out once, since a place in a text is counted from its beginning
         base = runs[0]["at"]
         own = F.substring(text, base + 1, F.element_at(runs, -1)["s"] - base)
-        return F.array_join(F.transform(runs, lambda r: F.concat(F.substring(own, r["at"] - base + 1, r["s"] - r["at"]), r["fill"])), "")
+        return let(own, lambda own: F.array_join(F.transform(runs, lambda r: F.concat(F.substring(own, r["at"] - base + 1, r["s"] - r["at"]), r["fill"])), ""))
 
     rest = F.substring(text, F.array_max(F.transform(spans, lambda x: x["e"])) + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(blocks(firsts), part), ""), rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(let(firsts, lambda v: F.transform(blocks(v), part)), ""), rest)).otherwise(text)
 
 
 def row_key(id_col: Column, text: Column) -> Column:
