@@ -40,6 +40,8 @@ FIT_BUDGET, FIT_TOKENS = 300_000, 500
 #: Words that can have a weight, and what makes one a toxic tag: toxic documents and their share, rate ratio, z-score.
 VOCABULARY, LEAST_DOCS, LEAST_SHARE, RATIO, Z = 4_000, 5, 0.01, 8.0, 5.0
 STEPS, RATE, DECAY = 150, 0.25, 0.02
+#: Neighbouring tokens whose expected counts are added up together; bounds what a step of the fit holds.
+PAIRS = 32_768
 #: Tokens that are tagged together; bounds the memory of a task.
 SLICE_TOKENS = 500_000
 
@@ -96,16 +98,20 @@ class Field:
         return fwd * bwd, fwd, bwd, begin
 
     def fit(self, seqs: list[np.ndarray], tags: list[np.ndarray]) -> None:
-        """Adam on the mean log-likelihood with weight decay."""
+        """Adam on the mean log-likelihood with weight decay.
+
+        Beside the tokens a step holds their four recursions; pairs of neighbours are added up slice by slice.
+        """
         seqs, tags = zip(*[(s, t) for s, t in zip(seqs, tags) if len(s)]) if any(len(s) for s in seqs) else ((), ())
         if not seqs:
             return
-        flat, y = np.concatenate(seqs), np.concatenate(tags).astype(np.int64)
+        flat, y = np.concatenate(seqs), np.concatenate(tags).astype(np.int8)
         sizes = np.array([len(s) for s in seqs])
         begin = np.cumsum(sizes) - sizes
         inner = np.ones(len(flat), bool)
         inner[begin + sizes - 1] = False
-        left = np.flatnonzero(inner)
+        left = np.flatnonzero(inner).astype(np.int32)
+        del inner
         seen_emit = np.bincount(flat, weights=y, minlength=len(self.emit))
         seen_trans = np.bincount(y[left] * 2 + y[left + 1], minlength=4)[1:].astype(float)
         seen_start = float(y[begin].sum())
@@ -116,13 +122,15 @@ class Field:
             self.emit, self.start = theta[:size], float(theta[size])
             self.trans = np.concatenate(([0.0], theta[size + 1 :])).reshape(2, 2)
             odds, fwd, bwd, _ = self.odds(list(seqs))
-            p = odds / (1 + odds)
-            local = np.exp(self.emit)[flat[left + 1]]
-            r, g = fwd[left], local * bwd[left + 1]
-            a = np.exp(self.trans)
-            pair = np.stack((np.full(len(left), a[0, 0]), a[0, 1] * g, a[1, 0] * r, a[1, 1] * r * g))
-            pair /= pair.sum(0)
-            grad = np.concatenate((seen_emit - np.bincount(flat, weights=p, minlength=size), [seen_start - p[begin].sum()], seen_trans - pair[1:].sum(1)))
+            local, a, pairs = np.exp(self.emit), np.exp(self.trans), np.zeros(3)
+            for i in range(0, len(left), PAIRS):
+                at = left[i : i + PAIRS]
+                r, g = fwd[at], local[flat[at + 1]] * bwd[at + 1]
+                pair = np.stack((a[0, 1] * g, a[1, 0] * r, a[1, 1] * r * g))
+                pairs += (pair / (a[0, 0] + pair.sum(0))).sum(1)
+            del fwd, bwd
+            p = np.divide(odds, 1 + odds, out=odds)
+            grad = np.concatenate((seen_emit - np.bincount(flat, weights=p, minlength=size), [seen_start - p[begin].sum()], seen_trans - pairs))
             grad = grad / len(seqs) - DECAY / len(seqs) * theta
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             theta = theta + RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)

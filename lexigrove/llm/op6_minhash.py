@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, by_group, components, cut, forget, ship, table
+from .common import blocks, by_group, cut, forget, ship, stars, table
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: 8 chunks of 5 minima with one open place: all pairs that differ in at most 15 of 40 places share a key.
@@ -270,11 +270,11 @@ def likely(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return both >= (at_least - margin) * every
 
 
-def across(members: DataFrame) -> DataFrame:
+def across(members: DataFrame, marked: DataFrame) -> DataFrame:
     """Likely pairs (a, b) of different components under one hub.
 
-    ``members``: (hub, id, component, sig, sketch) of the hubs that hold several
-    components. Blocks of a hub meet pair by pair.
+    ``members``: (hub, id, component) of the hubs that hold several components;
+    ``marked``: (id, sig, sketch). Blocks of a hub meet pair by pair.
     """
 
     def run(part: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -302,12 +302,17 @@ def across(members: DataFrame) -> DataFrame:
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    dealt = blocks(members, ["hub"], "id", BLOCK).select("hub", "bi", "bj", "own", "id", "component", "sig", "sketch")
+    dealt = blocks(members, ["hub"], "id", BLOCK).join(marked, "id").select("hub", "bi", "bj", "own", "id", "component", "sig", "sketch")
     return by_group(dealt, ["hub", "bi", "bj"], run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+    """(doc_id, n_shingles, component_id, kept) of every row.
+
+    Each step is written and read by the next, so that a plan holds a few
+    shuffles at most: the driver plans a query anew after each of its shuffles,
+    and keeps the metrics of every plan.
+    """
     ship(docs.sparkSession)
     marks = cut(signed(docs, id_col, text_col))
     full = marks.where("n_shingles > 0 and id is not null")
@@ -320,25 +325,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     shared = cut(keys.join(hubs, "key"))
     pairs = cut(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    needed = shared.select("id").distinct()
-    texts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(needed, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
-
-    sigs = reps.join(needed, "id", "left_semi")
-    links = cut(confirmed(near_pairs(pairs, sigs), texts))
-    comp = cut(components(links))
+    sigs = cut(reps.join(shared.select("id").distinct(), "id", "left_semi"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = cut(texts.join(sigs.select("id"), "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    near = cut(near_pairs(pairs, sigs))
+    links = cut(confirmed(near, texts))
+    comp = stars(links)  # the smallest of a component has no row
 
     # hubs whose members are in more than one component
-    placed = shared.select("hub", "id").distinct().join(comp, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component"))
+    placed = cut(shared.select("hub", "id").distinct().join(comp, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component")))
     mixed = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
     rest = cut(placed.join(mixed, "hub", "left_semi"))
     sketches = sketched(texts.join(rest.select("id").distinct(), "id", "left_semi"))
-    rest = rest.join(sigs.join(sketches, "id"), "id")
-    more = across(rest).join(pairs, ["a", "b"], "left_anti")
+    marked = cut(sigs.join(sketches, "id"))
+    more = cut(across(rest, marked).join(pairs, ["a", "b"], "left_anti"))
     found = cut(confirmed(more, texts))
     if found.limit(1).count():
-        links = links.unionByName(found)
-        comp = cut(components(links))
-    forget(shared, pairs, texts)
+        before, comp = comp, stars(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
+        forget(before)
+    forget(shared, pairs, sigs, texts, near, links, placed, rest, marked, more, found)
 
     by_rep = classes.select("n_shingles", "s1", "s2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = marks.join(by_rep, ["n_shingles", "s1", "s2"], "left")

@@ -1,7 +1,12 @@
 """The pipeline's stages against what each must do to its own input."""
 
+import random
+import tracemalloc
+
+import numpy as np
+
 import corpus_pipeline as P
-from lexigrove.llm import op7_pieces
+from lexigrove.llm import common, op4_toxicity, op6_minhash, op7_pieces
 from lexigrove.llm.common import cut, table
 
 SF = "/root/testdata/sf0.01"
@@ -67,3 +72,60 @@ def test_empty_tables_pass_every_stage(spark):
     none = odd_rows(spark).where("false")
     for _, stage in P.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+# ---- what the driver holds
+
+
+def test_a_fit_holds_little_beside_its_tokens():
+    rng = np.random.default_rng(4)
+    seqs = [rng.integers(0, 4001, op4_toxicity.FIT_TOKENS).astype(np.int32) for _ in range(2 * op4_toxicity.FIT_BUDGET // op4_toxicity.FIT_TOKENS)]
+    tags = [(s % 17 == 3) & bool(i % 2) for i, s in enumerate(seqs)]
+    model = op4_toxicity.Field(emit=np.full(4001, -6.0))
+    tracemalloc.start()
+    model.fit(seqs, tags)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.emit[3] > model.emit[4] and peak < 60e6, peak
+
+
+def test_plans_of_near_duplicates_hold_few_shuffles(spark, monkeypatch):
+    seen = []
+
+    def cut_seen(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return cut(df)
+
+    monkeypatch.setattr(op6_minhash, "cut", cut_seen)
+    monkeypatch.setattr(common, "cut", cut_seen)
+    assert op6_minhash.near_duplicates(table(spark, SF.replace("0.01", "0.001"), "documents")).count() == 200
+    assert len(seen) > 10 and max(seen) <= 8, seen
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(common, "cut", lambda df: cuts.append(1) or cut(df))
+    rows = [(9, 1), (1, 9), (1, 5), (5, 5), (7, 2), (2, 8)]
+    found = common.components(spark.createDataFrame(rows, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 2), (5, 1), (7, 2), (8, 2), (9, 1)] and len(cuts) == 1
+    assert common.components(spark.createDataFrame(rows[3:4], "a long, b long")).count() == 0
+
+
+def test_components_agree_with_union_find(spark):
+    rng = random.Random(17)
+    chain = list(range(40))
+    rng.shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *((rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)), *((1000, 1000 + i) for i in range(300)), (1300, 2000), (2000, 2001), (None, 3)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = [tuple(r) for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert len(got) == len(set(got)) and dict(got) == {x: find(x) for x in root}
