@@ -223,7 +223,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def near_pairs(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -311,7 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Each step is written and read by the next, so that a plan holds a few
     shuffles at most: the driver plans a query anew after each of its shuffles,
-    and keeps the metrics of every plan.
+    and keeps the metrics of every plan. Texts are always joined by shuffle, so
+    that disk grows with the input and not by a change of plan.
     """
     ship(docs.sparkSession)
     marks = cut(signed(docs, id_col, text_col))
@@ -327,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = cut(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     sigs = cut(reps.join(shared.select("id").distinct(), "id", "left_semi"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = cut(texts.join(sigs.select("id"), "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    texts = cut(texts.join(sigs.select("id").hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     near = cut(near_pairs(pairs, sigs))
     links = cut(confirmed(near, texts))
     comp = stars(links)  # the smallest of a component has no row
