@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as T
-from .edges import resolve
 from .extract import family
 
 
@@ -62,37 +61,62 @@ def options(path: Column, module: Column) -> Column:
     return F.when(kind == "python", python_options(path, module)).when(kind == "script", script_options(path, module)).when(kind == "go", go_options(path, module))
 
 
-def manifest_options(path: Column, raw: Column) -> Column:
-    """Files that an entry of a browser manifest may mean: beside it, then from the root, with other endings, then by stem."""
+#: What ``normal_path`` changes: backslashes, empty segments, ``.`` and ``..``.
+UNTIDY = r"\\|^/|//|/$|(?:^|/)\.{1,2}(?:/|$)"
+
+
+def manifest_options(path: Column, raw: Column, script_ends: list[str] = S.SCRIPT_ENDS, page_ends: list[str] = S.PAGE_ENDS) -> Column:
+    """Files that an entry of a browser manifest may mean: beside it, then from the root, with other endings, then by stem.
+
+    Paths are tidied before the endings are added, which is the same wherever
+    a stem ends with a name; else each option is. Options may come twice.
+    """
     name = F.regexp_replace(F.trim(raw), "^[\"']+|[\"']+$", "")
-    base = T.parent(path)
-    joined = F.when(name.rlike(r"^\.\.?/"), T.normal_path(F.concat(base, F.lit("/"), name))).when(name.startswith("/"), F.regexp_replace(name, "^/+", "")).when(base == "", name).otherwise(F.concat(base, F.lit("/"), name))
-    each = F.array_distinct(F.array(joined, name))
+    tidy = lambda p: F.when(p.rlike(UNTIDY), T.normal_path(p)).otherwise(p)
+    beside = lambda n, base: F.when(n.rlike(r"^\.\.?/"), T.normal_path(F.concat(base, F.lit("/"), n))).when(n.startswith("/"), F.regexp_replace(n, "^/+", "")).when(base == "", n).otherwise(F.concat(base, F.lit("/"), n))
+    ends = lambda s, of: F.array(*_ends([s], of))
+    index = lambda s: F.concat(s, F.lit("/index"))
+    stemmed = lambda s: F.concat(ends(s, script_ends + page_ends), ends(index(s), script_ends))
+    part = lambda p, stem, cut: F.struct(p.alias("path"), stem.alias("stem"), cut.alias("cut"))
 
-    def variants(p: Column) -> Column:
-        cut = F.regexp_replace(p, r"\.[^.]*$", "")
-        ends = lambda s: F.array(*_ends([s], S.SCRIPT_ENDS))
-        return F.concat(F.array(p), F.when(cut != p, ends(cut)).otherwise(F.concat(ends(p), ends(F.concat(p, F.lit("/index"))))))
+    def every(parts: Column) -> Column:
+        first = F.transform(parts, lambda x: F.concat(F.array(x["path"]), F.when(x["cut"], ends(x["stem"], script_ends)).otherwise(F.concat(ends(x["path"], script_ends), ends(index(x["path"]), script_ends)))))
+        # all variants of a path have its stem, or the folder's index file's
+        return F.flatten(F.concat(first, F.transform(parts, lambda x: F.when(x["cut"], stemmed(x["stem"])).otherwise(F.concat(stemmed(x["path"]), stemmed(index(x["path"])))))))
 
-    def by_stem(p: Column) -> Column:
-        cut = F.regexp_replace(p, r"\.[^.]*$", "")
-        return F.concat(F.array(*_ends([cut], S.SCRIPT_ENDS + S.PAGE_ENDS)), F.array(*_ends([F.concat(cut, F.lit("/index"))], S.SCRIPT_ENDS)))
+    def of(n: Column) -> Column:
+        parts = F.transform(F.array_distinct(F.array(beside(n, T.parent(path)), n)), lambda p: T.let(F.regexp_replace(p, r"\.[^.]*$", ""), lambda stem: part(p, stem, stem != p)))
+        named = lambda x: x["stem"].rlike(r"[^/\\.]$")
+        return T.let(parts, lambda x: F.when(F.forall(x, named), every(F.transform(x, lambda y: part(tidy(y["path"]), tidy(y["stem"]), y["cut"])))).otherwise(F.transform(every(x), T.normal_path)))
 
-    first = F.flatten(F.transform(each, variants))
-    paths = F.transform(F.concat(first, F.flatten(F.transform(first, by_stem))), T.normal_path)
-    return F.when(name != "", paths).otherwise(F.array().cast("array<string>"))
+    return T.let(name, lambda n: F.when(n != "", of(n)).otherwise(F.array().cast("array<string>")))
+
+
+def _family_key(path: Column) -> Column:
+    """What a path has in common with its other endings and with the index files below it."""
+    return F.regexp_replace(F.regexp_replace(path, r"\.[^./]*$", ""), "/index$", "")
 
 
 def manifest_edges(files: DataFrame) -> DataFrame:
-    """(edge_type, src, dst, confidence, reason): files that browser manifests name; texts that are no JSON have none."""
+    """(edge_type, src, dst, confidence, reason): files that browser manifests name; texts that are no JSON have none.
+
+    An entry's options are a few stems with many endings. It is joined with the
+    files of those stems, and the first of its options among them counts.
+    """
     kind = "struct<background:struct<service_worker:string,scripts:array<string>>,content_scripts:array<struct<js:array<string>,css:array<string>>>>"
-    m = files.where(F.lower("path").endswith("manifest.json")).select("path", F.from_json("text", kind).alias("m"))
+    m = files.where(F.lower("path").endswith("manifest.json")).select("path", "text").repartition("path").select("path", F.from_json("text", kind).alias("m"))
     entry = lambda field, value: F.transform(value, lambda v: F.struct(F.lit(field).alias("field"), v.alias("raw")))
     nothing = F.array().cast("array<struct<field:string,raw:string>>")
     flat = lambda name: F.flatten(F.filter(F.transform("m.content_scripts", lambda c: c[name]), lambda x: x.isNotNull()))
     parts = [entry("background.service_worker", F.array("m.background.service_worker")), entry("background.scripts", F.col("m.background.scripts")), entry("content_scripts.js", flat("js")), entry("content_scripts.css", flat("css"))]
     each = m.select("path", F.explode(F.concat(*[F.coalesce(p, nothing) for p in parts])).alias("x")).where("x.raw is not null")
-    asked = each.select(F.col("path").alias("from_file"), F.concat("x.field", F.lit(":"), "x.raw").alias("spec"), manifest_options(F.col("path"), F.col("x.raw")).alias("options"), F.col("x.field").alias("field"))
-    found = resolve(asked, files).join(asked.select("from_file", "spec", "field").distinct(), ["from_file", "spec"])
+    asked = each.select(F.col("path").alias("from_file"), "x.field", "x.raw").distinct()
+    # the key is the same whatever the ending
+    keys = F.array_distinct(F.transform(F.array_distinct(manifest_options(F.col("from_file"), F.col("raw"), [".x"], [])), _family_key))
+    known = files.select(F.col("path").alias("target")).distinct().withColumn("key", _family_key(F.col("target")))
+    near = asked.select("*", F.explode(keys).alias("key")).join(known.hint("merge"), "key")
+    of = near.groupBy("from_file", "field", "raw").agg(F.collect_set("target").alias("there"))
+    first = F.get(F.filter(manifest_options(F.col("from_file"), F.col("raw")), lambda o: F.array_contains("there", o)), F.lit(0))
+    found = of.select("from_file", "field", F.explode(F.array(first)).alias("target")).where("target is not null")
     reason = F.concat(F.lit("manifest "), "field", F.lit(" references "), "target")
     return found.select(F.lit("references").alias("edge_type"), F.col("from_file").alias("src"), F.col("target").alias("dst"), F.lit("extracted").alias("confidence"), reason.alias("reason")).distinct()

@@ -141,6 +141,20 @@ def test_manifests(spark):
     assert {(r.dst, r.reason.split(" ")[1]) for r in I.manifest_edges(files).collect()} == {("ext/bg.ts", "background.service_worker"), ("ext/lib/c.js", "content_scripts.js"), ("top.css", "content_scripts.css")}
 
 
+def test_options_of_manifests_are_few(spark):
+    rows = spark.createDataFrame([("ext/manifest.json", "a.min.js"), ("manifest.json", "a"), ("ext/manifest.json", "./b/.."), ("ext/manifest.json", "a\\b.js")], "path string, raw string")
+    dotted, plain, up, back = [r[0] for r in rows.select(I.manifest_options(F.col("path"), F.col("raw"))).collect()]
+    assert max(map(len, (dotted, plain, up, back))) < 100
+    assert dotted[:3] == ["ext/a.min.js", "ext/a.min.ts", "ext/a.min.tsx"] and {"a.min.html", "ext/a.min/index.cjs"} < set(dotted) and "a.js" not in dotted
+    assert plain[:2] == ["a", "a.ts"] and {"a/index/index.js", "a/index.css"} < set(plain) and "ext" in up and back[0] == "ext/a/b.js"
+    names = ["a.css", "a/index/index.cjs", "a/index.ts", "ext/a.jsx", "ext/a/index.mjs"]
+    texts = {"ext/manifest.json": '{"background": {"service_worker": "./a.js", "scripts": ["/a", "a", "../a.txt"]}}'}
+    for gone in range(len(names)):
+        files = table(spark, texts | dict.fromkeys(names[gone:], ""))
+        first = {r.dst for r in I.manifest_edges(files).collect()}
+        assert first == [{"a.css", "a/index.ts", "ext/a.jsx"}, {"a/index.ts", "ext/a.jsx"}, {"a/index.ts", "ext/a.jsx"}, {"ext/a.jsx"}, {"ext/a/index.mjs"}][gone], gone
+
+
 def test_common_tokens_make_few_pairs(spark):
     files = table(spark, {f"src/util_{i:03}.rs": "" for i in range(50)} | {"a/tests/util_test.rs": "", "src/test_zzz.rs": ""})
     assert sorted(r.dst for r in E.test_edges(files).collect()) == ["src/util_000.rs", "src/util_001.rs", "src/util_002.rs"]
