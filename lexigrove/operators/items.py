@@ -9,7 +9,7 @@ from .. import schema as S
 from ..functions import roles as R
 from ..functions import text as T
 from . import imports as I
-from .statements import GROUP, HIDES, VARIABLE, units
+from .statements import GROUP, HIDES, VARIABLE, shared, units
 
 NAME, WORD = r"([A-Za-z_$][A-Za-z0-9_$]*)", r"([A-Za-z_][A-Za-z0-9_]*)"
 STRINGS = "array<string>"
@@ -31,8 +31,8 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _first(df: DataFrame, hits: list[Column], *columns: str) -> DataFrame:
-    """``columns`` and name, kind and public of the first hit; rows without one go."""
-    return df.select(*columns, F.explode(F.slice(F.array_compact(F.array(*hits)), 1, 1)).alias("_hit")).select(*columns, "_hit.*")
+    """``columns`` and name, kind and public of the first hit, after which none is sought; rows without one go."""
+    return _once(df, "_hit", F.coalesce(*hits)).where("_hit is not null").select(*columns, "_hit.*")
 
 
 def _is(name: Column, kind: str | Column, public: Column | None = None) -> Column:
@@ -73,6 +73,11 @@ _BOUND = rf"(?s)(?:{VARIABLE}|^\s*,\s*){NAME}\s*(?::.*?[^=!<>])?=(?![=>])\s*"
 SCRIPT = [(_FUNCTION, _FUNCTION, "function"), (_CLASS, _CLASS, "struct"), (_BOUND + f"(?:{_ARROW})", _BOUND, "function"), (_BOUND + r"class\b", _BOUND, "struct")]
 
 
+def shared_units(files: DataFrame) -> DataFrame:
+    """``units`` for symbols and imports together: the files' texts are cut once for both."""
+    return shared(units(files))
+
+
 def unit_symbols(of: DataFrame) -> DataFrame:
     """(path, line_number, name, kind, public) of units: what each declares, by its language."""
     family, text = F.col("family"), F.col("text")
@@ -83,14 +88,14 @@ def unit_symbols(of: DataFrame) -> DataFrame:
     rows = _once(rows, "_h", F.when(family == "rust", F.regexp_replace(_without_visibility(F.col("_i")), r"^(?:(?:async|unsafe|default) +)+", "")).otherwise(F.col("_i")))
     h = F.col("_h")
     at = lambda p: F.regexp_extract(h, p, 1)
-    when = lambda lang, found, what: F.when((family == lang) & found, what)
-    hits = [F.when(family == "rust", x) for x in _rust_hits(h, F.col("public_inside") | F.col("_i").startswith("pub("), RUST)]
-    hits += [when("python", h.rlike(p), _is(at(p), kind, ~at(p).startswith("_"))) for p, kind in PYTHON]
-    hits += [when("go", h.rlike(p), _is(at(p), kind)) for p, kind in [(GO_FUNCTION, "function"), *GO_TYPES]]
-    hits += [when("go", h.startswith(w + " "), _is(at(rf"^{w} ([A-Za-z0-9_]+(?: ?, ?[A-Za-z0-9_]+)*)"), kind)) for w, kind in (("const", "const"), ("var", "static"))]
+    rust = _rust_hits(h, F.col("public_inside") | F.col("_i").startswith("pub("), RUST)
+    python = [F.when(h.rlike(p), _is(at(p), kind, ~at(p).startswith("_"))) for p, kind in PYTHON]
+    go = [F.when(h.rlike(p), _is(at(p), kind)) for p, kind in [(GO_FUNCTION, "function"), *GO_TYPES]]
+    go += [F.when(h.startswith(w + " "), _is(at(rf"^{w} ([A-Za-z0-9_]+(?: ?, ?[A-Za-z0-9_]+)*)"), kind)) for w, kind in (("const", "const"), ("var", "static"))]
     exported = (F.col("top") | h.rlike(r"^\s*,")) & F.col("head").rlike(r"^\s*export\b")
-    hits += [when("script", h.rlike(p), _is(at(n), kind, exported & ~at(n).startswith("_"))) for p, n, kind in SCRIPT]
-    found = _first(rows, hits, "path", "line_number", "family")
+    script = [F.when(h.rlike(p), _is(at(n), kind, exported & ~at(n).startswith("_"))) for p, n, kind in SCRIPT]
+    hit = F.when(family == "rust", F.coalesce(*rust)).when(family == "python", F.coalesce(*python)).when(family == "go", F.coalesce(*go)).when(family == "script", F.coalesce(*script))
+    found = _first(rows, [hit], "path", "line_number", "family")
     names = F.when(F.col("family") == "go", F.split("name", " ?, ?")).otherwise(F.array("name"))
     return found.select("path", "line_number", F.explode(names).alias("name"), "kind", "public").where("name not in ('', '_')")
 
@@ -98,8 +103,11 @@ def unit_symbols(of: DataFrame) -> DataFrame:
 def symbols(files: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(path, line_number, name, kind, visibility, signature) of the items of source files (path, text), distinct; bodies aren't entered."""
     found = unit_symbols(units(files) if of is None else of)
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("_p", "line")).withColumn("line_number", F.col("_p") + 1)
-    return found.join(lines, ["path", "line_number"]).select("path", "line_number", "name", "kind", F.when(F.col("public"), "public").otherwise("private").alias("visibility"), T.shorten(F.col("line"), S.SIGNATURE_WIDTH).alias("signature")).distinct()
+    # a file's lines stay in its row; the join is never a broadcast, since files are estimated by their columns and not by their texts
+    by_file = found.groupBy("path").agg(F.collect_list(F.struct("line_number", "name", "kind", "public")).alias("_found")).hint("merge")
+    with_line = lambda lines: F.transform("_found", lambda x: F.struct(x["line_number"].alias("line_number"), x["name"].alias("name"), x["kind"].alias("kind"), x["public"].alias("public"), F.get(lines, x["line_number"] - 1).alias("line")))
+    each = files.select("path", "text").join(by_file, "path").select("path", F.explode(T.let(F.split("text", "\n"), with_line)).alias("_s")).select("path", "_s.*")
+    return each.where("line is not null").select("path", "line_number", "name", "kind", F.when(F.col("public"), "public").otherwise("private").alias("visibility"), T.shorten(F.col("line"), S.SIGNATURE_WIDTH).alias("signature")).distinct()
 
 
 # ---- imports
@@ -230,7 +238,7 @@ def resolved_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     by_name = lambda n: F.transform(I.python_options(path, F.concat(module, n)), lambda p, i: F.struct(n.alias("name"), i.alias("pos"), p.alias("target")))
     dots = (how == "from") & path.endswith(".py") & module.rlike(r"^\.+$")
     asked = found.select("*", F.explode(F.concat(direct, F.when(dots, F.flatten(F.transform("names", by_name))).otherwise(F.array().cast("array<struct<name:string,pos:int,target:string>>")))).alias("c"))
-    there = asked.withColumn("target", F.col("c.target")).join(files.select(F.col("path").alias("target")).distinct(), "target")
+    there = asked.withColumn("target", F.col("c.target")).join(files.select(F.col("path").alias("target")).distinct().hint("merge"), "target")
     hits = there.groupBy(*found.columns).agg(F.array_sort(F.collect_set(F.struct("c.name", "c.pos", "target"))).alias("hits"))
     # sorted by name, then place: the module's own candidates have no name and come first
     firsts = F.filter("hits", lambda h, i: (i == 0) | ((F.try_element_at("hits", F.greatest(i, F.lit(1)))["name"] != h["name"]) & (F.col("hits")[0]["name"] != "")))
@@ -281,7 +289,7 @@ def module_keys(files: DataFrame) -> DataFrame:
 def _by_module(asked: DataFrame, keys: DataFrame) -> DataFrame:
     """``asked`` (path, at, segments, said) with the file of the longest beginning of the segments that is a module."""
     each = asked.select("path", "at", "said", F.posexplode(beginnings(F.col("segments"))).alias("pos", "key"))
-    return each.join(keys, "key").groupBy("path", "at", "said").agg(F.min_by("target", "pos").alias("dst"))
+    return each.join(keys.hint("merge"), "key").groupBy("path", "at", "said").agg(F.min_by("target", "pos").alias("dst"))
 
 
 def fallback_edges(files: DataFrame) -> DataFrame:
@@ -307,7 +315,7 @@ def fallback_edges(files: DataFrame) -> DataFrame:
     imported = _by_module(used, keys)
     heads = imported.select("path", F.substring_index(F.regexp_replace(F.regexp_replace("dst", "^src/", ""), r"(?:/mod\.rs|\.rs)$", ""), "/", 1).alias("key")).distinct().withColumn("mine", F.lit(True))
     bare = other.select("path", "line_number", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(rf"(?<![A-Za-z0-9_]){WORD}::"), F.lit(1)))).alias("key"))
-    bare = bare.join(keys, "key").join(heads, ["path", "key"], "left").select("path", F.struct("line_number", F.lit(1 << 30).alias("i")).alias("at"), F.col("key").alias("said"), F.col("target").alias("dst"), F.when(F.col("mine"), "extracted").otherwise("inferred").alias("confidence"))
+    bare = bare.join(keys.hint("merge"), "key").join(heads.hint("merge"), ["path", "key"], "left").select("path", F.struct("line_number", F.lit(1 << 30).alias("i")).alias("at"), F.col("key").alias("said"), F.col("target").alias("dst"), F.when(F.col("mine"), "extracted").otherwise("inferred").alias("confidence"))
 
     def edges(kind: str, found: DataFrame, word: str, display) -> DataFrame:
         best = found.groupBy("path", "dst").agg(F.min_by(F.struct("said", "confidence"), F.struct("at", "said")).alias("x"))

@@ -119,7 +119,7 @@ def symbol_references(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def binding_references(bindings: DataFrame, symbols: DataFrame) -> DataFrame:
     """References of imported names (from_file, symbol_name, target_file, line_number, confidence, reason) to the first line that defines them; others go."""
-    lines = symbols.groupBy(F.col("file_path").alias("target_file"), F.col("name").alias("symbol_name")).agg(F.min("line_number").alias("target_line"))
+    lines = symbols.groupBy(F.col("file_path").alias("target_file"), F.col("name").alias("symbol_name")).agg(F.min("line_number").alias("target_line")).hint("merge")
     found = bindings.where("target_file is not null").join(lines, ["target_file", "symbol_name"])
     return found.select("from_file", "symbol_name", "target_file", "target_line", "line_number", "confidence", "reason", F.lit("production").alias("context"), F.lit(0).alias("additional_count")).distinct()
 

@@ -96,17 +96,19 @@ def scanned(files: DataFrame) -> DataFrame:
     down = Window.partitionBy("path").orderBy("pos")
     before = down.rowsBetween(Window.unboundedPreceding, -1)
     running = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    of = pieces(files).withColumns(
-        {"net": _count("bare", r"(\[{") - _count("bare", r")\]}"), "net_braces": _count("bare", "{") - _count("bare", "}"), "lines": _count("code", "\n")}
-    )
-    lead = _count(F.regexp_extract("code", r"^\s*", 0), "\n")
-    of = of.withColumns({"depth": running("net"), "braces": running("net_braces"), "line_number": (F.lit(1) + running("lines") + lead).cast("int")})
     line_end = F.col("bare").endswith("\n")
     end = F.when(F.col("family") == "rust", F.col("bare").rlike(r"[;}]$|\]\s*\n$")).when(F.col("family") == "python", (line_end & ~F.col("bare").endswith("\\\n")) | F.col("bare").endswith(";")).otherwise(line_end | F.col("bare").endswith(";"))
-    over = (F.col("depth") + F.col("net") <= 0) & end
+    # only the code goes through the windows; of the other texts, what is asked of them
+    of = pieces(files).select(
+        "path", "family", "pos", "code", F.col("raw").contains("pub ").alias("says_pub"), (~F.col("code").rlike("[^ \n\t\r]")).alias("blank"), end.alias("end"),
+        (_count("bare", r"(\[{") - _count("bare", r")\]}")).alias("net"), (_count("bare", "{") - _count("bare", "}")).alias("net_braces"), _count("code", "\n").alias("lines"), _count(F.regexp_extract("code", r"^\s*", 0), "\n").alias("lead"),
+    )
+    of = of.withColumns({"depth": running("net"), "braces": running("net_braces"), "line_number": (F.lit(1) + running("lines") + F.col("lead")).cast("int")})
+    over = (F.col("depth") + F.col("net") <= 0) & F.col("end")
     of = of.withColumn("statement", running(over.cast("int")))
-    head = F.first(F.when(F.trim(F.translate("code", "\n\t\r", "   ")) != "", F.col("code")), ignorenulls=True)
-    return of.withColumn("head", head.over(Window.partitionBy("path", "statement").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # statements only grow down a file, so the first piece of the present one is a running maximum of the same window
+    first = F.max(F.when(~F.col("blank"), F.struct("statement", (-F.col("pos")).alias("minus_pos"), "code"))).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return of.withColumn("_first", first).withColumn("head", F.when(F.col("_first.statement") == F.col("statement"), F.col("_first.code"))).drop("_first")
 
 
 #: What a script's statement holds inside is not looked at: bodies of functions and classes, values of variables, arguments of calls.
@@ -129,14 +131,14 @@ def units(files: DataFrame) -> DataFrame:
     entered are left out.
     """
     of = scanned(files)
-    blank = F.trim(F.translate("code", "\n\t\r", "   ")) == ""
+    blank = F.col("blank")
     wanted = (F.col("braces") == 0) | F.col("head").rlike(WHOLE)
     inner = ((F.col("family") == "script") & ((F.col("depth") > 0) | (F.col("head").rlike(VARIABLE) & F.col("code").rlike(r"^\s*,")))) | ((F.col("family") == "go") & (F.col("depth") == 1) & F.col("head").rlike(GROUP))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(wanted, F.struct("pos", "code")))), lambda p: p["code"]), "")
     found = of.groupBy("path", "family", "statement").agg(
         F.min(F.when(~blank, F.struct("pos", "line_number", "code"))).alias("first"),
         text.alias("text"),
-        F.max(F.col("raw").contains("pub ") & F.col("head").isNotNull()).alias("public_inside"),
+        F.max(F.col("says_pub") & F.col("head").isNotNull()).alias("public_inside"),
         F.collect_list(F.when(inner & ~blank, F.struct("pos", "line_number", F.lit(False).alias("top"), "depth", F.col("code").alias("text")))).alias("inner"),
     )
     itself = F.array(F.struct("first.pos", "first.line_number", F.lit(True).alias("top"), F.lit(0).cast("long").alias("depth"), "text"))
@@ -148,6 +150,16 @@ def units(files: DataFrame) -> DataFrame:
     return visible(each.withColumns({"level": level, "hides": hides})).drop("depth", "level", "hides")
 
 
+def shared(of: DataFrame) -> DataFrame:
+    """``of`` behind one shuffle that every use of it reads.
+
+    Spark makes a shuffle once if all of its uses ask for the same. So that
+    neither columns nor filters of one use move below it, a row goes as one
+    value, which is the key as well, and comes out of a generated row.
+    """
+    return of.select(F.struct(*of.columns).alias("_row")).repartition("_row").select(F.explode(F.array("_row")).alias("_row")).select("_row.*")
+
+
 def visible(each: DataFrame) -> DataFrame:
     """Rows (path, pos, top, level, hides, ...) that no row with ``hides`` holds inside it.
 

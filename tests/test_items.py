@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove.jobs.queries import QUERIES
 from lexigrove.operators import items as X
+from lexigrove.operators import references as Y
 from lexigrove.operators import statements as Z
 
 
@@ -153,6 +155,23 @@ def test_pieces_keep_the_text(spark):
     assert back == {"a.rs": RUST, "b.ts": "const a = `x\n;{` // c\nf('}')"}
 
 
+def test_files_texts_are_cut_once_for_symbols_and_imports(spark):
+    table = files(spark, {"pkg/a.py": "from .b import Foo, gone", "pkg/b.py": "class Foo: pass\nclass Foo: pass"})
+    of = X.shared_units(table)
+    refs = Y.binding_references(X.import_bindings(X.resolved_imports(X.imports(table, of), table)), X.unit_symbols(of).withColumnRenamed("path", "file_path"))
+    assert [(r.symbol_name, r.target_file, r.target_line) for r in refs.collect()] == [("Foo", "pkg/b.py", 1)]
+    plan = refs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len([x for x in plan.split("\n") if "ReusedExchange" in x]) == 1
+    assert sorted(tuple(r) for r in X.symbols(table, of).select("name", "line_number", "signature").collect()) == [("Foo", 1, "class Foo: pass"), ("Foo", 2, "class Foo: pass")]
+
+
+@pytest.mark.parametrize("name", ["binding_refs", "extract_symbols", "import_edges"])
+def test_tables_as_large_as_the_files_are_not_broadcast(spark, name):
+    # estimated by its columns and not by its texts, a table of a million files looks small enough
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Broadcast" not in plan
+
+
 def test_fallback(spark):
     texts = {
         "src/main.rs": "mod store;\nuse crate::store::{Item, other};\nuse crate::store::Item as I;\nfn main() { crate::web::serve(); store::open(); web::x(); nothing::y() } // crate::util::z\npub mod inline { }",
