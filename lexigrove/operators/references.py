@@ -57,7 +57,7 @@ def line_contexts(lines: DataFrame, defined: DataFrame) -> DataFrame:
     a test attribute waits for the next such line. ``defined``: (path,
     line_number) of symbols; their lines hold no references and move no state.
     """
-    df = lines.withColumn("code", stripped(F.col("line"))).where("code <> ''").join(defined.select("path", "line_number").distinct().withColumn("is_definition", F.lit(True)), ["path", "line_number"], "left")
+    df = lines.withColumn("code", stripped(F.col("line"))).where("code <> ''").join(defined.select("path", "line_number").distinct().withColumn("is_definition", F.lit(True)).hint("merge"), ["path", "line_number"], "left")
     c = F.col("code")
     section = c.startswith("#[cfg(test)]") | c.startswith("mod tests ") | (c == "mod tests {")
     attribute = ~section & c.startswith("#[test]")
@@ -111,7 +111,7 @@ def symbol_references(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     base = ["path", "line_number", "context"]
     used = at.where(body != "").select(*base, F.explode(use_names(body)).alias("symbol_name"), *kind("extracted", "use statement reference"))
     named = at.where((body == "") & counts).select(*base, F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(IDENTIFIER), F.lit(0)))).alias("symbol_name"), *kind("inferred", "qualified or token reference"))
-    found = used.unionByName(named).join(unique_definitions(symbols), "symbol_name")
+    found = used.unionByName(named).join(unique_definitions(symbols).hint("merge"), "symbol_name")
     return found.groupBy(F.col("path").alias("from_file"), "symbol_name", "target_file", "context", "confidence", "reason").agg(
         F.min("target_line").alias("target_line"), F.min("line_number").alias("line_number"), (F.count(F.lit(1)) - 1).cast("int").alias("additional_count")
     )

@@ -165,7 +165,7 @@ def test_files_texts_are_cut_once_for_symbols_and_imports(spark):
     assert sorted(tuple(r) for r in X.symbols(table, of).select("name", "line_number", "signature").collect()) == [("Foo", 1, "class Foo: pass"), ("Foo", 2, "class Foo: pass")]
 
 
-@pytest.mark.parametrize("name", ["binding_refs", "extract_symbols", "import_edges"])
+@pytest.mark.parametrize("name", ["binding_refs", "all_refs", "extract_symbols", "import_edges"])
 def test_tables_as_large_as_the_files_are_not_broadcast(spark, name):
     # estimated by its columns and not by its texts, a table of a million files looks small enough
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
