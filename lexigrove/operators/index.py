@@ -60,6 +60,16 @@ def distinct_facts(facts: DataFrame, key: list[str]) -> DataFrame:
     return facts.dropDuplicates(key)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table of the shared folder, so that no use of it holds its plan; as it is where there is no such folder."""
+    folder = shared_folder(df.sparkSession)
+    if not folder:
+        return df
+    path = f"{folder}/facts-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rust_facts(tree: DataFrame, fallback: DataFrame, edges: DataFrame) -> DataFrame:
     """Item-level symbols of Rust files, or those of any line if the former and the edges found nothing at all."""
     rust = F.col("path").endswith(".rs")

@@ -9,6 +9,7 @@ from .. import schema as S
 from ..functions import roles as R
 from ..functions import text as T
 from . import imports as I
+from .index import cut
 from .statements import GROUP, HIDES, VARIABLE, shared, units
 
 NAME, WORD = r"([A-Za-z_$][A-Za-z0-9_$]*)", r"([A-Za-z_][A-Za-z0-9_]*)"
@@ -332,13 +333,18 @@ def fallback_edges(files: DataFrame) -> DataFrame:
 def rust_facts(files: DataFrame, tree_symbols: DataFrame, tree_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Symbols and edges with those by lines added where there are Rust files and their statements gave neither a symbol nor an edge.
 
-    The choice is a count of one row beside the facts, so the plan is fixed and
-    nothing is collected.
+    Both are written as one table, which the count and the result read: they are
+    made once, and the plan of neither holds theirs. The choice is a count of
+    one row beside the files, so nothing is collected, and files that are not to
+    be read by lines are not.
     """
-    rust = lambda df, c: df.where(F.col(c).endswith(".rs")).select(F.lit(1).alias("x"))
-    none = rust(tree_symbols, "path").unionByName(rust(tree_edges, "src")).limit(1).agg((F.count("x") == 0).alias("_none"))
-    either = lambda tree, lines: tree.unionByName(lines.join(F.broadcast(none)).where("_none").drop("_none")).distinct()  # noqa: E731  one row
-    return either(tree_symbols, fallback_symbols(files)), either(tree_edges, fallback_edges(files))
+    columns = [tree_symbols.columns, tree_edges.columns]
+    both = cut(tree_symbols.unionByName(tree_edges.withColumnRenamed("src", "path"), allowMissingColumns=True))
+    tree_symbols = both.where("edge_type is null").select(*columns[0])
+    tree_edges = both.where("edge_type is not null").withColumn("src", F.col("path")).select(*columns[1])
+    none = both.where(F.col("path").endswith(".rs")).select(F.lit(1).alias("x")).limit(1).agg((F.count("x") == 0).alias("_none"))
+    by_line = files.select("path", "text").join(F.broadcast(none)).where("_none").drop("_none")  # one row
+    return tree_symbols.unionByName(fallback_symbols(by_line)).distinct(), tree_edges.unionByName(fallback_edges(by_line)).distinct()
 
 
 def edge_table(parts: list[DataFrame]) -> DataFrame:

@@ -196,3 +196,10 @@ def test_the_fallback_stands_in_only_for_nothing(spark):
         table = files(spark, texts)
         s, e = X.rust_facts(table, X.symbols(table), X.import_edges(X.resolved_imports(X.imports(table), table)))
         assert {r.name for r in s.collect()} == names and {r.edge_type for r in e.collect()} == kinds
+
+
+def test_facts_are_stored_before_the_choice(spark):
+    """Neither joins of files are broadcast, nor does each use of the choice hold the plan of all facts."""
+    plan = QUERIES["rust_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "BroadcastHashJoin" not in plan
+    assert "collect_list" not in plan  # of statements
