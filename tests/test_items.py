@@ -203,3 +203,8 @@ def test_facts_are_stored_before_the_choice(spark):
     plan = QUERIES["rust_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan and "BroadcastHashJoin" not in plan
     assert "collect_list" not in plan  # of statements
+
+
+def test_all_edges_hold_statements_once(spark):
+    plan = QUERIES["all_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.split("\n") if "Window [" in line]) <= 10  # those of the files' statements and of the pairs of tests
